@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -99,18 +98,22 @@ def policy_compliance(
 
 
 class GovernedResult:
-    """Result of :func:`apply_policies`; the counts exist once ``df`` has been consumed."""
+    """Result of :func:`apply_policies`.
 
-    def __init__(self, df, policies, denied, observation, columns):
-        self.df, self.policies, self.denied = df, policies, denied
-        self._observation, self._columns = observation, columns
+    The counts come from an observation, so they exist once ``df`` has been written or collected.
+    A refused result has no rows to observe: its withheld rows are counted on request.
+    """
+
+    def __init__(self, df, policies, withheld, observation, columns):
+        self.df, self.policies, self.denied = df, policies, withheld is not None
+        self._withheld, self._observation, self._columns = withheld, observation, columns
 
     def counts(self) -> dict:
+        if self.denied:
+            rows = self._withheld.count()
+            return {"original_rows": rows, "masked_rows": rows, "access_level": "denied", "columns_masked": []}
         seen = self._observation.get
         masked = sum(seen.get(f"m{i}") or 0 for i in range(len(self._columns)))
-        if self.denied:
-            return {"original_rows": seen["rows"], "masked_rows": seen["rows"], "access_level": "denied",
-                    "columns_masked": []}
         return {
             "original_rows": seen["rows"],
             "masked_rows": masked,
@@ -144,24 +147,23 @@ def apply_policies(
     names = [r["name"] for r in rows]
     targets = list(columns if columns is not None else df.columns)
     if denied:
-        watched = df.observe(observation, F.count(F.lit(1)).alias("rows"))
-        # rand() keeps the filter above the observation, so the withheld rows are still counted
-        return GovernedResult(watched.filter(F.rand() < 0).select(*df.columns), names, True, observation, targets)
+        return GovernedResult(df.limit(0), names, df, observation, targets)
     kinds = [(r["mask_type"], r["mask_pattern"]) for r in rows if r["action_type"] == "mask"]
-    masked, counts = {}, {}
-    for c in targets:
-        value, n = F.col(f"`{c}`"), F.lit(0)
-        for kind, pattern in kinds:
-            n = n + is_masked(value, kind).cast("int")
-            value = mask_column(value, kind, {"mask_pattern": pattern} if pattern else None)
-        masked[c], counts[c] = value, n
     if not kinds:
         watched = df.observe(observation, F.count(F.lit(1)).alias("rows"))
-        return GovernedResult(watched, names, False, observation, targets)
-    watched = df.observe(observation, F.count(F.lit(1)).alias("rows"),
-                         *[F.sum(counts[c]).alias(f"m{i}") for i, c in enumerate(targets)])
-    result = watched.select(*[masked[c].alias(c) if c in masked else F.col(f"`{c}`") for c in df.columns])
-    return GovernedResult(result, names, False, observation, targets)
+        return GovernedResult(watched, names, None, observation, targets)
+    # one projection per policy: nesting the masks in one expression would double it at every step
+    tallies = {c: f"__m{i}" for i, c in enumerate(targets)}
+    staged = df.select("*", *[F.lit(0).alias(n) for n in tallies.values()])
+    for kind, pattern in kinds:
+        params = {"mask_pattern": pattern} if pattern else None
+        staged = staged.select(
+            *[mask_column(F.col(f"`{c}`"), kind, params).alias(c) if c in tallies else F.col(f"`{c}`") for c in df.columns],
+            *[(F.col(n) + is_masked(F.col(f"`{c}`"), kind).cast("int")).alias(n) for c, n in tallies.items()],
+        )
+    watched = staged.observe(observation, F.count(F.lit(1)).alias("rows"),
+                             *[F.sum(F.col(n)).alias(f"m{i}") for i, n in enumerate(tallies.values())])
+    return GovernedResult(watched.select(*[F.col(f"`{c}`") for c in df.columns]), names, None, observation, targets)
 
 
 def audit_record(
@@ -183,6 +185,3 @@ def audit_record(
 def append_audit(record: DataFrame, path: str) -> None:
     record.write.mode("append").parquet(path)
 
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

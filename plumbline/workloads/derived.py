@@ -231,6 +231,24 @@ SELECT event_id AS plan_id,
          ELSE '[{"Plan": {"Node Type": "Result", "Plan Rows": 1}}]' END AS plan_json
 FROM events"""
 
+# customers with contact data of every recognised shape, and some of none
+CONTACTS = """
+SELECT c_custkey,
+       c_mktsegment AS segment,
+       concat(lower(c_mktsegment), '.', cast(c_custkey as string), '@example.com') AS contact,
+       concat('555-', lpad(cast(c_custkey % 1000 as string), 3, '0'), '-', lpad(cast(c_nationkey * 37 as string), 4, '0')) AS phone,
+       CASE WHEN c_custkey % 6 = 0 THEN NULL
+            ELSE concat(lpad(cast(c_custkey % 900 as string), 3, '0'), '-', lpad(cast(c_nationkey as string), 2, '0'), '-', lpad(cast(c_custkey % 10000 as string), 4, '0')) END AS code1,
+       concat('4532-1111-2222-', lpad(cast(c_custkey % 10000 as string), 4, '0')) AS code2,
+       concat('AB', lpad(cast(c_custkey as string), 7, '0')) AS doc_no,
+       CASE c_custkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN '' WHEN 2 THEN concat(' ABCDE', lpad(cast(c_custkey % 10000 as string), 4, '0'), 'F ')
+            ELSE concat('10.0.', cast(c_custkey % 256 as string), '.7') END AS mixed,
+       concat('1234 5678 ', lpad(cast(c_custkey % 10000 as string), 4, '0')) AS aadhaar_no,
+       concat('zyxwvutsrqponmlkjihgfedcbaZYXWVU', md5(c_name)) AS session_key,
+       c_name AS company,
+       'none' AS notes
+FROM customer"""
+
 SERIES_MONTHLY = """
 SELECT o_orderpriority AS series_id,
        cast(date_trunc('month', o_orderdate) as date) AS ds,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.workloads import profiles
+from plumbline.workloads import catalog, changes, governance, profiles
 
-_MODULES = (profiles,)
+_MODULES = (profiles, governance, changes, catalog)
 
 QUERIES = {name: job for module in _MODULES for name, job in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

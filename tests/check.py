@@ -31,7 +31,7 @@ def main() -> int:
             df = job(spark, sf)
             if name in oracles:
                 problem = compare(df, con, oracles[name])
-                state = "ok" if problem is None else "DIFF " + problem
+                state = f"ok {len(con.execute(oracles[name]).fetchall())} rows" if problem is None else "DIFF " + problem
             else:
                 problem, state = None, f"rows {df.count()}"
         except Exception as exc:  # report and go on with the next job
