@@ -24,11 +24,11 @@ SUFFIXES = ("_id", "id", "key")
 
 
 def _tables(spark, sf):
-    return V.frame(spark, sf, V.CATALOG_TABLES).withColumn("created_at", F.col("created_on").cast("timestamp"))
+    return V.stored(spark, sf, V.CATALOG_TABLES).withColumn("created_at", F.col("created_on").cast("timestamp"))
 
 
 def _columns(spark, sf):
-    return V.frame(spark, sf, V.CATALOG_COLUMNS)
+    return V.stored(spark, sf, V.CATALOG_COLUMNS)
 
 
 def _star(spark, sf):

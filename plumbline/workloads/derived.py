@@ -8,8 +8,11 @@ the dialects differ.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.session import work_path
 from plumbline.sources.tables import load
 
 ENTITIES = "customer,order,product,invoice,shipment,payment,employee,address"
@@ -98,9 +101,6 @@ SPARK_POSITIONS = "part LATERAL VIEW explode(sequence(1, 4 + p_size % 12)) s AS
 DUCK_POSITIONS = "(SELECT *, unnest(range(1, 5 + p_size % 12)) AS i FROM part)"
 
 # every event is one logged statement; the tables it names are catalog tables, but for a few strays
-_SRC = "(1 + user_id % 97)"
-_SRC2 = "(1 + (user_id * 3 + event_id) % 101)"
-_DST = "(1 + event_id % 89)"
 SQL_LOG = f"""
 SELECT event_id AS query_id,
        concat('u', {text('user_id')}) AS user_id,
@@ -109,21 +109,18 @@ SELECT event_id AS query_id,
        cast(floor(value * 10) as bigint) AS execution_time_ms,
        event_type <> 'error' AS ok,
        CASE event_id % 10
-         WHEN 0 THEN concat('CREATE TABLE IF NOT EXISTS ', {table_name(_DST)}, ' AS SELECT a.id, b.total_amount FROM ',
-                            {table_name(_SRC)}, ' a JOIN ', {table_name(_SRC2)}, ' b ON a.id = b.id')
-         WHEN 1 THEN concat('insert into ', {table_name(_DST)}, ' (id, v) SELECT id, sum(v) FROM ', {table_name(_SRC)},
-                            ' GROUP BY id -- FROM hidden_', {text(_SRC)})
-         WHEN 2 THEN concat('UPDATE ', {table_name(_DST)}, ' SET v = s.v FROM ', {table_name(_SRC)}, ' s WHERE s.id = 1')
-         WHEN 3 THEN concat('UPDATE ', {table_name(_DST)}, ' SET v = 1 FROM ', {table_name(_DST)}, ' WHERE id = 2')
-         WHEN 4 THEN concat('SELECT  x.id,   x.region FROM ', {table_name(_SRC)}, ' x /* JOIN ghost */ LEFT JOIN public.',
-                            {table_name(_SRC2)}, ' y ON x.id = y.id')
-         WHEN 5 THEN concat('select * from (SELECT id FROM ', {table_name(_SRC)}, ') AS z JOIN ', {table_name(_SRC2)}, ' w ON z.id = w.id')
+         WHEN 0 THEN concat('CREATE TABLE IF NOT EXISTS ', dst, ' AS SELECT a.id, b.total_amount FROM ', src, ' a JOIN ', alt, ' b ON a.id = b.id')
+         WHEN 1 THEN concat('insert into ', dst, ' (id, v) SELECT id, sum(v) FROM ', src, ' GROUP BY id -- FROM hidden_', event_type)
+         WHEN 2 THEN concat('UPDATE ', dst, ' SET v = s.v FROM ', src, ' s WHERE s.id = 1')
+         WHEN 3 THEN concat('UPDATE ', dst, ' SET v = 1 FROM ', dst, ' WHERE id = 2')
+         WHEN 4 THEN concat('SELECT  x.id,   x.region FROM ', src, ' x /* JOIN ghost */ LEFT JOIN public.', alt, ' y ON x.id = y.id')
+         WHEN 5 THEN concat('select * from (SELECT id FROM ', src, ') AS z JOIN ', alt, ' w ON z.id = w.id')
          WHEN 6 THEN concat('SELECT count(*) FROM stray_', {text('user_id')}, ' WHERE k = ', {text('event_id % 7')})
-         WHEN 7 THEN concat('CREATE TEMPORARY TABLE tmp_', {text('user_id')}, ' AS SELECT id FROM ', {table_name(_SRC)})
-         WHEN 8 THEN concat('CREATE TABLE ', {table_name(_DST)}, ' AS SELECT id FROM ', {table_name(_SRC)},
-                            ' UNION ALL SELECT id FROM ', {table_name(_SRC2)})
+         WHEN 7 THEN concat('CREATE TEMPORARY TABLE tmp_', {text('user_id')}, ' AS SELECT id FROM ', src)
+         WHEN 8 THEN concat('CREATE TABLE ', dst, ' AS SELECT id FROM ', src, ' UNION ALL SELECT id FROM ', alt)
          ELSE concat('SHOW TABLES LIKE ''', event_type, '''') END AS query_executed
-FROM events"""
+FROM (SELECT *, {table_name('a')} AS src, {table_name('b')} AS alt, {table_name('c')} AS dst FROM
+      (SELECT *, 1 + user_id % 97 AS a, 1 + (user_id * 3 + event_id) % 101 AS b, 1 + event_id % 89 AS c FROM events) k) n"""
 
 # a lineage forest with diamonds, two-node cycles, self loops and switched-off edges
 LINEAGE_EDGES = f"""
@@ -269,7 +266,7 @@ def duck(sql: str) -> str:
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The derivation as a Spark DataFrame over the given tables."""
-    query = sql.replace("{explode}", SPARK_POSITIONS)
+    query = sql.replace("{explode}", SPARK_POSITIONS).replace("{", "{{").replace("}", "}}")
     for name in _SOURCES:
         query = _bind(query, name)
     frames = {n: load(spark, sf_dir, n) for n in _SOURCES if "{" + n + "}" in query}
@@ -277,7 +274,22 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def _bind(query: str, name: str) -> str:
-    """Turns ``FROM name`` into the frame placeholder of ``spark.sql`` and doubles other braces."""
-    import re
-
+    """Turns ``FROM name`` into the frame placeholder of ``spark.sql``."""
     return re.sub(rf"\bFROM {name}\b", "FROM {" + name + "}", query)
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The derivation as a stored Parquet table, written once per application.
+
+    Catalogs and query logs are tables in real life; reading them from files also keeps their
+    long CASE texts out of the plans under test.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, sql)
+    if key not in _STORED:
+        path = work_path(spark, "derived")
+        frame(spark, sf_dir, sql).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

@@ -24,7 +24,7 @@ def _contacts(spark, sf):
 
 
 def _columns(spark, sf):
-    return V.frame(spark, sf, V.CATALOG_COLUMNS)
+    return V.stored(spark, sf, V.CATALOG_COLUMNS)
 
 
 def pii_name_hints(spark, sf):
