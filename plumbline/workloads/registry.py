@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.workloads import catalog, changes, governance, graphs, profiles
+from plumbline.workloads import catalog, changes, governance, graphs, profiles, relational, streams
 
-_MODULES = (profiles, governance, changes, catalog, graphs)
+_MODULES = (profiles, governance, changes, catalog, graphs, relational, streams)
 
 QUERIES = {name: job for module in _MODULES for name, job in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
