@@ -75,5 +75,10 @@ def sensitivity(kind: Column) -> Column:
 FREE_TEXT_PATTERNS = {kind: pattern[1:-1] for kind, pattern in fixed.VALUE_PATTERNS.items()}
 
 
+def may_hold_hits(text: Column) -> Column:
+    """Cheap necessary condition of every pattern: an @, three digits in a row, or a dotted digit."""
+    return F.contains(text, F.lit("@")) | F.rlike(text, F.lit(r"[0-9]{3}|[0-9]\.[0-9]"))
+
+
 def text_hits(text: Column, kind: str) -> Column:
     return F.regexp_count(text, F.lit("(?i)" + FREE_TEXT_PATTERNS[kind]))

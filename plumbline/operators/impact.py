@@ -37,26 +37,24 @@ def nodes(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
     """(dir, root, node, hop) of every node within ``depth`` hops, roots at hop 0.
 
-    ``edges``: dir, src, dst. ``roots``: dir, root. A node keeps its smallest hop; already
-    visited pairs are removed by an anti-join, which also ends the loop on cycles.
+    ``edges``: dir, src, dst. ``roots``: dir, root. Each round extends the newest hop by the
+    edges and folds the result into the known pairs with ``min(hop)``: a pair met again keeps its
+    smaller hop, which also ends the loop on cycles.
     """
-    edges = edges.select("dir", "src", "dst").distinct()
-    level = cut_lineage(roots.select("dir", "root", F.col("root").alias("node"), F.lit(0).alias("hop")))
-    levels, hop = [level], 0
+    edges = cut_lineage(edges.select("dir", F.col("src").alias("node"), "dst").distinct())
+    state = cut_lineage(roots.select("dir", "root", F.col("root").alias("node"), F.lit(0).alias("hop")).distinct())
+    hop = 0
     while depth is None or hop < depth:
         hop += 1
-        visited = reduce(DataFrame.unionByName, levels).select("dir", "root", "node")
         step = (
-            level.join(edges.withColumnRenamed("src", "node"), ["dir", "node"])
-            .select("dir", "root", F.col("dst").alias("node")).distinct()
-            .join(visited, ["dir", "root", "node"], "left_anti")
-            .withColumn("hop", F.lit(hop))
+            state.filter(F.col("hop") == hop - 1)
+            .join(edges, ["dir", "node"])
+            .select("dir", "root", F.col("dst").alias("node"), F.lit(hop).alias("hop"))
         )
-        level = cut_lineage(step)
-        if level.isEmpty():
+        state = cut_lineage(state.unionByName(step).groupBy("dir", "root", "node").agg(F.min("hop").alias("hop")))
+        if state.filter(F.col("hop") == hop).isEmpty():
             break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    return state
 
 
 def _from_root(edges_df: DataFrame, root: str, depth: int, direction: str) -> DataFrame:
@@ -142,38 +140,37 @@ def change_impact(edges_df: DataFrame, requests: DataFrame, depth: int = 5) -> D
         F.replace(F.coalesce("advice", F.lit(advice)), F.lit("%d"), n.cast("string")).alias("recommendation"))
 
 
+def _extend(state: DataFrame, edges: DataFrame, frontier: DataFrame, length: int) -> DataFrame:
+    """Paths of ``frontier`` lengthened by one edge and folded into ``state``.
+
+    ``state``: root, node, best = struct(length, path). Per (root, node) the shortest path wins,
+    then the smallest one.
+    """
+    step = frontier.join(edges, F.col("node") == F.col("src")).select(
+        "root", F.col("dst").alias("node"),
+        F.struct(F.lit(length).alias("length"), F.concat("best.path", F.array("dst")).alias("path")).alias("best"))
+    return cut_lineage(state.unionByName(step).groupBy("root", "node").agg(F.min("best").alias("best")))
+
+
 def shortest_paths(edges_df: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source, target, path) for every wanted pair that is connected, ties to the smallest path.
 
     One search serves all pairs; a source stops being extended once its targets are found.
     """
-    edges = active_edges(edges_df).select("src", "dst")
-    wanted = pairs.select("source", "target").distinct()
-    level = cut_lineage(wanted.select(F.col("source").alias("root"), F.col("source").alias("node")).distinct()
-                        .withColumn("path", F.array("node")))
-    seen, found = [level], []
-    open_pairs = wanted
+    edges = cut_lineage(active_edges(edges_df).select("src", "dst"))
+    wanted = cut_lineage(pairs.select(F.col("source").alias("root"), F.col("target").alias("node")).distinct())
+    state = cut_lineage(wanted.select("root").distinct().select(
+        "root", F.col("root").alias("node"), F.struct(F.lit(0).alias("length"), F.array("root").alias("path")).alias("best")))
+    length = 0
     while True:
-        hits = cut_lineage(
-            open_pairs.join(level, (F.col("source") == F.col("root")) & (F.col("target") == F.col("node")))
-            .select("source", "target", "path"))
-        found.append(hits)
-        open_pairs = cut_lineage(open_pairs.join(hits.select("source", "target"), ["source", "target"], "left_anti"))
-        if open_pairs.isEmpty():
-            break
-        visited = reduce(DataFrame.unionByName, seen).select("root", "node")
-        step = (
-            level.join(open_pairs.select(F.col("source").alias("root")).distinct(), "root", "left_semi")
-            .join(edges, F.col("node") == F.col("src"))
-            .groupBy("root", F.col("dst").alias("node"))
-            .agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-            .join(visited, ["root", "node"], "left_anti")
-        )
-        level = cut_lineage(step)
-        if level.isEmpty():
+        length += 1
+        unsolved = wanted.join(state, ["root", "node"], "left_anti").select("root").distinct()
+        frontier = state.filter(F.col("best.length") == length - 1).join(unsolved, "root", "left_semi")
+        state = _extend(state, edges, frontier, length)
+        if state.filter(F.col("best.length") == length).isEmpty():
             break
-        seen.append(level)
-    return reduce(DataFrame.unionByName, found)
+    return wanted.join(state, ["root", "node"]).select(
+        F.col("root").alias("source"), F.col("node").alias("target"), F.col("best.path").alias("path"))
 
 
 def shortest_path(edges_df: DataFrame, a: str, b: str) -> DataFrame:
@@ -181,6 +178,12 @@ def shortest_path(edges_df: DataFrame, a: str, b: str) -> DataFrame:
     return shortest_paths(edges_df, pairs).select("path")
 
 
+def _peel(edges: DataFrame) -> DataFrame:
+    """Edges whose source has a predecessor and whose target has a successor."""
+    fed, feeding = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(fed, "src", "left_semi").join(feeding, "dst", "left_semi").select("src", "dst")
+
+
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges left after nodes without predecessor or successor are peeled off repeatedly.
 
@@ -189,15 +192,11 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     core = cut_lineage(edges)
     size = core.count()
     while size:
-        sources, targets = core.select(F.col("src").alias("node")).distinct(), core.select(F.col("dst").alias("node")).distinct()
-        inner = sources.intersect(targets)
-        peeled = cut_lineage(
-            core.join(inner.withColumnRenamed("node", "src"), "src", "left_semi")
-            .join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
-        left = peeled.count()
+        core = cut_lineage(_peel(_peel(core)))
+        left = core.count()
         if left == size:
             break
-        core, size = peeled, left
+        size = left
     return core
 
 
@@ -207,26 +206,19 @@ def cycles(edges_df: DataFrame, max_length: int | None = None) -> DataFrame:
     A cycle is listed once, rotated to begin at its smallest node; ties go to the smallest path.
     """
     core = cyclic_core(active_edges(edges_df).select("src", "dst"))
-    level = cut_lineage(
-        core.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.array("src", "dst").alias("path")))
-    closed, seen, length = [], [], 1
-    done = level.filter("false").select("root")
-    while not level.isEmpty() and (max_length is None or length <= max_length):
-        hits = cut_lineage(level.filter("root = node").select("root", "path"))
-        closed.append(hits)
-        done = done.unionByName(hits.select("root"))
-        seen.append(level.select("root", "node"))
-        visited = reduce(DataFrame.unionByName, seen)
-        level = cut_lineage(
-            level.join(done, "root", "left_anti")
-            .join(core, F.col("node") == F.col("src"))
-            .groupBy("root", F.col("dst").alias("node"))
-            .agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-            .join(visited, ["root", "node"], "left_anti"))
+    state = cut_lineage(core.select(
+        F.col("src").alias("root"), F.col("dst").alias("node"),
+        F.struct(F.lit(1).alias("length"), F.array("src", "dst").alias("path")).alias("best")))
+    length = 1
+    while max_length is None or length < max_length:
         length += 1
-    if not closed:
-        return edges_df.sparkSession.createDataFrame([], "cycle array<string>, length int")
-    loops = reduce(DataFrame.unionByName, closed).select(F.slice("path", F.lit(1), F.size("path") - 1).alias("ring"))
+        closed = state.filter("root = node").select("root")
+        frontier = state.filter(F.col("best.length") == length - 1).join(closed, "root", "left_anti")
+        state = _extend(state, core, frontier, length)
+        if state.filter(F.col("best.length") == length).isEmpty():
+            break
+    ring = F.slice("best.path", F.lit(1), F.size("best.path") - 1)
+    loops = state.filter("root = node").select(ring.alias("ring"))
     at = F.array_position("ring", F.array_min("ring")).cast("int")
     turned = F.concat(F.slice("ring", at, F.size("ring")), F.slice("ring", F.lit(1), at - 1))
     return loops.select(turned.alias("cycle")).distinct().withColumn("length", F.size("cycle"))

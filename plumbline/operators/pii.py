@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import detectors as D
 from plumbline.functions import fixed_values as fixed
 from plumbline.operators.profiling import top_values
+from plumbline.plans.sizes import spread_if_small
 
 METHODS = ["column_name", "data_pattern", "entropy", "semantic"]
 
@@ -144,9 +145,13 @@ def scan_summary(findings: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def text_pii_hits(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Hits of every pattern in running text: (id, pii_type, n_hits), hits only; whole texts are read."""
+    """Hits of every pattern in running text: (id, pii_type, n_hits), hits only; whole texts are read.
+
+    Texts that cannot hold a hit are dropped by one linear test before the eight patterns run.
+    """
     hits = F.array(*[
         F.struct(F.lit(kind).alias("pii_type"), D.text_hits(F.col(text_col), kind).cast("long").alias("n_hits"))
         for kind in fixed.VALUE_PATTERNS
     ])
-    return df.select(F.col(id_col).alias("id"), F.inline(hits)).filter(F.col("n_hits") > 0)
+    candidates = spread_if_small(df.select(id_col, text_col)).filter(D.may_hold_hits(F.col(text_col)))
+    return candidates.select(F.col(id_col).alias("id"), F.inline(hits)).filter(F.col("n_hits") > 0)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plumbline.plans.sizes import spread_if_small
+
 
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
@@ -27,16 +29,67 @@ def as_text(field: T.StructField) -> Column:
     return col.cast("string")
 
 
-def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value, n) for every distinct value, NULL included.
+def _slot(field: T.StructField) -> tuple[str, Column, Column]:
+    """Where a column's values travel: slot name, value as stored, and its text read back from the slot.
+
+    Integers, dates, times and booleans share a long slot, floats a double one, all else text, so
+    values of differently typed columns fit one narrow row without being formatted.
+    """
+    col, kind = F.col(f"`{field.name}`"), field.dataType
+    whole, real, text = F.col("l"), F.col("d"), F.col("s")
+    if isinstance(kind, T.IntegralType):
+        return "l", col.cast("long"), whole.cast("string")
+    if isinstance(kind, T.BooleanType):
+        return "l", col.cast("long"), (whole == 1).cast("string")
+    if isinstance(kind, T.DateType):
+        return "l", F.unix_date(col).cast("long"), F.date_from_unix_date(whole.cast("int")).cast("string")
+    if isinstance(kind, T.TimestampType):
+        return "l", F.unix_micros(col), F.timestamp_micros(whole).cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return "d", col.cast("double"), real.cast(kind).cast("string")
+    return "s", as_text(field), text
+
+
+def slot_counts(
+    df: DataFrame, names: Sequence[str], keys: Sequence[Column] = (), latest: Column | None = None
+) -> DataFrame:
+    """(k0.., c, l, d, s, n [, latest]): how often each value of column number ``c`` occurs, NULL included.
 
     Counting happens map-side first, so a value held by most rows costs one row per task.
     """
-    names = list(cols or df.columns)
+    slots = [_slot(df.schema[n]) for n in names]
+    types = {"l": "long", "d": "double", "s": "string"}
     cells = F.array(*[
-        F.struct(F.lit(name).alias("column_name"), as_text(df.schema[name]).alias("value")) for name in names
+        F.struct(F.lit(i).alias("c"), *[
+            (value if slot == s else F.lit(None).cast(types[s])).alias(s) for s in types])
+        for i, (slot, value, _) in enumerate(slots)
     ])
-    return df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    key_names = [f"k{i}" for i in range(len(keys))]
+    carried = [k.alias(n) for k, n in zip(keys, key_names)]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if latest is not None:
+        carried.append(latest.alias("at"))
+        aggs.append(F.max("at").alias("latest"))
+    return df.select(*carried, F.inline(cells)).groupBy(*key_names, "c", "l", "d", "s").agg(*aggs)
+
+
+def slot_is_null() -> Column:
+    return F.col("l").isNull() & F.col("d").isNull() & F.col("s").isNull()
+
+
+def _by_number(pairs: Sequence[tuple[int, Column]]) -> Column:
+    return F.coalesce(*[F.when(F.col("c") == i, value) for i, value in pairs])
+
+
+def _column_name(names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col("c") + 1)
+
+
+def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column_name, value, n) for every distinct value, NULL included; values as text."""
+    names = list(cols or df.columns)
+    text = _by_number([(i, _slot(df.schema[n])[2]) for i, n in enumerate(names)])
+    return slot_counts(spread_if_small(df), names).select(_column_name(names).alias("column_name"), text.alias("value"), "n")
 
 
 def profile_columns(
@@ -59,13 +112,14 @@ def profile_columns(
         counted = _sketched(df, names)
     else:
         counted = (
-            value_counts(df, names)
-            .groupBy("column_name")
+            slot_counts(spread_if_small(df), names)
+            .groupBy("c")
             .agg(
                 F.sum("n").alias("total"),
-                F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"),
-                F.count("value").alias("distinct_count"),
+                F.sum(F.when(~slot_is_null(), F.col("n")).otherwise(0)).alias("non_null"),
+                F.count_if(~slot_is_null()).alias("distinct_count"),
             )
+            .withColumn("column_name", _column_name(names))
         )
         every = df.sparkSession.createDataFrame([(n,) for n in names], "column_name string")
         counted = every.join(counted, "column_name", "left").fillna(0, ["total", "non_null", "distinct_count"])
@@ -91,7 +145,7 @@ def _sketched(df: DataFrame, names: Sequence[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("total")]
     for i, name in enumerate(names):
         aggs.append(F.count(F.col(f"`{name}`")).alias(f"c{i}"))
-        aggs.append(F.approx_count_distinct(as_text(df.schema[name])).alias(f"d{i}"))
+        aggs.append(F.approx_count_distinct(_slot(df.schema[name])[1]).alias(f"d{i}"))
     rows = F.array(*[
         F.struct(F.lit(name).alias("column_name"), F.col("total"), F.col(f"c{i}").alias("non_null"),
                  F.col(f"d{i}").alias("distinct_count"))
@@ -172,21 +226,16 @@ def profile_history(
     names = [c for c in (cols or df.columns) if c != ts_col]
     key = F.col(table_id) if isinstance(table_id, str) else table_id
     starts = F.date_trunc(period, F.col(ts_col))
-    based = df.select(key.alias("table_id"), starts.alias("__start"), F.col(ts_col).alias("__ts"),
-                      *[F.col(c) for c in names])
-    cells = F.array(*[
-        F.struct(F.lit(n).alias("name"), as_text(df.schema[n]).alias("value")) for n in names
-    ])
-    counted = (
-        based.select("table_id", "__start", "__ts", F.inline(cells))
-        .groupBy("table_id", "__start", "name", "value")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("__ts").alias("__last"))
-    )
-    per_column = counted.groupBy("table_id", "__start", "name").agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-        F.count("value").alias("distinct_count"),
-        F.max("__last").alias("__last"),
+    per_column = (
+        slot_counts(df.filter(F.col(ts_col).isNotNull()), names, [key, starts], F.col(ts_col))
+        .groupBy(F.col("k0").alias("table_id"), F.col("k1").alias("__start"), "c")
+        .agg(
+            F.sum("n").alias("total"),
+            F.sum(F.when(slot_is_null(), F.col("n")).otherwise(0)).alias("nulls"),
+            F.count_if(~slot_is_null()).alias("distinct_count"),
+            F.max("latest").alias("latest"),
+        )
+        .withColumn("name", _column_name(names))
     )
     entry = F.struct(
         F.col("name"),
@@ -197,7 +246,7 @@ def profile_history(
                    "quarter": "INTERVAL 3 MONTHS", "year": "INTERVAL 1 YEAR"}[period])
     return per_column.groupBy("table_id", "__start").agg(
         F.max("total").alias("row_count"),
-        F.max("__last").alias("last_updated"),
+        F.max("latest").alias("last_updated"),
         F.array_sort(F.collect_list(entry)).alias("columns"),
     ).select(
         "table_id",

@@ -1,4 +1,4 @@
-"""Size-checked broadcast."""
+"""Plan choices that depend on a checked size."""
 
 from __future__ import annotations
 
@@ -15,3 +15,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     rows = df.select(F.lit(1)).limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
+
+
+SPREAD_BYTES = 1 << 30
+
+
+def spread_if_small(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Spreads a small input over all cores before per-row work; larger inputs pass through.
+
+    A small Parquet file with one row group is a single task, which leaves the other cores idle.
+    Beyond ``max_bytes`` (an estimate from file sizes, no job) the scan has tasks enough.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df

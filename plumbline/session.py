@@ -53,6 +53,6 @@ def work_path(spark: SparkSession, *parts: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint: the plan restarts from files that outlive any executor."""
+    """Reliable checkpoint: the plan restarts from files in the shared folder that outlive any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
