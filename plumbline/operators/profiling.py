@@ -23,7 +23,7 @@ def as_text(field: T.StructField) -> Column:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return (col + F.lit(0.0)).cast("string")  # folds -0.0 into 0.0
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(F.struct(col.alias("v")))
+        return F.when(col.isNotNull(), F.to_json(F.struct(col.alias("v"))))
     if isinstance(kind, T.BinaryType):
         return F.hex(col)
     return col.cast("string")

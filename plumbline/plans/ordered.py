@@ -50,8 +50,16 @@ def with_segments(df: DataFrame, column: str, cuts: Sequence) -> DataFrame:
     return df.withColumn(SEGMENT, F.size(F.filter(bounds, lambda c: c < key)))
 
 
-def _earlier(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+KEY = "__key"
+
+
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds the keys as one struct: it groups, windows and joins NULL keys like any other value."""
+    return df.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+
+
+def _earlier():
+    return Window.partitionBy(KEY).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def row_numbers(
@@ -64,19 +72,18 @@ def row_numbers(
 ) -> DataFrame:
     """1-based row number of each row within ``keys`` by ``order`` then ``ties``."""
     cuts = cut_points(df, order, segments or default_segments(df))
-    cut = with_segments(df, order, cuts)
-    group = [*keys, SEGMENT]
-    local = cut.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(order, *ties)))
+    cut = _keyed(with_segments(df, order, cuts), keys)
+    local = cut.withColumn(out, F.row_number().over(Window.partitionBy(KEY, SEGMENT).orderBy(order, *ties)))
     offsets = (
-        cut.groupBy(*group)
+        cut.groupBy(KEY, SEGMENT)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(_earlier()), F.lit(0)))
         .drop("__n")
     )
     return (
-        local.join(offsets, group)
+        local.join(offsets, [KEY, SEGMENT])
         .withColumn(out, F.col(out) + F.col("__before"))
-        .drop(SEGMENT, "__before")
+        .drop(KEY, SEGMENT, "__before")
     )
 
 
@@ -86,20 +93,19 @@ def running_sum(
 ) -> DataFrame:
     """Cumulative sum of ``value`` within ``keys`` by ``order`` then ``ties``."""
     cuts = cut_points(df, order, segments or default_segments(df))
-    cut = with_segments(df, order, cuts)
-    group = [*keys, SEGMENT]
-    window = Window.partitionBy(*group).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    cut = _keyed(with_segments(df, order, cuts), keys)
+    window = Window.partitionBy(KEY, SEGMENT).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumn(out, F.sum(value).over(window))
     carry = (
-        cut.groupBy(*group)
+        cut.groupBy(KEY, SEGMENT)
         .agg(F.sum(value).alias("__s"))
-        .withColumn("__before", F.coalesce(F.sum("__s").over(_earlier(keys)), F.lit(0)))
+        .withColumn("__before", F.coalesce(F.sum("__s").over(_earlier()), F.lit(0)))
         .drop("__s")
     )
     return (
-        local.join(carry, group)
+        local.join(carry, [KEY, SEGMENT])
         .withColumn(out, F.coalesce(F.col(out), F.lit(0)) + F.col("__before"))
-        .drop(SEGMENT, "__before")
+        .drop(KEY, SEGMENT, "__before")
     )
 
 
@@ -115,29 +121,28 @@ def asof_join(
     """Adds to every left row the ``value`` of the latest right row at or before its time.
 
     Both sides are stacked and scanned once per (key, segment); no pair of rows is ever formed.
-    Right rows that share a time are resolved to the largest value.
+    Right rows that share a time are resolved to the largest value. A NULL key matches nothing.
     """
     payload = F.struct(*[F.col(c) for c in left.columns])
-    stacked = left.select(*keys, F.col(left_time).alias("__t"), payload.alias("__left"),
-                          F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
-    stacked = stacked.unionByName(
-        right.select(*keys, F.col(right_time).alias("__t"),
-                     F.lit(None).cast(stacked.schema["__left"].dataType).alias("__left"),
-                     F.col(value).alias("__v"), F.lit(0).alias("__side")))
+    lefts = left.select(*keys, F.col(left_time).alias("__t"), payload.alias("__left"),
+                        F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
+    rights = right.dropna(subset=list(keys)).select(
+        *keys, F.col(right_time).alias("__t"), F.lit(None).cast(lefts.schema["__left"].dataType).alias("__left"),
+        F.col(value).alias("__v"), F.lit(0).alias("__side"))
+    stacked = lefts.unionByName(rights)
     cuts = cut_points(stacked, "__t", segments or default_segments(left))
-    cut = with_segments(stacked, "__t", cuts)
-    group = [*keys, SEGMENT]
-    window = (Window.partitionBy(*group).orderBy("__t", "__side", "__v")
+    cut = _keyed(with_segments(stacked, "__t", cuts), keys)
+    window = (Window.partitionBy(KEY, SEGMENT).orderBy("__t", "__side", "__v")
               .rowsBetween(Window.unboundedPreceding, 0))
     local = cut.withColumn("__seen", F.last("__v", ignorenulls=True).over(window)).filter("__side = 1")
-    # every segment of a key needs a carry row, also those holding left rows only
+    # segments that hold left rows only still get a carry row
     carry = (
-        cut.groupBy(*group)
+        cut.groupBy(KEY, SEGMENT)
         .agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct("__t", "__v"))).alias("__last"))
-        .withColumn("__carry", F.last("__last", ignorenulls=True).over(_earlier(keys)))
+        .withColumn("__carry", F.last("__last", ignorenulls=True).over(_earlier()))
         .drop("__last")
     )
     return (
-        local.join(carry, group)
+        local.join(carry, [KEY, SEGMENT])
         .select("__left.*", F.coalesce("__seen", "__carry").alias(value))
     )

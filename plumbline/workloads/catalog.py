@@ -150,7 +150,7 @@ LINKS = [
     semantic.Link("lineitem", "l_partkey", "part", "p_partkey"),
 ]
 METRICS = {
-    "revenue": semantic.Metric("revenue", "round(sum(l_extendedprice * (1 - l_discount)), 2)", ("lineitem",)),
+    "revenue": semantic.Metric("revenue", "round(sum(l_extendedprice * (1 - l_discount)), 4)", ("lineitem",)),
     "order_value": semantic.Metric("order_value", "round(avg(o_totalprice), 4)", ("orders",)),
 }
 
@@ -177,7 +177,7 @@ def top10_customers(spark, sf):
     orders = kpis.last_n_months(load(spark, sf, "orders"), "o_orderdate", SALES_END, 12).select("o_orderkey", "o_custkey")
     lineitem = load(spark, sf, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("rev"))
     joined = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    best = kpis.top_n(joined, "o_custkey", F.round(F.sum("rev"), 2), 10, "revenue")
+    best = kpis.top_n(joined, "o_custkey", F.round(F.sum("rev"), 4), 10, "revenue")
     return best.join(load(spark, sf, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")).select(
         "c_name", "revenue")
 
@@ -427,7 +427,7 @@ WITH m AS (SELECT * FROM {V.duck(V.METRICS)}), pack AS (SELECT name FROM m WHERE
 SELECT name, formula, description FROM m WHERE connection_id = 'conn_b' AND name NOT IN (SELECT name FROM pack)
 UNION ALL SELECT name, NULL, 'from pack' FROM pack""",
     "metric_revenue_by_region": """
-SELECT r_name, p_brand, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem
+SELECT r_name, p_brand, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem
 LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
 LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     "metric_filtered": """
@@ -436,7 +436,7 @@ JOIN nation ON c_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM
     "metric_trust": f"SELECT name, (50 + CASE WHEN is_certified THEN 30 ELSE 0 END + CASE WHEN description <> '' THEN 10 ELSE 0 END "
         f"+ CASE WHEN formula <> '' THEN 10 ELSE 0 END)::DOUBLE AS trust_score FROM {V.duck(V.METRICS)}",
     "top10_customers": """
-SELECT c_name, revenue FROM (SELECT o_custkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+SELECT c_name, revenue FROM (SELECT o_custkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE o_orderdate >= TIMESTAMP '2000-08-01' AND o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1 ORDER BY revenue DESC, o_custkey LIMIT 10) JOIN customer ON o_custkey = c_custkey""",
     "sales_by_region_12m": f"SELECT r_name, round(sum(o_totalprice), 2) AS total_sales, count(*) AS n_orders FROM {_SALES_SQL} "
         "WHERE o_orderdate >= TIMESTAMP '2000-08-01' AND o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1",

@@ -36,7 +36,7 @@ def agg_multi(spark, sf):
     done = transform.aggregate(orders, ["o_orderpriority", "o_orderstatus"], {
         "o_totalprice": ["sum", "mean", "min", "max", "std", "var", "median"], "o_custkey": "nunique", "o_orderdate": "count",
         "first_key": "first", "last_key": "last"}, order_by="o_orderkey")
-    return done.select("o_orderpriority", "o_orderstatus", *[F.round(f"o_totalprice_{f}", 2).alias(f"o_totalprice_{f}") for f in
+    return done.select("o_orderpriority", "o_orderstatus", *[F.round(f"o_totalprice_{f}", 4).alias(f"o_totalprice_{f}") for f in
                                                             ("sum", "mean", "min", "max", "std", "median")],
                        "o_custkey", "o_orderdate", "first_key", "last_key")
 
@@ -85,7 +85,7 @@ WORKBOOK_ROWS = 5000
 
 def _write_workbook(folder: str):
     """One workbook per block of rows; a retried task replaces the file of its block."""
-    def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         columns = [c for c in pdf.columns if c != "block"]
 
         def cell(value):
@@ -245,9 +245,9 @@ ORACLES = {
     "filter_more": "SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_totalprice BETWEEN 100000 AND 300000 "
         "AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus <> 'F'",
     "agg_multi": """
-SELECT o_orderpriority, o_orderstatus, round(sum(o_totalprice), 2) AS o_totalprice_sum, round(avg(o_totalprice), 2) AS o_totalprice_mean,
-  round(min(o_totalprice), 2) AS o_totalprice_min, round(max(o_totalprice), 2) AS o_totalprice_max, round(stddev_samp(o_totalprice), 2) AS o_totalprice_std,
-  round(median(o_totalprice), 2) AS o_totalprice_median, count(DISTINCT o_custkey) AS o_custkey, count(o_orderdate) AS o_orderdate,
+SELECT o_orderpriority, o_orderstatus, round(sum(o_totalprice), 4) AS o_totalprice_sum, round(avg(o_totalprice), 4) AS o_totalprice_mean,
+  round(min(o_totalprice), 4) AS o_totalprice_min, round(max(o_totalprice), 4) AS o_totalprice_max, round(stddev_samp(o_totalprice), 4) AS o_totalprice_std,
+  round(median(o_totalprice), 4) AS o_totalprice_median, count(DISTINCT o_custkey) AS o_custkey, count(o_orderdate) AS o_orderdate,
   min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1, 2""",
     "agg_null_keys": """
 SELECT status, round(coalesce(sum(price), 0), 2) AS price_sum, count(price) AS price_count FROM
