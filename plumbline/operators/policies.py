@@ -38,19 +38,15 @@ def classification_keys(level: Column, pii: Column) -> Column:
     return F.flatten(F.transform(levels, lambda l: F.transform(flags, lambda p: F.concat_ws("|", l, p))))
 
 
-def policy_groups(policies_df: DataFrame, roles: Sequence[str]) -> DataFrame:
-    """Active policies gathered per key. There are as many keys as level/flag combinations."""
-    return (
-        active_policies(policies_df, roles)
-        .withColumn("__key", F.concat_ws("|", _level_key(F.col("sensitivity_level")),
-                                         _pii_key(F.col("contains_pii_condition"))))
-        .groupBy("__key")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("policy_id", "action_type"))).alias("policies"),
-            F.count_if(F.col("action_type") == "mask").alias("n_mask"),
-            F.count(F.lit(1)).alias("n_policies"),
-        )
-    )
+def _keyed_policies(policies_df: DataFrame, roles: Sequence[str]) -> DataFrame:
+    key = F.concat_ws("|", _level_key(F.col("sensitivity_level")), _pii_key(F.col("contains_pii_condition")))
+    return active_policies(policies_df, roles).select(key.alias("__key"), "policy_id", "action_type")
+
+
+def policy_counts(policies_df: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """Active policies counted per key. There are as many keys as level/flag combinations."""
+    return _keyed_policies(policies_df, roles).groupBy("__key").agg(
+        F.count_if(F.col("action_type") == "mask").alias("n_mask"), F.count(F.lit(1)).alias("n_policies"))
 
 
 def match_policies(classifications_df: DataFrame, policies_df: DataFrame, roles: Sequence[str] = ()) -> DataFrame:
@@ -60,10 +56,7 @@ def match_policies(classifications_df: DataFrame, policies_df: DataFrame, roles:
     """
     probes = classifications_df.select(
         "table_id", F.explode(classification_keys(F.col("sensitivity_level"), F.col("contains_pii"))).alias("__key"))
-    return (
-        probes.join(policy_groups(policies_df, roles).select("__key", "policies"), "__key")
-        .select("table_id", F.inline("policies"))
-    )
+    return probes.join(_keyed_policies(policies_df, roles), "__key").select("table_id", "policy_id", "action_type")
 
 
 def policy_compliance(
@@ -73,7 +66,7 @@ def policy_compliance(
     probes = classifications_df.select(
         "table_id", F.explode(classification_keys(F.col("sensitivity_level"), F.col("contains_pii"))).alias("__key"))
     covered = (
-        probes.join(policy_groups(policies_df, ()).select("__key", "n_mask", "n_policies"), "__key")
+        probes.join(policy_counts(policies_df, ()), "__key")
         .groupBy("table_id")
         .agg(F.sum("n_mask").alias("n_mask"), F.sum("n_policies").alias("n_policies"))
     )
@@ -148,7 +141,7 @@ def apply_policies(
     targets = list(columns if columns is not None else df.columns)
     if denied:
         return GovernedResult(df.limit(0), names, df, observation, targets)
-    kinds = [(r["mask_type"], r["mask_pattern"]) for r in rows if r["action_type"] == "mask"]
+    kinds = [(r["mask_type"], r["mask_pattern"]) for r in rows if r["action_type"] == "mask" and r["mask_type"]]
     if not kinds:
         watched = df.observe(observation, F.count(F.lit(1)).alias("rows"))
         return GovernedResult(watched, names, None, observation, targets)

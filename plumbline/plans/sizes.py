@@ -3,19 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks ``df`` for broadcast when at most ``max_rows`` rows exist, else leaves the choice to AQE.
-
-    The probe stops after ``max_rows + 1`` rows, so it is cheap on a large input.
-    """
-    rows = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
-
 
 SPREAD_BYTES = 1 << 30
 

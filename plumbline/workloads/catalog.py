@@ -12,7 +12,7 @@ from plumbline.functions import fixed_values as fixed
 from plumbline.operators import kpis, recommend, refresh, relations, search, semantic
 from plumbline.operators.profiling import profile_history
 from plumbline.operators.quality import ScoredTable, fk_containment
-from plumbline.session import work_path
+from plumbline.session import cut_lineage, work_path
 from plumbline.sources.catalog import list_columns, table_sizes
 from plumbline.sources.tables import load
 from plumbline.workloads import derived as V
@@ -73,6 +73,12 @@ def _inferred(spark, sf):
     return relations.infer_relationships(_columns(spark, sf), _tables(spark, sf), _explicit(spark, sf))
 
 
+def _all_relations(spark, sf):
+    """Declared and inferred keys; the declared ones are cut off first, as they are read three times."""
+    declared = cut_lineage(_explicit(spark, sf))
+    return declared.unionByName(relations.infer_relationships(_columns(spark, sf), _tables(spark, sf), declared))
+
+
 REL = ["source_table", "source_column", "target_table", "target_column", "relationship_type", "confidence_score",
        "discovery_method"]
 
@@ -101,7 +107,7 @@ def fk_inferred_tpch(spark, sf):
 
 
 def relationship_text(spark, sf):
-    everything = _explicit(spark, sf).unionByName(_inferred(spark, sf))
+    everything = _all_relations(spark, sf)
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("Many-to-One", "one_to_many", "many_to_many", "1:1", "unknown")]),
                          1 + F.length("source_table") % 5)
     told = relations.relationship_text(everything.withColumn("relationship_type", kinds))
@@ -110,7 +116,7 @@ def relationship_text(spark, sf):
 
 def join_path_text(spark, sf):
     """Two-step paths: a table, its parent, its parent's parent."""
-    rel = _explicit(spark, sf).unionByName(_inferred(spark, sf))
+    rel = _all_relations(spark, sf)
     first = rel.select(F.col("source_table").alias("a"), F.col("target_table").alias("b"))
     second = rel.select(F.col("source_table").alias("b"), F.col("target_table").alias("c"))
     paths = first.join(second, "b").select(F.array("a", "b", "c").alias("path"))
@@ -120,12 +126,12 @@ def join_path_text(spark, sf):
 
 
 def many_to_many_text(spark, sf):
-    rel = _explicit(spark, sf).unionByName(_inferred(spark, sf))
+    rel = _all_relations(spark, sf)
     return relations.many_to_many_text(rel)
 
 
 def entity_types(spark, sf):
-    rel = _explicit(spark, sf).unionByName(_inferred(spark, sf))
+    rel = _all_relations(spark, sf)
     return semantic.map_entities(_columns(spark, sf), _tables(spark, sf), rel)
 
 

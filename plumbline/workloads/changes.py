@@ -16,23 +16,26 @@ LOOKBACK = 365
 
 
 def _history(spark, sf):
-    """Monthly snapshots of the orders of each customer group, from 1995 to the as-of date.
+    """Monthly snapshots of the orders per priority and status, from 1995 to the as-of date.
 
-    The status column loses values over time and the group key has few of them, so that every
-    kind of change occurs.
+    From spring 2000 on, large orders of two priorities lose their band, sizes collapse to one
+    value and one group stops arriving, so that every kind of change occurs.
     """
     orders = load(spark, sf, "orders").filter(F.col("o_orderdate") < F.lit(dt.datetime(2000, 7, 1)))
     late = F.col("o_orderdate") >= F.lit(dt.datetime(2000, 4, 1))
-    group = F.col("o_custkey") % 40
-    orders = orders.select(
-        F.concat(F.lit("group_"), group.cast("string")).alias("g"),
+    price, priority, status = F.col("o_totalprice"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    lost = late & priority.isin("1-URGENT", "3-MEDIUM") & (price > F.when(status == "F", 150000).otherwise(300000))
+    gone = (priority == "5-LOW") & (status == "P") & (F.col("o_orderdate") > F.lit(dt.datetime(2000, 5, 1)))
+    orders = orders.filter(~gone).select(
+        F.concat_ws("/", priority, status).alias("g"),
         "o_orderdate",
-        F.when(~(late & (group % 3 == 0) & (F.col("o_orderkey") % (2 + group % 5) == 0)), F.col("o_orderstatus")).alias("status"),
+        F.when(~lost, F.floor(price / 100000).cast("string")).alias("band"),
         "o_custkey",
-        F.when(F.col("o_orderdate") < F.lit(dt.datetime(2000, 2, 1)), F.col("o_orderpriority")).otherwise(F.lit("1-URGENT")).alias("priority"),
-    ).filter(~((group % 8 == 1) & (F.col("o_orderdate") > F.lit(dt.datetime(2000, 5, 1)))))
-    history = profiling.profile_history(orders, "g", "o_orderdate", cols=["status", "o_custkey", "priority"])
-    return history.withColumn("update_frequency_hours", F.when(F.substring("table_id", -1, 1) == "2", 600.0))
+        status.alias("status"),
+        F.when(F.col("o_orderdate") < F.lit(dt.datetime(2000, 2, 1)), F.floor(price / 50000)).otherwise(F.lit(0)).alias("size"),
+    )
+    history = profiling.profile_history(orders, "g", "o_orderdate", cols=["band", "o_custkey", "status", "size"])
+    return history.withColumn("update_frequency_hours", F.when(F.endswith("table_id", F.lit("F")), 60.0))
 
 
 def anomaly_row_spike(spark, sf):
@@ -79,14 +82,16 @@ def zscore_outliers(spark, sf):
 
 
 _HISTORY = """
-base AS (SELECT 'group_' || (o_custkey % 40) AS g, o_orderdate AS d,
-   CASE WHEN NOT (o_orderdate >= TIMESTAMP '2000-04-01' AND o_custkey % 40 % 3 = 0 AND o_orderkey % (2 + o_custkey % 40 % 5) = 0) THEN o_orderstatus END AS status,
-   CAST(o_custkey AS VARCHAR) AS o_custkey, CASE WHEN o_orderdate < TIMESTAMP '2000-02-01' THEN o_orderpriority ELSE '1-URGENT' END AS priority
-   FROM orders WHERE o_orderdate < TIMESTAMP '2000-07-01' AND NOT (o_custkey % 40 % 8 = 1 AND o_orderdate > TIMESTAMP '2000-05-01')),
-cells AS (SELECT g, d, date_trunc('month', d) + INTERVAL 1 MONTH AS created_at, unnest(['status', 'o_custkey', 'priority']) AS name,
-   unnest([status, o_custkey, priority]) AS v FROM base),
+base AS (SELECT o_orderpriority || '/' || o_orderstatus AS g, o_orderdate AS d,
+   CASE WHEN NOT (o_orderdate >= TIMESTAMP '2000-04-01' AND o_orderpriority IN ('1-URGENT', '3-MEDIUM')
+      AND o_totalprice > CASE WHEN o_orderstatus = 'F' THEN 150000 ELSE 300000 END) THEN CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) AS VARCHAR) END AS band,
+   CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus AS status,
+   CASE WHEN o_orderdate < TIMESTAMP '2000-02-01' THEN CAST(CAST(floor(o_totalprice / 50000) AS BIGINT) AS VARCHAR) ELSE '0' END AS size
+   FROM orders WHERE o_orderdate < TIMESTAMP '2000-07-01' AND NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'P' AND o_orderdate > TIMESTAMP '2000-05-01')),
+cells AS (SELECT g, d, date_trunc('month', d) + INTERVAL 1 MONTH AS created_at, unnest(['band', 'o_custkey', 'status', 'size']) AS name,
+   unnest([band, o_custkey, status, size]) AS v FROM base),
 snap AS (SELECT g AS table_id, created_at, count(*) AS row_count, max(d) AS last_updated,
-   CASE WHEN right(g, 1) = '2' THEN 600.0 END AS freq FROM (SELECT g, d, date_trunc('month', d) + INTERVAL 1 MONTH AS created_at FROM base) GROUP BY 1, 2, g),
+   CASE WHEN right(g, 1) = 'F' THEN 60.0 END AS freq FROM (SELECT g, d, date_trunc('month', d) + INTERVAL 1 MONTH AS created_at FROM base) GROUP BY 1, 2, g),
 colsnap AS (SELECT g AS table_id, created_at, name, round(100.0 * (count(*) - count(v)) / count(*), 6) AS null_pct, count(DISTINCT v) AS dc
    FROM cells GROUP BY 1, 2, 3),
 recent AS (SELECT * FROM snap WHERE created_at >= TIMESTAMP '2000-07-10' - INTERVAL 365 DAY),

@@ -159,7 +159,7 @@ SELECT concat('C', cast(c_custkey as string)) AS table_id,
        c_nationkey % 2 = 0 AS masking_enabled,
        c_custkey % 5 = 0 AS access_restricted,
        CASE WHEN c_custkey % 10 = 0 THEN 'steward' END AS allowed_roles
-FROM customer WHERE c_custkey % 13 <> 12"""
+FROM customer WHERE c_acctbal >= 0"""
 
 AUDIT_LOG = """
 SELECT event_id AS audit_id,

@@ -36,7 +36,7 @@ def sql_lineage_edges(spark, sf):
 def lineage_register(spark, sf):
     edges = lineage.lineage_edges(_log(spark, sf))
     tables = _tables(spark, sf)
-    known = lineage.register_edges(edges.filter("query_id % 100 = 0"), tables)
+    known = lineage.register_edges(edges.filter("lineage_type = 'join'"), tables)
     return lineage.register_edges(edges, tables, known).select(
         "source_table_id", "target_table_id", "discovery_method", "lineage_type", "confidence", "transformation_logic")
 
@@ -75,8 +75,8 @@ def blast_radius_compat(spark, sf):
 
 
 def _pairs(spark, sf):
-    """Every tenth table with its great-grandchild by halving, and with an unreachable one."""
-    tables = _tables(spark, sf).select(F.substring("table_id", 2, 20).cast("long").alias("p")).filter("p > 10")
+    """Every table with its third successor by halving, and with its neighbour, mostly out of reach."""
+    tables = _tables(spark, sf).select(F.substring("table_id", 2, 20).cast("long").alias("p"))
     far = tables.select("p", F.explode(F.array(F.floor(F.col("p") / 8), F.col("p") + 1)).alias("q"))
     return far.select(F.concat(F.lit("T"), F.col("p").cast("string")).alias("source"), F.concat(F.lit("T"), F.col("q").cast("string")).alias("target"))
 
@@ -213,7 +213,7 @@ ORACLES = {
     "sql_source_tables_deep": f"SELECT query_id, unnest(list_distinct(list_concat({_names(_BARE)}, {_names('replace(' + _BARE + ', chr(40), chr(32))')}))) AS table_name FROM {_LOG}",
     "sql_lineage_edges": f"WITH {_EDGES_SQL} SELECT * FROM edges",
     "lineage_register": f"""WITH {_EDGES_SQL},
-known AS (SELECT DISTINCT source_table, target_table FROM edges WHERE query_id % 100 = 0),
+known AS (SELECT DISTINCT source_table, target_table FROM edges WHERE lineage_type = 'join'),
 firsts AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY source_table, target_table ORDER BY query_id) = 1)
 SELECT s.table_id AS source_table_id, t.table_id AS target_table_id, 'sql_parser' AS discovery_method, lineage_type, confidence, transformation_logic
 FROM firsts f JOIN {_T} s ON s.table_name = f.source_table JOIN {_T} t ON t.table_name = f.target_table
@@ -239,7 +239,7 @@ UNION ALL SELECT DISTINCT 'node', t, 'table', t FROM e UNION ALL SELECT 'edge',
         down="CAST(coalesce(sum(k) FILTER (WHERE hop = 1), 0) AS BIGINT) AS direct, CAST(coalesce(sum(k) FILTER (WHERE hop > 1), 0) AS BIGINT) AS indirect",
         up="CAST(coalesce(sum(k), 0) AS BIGINT)"),
     "lineage_path": f"""
-WITH RECURSIVE {_ACTIVE}, p AS (SELECT p_partkey AS p FROM part WHERE p_partkey > 10),
+WITH RECURSIVE {_ACTIVE}, p AS (SELECT p_partkey AS p FROM part),
 want AS (SELECT 'T' || p AS source, 'T' || (p // 8) AS target FROM p UNION SELECT 'T' || p, 'T' || (p + 1) FROM p),
 w AS (SELECT DISTINCT source AS root, source AS node, [source] AS path, 0 AS hop FROM want
   UNION SELECT w.root, e.t, list_append(path, e.t), hop + 1 FROM w JOIN e ON e.s = w.node WHERE NOT list_contains(path, e.t) AND hop < 14),

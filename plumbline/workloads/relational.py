@@ -196,10 +196,11 @@ FROM part"""),
 WITH big AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey)
 SELECT c_custkey, top FROM customer JOIN big ON o_custkey = c_custkey
 WHERE top > (SELECT avg(o_totalprice) * 1.7 FROM orders) AND c_acctbal > (SELECT avg(i.c_acctbal) FROM customer i WHERE i.c_nationkey = customer.c_nationkey)"""),
-    "sql_recursive": (("part",), """
-WITH RECURSIVE up AS (SELECT p_partkey AS root, p_partkey AS k, 0 AS hop FROM part WHERE p_size = 50
- UNION ALL SELECT root, cast(floor(k / 2) AS bigint), hop + 1 FROM up WHERE k > 1)
-SELECT root, count(*) AS n_levels, max(hop) AS depth FROM up GROUP BY root"""),
+    "sql_recursive": (("orders",), """
+WITH RECURSIVE monthly AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1),
+span AS (SELECT min(m) AS lo, max(m) AS hi FROM monthly),
+calendar AS (SELECT lo AS m, hi FROM span UNION ALL SELECT m + 1, hi FROM calendar WHERE m < hi)
+SELECT cast(c.m AS bigint) AS m, coalesce(n, 0) AS n FROM calendar c LEFT JOIN monthly o ON o.m = c.m"""),
 }
 
 
