@@ -19,37 +19,33 @@ def _local_masked(text: Column) -> Column:
         F.concat(F.repeat(F.lit("*"), F.length(local)), F.lit("@"), domain))
 
 
+# kind -> (whether the mask applies to a text, the masked text); built only for the kind in use
+_KINDS = {
+    "email": (lambda t: F.contains(t, F.lit("@")), lambda t, p: _local_masked(t)),
+    "ssn": (lambda t: F.length(t) >= 9, lambda t, p: F.concat(F.lit("***-**-"), F.right(t, F.lit(4)))),
+    "credit_card": (lambda t: F.length(t) >= 4, lambda t, p: F.concat(F.lit("****-****-****-"), F.right(t, F.lit(4)))),
+    "phone": (lambda t: F.length(t) >= 4, lambda t, p: F.concat(F.lit("****-****-"), F.right(t, F.lit(4)))),
+    "name": (lambda t: F.length(t) > 0, lambda t, p: F.concat(F.substring(t, 1, 1), F.lit(STARS))),
+    "generic": (lambda t: t.isNotNull(), lambda t, p: F.lit(STARS)),
+    "custom": (lambda t: t.isNotNull(), lambda t, p: F.lit(p.get("mask_pattern", STARS))),
+    "hash": (lambda t: t.isNotNull(), lambda t, p: F.sha2(t, 256)),
+}
+
+
 def is_masked(col: Column, kind: str | None) -> Column:
     """Whether :func:`mask_column` changes the value; NULL is never masked."""
-    text = col.cast("string")
-    rule = {
-        "email": F.contains(text, F.lit("@")),
-        "ssn": F.length(text) >= 9,
-        "credit_card": F.length(text) >= 4,
-        "phone": F.length(text) >= 4,
-        "name": F.length(text) > 0,
-        "generic": F.lit(True),
-        "custom": F.lit(True),
-        "hash": F.lit(True),
-    }.get(kind or "", F.lit(False))
-    return text.isNotNull() & F.coalesce(rule, F.lit(False))
+    if kind not in _KINDS:
+        return F.lit(False)
+    return F.coalesce(_KINDS[kind][0](col.cast("string")), F.lit(False))
 
 
 def mask_column(col: Column, kind: str | None, params: Mapping[str, str] | None = None) -> Column:
     """Masked text of ``col``; values the kind does not apply to stay as they are."""
     text = col.cast("string")
-    last4 = F.right(text, F.lit(4))
-    masked = {
-        "email": _local_masked(text),
-        "ssn": F.concat(F.lit("***-**-"), last4),
-        "credit_card": F.concat(F.lit("****-****-****-"), last4),
-        "phone": F.concat(F.lit("****-****-"), last4),
-        "name": F.concat(F.substring(text, 1, 1), F.lit(STARS)),
-        "generic": F.lit(STARS),
-        "custom": F.lit((params or {}).get("mask_pattern", STARS)),
-        "hash": F.sha2(text, 256),
-    }.get(kind or "", text)
-    return F.when(is_masked(col, kind), masked).otherwise(text)
+    if kind not in _KINDS:
+        return text
+    applies, masked = _KINDS[kind]
+    return F.when(applies(text), masked(text, params or {})).otherwise(text)
 
 
 def partial_redaction(col: Column) -> Column:
@@ -84,9 +80,10 @@ def redact_stream(df: DataFrame) -> DataFrame:
 
 def mask_by_role(col: Column, role: str) -> Column:
     """admin sees the value, analyst a partial e-mail mask, viewer a fixed shape, others nothing."""
-    tiers = {
-        "admin": col.cast("string"),
-        "analyst": mask_column(col, "email"),
-        "viewer": F.when(col.isNotNull(), F.lit("***@***")),
-    }
-    return tiers.get(role, F.lit(None).cast("string"))
+    if role == "admin":
+        return col.cast("string")
+    if role == "analyst":
+        return mask_column(col, "email")
+    if role == "viewer":
+        return F.when(col.isNotNull(), F.lit("***@***"))
+    return F.lit(None).cast("string")

@@ -7,8 +7,6 @@ with very many snapshots costs one partial row per task.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,43 +21,70 @@ def deviation_severity(pct: Column) -> Column:
     return F.when(pct < 50, "low").when(pct < 100, "medium").when(pct < 200, "high").otherwise("critical")
 
 
-def _recent(history_df: DataFrame, as_of: dt.datetime, lookback_days: int) -> DataFrame:
+def _cutoff(as_of: dt.datetime, lookback_days: int) -> dt.datetime:
     if not 1 <= lookback_days <= 365:
         raise ValueError("lookback_days must be within 1..365")
-    cutoff = as_of - dt.timedelta(days=lookback_days)
-    return history_df.filter(F.col("created_at") >= F.lit(cutoff))
+    return as_of - dt.timedelta(days=lookback_days)
+
+
+def _finding(when: Column, kind: str, severity: Column, baseline: Column, current: Column, deviation: Column,
+             description: Column, action: str) -> Column:
+    """One possible finding as a struct, NULL where the rule does not fire."""
+    def number(c):
+        return F.round(c.cast("double"), 4)
+
+    return F.when(when, F.struct(
+        F.lit(kind).alias("anomaly_type"), severity.alias("severity"), number(baseline).alias("baseline_value"),
+        number(current).alias("current_value"), number(deviation).alias("deviation_pct"),
+        description.alias("description"), F.lit(action).alias("suggested_action")))
+
+
+def _listed(df: DataFrame, *findings: Column) -> DataFrame:
+    """The findings that fired, one row each; all rules share one pass over ``df``."""
+    return df.select("table_id", "column_name", F.inline(F.array_compact(F.array(*findings))))
+
 
+def table_fold(history_df: DataFrame, as_of: dt.datetime, lookback_days: int = 30) -> DataFrame:
+    """Per table: row counts within the lookback, and the latest snapshot of all time."""
+    recent = F.col("created_at") >= F.lit(_cutoff(as_of, lookback_days))
+    counted = F.when(recent & (F.coalesce("row_count", F.lit(0)) != 0), F.col("row_count"))
+    return history_df.groupBy("table_id").agg(
+        F.count(counted).alias("n"),
+        F.sum(counted).alias("total"),
+        F.max_by(counted, F.when(counted.isNotNull(), F.col("created_at"))).alias("current"),
+        F.max_by(F.struct("last_updated", "update_frequency_hours"), "created_at").alias("latest"),
+    ).withColumn("column_name", F.lit(None).cast("string"))
 
-def _shape(df: DataFrame) -> DataFrame:
-    return df.select(
-        "table_id", F.col("column_name").cast("string"), "anomaly_type", "severity",
-        *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("baseline_value", "current_value", "deviation_pct")],
-        "description", "suggested_action",
-    )
+
+def _row_spike() -> Column:
+    current = F.col("current")
+    baseline = F.try_divide(F.col("total") - current, F.col("n") - 1)
+    deviation = F.when(baseline > 0, (current - baseline) / baseline * 100).otherwise(0.0)
+    text = F.format_string("Row count increased %.1f%% from %s to %s", deviation, short_number(baseline), short_number(current))
+    return _finding((F.col("n") >= 2) & (deviation > 30), "row_spike", deviation_severity(deviation), baseline, current, deviation,
+                    text, fixed.ACTION_ROW_SPIKE)
+
+
+def _freshness_delay(as_of: dt.datetime) -> Column:
+    expected = F.coalesce(F.nullif("latest.update_frequency_hours", F.lit(0.0)), F.lit(24.0))
+    hours = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("latest.last_updated")) / 3_600_000_000.0
+    days = hours / 24
+    whole = F.floor(expected)
+    shown = F.when(expected == whole, whole.cast("string")).otherwise(expected.cast("string"))
+    severity = F.when(days > 7, "critical").when(days > 3, "high").otherwise("medium")
+    text = F.format_string("Table should update every %sh but hasn't updated in %.1f days", shown, days)
+    return _finding(F.coalesce(hours > expected * 2, F.lit(False)), "freshness_delay", severity, expected, hours,
+                    (hours - expected) / expected * 100, text, fixed.ACTION_FRESHNESS)
 
 
 def row_spike(history_df: DataFrame, as_of: dt.datetime, lookback_days: int = 30) -> DataFrame:
     """Latest row count more than 30 % above the mean of the earlier ones."""
-    counted = _recent(history_df, as_of, lookback_days).filter(F.coalesce(F.col("row_count"), F.lit(0)) != 0)
-    folded = counted.groupBy("table_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("row_count").alias("total"),
-        F.max_by("row_count", "created_at").alias("current_value"),
-    ).filter("n >= 2")
-    baseline = (F.col("total") - F.col("current_value")) / (F.col("n") - 1)
-    scored = folded.withColumn("baseline_value", baseline).withColumn(
-        "deviation_pct",
-        F.when(F.col("baseline_value") > 0,
-               (F.col("current_value") - F.col("baseline_value")) / F.col("baseline_value") * 100).otherwise(0.0))
-    return _shape(scored.filter("deviation_pct > 30").select(
-        "*",
-        F.lit(None).alias("column_name"),
-        F.lit("row_spike").alias("anomaly_type"),
-        deviation_severity(F.col("deviation_pct")).alias("severity"),
-        F.format_string("Row count increased %.1f%% from %s to %s", "deviation_pct", short_number(F.col("baseline_value")),
-                        short_number(F.col("current_value"))).alias("description"),
-        F.lit(fixed.ACTION_ROW_SPIKE).alias("suggested_action"),
-    ))
+    return _listed(table_fold(history_df, as_of, lookback_days), _row_spike())
+
+
+def freshness_delay(history_df: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Latest profile more than two expected intervals behind."""
+    return _listed(table_fold(history_df, as_of), _freshness_delay(as_of))
 
 
 def column_ends(history_df: DataFrame, as_of: dt.datetime, lookback_days: int = 30) -> DataFrame:
@@ -68,7 +93,7 @@ def column_ends(history_df: DataFrame, as_of: dt.datetime, lookback_days: int =
     The span is that of all the table's snapshots, so it travels through the fold of each column
     as a second aggregate joined on the table.
     """
-    recent = _recent(history_df, as_of, lookback_days)
+    recent = history_df.filter(F.col("created_at") >= F.lit(_cutoff(as_of, lookback_days)))
     spans = recent.groupBy("table_id").agg(
         F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), F.count(F.lit(1)).alias("snapshots"))
     exploded = recent.select("table_id", "created_at", F.inline("columns"))
@@ -84,70 +109,40 @@ def column_ends(history_df: DataFrame, as_of: dt.datetime, lookback_days: int =
     return folded.join(spans.filter("snapshots >= 2").select("table_id", days.alias("span_days")), "table_id")
 
 
-def null_increase(ends: DataFrame) -> DataFrame:
-    """Null share grown by more than 10 points."""
+def _null_increase() -> Column:
     first, last = F.col("null_first"), F.col("null_last")
-    return _shape(ends.filter((last > first) & (last - first > 10)).select(
-        "table_id", "column_name",
-        F.lit("null_increase").alias("anomaly_type"),
-        F.when(last > 50, "high").when(last > 25, "medium").otherwise("low").alias("severity"),
-        first.alias("baseline_value"), last.alias("current_value"),
-        F.when(first > 0, (last - first) / first * 100).otherwise(100.0).alias("deviation_pct"),
-        F.format_string("Column '%s' null %% increased from %.1f%% to %.1f%%", "column_name", first, last).alias("description"),
-        F.lit(fixed.ACTION_NULL_INCREASE).alias("suggested_action"),
-    ))
+    text = F.format_string("Column '%s' null %% increased from %.1f%% to %.1f%%", "column_name", first, last)
+    return _finding(
+        (last > first) & (last - first > 10), "null_increase",
+        F.when(last > 50, "high").when(last > 25, "medium").otherwise("low"), first, last,
+        F.when(first > 0, (last - first) / first * 100).otherwise(100.0), text, fixed.ACTION_NULL_INCREASE)
 
 
-def cardinality_shift(ends: DataFrame) -> DataFrame:
-    """Distinct counts that stood still for over 7 days, or fell below 80 %."""
+def _cardinality_shift() -> list[Column]:
     first, last = F.col("distinct_first"), F.col("distinct_last")
-    stalled = ends.filter((first > 0) & (first == last) & (F.col("span_days") > 7)).select(
-        "table_id", "column_name",
-        F.lit("cardinality_shift").alias("anomaly_type"), F.lit("warning").alias("severity"),
-        first.alias("baseline_value"), last.alias("current_value"), F.lit(0.0).alias("deviation_pct"),
-        F.format_string("Column '%s' cardinality stalled at %d values", "column_name", last).alias("description"),
-        F.lit(fixed.ACTION_STALL).alias("suggested_action"),
-    )
-    drop = (first - last) / first * 100
-    dropped = ends.filter((first > 0) & (last < first * 0.8)).select(
-        "table_id", "column_name",
-        F.lit("cardinality_shift").alias("anomaly_type"), F.lit("high").alias("severity"),
-        first.alias("baseline_value"), last.alias("current_value"), (-drop).alias("deviation_pct"),
-        F.format_string("Column '%s' cardinality dropped %.1f%% from %d to %d", "column_name", drop, first, last)
-        .alias("description"),
-        F.lit(fixed.ACTION_DROP).alias("suggested_action"),
-    )
-    return _shape(stalled).unionByName(_shape(dropped))
+    drop = F.try_divide((first - last) * F.lit(1.0), first) * 100
+    stalled = _finding(
+        (first > 0) & (first == last) & (F.col("span_days") > 7), "cardinality_shift", F.lit("warning"), first, last, F.lit(0.0),
+        F.format_string("Column '%s' cardinality stalled at %d values", "column_name", last), fixed.ACTION_STALL)
+    dropped = _finding(
+        (first > 0) & (last < first * 0.8), "cardinality_shift", F.lit("high"), first, last, -drop,
+        F.format_string("Column '%s' cardinality dropped %.1f%% from %d to %d", "column_name", drop, first, last),
+        fixed.ACTION_DROP)
+    return [stalled, dropped]
 
 
-def freshness_delay(history_df: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Latest profile more than two expected intervals behind."""
-    latest = history_df.groupBy("table_id").agg(
-        F.max_by(F.struct("last_updated", "update_frequency_hours"), "created_at").alias("latest")
-    ).select("table_id", "latest.*").filter(F.col("last_updated").isNotNull())
-    expected = F.coalesce(F.nullif("update_frequency_hours", F.lit(0.0)), F.lit(24.0))
-    hours = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("last_updated")) / 3_600_000_000.0
-    timed = latest.select("table_id", expected.alias("baseline_value"), hours.alias("current_value"))
-    days = F.col("current_value") / 24
-    # %s of a whole double would read 24.0; the text shows 24h
-    shown = F.when(F.col("baseline_value") == F.floor("baseline_value"), F.floor("baseline_value").cast("string")).otherwise(
-        F.col("baseline_value").cast("string"))
-    return _shape(timed.filter(F.col("current_value") > F.col("baseline_value") * 2).select(
-        "*",
-        F.lit(None).alias("column_name"),
-        F.lit("freshness_delay").alias("anomaly_type"),
-        F.when(days > 7, "critical").when(days > 3, "high").otherwise("medium").alias("severity"),
-        ((F.col("current_value") - F.col("baseline_value")) / F.col("baseline_value") * 100).alias("deviation_pct"),
-        F.format_string("Table should update every %sh but hasn't updated in %.1f days", shown, days).alias("description"),
-        F.lit(fixed.ACTION_FRESHNESS).alias("suggested_action"),
-    ))
+def null_increase(ends: DataFrame) -> DataFrame:
+    """Null share grown by more than 10 points."""
+    return _listed(ends, _null_increase())
+
+
+def cardinality_shift(ends: DataFrame) -> DataFrame:
+    """Distinct counts that stood still for over 7 days, or fell below 80 %."""
+    return _listed(ends, *_cardinality_shift())
 
 
 def detect_anomalies(history_df: DataFrame, as_of: dt.datetime, lookback_days: int = 30) -> DataFrame:
-    ends = column_ends(history_df, as_of, lookback_days)
-    return reduce(DataFrame.unionByName, [
-        row_spike(history_df, as_of, lookback_days),
-        null_increase(ends),
-        cardinality_shift(ends),
-        freshness_delay(history_df, as_of),
-    ])
+    """All findings: one pass over table folds, one over column folds."""
+    tables = _listed(table_fold(history_df, as_of, lookback_days), _row_spike(), _freshness_delay(as_of))
+    columns = _listed(column_ends(history_df, as_of, lookback_days), _null_increase(), *_cardinality_shift())
+    return tables.unionByName(columns)

@@ -255,7 +255,7 @@ def _profile_history(spark, sf):
     items = load(spark, sf, "lineitem").select(
         F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("t"), F.col("l_shipdate").alias("at"),
         F.when(F.col("l_quantity") > 40, F.col("l_quantity")).alias("quantity"), F.col("l_returnflag").alias("flag"))
-    return profile_history(items, "t", "at", "quarter")
+    return cut_lineage(profile_history(items, "t", "at", "quarter"))
 
 
 FOUND_AS_OF = dt.datetime(2001, 11, 1)

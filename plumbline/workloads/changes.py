@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
 from plumbline.operators import anomalies, forecast, profiling
+from plumbline.session import cut_lineage
 from plumbline.sources.tables import load
 from plumbline.workloads import derived as V
 
@@ -35,7 +36,7 @@ def _history(spark, sf):
         F.when(F.col("o_orderdate") < F.lit(dt.datetime(2000, 2, 1)), F.floor(price / 50000)).otherwise(F.lit(0)).alias("size"),
     )
     history = profiling.profile_history(orders, "g", "o_orderdate", cols=["band", "o_custkey", "status", "size"])
-    return history.withColumn("update_frequency_hours", F.when(F.endswith("table_id", F.lit("F")), 60.0))
+    return cut_lineage(history.withColumn("update_frequency_hours", F.when(F.endswith("table_id", F.lit("F")), 60.0)))
 
 
 def anomaly_row_spike(spark, sf):
