@@ -250,6 +250,27 @@ _MATCH_ON = """(coalesce(p.sensitivity_level, '') = '' OR p.sensitivity_level =
    AND (p.contains_pii_condition IS NULL OR p.contains_pii_condition = c.contains_pii)"""
 
 
+def _applies(x: str) -> str:
+    return (f"CAST(coalesce(CASE p.k WHEN 'email' THEN contains({x}, '@') WHEN 'ssn' THEN length({x}) >= 9 WHEN 'credit_card' THEN length({x}) >= 4 "
+            f"WHEN 'phone' THEN length({x}) >= 4 WHEN 'name' THEN length({x}) > 0 WHEN 'generic' THEN {x} IS NOT NULL END, false) AS INTEGER)")
+
+
+def _stepped(x: str) -> str:
+    return (f"CASE p.k WHEN 'email' THEN {_email_mask(x)} WHEN 'ssn' THEN {_tail_mask(x, '***-**-', 9)} WHEN 'credit_card' THEN {_tail_mask(x, '****-****-****-', 4)} "
+            f"WHEN 'phone' THEN {_tail_mask(x, '****-****-', 4)} WHEN 'name' THEN {_name_mask(x)} WHEN 'generic' THEN {_generic(x)} ELSE {x} END")
+
+
+# the policies of table C0 applied one after the other, with a count of masked values per column
+_MASK_WALK = f"""
+WITH RECURSIVE p AS (SELECT mask_type AS k, row_number() OVER (ORDER BY policy_id) AS o
+   FROM {V.duck(V.CLASSIFICATIONS)} c JOIN {V.duck(V.POLICIES)} p ON {_MATCH_ON}
+   WHERE c.table_id = 'C0' AND p.enabled AND p.action_type = 'mask'),
+w AS (SELECT 0::BIGINT AS o, c_custkey::VARCHAR AS a, contact AS b, phone AS c, code1 AS d, company AS e,
+   0 AS na, 0 AS nb, 0 AS nc, 0 AS nd, 0 AS ne FROM {_CONTACTS}
+  UNION ALL SELECT p.o, {', '.join(_stepped('w.' + x) for x in 'abcde')}, {', '.join(f'w.n{x} + ' + _applies('w.' + x) for x in 'abcde')}
+  FROM w JOIN p ON p.o = w.o + 1)"""
+
+
 QUERIES = {
     "pii_name_hints": pii_name_hints,
     "pii_semantic": pii_semantic,
@@ -325,17 +346,12 @@ v AS (SELECT table_id, n, concat_ws('; ', CASE WHEN contains_pii AND NOT masking
    CASE WHEN access_restricted AND allowed_roles IS NULL THEN '{fixed.VIOLATION_NO_ROLES}' END,
    CASE WHEN contains_pii AND nm = 0 THEN '{fixed.VIOLATION_NO_POLICY}' END) AS violations FROM j)
 SELECT table_id, violations = '' AS compliant, violations, n AS policies_applied FROM v""",
-    "policy_apply_mask": f"""
-WITH RECURSIVE p AS (SELECT mask_type AS k, row_number() OVER (ORDER BY policy_id) AS o
-   FROM {V.duck(V.CLASSIFICATIONS)} c JOIN {V.duck(V.POLICIES)} p ON {_MATCH_ON}
-   WHERE c.table_id = 'C0' AND p.enabled AND p.action_type = 'mask'),
-w AS (SELECT 0::BIGINT AS o, c_custkey::VARCHAR AS a, contact AS b, phone AS c, code1 AS d, company AS e FROM {_CONTACTS}
-  UNION ALL SELECT p.o, {', '.join(
-      "CASE p.k WHEN 'email' THEN " + _email_mask(x) + " WHEN 'ssn' THEN " + _tail_mask(x, '***-**-', 9)
-      + " WHEN 'credit_card' THEN " + _tail_mask(x, '****-****-****-', 4) + " WHEN 'phone' THEN " + _tail_mask(x, '****-****-', 4)
-      + " WHEN 'name' THEN " + _name_mask(x) + " WHEN 'generic' THEN " + _generic(x) + f" ELSE {x} END"
-      for x in ['w.a', 'w.b', 'w.c', 'w.d', 'w.e'])} FROM w JOIN p ON p.o = w.o + 1)
-SELECT a AS c_custkey, b AS contact, c AS phone, d AS code1, e AS company FROM w WHERE o = (SELECT count(*) FROM p)""",
+    "policy_apply_mask": f"{_MASK_WALK} SELECT a AS c_custkey, b AS contact, c AS phone, d AS code1, e AS company FROM w WHERE o = (SELECT count(*) FROM p)",
+    "audit_append": f"""{_MASK_WALK}
+SELECT 'u1' AS user_id, 'query_executed' AS action, 'C0' AS resource_id, count(*) AS rows_returned, CAST(sum(na + nb + nc + nd + ne) AS BIGINT) AS rows_masked,
+  concat_ws(',', CASE WHEN sum(na) > 0 THEN 'c_custkey' END, CASE WHEN sum(nd) > 0 THEN 'code1' END, CASE WHEN sum(ne) > 0 THEN 'company' END,
+    CASE WHEN sum(nb) > 0 THEN 'contact' END, CASE WHEN sum(nc) > 0 THEN 'phone' END) AS columns_masked,
+  CASE WHEN sum(na + nb + nc + nd + ne) > 0 THEN 'masked' ELSE 'full' END AS access_level FROM w WHERE o = (SELECT count(*) FROM p)""",
     "policy_apply_denied": "SELECT 'denied' AS access_level, count(*) AS original_rows, count(*) AS masked_rows, CAST(0 AS BIGINT) AS returned_rows FROM customer",
     "runtime_metrics": """
 WITH last AS (SELECT value / 1000 AS d FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)
