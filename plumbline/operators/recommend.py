@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
+from plumbline.operators.telemetry import count_by
 
 
 def _finding(df: DataFrame, kind: str, title: Column, resource_type: str = "table", name: Column | None = None) -> DataFrame:
@@ -70,4 +71,4 @@ def exposed_columns(columns_df: DataFrame) -> DataFrame:
 
 
 def by_type(found: DataFrame) -> DataFrame:
-    return found.groupBy("recommendation_type").agg(F.count(F.lit(1)).alias("count"))
+    return count_by(found, "recommendation_type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -81,6 +82,17 @@ def register(registry_df: DataFrame, new_df: DataFrame, key: Sequence[str] = ("c
     return registry_df.join(new_df.select(*key), list(key), "left_anti").unionByName(new_df, allowMissingColumns=True)
 
 
+def certify(metrics_df: DataFrame, name: str, role: str, at: dt.datetime) -> DataFrame:
+    """Registry with one metric marked as certified; only admins may."""
+    if role != "admin":
+        raise PermissionError("Only admins can certify metrics.")
+    hit = F.col("name") == name
+    return metrics_df.withColumns({
+        "is_certified": F.when(hit, True).otherwise(F.col("is_certified")),
+        "certified_at": F.when(hit, F.lit(at)).otherwise(F.col("certified_at")),
+    })
+
+
 def trust_scores(metrics_df: DataFrame) -> DataFrame:
     """50, plus 30 when certified, 10 for a description and 10 for a formula."""
     def given(c):

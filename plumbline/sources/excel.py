@@ -54,6 +54,15 @@ def read_excel(spark: SparkSession, path: str, schema: str | T.StructType, view:
 
     A sheet holds at most about a million rows, so a workbook fits a task; rows leave in batches.
     """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(path)
+    df = parse_workbooks(files.select("content"), schema)
+    if view:
+        df.createOrReplaceTempView(view)
+    return df
+
+
+def parse_workbooks(books: DataFrame, schema: str | T.StructType) -> DataFrame:
+    """Rows of workbooks given as a ``content`` column."""
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     names = [f.name for f in wanted.fields]
 
@@ -72,12 +81,8 @@ def read_excel(spark: SparkSession, path: str, schema: str | T.StructType, view:
                 if batch:
                     yield pd.DataFrame(batch, columns=names, dtype=object)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(path)
-    texts = files.select("content").mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
-    df = texts.select(*[_typed(f) for f in wanted.fields])
-    if view:
-        df.createOrReplaceTempView(view)
-    return df
+    texts = books.mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
+    return texts.select(*[_typed(f) for f in wanted.fields])
 
 
 def _typed(field: T.StructField):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import zipfile
 from xml.sax.saxutils import escape
@@ -83,8 +84,8 @@ def file_inventory(spark, sf):
 WORKBOOK_ROWS = 5000
 
 
-def _write_workbook(folder: str):
-    """One workbook per block of rows; a retried task replaces the file of its block."""
+def _workbook(folder: str | None):
+    """One workbook per block of rows: a file below ``folder`` (replaced when a task is retried), else its bytes."""
     def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         columns = [c for c in pdf.columns if c != "block"]
 
@@ -96,22 +97,36 @@ def _write_workbook(folder: str):
         rows = ["".join(cell(c) for c in columns)] + ["".join(cell(v) for v in r) for r in pdf[columns].itertuples(index=False)]
         sheet = ('<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
                  + "".join(f"<row>{r}</row>" for r in rows) + "</sheetData></worksheet>")
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as book:
+            book.writestr("xl/worksheets/sheet1.xml", sheet)
+        if folder is None:
+            return pd.DataFrame({"rows": [len(pdf)], "content": [packed.getvalue()]})
         os.makedirs(folder, exist_ok=True)
         target = f"{folder}/part-{key[0]}.xlsx"
-        with zipfile.ZipFile(target + ".tmp", "w", zipfile.ZIP_DEFLATED) as book:
-            book.writestr("xl/worksheets/sheet1.xml", sheet)
+        with open(target + ".tmp", "wb") as out:
+            out.write(packed.getvalue())
         os.replace(target + ".tmp", target)
-        return pd.DataFrame({"rows": [len(pdf)]})
+        return pd.DataFrame({"rows": [len(pdf)], "content": [None]})
 
     return write
 
 
 def excel_ingest(spark, sf):
-    """Parts written as workbooks of 5,000 rows, then read back as one table."""
-    folder = work_path(spark, "workbooks")
+    """Parts packed into workbooks of 5,000 rows, then read back as one table.
+
+    Tasks can write plain files only where the shared folder is mounted; under another file
+    system the workbooks travel as a stored binary column.
+    """
+    folder, schema = work_path(spark, "workbooks"), "p_partkey bigint, p_name string, p_retailprice double"
+    mounted = folder.startswith("/")
     parts = load(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice", F.floor(F.col("p_partkey") / WORKBOOK_ROWS).alias("block"))
-    parts.groupBy("block").applyInPandas(_write_workbook(folder), "rows long").agg(F.sum("rows")).first()
-    return excel.read_excel(spark, folder, "p_partkey bigint, p_name string, p_retailprice double")
+    packed = parts.groupBy("block").applyInPandas(_workbook(folder if mounted else None), "rows long, content binary")
+    if mounted:
+        packed.agg(F.sum("rows")).first()
+        return excel.read_excel(spark, folder, schema)
+    packed.write.parquet(folder)
+    return excel.parse_workbooks(spark.read.parquet(folder).select("content"), schema)
 
 
 def guarded_query_limit(spark, sf):

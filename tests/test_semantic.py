@@ -58,6 +58,14 @@ def test_compiled_metric_does_not_multiply_rows(spark):
             S.compile_metric(name, metrics, tables, links, dims)
 
 
+def test_certification_is_for_admins(spark):
+    df = spark.createDataFrame([("a", None, None), ("b", False, None)], "name string, is_certified boolean, certified_at timestamp")
+    done = S.certify(df, "b", "admin", dt.datetime(2024, 1, 1))
+    assert rows(done) == [("a", None, None), ("b", True, dt.datetime(2024, 1, 1))]
+    with pytest.raises(PermissionError):
+        S.certify(df, "b", "analyst", dt.datetime(2024, 1, 1))
+
+
 def test_registry_replaces_and_adds(spark):
     old = spark.createDataFrame([("c", "m", "sum(x)")], "connection_id string, name string, formula string")
     new = spark.createDataFrame([("c", "m", "avg(x)"), ("d", "m", None)], "connection_id string, name string, formula string")

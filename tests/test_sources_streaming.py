@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.sources import catalog, excel, files, jdbc, kafka
 from plumbline.streaming import cdc, live, sinks
-from plumbline.workloads.relational import _write_workbook
+from plumbline.workloads.relational import _workbook
 from tests.conftest import rows
 
 
@@ -21,7 +21,9 @@ def test_csv_view(spark, tmp_path):
 def test_excel(spark, tmp_path):
     folder = str(tmp_path / "books")
     df = spark.createDataFrame([(1, "Widget & co", 19.99), (2, "Gadget", 29.99)], "id long, product string, price double").withColumn("block", F.lit(0))
-    df.groupBy("block").applyInPandas(_write_workbook(folder), "rows long").collect()
+    df.groupBy("block").applyInPandas(_workbook(folder), "rows long, content binary").collect()
+    packed = df.groupBy("block").applyInPandas(_workbook(None), "rows long, content binary")
+    assert rows(excel.parse_workbooks(packed.select("content"), "id int, price double")) == [(1, 19.99), (2, 29.99)]
     back = excel.read_excel(spark, folder, "price double, id int, product string, absent string", "books")
     assert rows(back) == [(19.99, 1, "Widget & co", None), (29.99, 2, "Gadget", None)]
     assert spark.sql("SELECT product FROM books ORDER BY price DESC LIMIT 1").first()[0] == "Gadget"
@@ -56,6 +58,39 @@ def test_jdbc_options():
         jdbc.canonical_kind("db2")
 
 
+def test_connector_by_name(spark):
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    class Numbers(DataSource):
+        @classmethod
+        def name(cls):
+            return "three_numbers"
+
+        def schema(self):
+            return "n int"
+
+        def reader(self, schema):
+            class Reader(DataSourceReader):
+                def read(self, partition):
+                    yield from [(1,), (2,), (3,)]
+
+            return Reader()
+
+    from plumbline.sources.registry import register_connector
+
+    assert register_connector(spark, Numbers) == "three_numbers"
+    assert rows(spark.read.format("three_numbers").load()) == [(1,), (2,), (3,)]
+    with pytest.raises(TypeError):
+        register_connector(spark, dict)
+
+
+def test_metadata_schemas_parse(spark):
+    from plumbline.schemas import SCHEMAS, empty
+
+    assert all(empty(spark, name).count() == 0 for name in list(SCHEMAS)[:3])
+    assert all(empty(spark, name).columns for name in SCHEMAS)
+
+
 def test_kafka_options():
     assert kafka.kafka_options("b:1", "t", "g", max_offsets_per_trigger=5) == {
         "kafka.bootstrap.servers": "b:1", "subscribe": "t", "kafka.group.id": "g", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "5"}
