@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,8 +49,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, *parts: str) -> str:
     """Path below :func:`shared_dir`, unique per call."""
-    import uuid
-
     return os.path.join(shared_dir(spark).removeprefix("file:"), "plumbline", uuid.uuid4().hex, *parts)
 
 

@@ -34,21 +34,6 @@ def canonical(value):
     return value
 
 
-def rows_of_spark(df):
-    cols = sorted(df.columns)
-    return cols, sorted(tuple(canonical(r[c]) for c in cols) for r in df.collect()), [
-        df.schema[c].dataType.simpleString() for c in cols]
-
-
-def rows_of_duck(con, sql):
-    res = con.execute(sql)
-    names = [d[0] for d in res.description]
-    types = {d[0]: str(d[1]) for d in res.description}
-    cols = sorted(names)
-    at = [names.index(c) for c in cols]
-    return cols, sorted(tuple(canonical(r[i]) for i in at) for r in res.fetchall()), [types[c] for c in cols]
-
-
 def sort_key(row):
     return tuple((v is not None, str(type(v)), str(v)) for v in row)
 
