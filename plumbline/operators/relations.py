@@ -127,16 +127,18 @@ def relationship_text(rel_df: DataFrame) -> DataFrame:
 
 
 def many_to_many_text(rel_df: DataFrame) -> DataFrame:
-    """Sentence for every pair of tables that a junction table points to.
+    """Sentence for every two tables that a junction table points to.
 
-    Pairs form per junction table from its own (few) keys, gathered as an ordered array of
-    distinct targets.
+    A junction's targets are as many as its foreign keys, so they travel as one short sorted array
+    per junction and each is paired with those after it.
     """
     ends = rel_df.groupBy("source_table").agg(F.array_sort(F.collect_set("target_table")).alias("ends")).filter(
-        F.size("ends") == 2)
-    return ends.select(
-        F.col("ends")[0].alias("left_table"), F.col("ends")[1].alias("right_table"), F.col("source_table").alias("junction_table"),
-    ).withColumn("explanation", F.format_string(
+        F.size("ends") >= 2)
+    lefts = ends.select("source_table", "ends", F.posexplode("ends").alias("at", "left_table"))
+    pairs = lefts.select(
+        "left_table", F.explode(F.slice("ends", F.col("at") + 2, F.size("ends"))).alias("right_table"),
+        F.col("source_table").alias("junction_table"))
+    return pairs.withColumn("explanation", F.format_string(
         "Each %s can be associated with many %ss, and vice versa, through the %s table.",
         entity_label(F.col("left_table")), entity_label(F.col("right_table")), entity_label(F.col("junction_table"))))
 

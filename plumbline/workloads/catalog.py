@@ -414,7 +414,7 @@ SELECT x.a || '>' || x.b || '>' || y.b AS path, 'To join ' || {_label('x.a')} ||
 FROM a x JOIN a y ON x.b = y.a
 UNION ALL SELECT a || '>' || b, 'To join ' || {_label('a')} || ' to ' || {_label('b')} || ', use: ' || {_label('a')} || ' → ' || {_label('b')} FROM a""",
     "many_to_many_text": f"""{_RELS},
-e AS (SELECT source_table AS junction_table, min(target_table) AS left_table, max(target_table) AS right_table FROM rel GROUP BY 1 HAVING count(DISTINCT target_table) = 2)
+e AS (SELECT DISTINCT a.source_table AS junction_table, a.target_table AS left_table, b.target_table AS right_table FROM rel a JOIN rel b ON a.source_table = b.source_table AND a.target_table < b.target_table)
 SELECT *, 'Each ' || {_label('left_table')} || ' can be associated with many ' || {_label('right_table')} || 's, and vice versa, through the ' || {_label('junction_table')} || ' table.' AS explanation FROM e""",
     "entity_types": f"""{_RELS},
 n AS (SELECT table_id, count(*) AS nc, count(*) FILTER (WHERE is_foreign_key) AS nf FROM {_C} GROUP BY 1),

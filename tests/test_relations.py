@@ -51,3 +51,5 @@ def test_paths_and_junctions(spark):
     rel = spark.createDataFrame([("enrol_bridge", "students"), ("enrol_bridge", "courses"), ("x", "courses")], "source_table string, target_table string")
     assert [r.explanation for r in R.many_to_many_text(rel).collect()] == [
         "Each Course can be associated with many Students, and vice versa, through the Enrol table."]
+    three = spark.createDataFrame([("j", t) for t in "abc"], "source_table string, target_table string")
+    assert rows(R.many_to_many_text(three), "left_table", "right_table") == [("a", "b"), ("a", "c"), ("b", "c")]
