@@ -52,7 +52,7 @@ def stream_kpi_hourly(spark, sf):
     sinks.run_available_now(kpis, sinks.batch_folder(out), work_path(spark, "checkpoint"), mode="update")
     latest = sinks.latest_rows(spark.read.parquet(out), ["window_start", "window_end", "metric"])
     return latest.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "metric", "n",
-                         F.round("total", 2).alias("total"), F.round("mean", 6).alias("mean"))
+                         F.round("total", 2).alias("total"), F.round("mean", 7).alias("mean"))
 
 
 def stream_anomalies(spark, sf):
@@ -107,7 +107,7 @@ ORACLES = {
 WITH last AS (SELECT * FROM {_FEED} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY feed_offset DESC) = 1)
 SELECT user_id, feed_offset, event_type, value FROM last WHERE op <> 'd'""",
     "stream_kpi_hourly": """
-SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS metric, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""",
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS metric, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 7) AS mean FROM events GROUP BY 1, 2""",
     "stream_anomalies": _rolling_sql(24, 3.0),
     "rolling_anomalies": _rolling_sql(6, 2.5),
     "stream_threshold": "SELECT event_id, value FROM events WHERE value < 1.0 OR value > 150.0",
