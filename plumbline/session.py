@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, *parts: str) -> str:
     """Path below :func:`shared_dir`, unique per call."""
-    return os.path.join(shared_dir(spark).removeprefix("file:"), "plumbline", uuid.uuid4().hex, *parts)
+    return "/".join([shared_dir(spark).rstrip("/"), "plumbline", uuid.uuid4().hex, *parts])
 
 
 def cut_lineage(df):
