@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language_id
+from plumbline.llm import decontaminate, language_id, sentencepiece_codec
 from plumbline.llm.common import fold
 from plumbline.sources.tables import load
 
 
+def piece_model() -> str:
+    """The public 32,000-piece model; an installed package, so every executor has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    ids = sentencepiece_codec.encode(docs, piece_model()).drop("text")
+    both = sentencepiece_codec.decode(ids, piece_model())
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(fold("doc_id", 4) != 2))
@@ -23,4 +38,4 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op8_language_id, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op8_language_id, op9_decontamination)}
