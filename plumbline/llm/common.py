@@ -26,8 +26,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words between white space; an empty array for null and for blank texts."""
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN, -1))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN, -1), "")
+
+
+def window_hashes(words: Column, size: int) -> Column:
+    """64-bit hashes of all windows of ``size`` consecutive words, by doubling: no window is ever built.
+
+    Fewer words than ``size`` give an empty array. Equal windows have equal hashes, whatever text they stand in.
+    """
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda ones: F.slice(
+        _hashes_of(ones, size), 1, F.greatest(F.size(ones) - size + 1, F.lit(0))))
+
+
+def _hashes_of(ones: Column, size: int) -> Column:
+    if size == 1:
+        return ones
+    half = 1 << ((size - 1).bit_length() - 1)  # the largest power of two below size
+    left = _hashes_of(ones, half)
+    if size == 2 * half:
+        return let(left, lambda a: F.transform(a, lambda x, i: F.xxhash64(x, F.get(a, i + half))))
+    return let(left, lambda a: let(_hashes_of(ones, size - half), lambda b: F.transform(a, lambda x, i: F.xxhash64(x, F.get(b, i + half)))))
 
 
 def by_batches(fn: Callable[[list], pd.DataFrame | pd.Series], returns: T.DataType | str, setup: Callable[[], object] | None = None):

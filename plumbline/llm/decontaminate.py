@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import let
+from plumbline.llm.common import let, window_hashes
 
 WINDOW = 10
 MAX_WINDOWS = 200_000
@@ -46,17 +46,24 @@ def windows_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
 
 def _spots(words: Column, length: int, hashes: list[int]) -> Column:
     """Positions (from 1) where a window of ``length`` words starts whose hash is in the set."""
-    last = F.size(words) - length + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(starts, lambda i: F.xxhash64(F.slice(words, i, length)).isin(hashes))
-    return F.transform(found, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len")))
+    at = F.transform(window_hashes(words, length), lambda h, i: F.when(h.isin(hashes), i + 1))
+    return F.transform(F.filter(at, lambda i: i.isNotNull()), lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len")))
+
+
+def _hash(window: Column, lengths: list[int]) -> Column:
+    """Hash of a whole window of any of the ``lengths``."""
+    choice = F.lit(None).cast("bigint")
+    for n in lengths:
+        choice = F.when(F.size(window) == n, window_hashes(window, n)[0]).otherwise(choice)
+    return choice
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
               item_text: str = "text", size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row for each document row: ``doc_id, n_words, hit_words array<int>`` (positions from 1), ``items array<string>``."""
     windows = windows_of(benchmark, item_id, item_text, size)
-    keyed = windows.select(F.size("win").alias("len"), F.xxhash64("win").alias("h"))
+    lengths = [r["n"] for r in windows.select(F.size("win").alias("n")).distinct().collect()]  # at most ``size`` values
+    keyed = windows.select(F.size("win").alias("len"), _hash(F.col("win"), lengths).alias("h"))
     known = keyed.distinct().limit(max_windows + 1).collect()
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), normal_words(F.col(text)).alias("ws"))
     if len(known) <= max_windows:
@@ -68,7 +75,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", tex
             let(normal_words(F.col(text)), lambda ws: _scan(ws, by_length)).alias("s")).select("rid", "doc_id", "s.*")
         windows = F.broadcast(windows)
     else:
-        scanned = _scan_by_join(base, keyed)
+        scanned = _scan_by_join(base, keyed, lengths)
     each = scanned.select("rid", "doc_id", "n_words", "ws", F.explode_outer("spots").alias("spot"))
     each = each.select("rid", "doc_id", "n_words", "spot", F.slice("ws", F.col("spot.pos"), F.col("spot.len")).alias("win"))
     met = each.join(windows, "win", "left")
@@ -86,15 +93,12 @@ def _scan(words: Column, by_length: dict[int, list[int]]) -> Column:
                                          F.when(F.size(s) > 0, words).alias("ws")))
 
 
-def _scan_by_join(base: DataFrame, keyed: DataFrame) -> DataFrame:
+def _scan_by_join(base: DataFrame, keyed: DataFrame, lengths: list[int]) -> DataFrame:
     """The same columns as the set scan, for a benchmark of any size: only hashes and positions are shuffled."""
     keyed = keyed.distinct()
-    lengths = [r["len"] for r in keyed.select("len").distinct().collect()]  # at most WINDOW values
-    starts = [F.when(F.size("ws") >= n, F.transform(
-        F.sequence(F.lit(1), F.size("ws") - n + 1),
-        lambda i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice("ws", i, n)).alias("h")))) for n in lengths]
+    hashes = [F.transform(window_hashes(F.col("ws"), n), lambda h, i, n=n: F.struct((i + 1).alias("pos"), F.lit(n).alias("len"), h.alias("h"))) for n in lengths]
     empty = F.array().cast("array<struct<pos:int,len:int,h:bigint>>")
-    rows = base.select("rid", F.explode(F.concat(*[F.coalesce(s, empty) for s in starts])).alias("w")).select("rid", "w.*")
+    rows = base.select("rid", F.explode(F.concat(empty, *hashes)).alias("w")).select("rid", "w.*")
     spots = rows.join(keyed, ["len", "h"], "left_semi").groupBy("rid").agg(F.collect_list(F.struct("pos", "len")).alias("spots"))
     joined = base.join(spots, "rid", "left")
     return joined.select("rid", "doc_id", F.size("ws").cast("long").alias("n_words"), F.when(F.col("spots").isNotNull(), F.col("ws")).alias("ws"), "spots")

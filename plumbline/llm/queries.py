@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language_id, sentencepiece_codec
+from plumbline.llm import decontaminate, language_id, quality_rules, sentencepiece_codec
 from plumbline.llm.common import fold
 from plumbline.sources.tables import load
 
 
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    return quality_rules.clean_documents(docs).drop("text", "clean_text")
+
+
 def piece_model() -> str:
     """The public 32,000-piece model; an installed package, so every executor has it."""
     import public_tokenizers
@@ -38,4 +43,4 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op8_language_id, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op8_language_id, op9_decontamination)}

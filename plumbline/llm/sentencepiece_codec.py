@@ -33,7 +33,7 @@ WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 RUN_OR_WORD = re.compile(f"{MARK}+(?={MARK})|{MARK}[^{MARK}]*|[^{MARK}]+")
 NEVER = np.iinfo(np.int64).max
 PART_CHARS = 1_000_000
-TABLE_CHARS = 6_000_000
+TABLE_CHARS = 4_000_000
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -126,38 +126,43 @@ def split_words(text: str, vocab: Vocabulary) -> list[str]:
     return (RUN_OR_WORD if vocab.runs and MARK * 2 in marked else WORD).findall(marked)
 
 
-def join_ids(words: list[str], table: dict[str, list[int]], vocab: Vocabulary) -> np.ndarray:
+def join_ids(words: list[str], table: dict[str, bytes], vocab: Vocabulary) -> np.ndarray:
     """Ids of a text from those of its words; a run takes in the mark of the word after it if that stayed alone."""
-    ids: list[int] = []
-    held = 0
-    for word in words if vocab.runs and any(w[-1] == MARK for w in words) else ():
+    if not (vocab.runs and any(w[-1] == MARK for w in words)):
+        return np.frombuffer(b"".join([table[w] for w in words]), dtype=np.int32)
+    ids: list[bytes] = []
+    held, mark = 0, packed(vocab.runs[1])
+    for word in words:
         if word[-1] == MARK:
             held += len(word)
             continue
         own = table[word]
         if held:
-            alone = own[:1] == vocab.runs[1]
-            ids += run_ids(held + alone, vocab)
-            own, held = own[alone:], 0
-        ids += own
-    if held:
-        ids += run_ids(held, vocab)
-    return np.fromiter(ids or chain.from_iterable([table[w] for w in words]), dtype=np.int32)
+            alone = own[:4] == mark
+            ids.append(packed(run_ids(held + alone, vocab)))
+            own, held = own[4 * alone :], 0
+        ids.append(own)
+    ids.append(packed(run_ids(held, vocab)))
+    return np.frombuffer(b"".join(ids), dtype=np.int32)
 
 
-def encode_words(words: list[str], vocab: Vocabulary) -> list[list[int]]:
-    """Ids of each word; words share nothing but the rounds."""
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype=np.int32).tobytes()
+
+
+def encode_words(words: list[str], vocab: Vocabulary) -> list[bytes]:
+    """Ids of each word as 32-bit numbers in a row; words share nothing but the rounds."""
     if vocab.runs:  # runs of marks are put together by join_ids
         words = ["" if w.startswith(MARK * 2) else w for w in words]
     joined = "".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     if not len(joined):
-        return [[] for _ in words]
+        return [b""] * len(words)
     distinct, code = np.unique(np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32), return_inverse=True)
     ids = np.array([vocab.chars.get(chr(c), vocab.size + i) for i, c in enumerate(distinct.tolist())], dtype=np.int64)
     as_bytes = {vocab.size + i: [vocab.byte_ids[b] for b in chr(c).encode()] for i, c in enumerate(distinct.tolist()) if chr(c) not in vocab.chars}
     sym, word = ids[code], np.repeat(np.arange(len(words)), lengths)
-    out: list[list[int]] = [[] for _ in words]
+    out = [b""] * len(words)
     rank, merged = _ranks(sym, word, vocab)
     while len(sym):
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -165,9 +170,11 @@ def encode_words(words: list[str], vocab: Vocabulary) -> list[list[int]]:
         size = np.diff(np.r_[first, len(sym)])
         over = low == NEVER
         if over.any():
-            for w, i, n in zip(word[first[over]].tolist(), first[over].tolist(), size[over].tolist()):
-                found = sym[i : i + n].tolist()
-                out[w] = found if max(found) < vocab.size else [x for s in found for x in as_bytes.get(s, (s,))]
+            found, done = np.repeat(over, size), size[over]
+            raw, plain = sym[found].astype(np.int32).tobytes(), np.maximum.reduceat(sym, first)[over] < vocab.size
+            for w, end, n, ok in zip(word[first[over]].tolist(), np.cumsum(done).tolist(), done.tolist(), plain.tolist()):
+                own = raw[4 * (end - n) : 4 * end]
+                out[w] = own if ok else packed([x for s in np.frombuffer(own, dtype=np.int32).tolist() for x in as_bytes.get(s, (s,))])
             stay = np.repeat(~over, size)
             sym, word, rank, merged = sym[stay], word[stay], rank[stay], merged[stay]
             low, size = low[~over], size[~over]
