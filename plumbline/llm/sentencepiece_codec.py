@@ -32,6 +32,9 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 RUN_OR_WORD = re.compile(f"{MARK}+(?={MARK})|{MARK}[^{MARK}]*|[^{MARK}]+")
 NEVER = np.iinfo(np.int64).max
+FREE = np.int64(-1)
+SLOT_BITS = 19
+SLOTS = 1 << SLOT_BITS
 PART_CHARS = 1_000_000
 TABLE_CHARS = 4_000_000
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -39,7 +42,7 @@ BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 @dataclass
 class Vocabulary:
-    """``pair_keys`` (left id times size, plus right id) are sorted and go with the rank and id of the merged piece.
+    """``pair_keys`` (left id times size, plus right id) form an open-addressing table with the rank and id of the merged piece.
 
     Characters without a piece have ids from ``size`` on while merging. ``byte_ids`` are the pieces of the bytes,
     ``special_ids`` the control and unknown pieces. ``runs`` are the ids of 0, 1, 2 ... space marks, when the pieces of marks share the last
@@ -58,10 +61,31 @@ class Vocabulary:
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (:data:`NEVER` if they don't merge) and merged id of symbol pairs."""
-        key = left * np.int64(self.size) + right
-        at = np.searchsorted(self.pair_keys, key).clip(max=len(self.pair_keys) - 1)
-        ok = (self.pair_keys[at] == key) & (left < self.size) & (right < self.size)
-        return np.where(ok, self.pair_ranks[at], NEVER), self.pair_ids[at]
+        key = np.where((left < self.size) & (right < self.size), left * np.int64(self.size) + right, -2)
+        at = _slot(key)
+        held = self.pair_keys[at]
+        far = np.flatnonzero((held != key) & (held != FREE))
+        while len(far):
+            at[far] = (at[far] + 1) & (SLOTS - 1)
+            held = self.pair_keys[at[far]]
+            far = far[(held != key[far]) & (held != FREE)]
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER), self.pair_ids[at]
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _pair_table(merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, ranks and ids by slot; a key that finds its slot taken moves on to the next free one."""
+    if 2 * len(merges) > SLOTS:
+        raise ValueError("the model has more merges than the pair table is laid out for")
+    keys, ranks, ids = np.full(SLOTS, FREE), np.full(SLOTS, NEVER), np.zeros(SLOTS, dtype=np.int64)
+    for (key, rank, i), at in zip(merges, _slot(np.array([m[0] for m in merges], dtype=np.int64)).tolist()):
+        while keys[at] != FREE:
+            at = (at + 1) & (SLOTS - 1)
+        keys[at], ranks[at], ids[at] = key, rank, i
+    return keys, ranks, ids
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -82,8 +106,7 @@ def read_vocabulary(path: str) -> Vocabulary:
     scores = sorted({model.get_score(i) for i in plain.values()}, reverse=True)
     rank = {s: r for r, s in enumerate(scores)}
     merges = [(plain[p[:k]] * size + plain[p[k:]], rank[model.get_score(i)], i) for p, i in plain.items() for k in range(1, len(p)) if p[:k] in plain and p[k:] in plain]
-    merges.sort()
-    keys, ranks, ids = (np.array(x, dtype=np.int64) for x in zip(*merges))
+    keys, ranks, ids = _pair_table(merges)
     raw = [p.replace(MARK, " ").encode() for p in pieces]
     for byte, i in bytes_of.items():
         raw[i] = bytes([byte])
