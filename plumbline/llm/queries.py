@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language_id, quality_model, quality_rules, sentencepiece_codec
+from plumbline.llm import decontaminate, language_id, quality_model, quality_rules, sentencepiece_codec, toxicity
 from plumbline.llm.common import fold
 from plumbline.sources.tables import load
 
@@ -36,6 +36,12 @@ def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, load(spark, sf, "labels").where(fold("doc_id", 5) != 0))
+    return toxicity.predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(fold("doc_id", 4) != 2))
@@ -49,4 +55,4 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op4_quality_classifier, op8_language_id, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op4_quality_classifier, op7_toxicity, op8_language_id, op9_decontamination)}
