@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language_id, quality_model, quality_rules, sentencepiece_codec, toxicity
+from plumbline.llm import brown_lm, decontaminate, language_id, quality_model, quality_rules, sentencepiece_codec, toxicity
 from plumbline.llm.common import fold
 from plumbline.sources.tables import load
 
@@ -55,4 +55,12 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op4_quality_classifier, op7_toxicity, op8_language_id, op9_decontamination)}
+def op10_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    learn = fold("doc_id", 7) != 2
+    counts = brown_lm.stored_counts(docs, learn)
+    model = brown_lm.train(docs, counts, learn)
+    return brown_lm.score(docs, counts, model).withColumn("held_out", fold("doc_id", 7) == 2)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op4_quality_classifier, op7_toxicity, op8_language_id, op9_decontamination, op10_language_model)}
