@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +67,25 @@ def by_batches(fn: Callable[[list], pd.DataFrame | pd.Series], returns: T.DataTy
     return F.pandas_udf(typed, returns)
 
 
+def map_column(df: DataFrame, column: str, name: str, returns: T.DataType, fn: Callable[[list, object], pa.Array], setup: Callable[[], object], rows: int = 256) -> DataFrame:
+    """The input with a column ``name`` that ``fn(values, state)`` makes from ``column``, a few rows at a time.
+
+    Arrow batches pass in slices, so a task holds one batch as Arrow and only a slice of it as Python objects.
+    """
+    kept = without(df, name) if name != column else df
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, returns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = setup()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                made = fn(part.column(column).to_pylist(), state)
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
+
+    return kept.mapInArrow(run, schema)
+
+
 def in_parts(values: list, chars: int) -> Iterator[list]:
     """Consecutive runs of texts with about ``chars`` characters each, at least one text; keeps memory even."""
     part, held = [], 0

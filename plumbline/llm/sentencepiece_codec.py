@@ -21,12 +21,11 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import by_batches, in_parts, without
+from plumbline.llm.common import map_column
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -35,8 +34,7 @@ NEVER = np.iinfo(np.int64).max
 FREE = np.int64(-1)
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
-PART_CHARS = 1_000_000
-TABLE_CHARS = 4_000_000
+TABLE_CHARS = 2_500_000
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -252,32 +250,29 @@ def _in_order(sym: np.ndarray, word: np.ndarray, merged: np.ndarray, low: np.nda
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The input with ``ids array<int>``. ``model`` is a file that each executor has, such as one of an installed package."""
 
-    def encoded(values: list, state: tuple) -> pd.Series:
+    def encoded(values: list, state: tuple) -> pa.Array:
         vocab, table = state
-        out = []
-        for part in in_parts(values, PART_CHARS):
-            split = [split_words(v, vocab) for v in part]
-            new = [w for w in set(chain.from_iterable(split)) if w not in table]
-            if sum(map(len, new)) + table.get(None, 0) > TABLE_CHARS:
-                table.clear()
-                new = list(set(chain.from_iterable(split)))
-            table.update(zip(new, encode_words(new, vocab)))
-            table[None] = table.get(None, 0) + sum(map(len, new))
-            out += [join_ids(words, table, vocab) for words in split]
-        return pd.Series(out, dtype=object)
-
-    run = by_batches(encoded, T.ArrayType(T.IntegerType()), lambda: (read_vocabulary(model), {}))
-    return without(docs, ids).withColumn(ids, run(F.col(text)))
+        split = [split_words(v, vocab) for v in values]
+        new = [w for w in set(chain.from_iterable(split)) if w not in table]
+        if sum(map(len, new)) + table.get(None, 0) > TABLE_CHARS:
+            table.clear()
+            new = list(set(chain.from_iterable(split)))
+        table.update(zip(new, encode_words(new, vocab)))
+        table[None] = table.get(None, 0) + sum(map(len, new))
+        found = [join_ids(words, table, vocab) for words in split]
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+
+    return map_column(docs, text, ids, T.ArrayType(T.IntegerType()), encoded, lambda: (read_vocabulary(model), {}))
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The input with the text of ``ids``: byte pieces become characters, the leading space mark goes."""
 
-    def decoded(values: list, vocab: Vocabulary) -> pd.Series:
-        return pd.Series([None if v is None else decode_ids(v, vocab) for v in values], dtype=object)
+    def decoded(values: list, vocab: Vocabulary) -> pa.Array:
+        return pa.array([None if v is None else decode_ids(v, vocab) for v in values], pa.string())
 
-    run = by_batches(decoded, T.StringType(), lambda: read_vocabulary(model))
-    return without(docs, text).withColumn(text, run(F.col(ids)))
+    return map_column(docs, ids, text, T.StringType(), decoded, lambda: read_vocabulary(model))
 
 
 def decode_ids(ids, vocab: Vocabulary) -> str:
