@@ -96,9 +96,11 @@ def _scan(words: Column, by_length: dict[int, list[int]]) -> Column:
 def _scan_by_join(base: DataFrame, keyed: DataFrame, lengths: list[int]) -> DataFrame:
     """The same columns as the set scan, for a benchmark of any size: only hashes and positions are shuffled."""
     keyed = keyed.distinct()
-    hashes = [F.transform(window_hashes(F.col("ws"), n), lambda h, i, n=n: F.struct((i + 1).alias("pos"), F.lit(n).alias("len"), h.alias("h"))) for n in lengths]
+    def windows(n: int) -> Column:
+        return F.transform(window_hashes(F.col("ws"), n), lambda h, i: F.struct((i + 1).alias("pos"), F.lit(n).alias("len"), h.alias("h")))
+
     empty = F.array().cast("array<struct<pos:int,len:int,h:bigint>>")
-    rows = base.select("rid", F.explode(F.concat(empty, *hashes)).alias("w")).select("rid", "w.*")
+    rows = base.select("rid", F.explode(F.concat(empty, *map(windows, lengths))).alias("w")).select("rid", "w.*")
     spots = rows.join(keyed, ["len", "h"], "left_semi").groupBy("rid").agg(F.collect_list(F.struct("pos", "len")).alias("spots"))
     joined = base.join(spots, "rid", "left")
     return joined.select("rid", "doc_id", F.size("ws").cast("long").alias("n_words"), F.when(F.col("spots").isNotNull(), F.col("ws")).alias("ws"), "spots")

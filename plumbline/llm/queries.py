@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import brown_lm, decontaminate, language_id, ngram_jaccard, quality_model, quality_rules, sentencepiece_codec, toxicity
+from plumbline.llm import brown_lm, decontaminate, language_id, ngram_jaccard, quality_model, quality_rules, secrets, sentencepiece_codec, toxicity
 from plumbline.llm.common import fold
 from plumbline.sources.tables import load
 
@@ -30,6 +30,20 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    spans = secrets.scan(docs, secrets.train(docs)).select("doc_id", "spans")
+
+    def joined(kinds: list[str]):
+        own = F.filter("spans", lambda s: s["kind"].isin(kinds))
+        return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return spans.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(secrets.KINDS[:3]), 256).alias("base_sha256"), joined(secrets.KINDS).alias("spans"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "text")
     model = quality_model.train(docs, load(spark, sf, "labels").where(fold("doc_id", 5) != 0))
@@ -67,4 +81,4 @@ def op10_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return brown_lm.score(docs, counts, model).withColumn("held_out", fold("doc_id", 7) == 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op4_quality_classifier, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_decontamination, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_quality_classifier, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_decontamination, op10_language_model)}
