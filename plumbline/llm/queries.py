@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import brown_lm, decontaminate, language_id, ngram_jaccard, quality_model, quality_rules, secrets, sentencepiece_codec, toxicity
+from plumbline.llm import brown_lm, decontaminate, language_id, licenses, ngram_jaccard, quality_model, quality_rules, secrets, sentencepiece_codec, toxicity
 from plumbline.llm.common import fold
 from plumbline.sources.tables import load
 
@@ -50,6 +50,13 @@ def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.train(docs))
+    return found.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"),
+                        F.array_join(F.array_sort(F.array_distinct(F.transform("paragraphs", lambda p: p["family"]))), ",").alias("families"), "paragraphs")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_jaccard.connect(load(spark, sf, "documents").select("doc_id", "text"))
 
@@ -81,4 +88,4 @@ def op10_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return brown_lm.score(docs, counts, model).withColumn("held_out", fold("doc_id", 7) == 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_quality_classifier, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_decontamination, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_quality_classifier, op5_license_scan, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_decontamination, op10_language_model)}
