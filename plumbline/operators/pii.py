@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import detectors as D
 from plumbline.functions import fixed_values as fixed
 from plumbline.operators.profiling import top_values
-from plumbline.plans.sizes import spread_if_small
 
 METHODS = ["column_name", "data_pattern", "entropy", "semantic"]
 
@@ -114,12 +113,12 @@ def detect_columns(columns: DataFrame, values: DataFrame | None, keys: Sequence[
 
 
 def scan_pii(
-    df: DataFrame, table_name: str, types: Mapping[str, str] | None = None, top_k: int | None = 10
+    df: DataFrame, table_name: str, types: Mapping[str, str] | None = None, top_k: int | None = None
 ) -> DataFrame:
     """Sensitive columns of one table.
 
-    ``types`` overrides the declared type text of a column. Values are the ``top_k`` most
-    frequent ones, or every non-null row value when ``top_k`` is None.
+    ``types`` overrides the declared type text of a column. Every non-null value is tested;
+    ``top_k=10`` is the compatibility option that looks at a column's most frequent values only.
     """
     declared = {f.name: f.dataType.simpleString() for f in df.schema.fields} | dict(types or {})
     columns = df.sparkSession.createDataFrame(
@@ -153,5 +152,5 @@ def text_pii_hits(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.struct(F.lit(kind).alias("pii_type"), D.text_hits(F.col(text_col), kind).cast("long").alias("n_hits"))
         for kind in fixed.VALUE_PATTERNS
     ])
-    candidates = spread_if_small(df.select(id_col, text_col)).filter(D.may_hold_hits(F.col(text_col)))
+    candidates = df.select(id_col, text_col).filter(D.may_hold_hits(F.col(text_col)))
     return candidates.select(F.col(id_col).alias("id"), F.inline(hits)).filter(F.col("n_hits") > 0)

@@ -13,7 +13,6 @@ from plumbline.functions import fixed_values as fixed
 from plumbline.functions.masks import is_masked, mask_column
 
 ANY = "*"
-MAX_POLICIES_PER_TABLE = 10_000
 
 
 def active_policies(policies_df: DataFrame, roles: Sequence[str]) -> DataFrame:
@@ -115,6 +114,23 @@ class GovernedResult:
         }
 
 
+DEFAULT_MASK = "generic"
+
+
+def _with_mask(policies_df: DataFrame) -> DataFrame:
+    """Mask type and pattern of each policy.
+
+    ``action_params`` (a map) tells apart a policy without parameters, which masks as :data:`DEFAULT_MASK`, from parameters that
+    name no type, which mask nothing. Flat ``mask_type`` columns can't; there, no type means the default too.
+    """
+    if "action_params" in policies_df.columns:
+        params = F.col("action_params")
+        kind, pattern = F.when(params.isNull(), DEFAULT_MASK).otherwise(F.try_element_at(params, F.lit("mask_type"))), F.try_element_at(params, F.lit("mask_pattern"))
+    else:
+        kind, pattern = F.coalesce("mask_type", F.lit(DEFAULT_MASK)), F.col("mask_pattern")
+    return policies_df.select("policy_id", "name", kind.alias("mask_type"), pattern.alias("mask_pattern"))
+
+
 def apply_policies(
     df: DataFrame,
     table_id: str,
@@ -122,19 +138,20 @@ def apply_policies(
     policies_df: DataFrame,
     roles: Sequence[str] = (),
     columns: Sequence[str] | None = None,
+    max_policies: int = 10_000,
 ) -> GovernedResult:
     """Enforces the policies that cover ``table_id`` on a query result.
 
     The policies of one table decide the shape of the plan, so they are fetched first (an error is
-    raised beyond ``MAX_POLICIES_PER_TABLE``). Masking is then a projection, and masked values are
+    raised beyond ``max_policies``). Masking is then a projection, and masked values are
     counted by an observation on the same pass. ``columns`` limits masking to those columns.
     """
     mine = classifications_df.filter(F.col("table_id") == table_id)
     matched = match_policies(mine, policies_df, roles).join(
-        policies_df.select("policy_id", "name", F.col("mask_type"), F.col("mask_pattern")), "policy_id")
-    rows = matched.orderBy("policy_id").limit(MAX_POLICIES_PER_TABLE + 1).collect()
-    if len(rows) > MAX_POLICIES_PER_TABLE:
-        raise ValueError(f"more than {MAX_POLICIES_PER_TABLE} policies cover table {table_id}")
+        _with_mask(policies_df), "policy_id")
+    rows = matched.orderBy("policy_id").limit(max_policies + 1).collect()
+    if len(rows) > max_policies:
+        raise ValueError(f"more than {max_policies} policies cover table {table_id}")
     denied = any(r["action_type"] == "restrict_access" for r in rows)
     observation = Observation(f"policies-{uuid.uuid4().hex}")
     names = [r["name"] for r in rows]

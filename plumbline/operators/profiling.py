@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.plans.sizes import spread_if_small
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -89,7 +88,7 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value, n) for every distinct value, NULL included; values as text."""
     names = list(cols or df.columns)
     text = _by_number([(i, _slot(df.schema[n])[2]) for i, n in enumerate(names)])
-    return slot_counts(spread_if_small(df), names).select(_column_name(names).alias("column_name"), text.alias("value"), "n")
+    return slot_counts(df, names).select(_column_name(names).alias("column_name"), text.alias("value"), "n")
 
 
 def profile_columns(
@@ -112,7 +111,7 @@ def profile_columns(
         counted = _sketched(df, names)
     else:
         counted = (
-            slot_counts(spread_if_small(df), names)
+            slot_counts(df, names)
             .groupBy("c")
             .agg(
                 F.sum("n").alias("total"),
@@ -191,13 +190,22 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     )
 
 
+#: Spark limits rows of a rank filter before the exchange up to this rank.
+GROUP_LIMIT = 1000
+RANK_PARTS = 256
+
+
 def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """The ``k`` most frequent non-null values of each column, ties by value.
 
     The rank filter lets Spark keep only ``k`` rows per column in every task before the last
-    exchange, so no task ever sees a column's full value list.
+    exchange, so no task ever sees a column's full value list. Beyond a thousand ranks Spark drops that
+    limit; the values are then ranked within salted parts first.
     """
     counted = value_counts(df, cols).filter(F.col("value").isNotNull())
+    if k > GROUP_LIMIT:
+        part = Window.partitionBy("column_name", F.pmod(F.xxhash64("value"), F.lit(RANK_PARTS))).orderBy(F.desc("n"), F.asc("value"))
+        counted = counted.withColumn("__part_rank", F.row_number().over(part)).filter(F.col("__part_rank") <= k).drop("__part_rank")
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
     return (
         counted.withColumn("rank", F.row_number().over(order))

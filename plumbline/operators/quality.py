@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.plans.sizes import spread_if_small
 
 # Dimension weights, and the scores used when a dimension has nothing to measure.
 WEIGHTS = {
@@ -73,7 +72,7 @@ def all_true(conditions: Sequence[Column]) -> Column:
 
 def measure(table_name: str, table: ScoredTable) -> DataFrame:
     """One row of raw measurements for a table; a single scan with map-side combination."""
-    df = spread_if_small(table.df)
+    df = table.df
     columns = [F.col(f"`{c}`") for c in df.columns]
     aggs = [
         F.count(F.lit(1)).alias("row_count"),

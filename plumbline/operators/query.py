@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from collections.abc import Mapping
 from functools import reduce
 
@@ -19,6 +21,8 @@ DEFAULT_ROWS = 1_000
 _COMMAND = re.compile(
     r"\b(InsertInto\w*|Create\w*|Drop\w*|Delete\w*|Update\w*|Merge\w*|Alter\w*|Truncate\w*|Replace\w*|Append\w*|Overwrite\w*|"
     r"SetCommand|LoadData\w*|CacheTable\w*|AddPartitions\w*|RefreshTable\w*)\b")
+# script transformations run shell commands, these functions run JVM methods
+_FOREIGN_CODE = re.compile(r"ScriptTransform|ScriptInputOutputSchema|\b(try_reflect|reflect|java_method)\b", re.I)
 
 
 def is_read_only(spark: SparkSession, sql: str) -> bool:
@@ -32,6 +36,8 @@ def is_read_only(spark: SparkSession, sql: str) -> bool:
     if not sql.lstrip().lower().startswith(("with", "select")):
         return True
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    if _FOREIGN_CODE.search(plan.toString()):
+        return False
     for node in plan.toString().splitlines():
         if _COMMAND.match(node.lstrip(" :+-*'!")):
             return False
@@ -39,22 +45,47 @@ def is_read_only(spark: SparkSession, sql: str) -> bool:
 
 
 def guarded_query(spark: SparkSession, sql: str, params: Mapping | None = None, max_rows: int = DEFAULT_ROWS) -> DataFrame:
-    """Read-only SQL with a row cap of 1..100000, as a lazy DataFrame."""
+    """Read-only SQL with a row cap of 1..100000, as a lazy DataFrame; a cap outside these bounds raises."""
     if not sql or not sql.strip():
         raise ValueError("Query is required")
     if not is_read_only(spark, sql):
         raise ValueError("Only read-only queries are allowed")
-    rows = max(1, min(int(max_rows), MAX_ROWS))
-    return spark.sql(sql, args=dict(params) if params else None).limit(rows)
+    if not 1 <= int(max_rows) <= MAX_ROWS:
+        raise ValueError(f"max_rows must lie between 1 and {MAX_ROWS}")
+    return spark.sql(sql, args=dict(params) if params else None).limit(int(max_rows))
+
+
+def guarded_rows(spark: SparkSession, sql: str, params: Mapping | None = None, max_rows: int = DEFAULT_ROWS, timeout_seconds: float = 30.0) -> list:
+    """Rows of :func:`guarded_query`; its jobs are cancelled after ``timeout_seconds``, which raises ``TimeoutError``."""
+    tag, context, late = f"guarded-{uuid.uuid4().hex}", spark.sparkContext, threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(timeout_seconds, cancel)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return guarded_query(spark, sql, params, max_rows).collect()
+    except Exception as exc:
+        if late.is_set():
+            raise TimeoutError(f"the query took more than {timeout_seconds} seconds") from exc
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
 
 
 def is_truncated(spark: SparkSession, sql: str, params: Mapping | None = None, max_rows: int = DEFAULT_ROWS) -> bool:
     """Whether the result has at least ``max_rows`` rows; the probe stops there."""
-    return guarded_query(spark, sql, params, max_rows).count() >= max(1, min(int(max_rows), MAX_ROWS))
+    return guarded_query(spark, sql, params, max_rows).count() >= int(max_rows)
 
 
 def query_over_frames(spark: SparkSession, sql: str, frames: Mapping[str, DataFrame]) -> DataFrame:
-    """SQL over named DataFrames, registered as session views."""
+    """SQL over named DataFrames. ``{name}`` in the statement binds a frame for this call only; else they become session views."""
+    if any("{" + name + "}" in sql for name in frames):
+        return spark.sql(sql, **frames)
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
     return spark.sql(sql)

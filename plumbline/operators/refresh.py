@@ -37,7 +37,7 @@ def refresh_catalog(
             build().write.mode("overwrite").parquet(path)
             return step, name, "completed", spark.read.parquet(path).count(), None
         except Exception as exc:  # recorded, the other tables go on
-            return step, name, "failed", 0, str(exc)[:500]
+            return step, name, "failed", 0, str(exc)
 
     steps = []
     for name, table in tables.items():

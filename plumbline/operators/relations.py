@@ -33,7 +33,7 @@ def explicit_relationships(columns_df: DataFrame, tables_df: DataFrame, constrai
         _lower("source_table").alias("source_t"), _lower("source_column").alias("source_c"),
         _lower("target_table").alias("target_t"), _lower("target_column").alias("target_c")).distinct()
     found = wanted.join(side("source"), ["source_t", "source_c"]).join(side("target"), ["target_t", "target_c"])
-    return _relation(found, 0.95, "explicit_fk")
+    return _relation(found, 0.95, "explicit_fk_constraint")
 
 
 def _relation(df: DataFrame, confidence: float, method: str) -> DataFrame:

@@ -31,14 +31,18 @@ def order_key(df: DataFrame, column: str) -> Column:
     raise TypeError(f"cannot order segments by {column}: {kind.simpleString()}")
 
 
+ROWS_PER_SEGMENT = 1_000_000
+
+
 def default_segments(df: DataFrame) -> int:
-    return max(2, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many segments as keep each near :data:`ROWS_PER_SEGMENT` rows, and no fewer than the session's shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / ROWS_PER_SEGMENT))
 
 
 def cut_points(df: DataFrame, column: str, segments: int) -> list:
     """Equi-depth cut points of ``column``; reads that one column, returns < ``segments`` numbers."""
     shares = [i / segments for i in range(1, segments)]
-    row = df.agg(F.percentile_approx(order_key(df, column), shares, 10000).alias("cuts")).first()
+    row = df.agg(F.percentile_approx(order_key(df, column), shares, max(10000, 4 * segments)).alias("cuts")).first()
     return sorted(set(row["cuts"] or []))
 
 
@@ -142,16 +146,17 @@ def asof_join(
     """Adds to every left row the ``value`` of the latest right row at or before its time.
 
     Both sides are stacked and scanned once per (key, segment); no pair of rows is ever formed.
-    Right rows that share a time are resolved to the largest value. A NULL key matches nothing.
+    Right rows that share a time are resolved to the largest value; a latest row whose value is NULL gives NULL. A NULL key
+    matches nothing.
     """
     payload = F.struct(*[F.col(c) for c in left.columns])
     lefts = left.select(*keys, F.col(left_time).alias("__t"), payload.alias("__left"),
-                        F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
+                        F.lit(None).cast(T.StructType([T.StructField("v", right.schema[value].dataType)])).alias("__v"), F.lit(1).alias("__side"))
     rights = right.dropna(subset=list(keys)).select(
         *keys, F.col(right_time).alias("__t"), F.lit(None).cast(lefts.schema["__left"].dataType).alias("__left"),
-        F.col(value).alias("__v"), F.lit(0).alias("__side"))
+        F.struct(F.col(value).alias("v")).alias("__v"), F.lit(0).alias("__side"))  # a struct, so that a NULL value is still the latest row
     stacked = lefts.unionByName(rights)
-    cuts = cut_points(stacked, "__t", segments or default_segments(left))
+    cuts = cut_points(stacked, "__t", segments or default_segments(stacked))
     cut = _keyed(with_segments(stacked, "__t", cuts), keys)
     window = (Window.partitionBy(KEY, SEGMENT).orderBy("__t", "__side", "__v")
               .rowsBetween(Window.unboundedPreceding, 0))
@@ -165,5 +170,5 @@ def asof_join(
     )
     return (
         local.join(carry, [KEY, SEGMENT])
-        .select("__left.*", F.coalesce("__seen", "__carry").alias(value))
+        .select("__left.*", F.coalesce("__seen", "__carry")["v"].alias(value))
     )

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_METADATA_ROWS = 10_000
 COLUMN_SCHEMA = ("table_id string, table_name string, column_id string, name string, data_type string, "
                  "is_nullable boolean, is_primary_key boolean, ordinal_position int")
 
@@ -25,15 +24,14 @@ def list_tables(spark: SparkSession, database: str | None = None, skip: Sequence
 
 def list_columns(
     spark: SparkSession, tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] | None = None,
-    metadata_limit: int = 1000,
+    metadata_limit: int | None = None,
 ) -> DataFrame:
-    """One row per column, ordinals from 1, at most ``metadata_limit`` tables.
+    """One row per column, ordinals from 1, of all tables; an explicit ``metadata_limit`` keeps the first ones only.
 
     Reads schemas only; no data is touched.
     """
-    limit = max(1, min(int(metadata_limit), MAX_METADATA_ROWS))
     rows = []
-    for name, df in list(tables.items())[:limit]:
+    for name, df in list(tables.items())[:metadata_limit]:
         primary = set((keys or {}).get(name, ()))
         for i, f in enumerate(df.schema.fields, start=1):
             rows.append((name, name, f"{name}.{f.name}", f.name, f.dataType.simpleString(), f.nullable,

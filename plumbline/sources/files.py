@@ -18,13 +18,14 @@ def view_name(path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, view: str | None = None, schema: T.StructType | str | None = None,
-             sampling_ratio: float = 1.0) -> DataFrame:
-    """CSV with a header as a named view.
+             sampling_ratio: float = 1.0, delimiter: str = ",", multi_line: bool = True) -> DataFrame:
+    """CSV with a header as a named view; doubled quotes and line breaks inside quotes belong to the value.
 
+    A file with quoted line breaks can't be split. For large files without any, ``multi_line=False`` reads them in parallel.
     Without ``schema`` the types are inferred, which reads the files once more; ``sampling_ratio``
     shortens that pass.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(header=True, sep=delimiter, quote='"', escape='"', multiLine=multi_line)
     if schema is not None:
         df = reader.schema(schema).csv(path)
     else:
@@ -38,7 +39,8 @@ def file_inventory(spark: SparkSession, folder: str, extensions: tuple[str, ...]
 
     Only file metadata is read: the content column is pruned.
     """
-    pattern = "*.{" + ",".join(extensions) + "}"
+    either_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+    pattern = "*.{" + ",".join(either_case) + "}"
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     )

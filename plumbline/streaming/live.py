@@ -33,9 +33,25 @@ def threshold_anomalies(stream: DataFrame, value: str, low: float | None = None,
     return stream.filter(outside)
 
 
-def hourly_sums(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+def hourly_moments(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """Count, mean and sum of squared deviations; these merge without cancelling, unlike sums of squares."""
     return df.groupBy(F.col(key).alias("key"), F.date_trunc("hour", ts).alias("hour")).agg(
-        F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
+        F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).cast("double").alias("mean"),
+        F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("m2"))
+
+
+def merge_moments(df: DataFrame, *keys) -> DataFrame:
+    """One (n, mean, m2) for each of ``keys``; a group holds hours or batches, not rows."""
+    def step(a, b):
+        n = a["n"] + b["n"]
+        delta = b["mean"] - a["mean"]
+        share = F.when(n > 0, b["n"] / n).otherwise(F.lit(0.0))
+        return F.struct(n.alias("n"), (a["mean"] + delta * share).alias("mean"), (a["m2"] + b["m2"] + delta * delta * a["n"] * share).alias("m2"))
+
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    parts = F.sort_array(F.collect_list(F.struct("n", "mean", "m2")))
+    names = df.select(*keys).columns
+    return df.groupBy(*keys).agg(F.aggregate(parts, none, step).alias("__m")).select(*names, "__m.*")
 
 
 def score_rolling(
@@ -43,17 +59,15 @@ def score_rolling(
 ) -> DataFrame:
     """z-score of each row against the ``hours`` full hours before its own.
 
-    Hourly sums are spread to the hours they serve and folded, then joined on (key, hour): no
+    Hourly moments are spread to the hours they serve and folded, then joined on (key, hour): no
     row-by-row window, so a key with a third of all rows is split by hour.
     """
     serves = F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("k")
     stats = (
-        hourly.select("key", "hour", "n", "s", "ss", serves)
-        .groupBy("key", F.timestamp_seconds(F.unix_seconds("hour") + F.col("k") * 3600).alias("hour"))
-        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-        .select("key", "hour", (F.col("s") / F.col("n")).alias("__mean"),
-                F.sqrt(F.greatest((F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0)))
-                .alias("__std"))
+        merge_moments(hourly.select("key", "hour", "n", "mean", "m2", serves), "key",
+                      F.timestamp_seconds(F.unix_seconds("hour") + F.col("k") * 3600).alias("hour"))
+        .select("key", "hour", F.when(F.col("n") > 0, F.col("mean")).alias("__mean"),
+                F.sqrt(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0))).alias("__std"))
     )
     z = (F.col(value) - F.col("__mean")) / F.nullif("__std", F.lit(0.0))
     scored = df.withColumn("__hour", F.date_trunc("hour", ts)).join(
@@ -64,14 +78,14 @@ def score_rolling(
 
 def rolling_anomalies(df: DataFrame, key: str, ts: str, value: str, hours: int = 24, threshold: float = 3.0) -> DataFrame:
     """Batch form of the rolling check."""
-    return score_rolling(df, hourly_sums(df, key, ts, value), key, ts, value, hours, threshold)
+    return score_rolling(df, hourly_moments(df, key, ts, value), key, ts, value, hours, threshold)
 
 
 def stream_anomalies(
     stream: DataFrame, key: str, ts: str, value: str, state_dir: str, out_dir: str, checkpoint: str,
     hours: int = 24, threshold: float = 3.0,
 ) -> None:
-    """Rolling check over micro-batches: hourly sums of each batch are kept by day and batch id.
+    """Rolling check over micro-batches: hourly moments of each batch are kept by day and batch id.
 
     A batch reads back only the days its own rows look at, and overwrites its own folders when
     it is retried.
@@ -79,14 +93,14 @@ def stream_anomalies(
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        sums = hourly_sums(batch, key, ts, value).withColumn("day", F.to_date("hour"))
+        sums = hourly_moments(batch, key, ts, value).withColumn("day", F.to_date("hour"))
         sums.write.mode("overwrite").partitionBy("day").parquet(f"{state_dir}/batch_id={batch_id}")
         first = batch.agg(F.min(ts)).first()[0]
         if first is None:
             return
         known = spark.read.option("basePath", state_dir).parquet(state_dir).filter(F.col("batch_id") <= batch_id)
         known = known.filter(F.col("day") >= F.date_sub(F.to_date(F.lit(first)), -(-hours // 24)))
-        folded = known.groupBy("key", "hour").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        folded = merge_moments(known, "key", "hour")
         scored = score_rolling(batch, folded, key, ts, value, hours, threshold)
         scored.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 

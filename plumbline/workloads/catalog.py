@@ -280,7 +280,7 @@ _C = V.duck(V.CATALOG_COLUMNS)
 _EXPLICIT = f"""
 explicit AS (SELECT DISTINCT st.table_id AS sid, sc.column_id AS scid, st.table_name AS source_table, sc.name AS source_column,
    tt.table_id AS tid, tc.column_id AS tcid, tt.table_name AS target_table, tc.name AS target_column,
-   'Many-to-One' AS relationship_type, 0.95::DOUBLE AS confidence_score, 'explicit_fk' AS discovery_method
+   'Many-to-One' AS relationship_type, 0.95::DOUBLE AS confidence_score, 'explicit_fk_constraint' AS discovery_method
  FROM {V.duck(CONSTRAINTS)} k JOIN {_T} st ON lower(st.table_name) = lower(k.source_table) JOIN {_C} sc ON sc.table_id = st.table_id AND lower(sc.name) = lower(k.source_column)
  JOIN {_T} tt ON lower(tt.table_name) = lower(k.target_table) JOIN {_C} tc ON tc.table_id = tt.table_id AND lower(tc.name) = lower(k.target_column))"""
 _BASE = "rtrim(rtrim(replace(replace(lower({}), '_id', ''), 'id', ''), '_'), 's')"

@@ -58,7 +58,7 @@ def value_entropy(spark, sf):
 
 
 def pii_combined(spark, sf):
-    return pii.scan_pii(_contacts(spark, sf).select(*CONTACT_COLUMNS), "contacts").withColumn(
+    return pii.scan_pii(_contacts(spark, sf).select(*CONTACT_COLUMNS), "contacts", top_k=10).withColumn(
         "methods", F.array_join("methods", ","))
 
 
@@ -108,7 +108,8 @@ def mask_hash(spark, sf):
 
 def _policies(spark, sf):
     return V.frame(spark, sf, V.POLICIES).withColumns({
-        "allowed_roles": F.split("bypass_roles", ","), "mask_pattern": F.lit(None).cast("string")})
+        "allowed_roles": F.split("bypass_roles", ","),
+        "action_params": F.when(F.col("mask_type").isNotNull(), F.create_map(F.lit("mask_type"), F.col("mask_type")))})
 
 
 def _classifications(spark, sf):
@@ -262,7 +263,7 @@ def _stepped(x: str) -> str:
 
 # the policies of table C0 applied one after the other, with a count of masked values per column
 _MASK_WALK = f"""
-WITH RECURSIVE p AS (SELECT mask_type AS k, row_number() OVER (ORDER BY policy_id) AS o
+WITH RECURSIVE p AS (SELECT coalesce(mask_type, 'generic') AS k, row_number() OVER (ORDER BY policy_id) AS o
    FROM {V.duck(V.CLASSIFICATIONS)} c JOIN {V.duck(V.POLICIES)} p ON {_MATCH_ON}
    WHERE c.table_id = 'C0' AND p.enabled AND p.action_type = 'mask'),
 w AS (SELECT 0::BIGINT AS o, c_custkey::VARCHAR AS a, contact AS b, phone AS c, code1 AS d, company AS e,
