@@ -41,8 +41,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text again."""
-    ids = sentencepiece_codec.encode(docs, piece_model())
-    back = sentencepiece_codec.decode(ids, piece_model())
+    back = sentencepiece_codec.encode_and_decode(docs, piece_model())
     return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

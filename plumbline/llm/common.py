@@ -67,13 +67,13 @@ def by_batches(fn: Callable[[list], pd.DataFrame | pd.Series], returns: T.DataTy
     return F.pandas_udf(typed, returns)
 
 
-def map_column(df: DataFrame, column: str, name: str, returns: T.DataType, fn: Callable[[list, object], pa.Array], setup: Callable[[], object], rows: int = 256) -> DataFrame:
-    """The input with a column ``name`` that ``fn(values, state)`` makes from ``column``, a few rows at a time.
+def map_column(df: DataFrame, column: str, returns: dict[str, T.DataType], fn: Callable[[list, object], list[pa.Array]], setup: Callable[[], object], rows: int = 256) -> DataFrame:
+    """The input with the columns ``returns`` that ``fn(values, state)`` makes from ``column``, a few rows at a time.
 
     Arrow batches pass in slices, so a task holds one batch as Arrow and only a slice of it as Python objects.
     """
-    kept = without(df, name) if name != column else df
-    schema = T.StructType([*kept.schema.fields, T.StructField(name, returns)])
+    kept = without(df, *returns)
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind in returns.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup()
@@ -81,7 +81,7 @@ def map_column(df: DataFrame, column: str, name: str, returns: T.DataType, fn: C
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
                 made = fn(part.column(column).to_pylist(), state)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *returns])
 
     return kept.mapInArrow(run, schema)
 

@@ -23,9 +23,7 @@ def piece_model() -> str:
 
 
 def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").select("doc_id", "text")
-    ids = sentencepiece_codec.encode(docs, piece_model()).drop("text")
-    both = sentencepiece_codec.decode(ids, piece_model())
+    both = sentencepiece_codec.encode_and_decode(load(spark, sf, "documents").select("doc_id", "text"), piece_model())
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

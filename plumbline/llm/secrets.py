@@ -318,20 +318,20 @@ def scan(docs: DataFrame, model: SecretField, text: str = "text", spans: str = "
     """The input with ``spans array<struct<kind, start, end>>``; ends are exclusive, in code points. The field is small and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scanned(values: list, scanner: Scanner) -> pa.Array:
-        return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in scanner.spans(v)] for v in values], _ARROW)
+    def scanned(values: list, scanner: Scanner) -> list[pa.Array]:
+        return [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in scanner.spans(v)] for v in values], _ARROW)]
 
-    return map_column(docs, text, spans, SPANS, scanned, lambda: Scanner(shared.value))
+    return map_column(docs, text, {spans: SPANS}, scanned, lambda: Scanner(shared.value))
 
 
 def redact(docs: DataFrame, model: SecretField, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The input with every span of its text replaced by ``mark``; overlapping spans become one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def cleaned(values: list, scanner: Scanner) -> pa.Array:
-        return pa.array([v if v is None else _without(v, scanner.spans(v), mark) for v in values], pa.string())
+    def cleaned(values: list, scanner: Scanner) -> list[pa.Array]:
+        return [pa.array([v if v is None else _without(v, scanner.spans(v), mark) for v in values], pa.string())]
 
-    out = map_column(docs, text, "__redacted", T.StringType(), cleaned, lambda: Scanner(shared.value))
+    out = map_column(docs, text, {"__redacted": T.StringType()}, cleaned, lambda: Scanner(shared.value))
     return out.select(*[(F.col("__redacted") if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 

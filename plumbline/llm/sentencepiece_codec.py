@@ -250,29 +250,42 @@ def _in_order(sym: np.ndarray, word: np.ndarray, merged: np.ndarray, low: np.nda
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The input with ``ids array<int>``. ``model`` is a file that each executor has, such as one of an installed package."""
 
-    def encoded(values: list, state: tuple) -> pa.Array:
-        vocab, table = state
-        split = [split_words(v, vocab) for v in values]
-        new = [w for w in set(chain.from_iterable(split)) if w not in table]
-        if sum(map(len, new)) + table.get(None, 0) > TABLE_CHARS:
-            table.clear()
-            new = list(set(chain.from_iterable(split)))
-        table.update(zip(new, encode_words(new, vocab)))
-        table[None] = table.get(None, 0) + sum(map(len, new))
-        found = [join_ids(words, table, vocab) for words in split]
-        ends = np.cumsum([0, *map(len, found)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
-
-    return map_column(docs, text, ids, T.ArrayType(T.IntegerType()), encoded, lambda: (read_vocabulary(model), {}))
+    return map_column(docs, text, {ids: T.ArrayType(T.IntegerType())}, lambda values, state: [_listed(_encoded(values, *state))], lambda: (read_vocabulary(model), {}))
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The input with the text of ``ids``: byte pieces become characters, the leading space mark goes."""
+    return map_column(docs, ids, {text: T.StringType()}, lambda values, vocab: [_decoded(values, vocab)], lambda: read_vocabulary(model))
 
-    def decoded(values: list, vocab: Vocabulary) -> pa.Array:
-        return pa.array([None if v is None else decode_ids(v, vocab) for v in values], pa.string())
 
-    return map_column(docs, ids, text, T.StringType(), decoded, lambda: read_vocabulary(model))
+def encode_and_decode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode`, then :func:`decode`, in one pass over the texts."""
+
+    def both(values: list, state: tuple) -> list[pa.Array]:
+        found = _encoded(values, *state)
+        return [_listed(found), _decoded(found, state[0])]
+
+    return map_column(docs, text, {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, both, lambda: (read_vocabulary(model), {}))
+
+
+def _encoded(values: list, vocab: Vocabulary, table: dict) -> list[np.ndarray]:
+    """Ids of texts; ``table`` remembers words, and under None how many characters they have."""
+    split = [split_words(v, vocab) for v in values]
+    new = [w for w in set(chain.from_iterable(split)) if w not in table]
+    if sum(map(len, new)) + table.get(None, 0) > TABLE_CHARS:
+        table.clear()
+        new = list(set(chain.from_iterable(split)))
+    table.update(zip(new, encode_words(new, vocab)))
+    table[None] = table.get(None, 0) + sum(map(len, new))
+    return [join_ids(words, table, vocab) for words in split]
+
+
+def _listed(found: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+
+
+def _decoded(values: list, vocab: Vocabulary) -> pa.Array:
+    return pa.array([None if v is None else decode_ids(v, vocab) for v in values], pa.string())
 
 
 def decode_ids(ids, vocab: Vocabulary) -> str:
