@@ -3,7 +3,7 @@
 The field tags the words of a text as begin, inside or outside of a secret. Features are a word's own form (shape, length, character
 kinds, or the word itself if it often stands before secrets), the same for the words around it, and facts of the whole text. It is trained here on windows
 around the fixed patterns' matches and on windows without any, from a bounded sample of documents (``max_documents``, default
-8,000, chosen by a hash of the id). Decoding is Viterbi: where "outside" leads by more than all transitions can make up, the path must pass it,
+8,000, chosen by a hash of the id). Decoding is Viterbi: where "outside" leads by more than all transitions and the next word can make up, the path must pass it,
 so the words between two such places are decoded on their own, exactly.
 
 Found runs lose quotes and brackets at their ends; those that overlap no fixed match are added. Fixed matches always stay.
@@ -151,7 +151,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docum
     return fit(sorted((tuple(r["words"]), tuple(r["tags"]), tuple(r["facts"])) for r in rows))
 
 
-def fit(windows: list[tuple], rounds: int = 120, ridge: float = 1e-3) -> SecretField:
+def fit(windows: list[tuple], rounds: int = 200, ridge: float = 5e-5) -> SecretField:
     """Maximum likelihood with a ridge, by Adam over all windows at once."""
     if not any(1 in tags for _, tags, _ in windows):
         return SecretField()
@@ -248,8 +248,17 @@ class Scanner:
         self.model, self.words, self.forms = model, {}, {}
         self.table = np.zeros((0, 3 * TAGS))
         self.fixed: set[str] = set()
-        allowed = model.move[np.isfinite(model.move)]
-        self.swing = 2 * float(allowed.max() - allowed.min()) if not model.empty else 0.0
+        self.swing = 3 * float(model.move.max() - model.move.min())
+
+    def unsure(self, scores: np.ndarray) -> np.ndarray:
+        """Places that the best path may leave "outside".
+
+        Elsewhere, a path off "outside" gets better by going back to it: that alters two transitions, and if an inside follows, that
+        one must begin instead, which costs its lead over begin and a third transition.
+        """
+        lead = scores[:, 0] - scores[:, 1:].max(axis=1)
+        after = np.append(np.maximum(0, scores[1:, 2] - scores[1:, 1]), 0)
+        return np.flatnonzero(lead <= self.swing + after)
 
     def _ids(self, words: list[str]) -> list[int]:
         try:
@@ -281,7 +290,7 @@ class Scanner:
             scores = self.table[ids, :TAGS] + (text_facts(words) @ self.model.facts)
             scores[1:] += self.table[ids[:-1], TAGS : 2 * TAGS]
             scores[:-1] += self.table[ids[1:], 2 * TAGS :]
-            unsure = np.flatnonzero(scores[:, 0] - scores[:, 1:].max(axis=1) <= self.swing)
+            unsure = self.unsure(scores)
             if len(unsure):
                 spots = [(m.start(), m.end()) for m in WORD.finditer(text)]
                 for start, end in self._runs(text, spots, scores, unsure):
