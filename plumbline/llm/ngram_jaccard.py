@@ -34,6 +34,8 @@ SIZE = 3
 PERCENT = 90
 SAMPLE = 5
 KNOWN_WORDS = 400_000
+#: A pair of sets counts only at the first token they have in common; so many tokens before it are looked at to tell.
+BEFORE = 6
 #: Ids up to this number are broadcast to pick their documents' texts; more of them take a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -137,16 +139,18 @@ def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, store: _
     linked = compared.where(_similar(percent)).select("a", "b")
     group = store.keep(_components(store.keep(linked), store))
     # the token-group matrix: prefix unions with the best reach of any member
-    placed = store.keep(prefix.join(group, prefix["rep"] == group["id"], "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("grp")))
-    matrix = placed.groupBy("token", "grp").agg(F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("n").alias("least"), F.max("n").alias("most"))
+    placed = store.keep(prefix.join(group, prefix["rep"] == group["id"], "left").select("token", "rep", "n", "pos", "before", F.coalesce("component", "rep").alias("grp")))
+    matrix = placed.groupBy("token", "grp").agg(F.max(F.col("n") - F.col("pos")).alias("reach"), F.min("n").alias("least"), F.max("n").alias("most"),
+                                                F.when(F.count("*") == 1, F.first("before")).alias("before"))
     several = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
     queries = placed.join(several, "token", "left_semi")
     # a member overlaps in at most min(own reach, group reach) tokens; it must be at least percent of the larger set
     bound = F.least(F.col("q.n") - F.col("q.pos"), F.col("m.reach"))
     opened = queries.alias("q").join(matrix.alias("m"), (F.col("q.token") == F.col("m.token")) & (F.col("q.grp") < F.col("m.grp"))).where(
+        ~F.coalesce(F.arrays_overlap("q.before", "m.before"), F.lit(False))).where(
         (100 * F.col("m.most") >= percent * F.col("q.n")) & (100 * F.col("q.n") >= percent * F.col("m.least")) & (100 * bound >= percent * F.greatest(F.col("q.n"), F.col("m.least"))))
-    opened = opened.select(F.col("q.token").alias("token"), F.col("q.rep").alias("a"), F.col("q.n").alias("na"), F.col("q.pos").alias("pa"), F.col("m.grp").alias("grp"))
-    second = opened.join(placed, ["token", "grp"]).where(_reach(percent, "n", "pos", "na", "pa")).select("a", F.col("rep").alias("b")).distinct()
+    opened = opened.select(F.col("q.token").alias("token"), F.col("q.rep").alias("a"), F.col("q.n").alias("na"), F.col("q.pos").alias("pa"), F.col("q.before").alias("ba"), F.col("m.grp").alias("grp"))
+    second = opened.join(placed, ["token", "grp"]).where(_reach(percent, "n", "pos", "na", "pa")).where(~F.arrays_overlap("ba", "before")).select("a", F.col("rep").alias("b")).distinct()
     more = _compare(second.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets).where(_similar(percent)).select("a", "b")
     return linked.unionAll(more)
 
@@ -162,8 +166,10 @@ def _prefixes(sets: DataFrame, slack) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     held = tokens.join(shared, "token").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("held"))
     alone = held.join(sets.select("rep", F.size("tokens").alias("s")), "rep").withColumn("own", F.col("s") - F.size("held")).withColumn("keep", slack + 1 - F.col("own"))
-    cut = alone.where("keep > 0").select("rep", "n", "own", F.posexplode(F.slice("held", F.lit(1), F.col("keep").cast("int"))))
-    return cut.select("col.token", "rep", "n", (F.greatest(F.col("own"), F.lit(0)) + F.col("pos")).cast("long").alias("pos"))
+    cut = alone.where("keep > 0").select("rep", "n", "own", F.slice("held", F.lit(1), F.greatest(F.col("keep"), F.lit(0)).cast("int"))["token"].alias("held"))
+    cut = cut.select("rep", "n", "own", "held", F.posexplode("held"))
+    last = F.slice("held", F.greatest(F.col("pos") - BEFORE + 1, F.lit(1)), F.least(F.col("pos"), F.lit(BEFORE)))
+    return cut.select(F.col("col").alias("token"), "rep", "n", (F.greatest(F.col("own"), F.lit(0)) + F.col("pos")).cast("long").alias("pos"), last.alias("before"))
 
 
 def _reach(percent: int, n: str, pos: str, m: str, at: str):
