@@ -21,4 +21,44 @@ SELECT doc_id, cast(len(ws) AS BIGINT) AS n_words, cast(coalesce(n_hit, 0) AS BI
        sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)"""
 
-ORACLES = {"op9_decontamination": DECONTAMINATION}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+# the line rules and their fixed phrases are spelled out here, apart from the operator's
+QUALITY = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+windows AS (SELECT rid, i, array_to_string(ws[i : i + 7], ' ') AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) > 7)),
+twice AS (SELECT rid, win FROM windows GROUP BY 1, 2 HAVING count(*) > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM windows JOIN twice USING (rid, win)) GROUP BY 1),
+lines AS (SELECT rid, line, regexp_extract_all(line, '{_WORD}') AS lw, regexp_matches(t, '[#*$%&|<>»›•·!]') AS marked
+          FROM (SELECT rid, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+measured AS (SELECT *, len(lw) AS n, length(line) - length(regexp_replace(line, '[#*$%&<>]', '', 'g')) AS symbols,
+          length(line) - length(replace(line, '!', '')) AS shouts, length(line) - length(regexp_replace(line, '[|»›•·]', '', 'g')) AS bars FROM lines WHERE len(lw) > 0),
+judged AS (SELECT rid, line, n, NOT (
+    (marked AND (3 * symbols > n OR shouts > n OR (bars >= 3 AND 4 * bars >= n - bars)))
+    OR (n >= 30 AND NOT regexp_matches(right(line, 4), '[.!?:;…。！？]["''»”’)\]\s]*$') AND NOT regexp_matches(line, '[.,;:!?…。！？]'))
+    OR (n >= 10 AND 4 * len(list_distinct(lw)) < n)
+    OR (n <= 25 AND regexp_matches(lower(line), 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|lorem ipsum|click here|sign in|sign up|log in|subscribe to|newsletter|enable javascript|use of cookies|skip to content|back to top|share this'))
+  ) AS passes FROM measured),
+by_doc AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (passes) AS n_kept_lines,
+           coalesce(sum(n) FILTER (NOT passes), 0) AS n_lost_words FROM judged GROUP BY 1),
+whole AS (SELECT doc_id, cast(len(ws) AS BIGINT) AS n_words, cast(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+           cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, cast(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+           cast(coalesce(n_lines, 0) AS BIGINT) AS n_lines, cast(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+           cast(coalesce(n_kept_lines, 0) AS BIGINT) AS n_kept_lines, cast(coalesce(n_lost_words, 0) AS BIGINT) AS n_lost_words
+           FROM d LEFT JOIN covered USING (rid) LEFT JOIN by_doc USING (rid)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM whole)
+SELECT *, NOT base_failed AND 100 * n_lost_words <= 50 * n_words AS kept FROM failed"""
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) > 2 THEN array_to_string(ws[i : i + 2], ' ') ELSE array_to_string(ws, ' ') END AS shingle
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+          JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id AS start, doc_id AS id FROM d UNION SELECT r.start, l.y FROM reach r JOIN links l ON l.x = r.id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.start = d.doc_id GROUP BY d.doc_id, n.n"""
+
+ORACLES = {"op1_quality_rules": QUALITY, "op6_ngram_jaccard": JACCARD, "op9_decontamination": DECONTAMINATION}

@@ -382,7 +382,7 @@ def test_exchange_finds_classes():
 
 
 # registered queries
-@pytest.mark.parametrize("name", ["op9_decontamination"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op6_ngram_jaccard", "op9_decontamination"])
 def test_against_oracle(spark, sf, name):
     from plumbline.llm.oracles import ORACLES
 
