@@ -1,7 +1,7 @@
 """Upstream and downstream reach over a lineage graph.
 
 All searches are breadth-first loops over DataFrames that serve every root at once: one join of
-the frontier with the edges per hop. Each hop is checkpointed to the shared folder, so the plan
+the frontier with the edges per hop. Each hop is a table of its own in the shared folder, so the plan
 stays short and a lost executor costs at most one hop.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, work_path
 
 
 def active_edges(edges_df: DataFrame) -> DataFrame:
@@ -37,24 +37,47 @@ def nodes(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
     """(dir, root, node, hop) of every node within ``depth`` hops, roots at hop 0.
 
-    ``edges``: dir, src, dst. ``roots``: dir, root. Each round extends the newest hop by the
-    edges and folds the result into the known pairs with ``min(hop)``: a pair met again keeps its
-    smaller hop, which also ends the loop on cycles.
+    ``edges``: dir, src, dst. ``roots``: dir, root. Each round extends the newest hop by the edges and
+    keeps the pairs that no earlier hop has, which also ends the loop on cycles.
     """
-    edges = cut_lineage(edges.select("dir", F.col("src").alias("node"), "dst").distinct())
-    state = cut_lineage(roots.select("dir", "root", F.col("root").alias("node"), F.lit(0).alias("hop")).distinct())
-    hop = 0
-    while depth is None or hop < depth:
-        hop += 1
-        step = (
-            state.filter(F.col("hop") == hop - 1)
-            .join(edges, ["dir", "node"])
-            .select("dir", "root", F.col("dst").alias("node"), F.lit(hop).alias("hop"))
-        )
-        state = cut_lineage(state.unionByName(step).groupBy("dir", "root", "node").agg(F.min("hop").alias("hop")))
-        if state.filter(F.col("hop") == hop).isEmpty():
+    hops = _Hops(edges.select("dir", F.col("src").alias("node"), "dst").distinct())
+    hops.add(roots.select("dir", "root", F.col("root").alias("node"), F.lit(0).alias("hop")).distinct())
+    while depth is None or hops.newest < depth:
+        step = hops.last().join(hops.edges, ["dir", "node"]).select("dir", "root", F.col("dst").alias("node")).distinct()
+        fresh = step.join(hops.known().select("dir", "root", "node"), ["dir", "root", "node"], "left_anti")
+        if not hops.add(fresh.withColumn("hop", F.lit(hops.newest + 1))):
             break
-    return state
+    return hops.known()
+
+
+class _Hops:
+    """Edges and the hops of a search as tables in the shared folder; a round writes what is new and nothing else."""
+
+    def __init__(self, edges: DataFrame):
+        self._spark, self._root, self._paths = edges.sparkSession, work_path(edges.sparkSession, "hops"), []
+        self.edges = self._stored(edges, f"{self._root}/edges")
+
+    def _stored(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        self.schema = df.schema
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def add(self, df: DataFrame) -> bool:
+        """Stores one hop; False if it holds nothing new."""
+        path = f"{self._root}/{len(self._paths)}"
+        held = self._stored(df, path)
+        self._paths.append(path)
+        return not held.isEmpty()
+
+    @property
+    def newest(self) -> int:
+        return len(self._paths) - 1
+
+    def last(self) -> DataFrame:
+        return self._spark.read.schema(self.schema).parquet(self._paths[-1])
+
+    def known(self) -> DataFrame:
+        return self._spark.read.schema(self.schema).parquet(*self._paths)
 
 
 def _from_root(edges_df: DataFrame, root: str, depth: int, direction: str) -> DataFrame:
@@ -100,9 +123,15 @@ def blast_radius(
     instead, those leaving hop-1 nodes as direct and those of deeper hops as indirect.
     """
     edges = both_ways(active_edges(edges_df))
-    starts = nodes(edges).select(F.col("node").alias("root")) if roots is None else roots.select("root").distinct()
-    tagged = starts.withColumn("dir", F.explode(F.array(F.lit("down"), F.lit("up"))))
-    reached = reach(edges, tagged, depth)
+    if roots is None:
+        # from everywhere, what is upstream of a table is what has it downstream
+        starts = nodes(edges).select(F.lit("down").alias("dir"), F.col("node").alias("root"))
+        below = reach(edges.filter("dir = 'down'"), starts, depth)
+        above = below.select(F.lit("up").alias("dir"), F.col("node").alias("root"), F.col("root").alias("node"), "hop")
+        reached = below.unionByName(above)
+    else:
+        tagged = roots.select("root").distinct().withColumn("dir", F.explode(F.array(F.lit("down"), F.lit("up"))))
+        reached = reach(edges, tagged, depth)
     levels = level_counts(edges_df, reached)
     down, up = F.col("dir") == "down", F.col("dir") == "up"
     if compat:
@@ -140,16 +169,14 @@ def change_impact(edges_df: DataFrame, requests: DataFrame, depth: int = 5) -> D
         F.replace(F.coalesce("advice", F.lit(advice)), F.lit("%d"), n.cast("string")).alias("recommendation"))
 
 
-def _extend(state: DataFrame, edges: DataFrame, frontier: DataFrame, length: int) -> DataFrame:
-    """Paths of ``frontier`` lengthened by one edge and folded into ``state``.
+def _extend(hops: _Hops, frontier: DataFrame) -> bool:
+    """Lengthens the paths of ``frontier`` by one edge and stores those to new (root, node) pairs.
 
-    ``state``: root, node, best = struct(length, path). Per (root, node) the shortest path wins,
-    then the smallest one.
+    Rows: root, node, path. Of equally long paths to a node the smallest stays.
     """
-    step = frontier.join(edges, F.col("node") == F.col("src")).select(
-        "root", F.col("dst").alias("node"),
-        F.struct(F.lit(length).alias("length"), F.concat("best.path", F.array("dst")).alias("path")).alias("best"))
-    return cut_lineage(state.unionByName(step).groupBy("root", "node").agg(F.min("best").alias("best")))
+    step = frontier.join(hops.edges, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(
+        F.min(F.concat("path", F.array("dst"))).alias("path"))
+    return hops.add(step.join(hops.known().select("root", "node"), ["root", "node"], "left_anti"))
 
 
 def shortest_paths(edges_df: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -157,20 +184,13 @@ def shortest_paths(edges_df: DataFrame, pairs: DataFrame) -> DataFrame:
 
     One search serves all pairs; a source stops being extended once its targets are found.
     """
-    edges = cut_lineage(active_edges(edges_df).select("src", "dst"))
+    hops = _Hops(active_edges(edges_df).select("src", "dst"))
     wanted = cut_lineage(pairs.select(F.col("source").alias("root"), F.col("target").alias("node")).distinct())
-    state = cut_lineage(wanted.select("root").distinct().select(
-        "root", F.col("root").alias("node"), F.struct(F.lit(0).alias("length"), F.array("root").alias("path")).alias("best")))
-    length = 0
-    while True:
-        length += 1
-        unsolved = wanted.join(state, ["root", "node"], "left_anti").select("root").distinct()
-        frontier = state.filter(F.col("best.length") == length - 1).join(unsolved, "root", "left_semi")
-        state = _extend(state, edges, frontier, length)
-        if state.filter(F.col("best.length") == length).isEmpty():
-            break
-    return wanted.join(state, ["root", "node"]).select(
-        F.col("root").alias("source"), F.col("node").alias("target"), F.col("best.path").alias("path"))
+    found = hops.add(wanted.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")))
+    while found:
+        unsolved = wanted.join(hops.known(), ["root", "node"], "left_anti").select("root").distinct()
+        found = _extend(hops, hops.last().join(unsolved, "root", "left_semi"))
+    return wanted.join(hops.known(), ["root", "node"]).select(F.col("root").alias("source"), F.col("node").alias("target"), "path")
 
 
 def shortest_path(edges_df: DataFrame, a: str, b: str) -> DataFrame:
@@ -206,19 +226,13 @@ def cycles(edges_df: DataFrame, max_length: int | None = None) -> DataFrame:
     A cycle is listed once, rotated to begin at its smallest node; ties go to the smallest path.
     """
     core = cyclic_core(active_edges(edges_df).select("src", "dst"))
-    state = cut_lineage(core.select(
-        F.col("src").alias("root"), F.col("dst").alias("node"),
-        F.struct(F.lit(1).alias("length"), F.array("src", "dst").alias("path")).alias("best")))
-    length = 1
-    while max_length is None or length < max_length:
-        length += 1
-        closed = state.filter("root = node").select("root")
-        frontier = state.filter(F.col("best.length") == length - 1).join(closed, "root", "left_anti")
-        state = _extend(state, core, frontier, length)
-        if state.filter(F.col("best.length") == length).isEmpty():
-            break
-    ring = F.slice("best.path", F.lit(1), F.size("best.path") - 1)
-    loops = state.filter("root = node").select(ring.alias("ring"))
+    hops = _Hops(core.distinct())
+    found = hops.add(core.distinct().select(F.col("src").alias("root"), F.col("dst").alias("node"), F.array("src", "dst").alias("path")))
+    while found and (max_length is None or hops.newest + 1 < max_length):
+        closed = hops.known().filter("root = node").select("root")
+        found = _extend(hops, hops.last().join(closed, "root", "left_anti"))
+    ring = F.slice("path", F.lit(1), F.size("path") - 1)
+    loops = hops.known().filter("root = node").select(ring.alias("ring"))
     at = F.array_position("ring", F.array_min("ring")).cast("int")
     turned = F.concat(F.slice("ring", at, F.size("ring")), F.slice("ring", F.lit(1), at - 1))
     return loops.select(turned.alias("cycle")).distinct().withColumn("length", F.size("cycle"))
