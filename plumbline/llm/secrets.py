@@ -36,6 +36,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "crf"]
 MAX_DOCUMENTS = 8_000
+MAX_WINDOWS = 2_000
 REACH = 8
 TAGS = 3  # outside, begin, inside
 EDGE = "\"'`()[]{}<>,;:.!?"
@@ -136,7 +137,9 @@ def training_windows(text: str, reach: int = REACH) -> Iterator[tuple[list[str],
         yield words[lo:hi], tags[lo:hi].tolist(), facts
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_documents: int = MAX_DOCUMENTS) -> SecretField:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_documents: int = MAX_DOCUMENTS,
+          max_windows: int = MAX_WINDOWS) -> SecretField:
+    """Fits on windows of about ``max_documents`` documents, at most ``max_windows`` with a secret and as many without."""
     n = docs.count()
     share = min(1.0, max_documents / n) if n else 1.0
     few = docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit("secrets")), F.lit(1_000_000)) < int(share * 1_000_000)).where(F.col(text).isNotNull())
@@ -148,10 +151,16 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docum
                 yield pd.DataFrame(rows, columns=["words", "tags", "facts"])
 
     rows = few.select(F.col(text).alias("text")).mapInPandas(cut, "words array<string>, tags array<int>, facts array<double>").collect()
-    return fit(sorted((tuple(r["words"]), tuple(r["tags"]), tuple(r["facts"])) for r in rows))
+    return fit(_bounded(sorted((tuple(r["words"]), tuple(r["tags"]), tuple(r["facts"])) for r in rows), max_windows))
 
 
-def fit(windows: list[tuple], rounds: int = 200, ridge: float = 5e-5) -> SecretField:
+def _bounded(windows: list[tuple], most: int) -> list[tuple]:
+    """At most ``most`` training windows of each kind, with and without a secret, evenly over their order."""
+    with_secret, without = [w for w in windows if 1 in w[1]], [w for w in windows if 1 not in w[1]]
+    return [w for own in (with_secret, without) for w in own[:: max(1, -(-len(own) // most))]]
+
+
+def fit(windows: list[tuple], rounds: int = 150, ridge: float = 5e-5) -> SecretField:
     """Maximum likelihood with a ridge, by Adam over all windows at once."""
     if not any(1 in tags for _, tags, _ in windows):
         return SecretField()
