@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
+from plumbline.operators.relations import connection_of
 
 
 def without_comments(sql: Column) -> Column:
@@ -62,16 +63,16 @@ def lineage_edges(log_df: DataFrame) -> DataFrame:
 def register_edges(
     edges_df: DataFrame, tables_df: DataFrame, existing_df: DataFrame | None = None, method: str = "sql_parser"
 ) -> DataFrame:
-    """New catalog edges, one per (source, target, method); both ends must be cataloged.
+    """New catalog edges, one per (source, target, method); both ends must be cataloged, in one connection.
 
     The many statements behind one edge are folded to the first before anything is joined.
     """
     first = edges_df.groupBy("source_table", "target_table").agg(
         F.min_by(F.struct("lineage_type", "confidence", "transformation_logic", "query_template"), "query_id").alias("e"))
-    names = tables_df.select("table_id", "table_name")
+    names = tables_df.select("table_id", "table_name", connection_of(tables_df).alias("conn"))
     resolved = (
-        first.join(names.select(F.col("table_id").alias("source_table_id"), F.col("table_name").alias("source_table")), "source_table")
-        .join(names.select(F.col("table_id").alias("target_table_id"), F.col("table_name").alias("target_table")), "target_table")
+        first.join(names.select("conn", F.col("table_id").alias("source_table_id"), F.col("table_name").alias("source_table")), "source_table")
+        .join(names.select("conn", F.col("table_id").alias("target_table_id"), F.col("table_name").alias("target_table")), ["target_table", "conn"])
         .select("source_table_id", "target_table_id", F.lit(method).alias("discovery_method"), "e.*", F.lit(True).alias("is_active"))
     )
     if existing_df is not None:

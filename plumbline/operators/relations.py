@@ -16,23 +16,32 @@ def _lower(name: str) -> Column:
     return F.lower(F.col(name))
 
 
+def connection_of(tables_df: DataFrame) -> Column:
+    """Connection of each catalog table; one for all where the catalog names none."""
+    return F.coalesce("connection_id", F.lit("")) if "connection_id" in tables_df.columns else F.lit("")
+
+
 def explicit_relationships(columns_df: DataFrame, tables_df: DataFrame, constraints_df: DataFrame) -> DataFrame:
     """Declared constraints resolved against the catalog, names compared without case.
 
-    ``constraints_df``: source_table, source_column, target_table, target_column.
+    ``constraints_df``: source_table, source_column, target_table, target_column, and optionally connection_id. Both ends lie in
+    one connection.
     """
-    named = columns_df.select("table_id", "column_id", "name").join(tables_df.select("table_id", "table_name"), "table_id")
+    named = columns_df.select("table_id", "column_id", "name").join(
+        tables_df.select("table_id", "table_name", connection_of(tables_df).alias("conn")), "table_id")
 
     def side(prefix):
         return named.select(
-            F.lower("table_name").alias(f"{prefix}_t"), F.lower("name").alias(f"{prefix}_c"),
+            "conn", F.lower("table_name").alias(f"{prefix}_t"), F.lower("name").alias(f"{prefix}_c"),
             F.col("table_name").alias(f"{prefix}_table"), F.col("name").alias(f"{prefix}_column"),
             F.col("table_id").alias(f"{prefix}_table_id"), F.col("column_id").alias(f"{prefix}_column_id"))
 
+    scope = ["connection_id"] if "connection_id" in constraints_df.columns else []
     wanted = constraints_df.select(
-        _lower("source_table").alias("source_t"), _lower("source_column").alias("source_c"),
+        *[F.col(c).alias("conn") for c in scope], _lower("source_table").alias("source_t"), _lower("source_column").alias("source_c"),
         _lower("target_table").alias("target_t"), _lower("target_column").alias("target_c")).distinct()
-    found = wanted.join(side("source"), ["source_t", "source_c"]).join(side("target"), ["target_t", "target_c"])
+    source_on = ["source_t", "source_c", *(["conn"] if scope else [])]
+    found = wanted.join(side("source"), source_on).join(side("target"), ["target_t", "target_c", "conn"])
     return _relation(found, 0.95, "explicit_fk_constraint")
 
 
@@ -64,15 +73,17 @@ def infer_relationships(
 ) -> DataFrame:
     """Columns such as ``customer_id`` matched to the table ``customers`` by name.
 
-    An equi-join on the normalised name. The target must own a column called ``target_key``, or,
+    An equi-join on the connection and the normalised name. The target must own a column called ``target_key``, or,
     for ``target_key="same"``, a column equal to the source column after prefix removal. Pairs
     already declared in ``explicit_df`` are left out.
     """
     ends = F.lit(False)
     for suffix in suffixes:
         ends = ends | F.endswith(F.lower("name"), F.lit(suffix))
-    named = columns_df.select("table_id", "column_id", "name").join(tables_df.select("table_id", "table_name"), "table_id")
+    named = columns_df.select("table_id", "column_id", "name").join(
+        tables_df.select("table_id", "table_name", connection_of(tables_df).alias("__conn")), "table_id")
     sources = named.filter(ends).select(
+        "__conn",
         F.col("table_id").alias("source_table_id"), F.col("column_id").alias("source_column_id"),
         F.col("table_name").alias("source_table"), F.col("name").alias("source_column"),
         column_base(F.col("name"), suffixes, strip_prefix).alias("__base"))
@@ -80,14 +91,14 @@ def infer_relationships(
     if strip_prefix:
         bare = F.regexp_replace(bare, "^[a-z]{1,2}_", "")
     targets = named.select(
-        F.col("table_id").alias("target_table_id"), F.col("column_id").alias("target_column_id"),
+        "__conn", F.col("table_id").alias("target_table_id"), F.col("column_id").alias("target_column_id"),
         F.col("table_name").alias("target_table"), F.col("name").alias("target_column"),
         bare.alias("__key"), F.regexp_replace(F.lower("table_name"), "s+$", "").alias("__base"))
     if target_key == "same":
         sources = sources.withColumn("__key", F.regexp_replace(F.lower("source_column"), "^[a-z]{1,2}_", ""))
-        joined = sources.join(targets, ["__base", "__key"])
+        joined = sources.join(targets, ["__conn", "__base", "__key"])
     else:
-        joined = sources.join(targets.filter(F.col("__key") == target_key), "__base")
+        joined = sources.join(targets.filter(F.col("__key") == target_key), ["__conn", "__base"])
     found = _relation(joined.filter(F.col("source_table_id") != F.col("target_table_id")), 0.75, "heuristic_name_match")
     if explicit_df is not None:
         found = found.join(explicit_df.select("source_column_id", "target_table_id"),

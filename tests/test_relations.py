@@ -53,3 +53,13 @@ def test_paths_and_junctions(spark):
         "Each Course can be associated with many Students, and vice versa, through the Enrol table."]
     three = spark.createDataFrame([("j", t) for t in "abc"], "source_table string, target_table string")
     assert rows(R.many_to_many_text(three), "left_table", "right_table") == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_keys_stay_in_their_connection(spark, catalog):
+    columns, tables = catalog
+    apart = tables.selectExpr("*", "CASE WHEN table_name = 'customers' THEN 'c2' ELSE 'c1' END AS connection_id")
+    assert ("orders", "customer_id", "customers", "id") not in rows(R.infer_relationships(columns, apart), *COLS)
+    assert ("orders", "Address_ID", "address", "id") in rows(R.infer_relationships(columns, apart), *COLS)
+    declared = spark.createDataFrame([("orders", "customer_id", "customers", "id"), ("orders", "address_id", "address", "id")],
+                                     "source_table string, source_column string, target_table string, target_column string")
+    assert rows(R.explicit_relationships(columns, apart, declared), *COLS) == [("orders", "Address_ID", "address", "id")]
