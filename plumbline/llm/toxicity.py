@@ -95,12 +95,12 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_examples: int = MAX_EXAMPLES,
           max_terms: int = MAX_TERMS, k: int = 15) -> ToxicityModel:
     """``labels`` must hold only rows that may be learned from; document frequencies come from all of ``docs``."""
-    ids, marks, words = _examples(docs, labels, label, doc_id, text, max_examples)
-    terms = _choose_terms(words, marks, max_terms)
+    ids, marks, texts = _examples(docs, labels, label, doc_id, text, max_examples)
+    terms = _choose_terms(texts, marks, max_terms)
     frequency, n_docs = _document_frequencies(docs, text, terms)
     idf = np.log((n_docs + 1) / (frequency + 1)) + 1
     model = ToxicityModel(terms, idf, ids, marks, np.zeros(len(terms) + 1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((len(terms), 1)), k)
-    vectors = [model.vector(w) for w in words]
+    vectors = [model.vector(_words(t)) for t in texts]
     owner = np.concatenate([np.full(len(at), i) for i, (at, _) in enumerate(vectors)] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
     term = np.concatenate([at for at, _ in vectors] or [np.zeros(0, dtype=np.int64)])
     weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     return model
 
 
-def _examples(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, max_examples: int) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+def _examples(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, max_examples: int) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
     marked = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("__label"))
     n = marked.count()
     share = min(1.0, max_examples / n) if n else 1.0
@@ -124,15 +124,18 @@ def _examples(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text:
     # about max_examples rows of two numbers: a proven bound for the broadcast
     joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(few), "__id")
     rows = sorted(joined.groupBy("__id").agg(F.first("__label").alias("label"), F.max("__text").alias("text")).collect(), key=lambda r: r["__id"])
-    words = [TERM.findall(r["text"].lower()) if r["text"] else [] for r in rows]
-    return np.array([r["__id"] for r in rows], dtype=np.int64), np.array([int(r["label"]) for r in rows], dtype=np.int64), words
+    return np.array([r["__id"] for r in rows], dtype=np.int64), np.array([int(r["label"]) for r in rows], dtype=np.int64), [r["text"] for r in rows]
 
 
-def _choose_terms(words: list[list[str]], marks: np.ndarray, max_terms: int) -> dict[str, int]:
+def _words(text: str | None) -> list[str]:
+    return TERM.findall(text.lower()) if text else []
+
+
+def _choose_terms(texts: list[str | None], marks: np.ndarray, max_terms: int) -> dict[str, int]:
     """Words that occur at least three times as often under one label as under the other, beyond chance."""
     of = [Counter(), Counter()]
-    for own, mark in zip(words, marks.tolist()):
-        of[min(1, max(0, mark))].update(set(own))
+    for text, mark in zip(texts, marks.tolist()):
+        of[min(1, max(0, mark))].update(set(_words(text)))
     n1, n0 = int((marks > 0).sum()), int((marks <= 0).sum())
     scored = []
     for word, a in of[1].items():
