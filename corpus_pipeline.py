@@ -17,10 +17,10 @@ from plumbline.sources.tables import load
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts whose language stays open (score below one half)."""
+    """Drops texts without a letter and texts whose language stays open (score below 0.3)."""
     model = language_id.train(docs.where(fold("doc_id", 4) != 2))
     scored = language_id.predict(docs, model)
-    return scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)).select(docs.columns)
+    return scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.3)).select(docs.columns)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
