@@ -185,6 +185,8 @@ def fit(windows: list[tuple], rounds: int = 150, ridge: float = 5e-5) -> SecretF
         form[i, : len(words)] = [at[word_form(w, known)] for w in words]
         gold[i, : len(tags)] = tags
     real = form >= 0
+    around = (form, np.pad(form, ((0, 0), (1, 0)), constant_values=-1)[:, :-1], np.pad(form, ((0, 0), (0, 1)), constant_values=-1)[:, 1:])
+    places = [(shifted.ravel(), (shifted.ravel() >= 0) & real.ravel()) for shifted in around]
     weights = [np.zeros((len(features), TAGS)) for _ in range(3)] + [np.zeros((3, TAGS)), np.zeros((TAGS, TAGS))]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     one_hot = np.eye(TAGS)[gold] * real[:, :, None]
@@ -193,12 +195,7 @@ def fit(windows: list[tuple], rounds: int = 150, ridge: float = 5e-5) -> SecretF
         scores = _emissions(form, facts, [holds @ w for w in weights[:3]], weights[3])
         p, pp = _marginals(scores, weights[4] + _BARRED, real)
         delta = p - one_hot
-        sums = [np.zeros((len(forms), TAGS)) for _ in range(3)]
-        flat = form.ravel()
-        for k, shifted in enumerate((form, np.pad(form, ((0, 0), (1, 0)), constant_values=-1)[:, :-1], np.pad(form, ((0, 0), (0, 1)), constant_values=-1)[:, 1:])):
-            flat = shifted.ravel()
-            ok = (flat >= 0) & real.ravel()
-            np.add.at(sums[k], flat[ok], delta.reshape(-1, TAGS)[ok])
+        sums = [np.stack([np.bincount(flat[ok], delta[..., tag].ravel()[ok], minlength=len(forms)) for tag in range(TAGS)], axis=1) for flat, ok in places]
         grads = [holds.T @ s for s in sums] + [np.einsum("bf,btj->fj", facts, delta), pp - pairs]
         for w, g, m, v in zip(weights, grads, first, second):
             g = g + ridge * len(windows) * w
