@@ -245,6 +245,20 @@ def viterbi(scores: np.ndarray, move: np.ndarray) -> np.ndarray:
     return np.array(tags[::-1])
 
 
+def _swing(move: np.ndarray) -> float:
+    """The most that transitions can speak against putting one word back to "outside", over all legal neighbours and text ends."""
+    most = -np.inf
+    for before in (None, 0, 1, 2):
+        for tag in (1, 2):
+            if tag == 2 and before in (None, 0):
+                continue
+            into = 0.0 if before is None else move[before, tag] - move[before, 0]
+            most = max(most, into, *(into + move[tag, after] - move[0, after] for after in (0, 1)))
+            carried = into + move[tag, 2] - move[0, 1]
+            most = max(most, carried, *(carried + move[2, then] - move[1, then] for then in (0, 1, 2)))
+    return float(most)
+
+
 class Scanner:
     """Scans texts with one field; remembers word forms up to a bound."""
 
@@ -254,13 +268,13 @@ class Scanner:
         self.model, self.words, self.forms = model, {}, {}
         self.table = np.zeros((0, 3 * TAGS))
         self.fixed: set[str] = set()
-        self.swing = 3 * float(model.move.max() - model.move.min())
+        self.swing = _swing(model.move)
 
     def unsure(self, scores: np.ndarray) -> np.ndarray:
         """Places that the best path may leave "outside".
 
         Elsewhere, a path off "outside" gets better by going back to it: that alters two transitions, and if an inside follows, that
-        one must begin instead, which costs its lead over begin and a third transition.
+        one must begin instead, which costs its lead over begin and alters a third transition (see :func:`_swing`).
         """
         lead = scores[:, 0] - scores[:, 1:].max(axis=1)
         after = np.append(np.maximum(0, scores[1:, 2] - scores[1:, 1]), 0)
