@@ -24,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of similar documents."""
-    return ngram_jaccard.keep_one(docs)
+    """Keeps the document with the smallest id of each group whose 5-word shingles link at a Jaccard of 0.8 or more."""
+    return ngram_jaccard.keep_one(docs, size=5, percent=80)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

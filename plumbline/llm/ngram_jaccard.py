@@ -1,9 +1,9 @@
-"""Operator 6: similarity join of word 3-gram sets by Jaccard, over a token-group matrix.
+"""Operator 6: similarity join of word n-gram sets (three words unless ``size`` says otherwise) by Jaccard, over a token-group matrix.
 
 Equal sets become one class at once. A fifth of the token space, the same for all, shows for each class how many of its tokens no other
 class has; a class that has too many of them can't link with anything and leaves. The rest compare whole sets:
 
-* Tokens are ordered by the number of classes that hold them. A link must show among the first tenth of a set, its prefix.
+* Tokens are ordered by the number of classes that hold them. A link must show among the first tokens of a set (a tenth at 90 percent), its prefix.
 * Round one partitions: each prefix token names as its centre the set with the fewest rarer tokens; sets that link to a centre form its group.
 * Round two queries: the matrix holds, for each token and group, the union of the members' prefixes with the best overlap that
   any member can still reach. A set opens only groups of another component whose bound reaches the threshold, and is compared with
@@ -13,7 +13,7 @@ No list of a token is ever paired with itself: a list of n sets costs n comparis
 groups. Every comparison is exact, so no link between different texts is lost; tokens are 64-bit hashes in comparisons and
 32-bit hashes in filters, where a collision can only let more through. Components are found by label passes over stored tables.
 
-Defined results: null, empty and blank texts have no set and are linked with nothing. Texts of one or two words have one
+Defined results: null, empty and blank texts have no set and are linked with nothing. Texts of fewer words than a shingle have one
 shingle, the whole sequence. Rows with a null id are left out; repeated ids keep the row with the largest set (ties: its hash).
 An empty table gives an empty result. Columns other than id and text are not looked at.
 """
@@ -68,7 +68,7 @@ def shingle_hashes(text: str | None, known: dict[bytes, int], size: int = SIZE)
     return np.unique(total)
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, whole: bool) -> DataFrame:
+def _sets(docs: DataFrame, doc_id: str, text: str, whole: bool, size: int) -> DataFrame:
     """``doc_id, n, sig1, sig2`` and the token sample as 32-bit numbers, or with ``whole`` all tokens as 64-bit numbers."""
     schema = "doc_id long, n long, sig1 long, sig2 long, tokens array<" + ("long>" if whole else "int>")
 
@@ -77,7 +77,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, whole: bool) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                sets = [shingle_hashes(t, known) for t in part.column(1).to_pylist()]
+                sets = [shingle_hashes(t, known, size) for t in part.column(1).to_pylist()]
                 sums = np.array([(s.sum(dtype=np.uint64), np.bitwise_xor.reduce(_finish(s + _MIX[0])) if len(s) else 0) for s in sets], dtype=np.uint64).view(np.int64)
                 held = [s.view(np.int64) for s in sets] if whole else [np.unique(s[s % np.uint64(SAMPLE) == 0].astype(np.uint32).view(np.int32)) for s in sets]
                 ends = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
@@ -102,15 +102,15 @@ class _Store:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def connect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def connect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """One row for each document: ``doc_id, n_shingles, component_id`` (the smallest id reachable by links)."""
     store = _Store(docs.sparkSession)
-    sets = store.keep(_sets(docs, doc_id, text, whole=False))
+    sets = store.keep(_sets(docs, doc_id, text, whole=False, size=size))
     # one row an id; equal ids are rare, so only the narrow columns move
     narrow = sets.groupBy("doc_id").agg(F.max(F.struct("n", "sig1", "sig2")).alias("s")).select("doc_id", "s.*")
     classes = sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
     classes = store.keep(classes.select("rep", "sig1", "sig2", "n", "tokens"))
-    links = store.keep(_links(docs, doc_id, text, classes, store, percent))
+    links = store.keep(_links(docs, doc_id, text, classes, store, percent, size))
     component = _components(links, store)
     grouped = narrow.join(classes.select("sig1", "sig2", F.col("n").alias("n"), "rep"), ["sig1", "sig2", "n"], "left")
     named = grouped.join(component.withColumnRenamed("id", "rep"), "rep", "left")
@@ -118,7 +118,7 @@ def connect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, store: _Store, percent: int) -> DataFrame:
+def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, store: _Store, percent: int, size: int) -> DataFrame:
     """Linked pairs ``a, b`` of class representatives, enough of them to connect all that any link connects."""
     slack = F.floor(F.col("n") * (100 - percent) / 100)  # tokens of a set that a linked set may lack
     tokens = classes.select("rep", F.explode("tokens").alias("token"))
@@ -128,7 +128,7 @@ def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, store: _
     able = store.keep(sized.join(common, "rep", "left").where(F.col("s") - F.coalesce("common", F.lit(0)) <= slack).select("rep"))
     n_able = able.count()
     picked = docs.where(F.col(doc_id).isNotNull()).join(F.broadcast(able) if n_able <= MAX_BROADCAST_IDS else able, docs[doc_id].cast("long") == able["rep"], "left_semi")
-    sets = _sets(picked, doc_id, text, whole=True).dropDuplicates(["doc_id", "sig1", "sig2"])
+    sets = _sets(picked, doc_id, text, whole=True, size=size).dropDuplicates(["doc_id", "sig1", "sig2"])
     sets = sets.join(classes.select(F.col("rep").alias("doc_id"), "sig1", "sig2"), ["doc_id", "sig1", "sig2"], "left_semi") if _repeats(docs, doc_id) else sets
     sets = store.keep(sets.select(F.col("doc_id").alias("rep"), "n", "tokens"))
     prefix = store.keep(_prefixes(sets, slack))

@@ -259,6 +259,30 @@ def test_ngram_jaccard_over_many_near_copies(spark):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_near_copy_stage_takes_five_words_at_80_percent(spark):
+    """Copies with text added, cut or edited: near copies at 5 words and 0.8 that 3 words and 0.9 let stay."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = []
+    for b in range(6):
+        base = [f"b{b}w{i}" for i in range(200)]
+        rows += [base, base + [f"b{b}x{i}" for i in range(rng.choice([24, 40, 48, 60]))], base[: rng.choice([150, 162, 176])]]
+        for edits in (2, 4, 5, 9):
+            copy = list(base)
+            for at in rng.sample(range(200), edits):
+                copy[at] = f"b{b}e{edits}a{at}"
+            rows.append(copy)
+    rows += [["few"], ["few", "more"], ["few", "more"], ["one", "two", "three", "four", "five"], ["one", "two", "three", "four"]]
+    five = lambda w: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    want = components({i: five(r) for i, r in enumerate(rows)}, 80)
+    narrow = components({i: shingles(" ".join(r)) for i, r in enumerate(rows)})
+    kept = {i for i in want if want[i] == i}
+    assert kept < {i for i in narrow if narrow[i] == i}
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, "").collect()} == kept
+
+
 # 7
 def test_toxicity(spark, sf, docs, none):
     table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
