@@ -328,6 +328,29 @@ def test_language_id(spark, sf, docs, none):
     assert {r.lang_pred for r in language_id.predict(docs, language_id.train(none)).collect()} == {"und"}
 
 
+def test_language_id_keeps_small_languages_and_rare_words(spark):
+    """One language fills the broadcast part; words and n-grams of the small one still count, as over the whole table."""
+    rng = random.Random(8)
+    made = lambda letters, n: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(n)]
+    big, small = made("abcdefghij", 400), made("jklmnop", 60)
+    rows = [(i, " ".join(rng.choice(big) for _ in range(40)), "big") for i in range(200)] + [(1000 + i, " ".join(small[i * 6 : i * 6 + 6]), "small") for i in range(10)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(train, max_words=20, max_grams=200)
+    assert model.langs == ["big", "small"] and len(model.words) == 20 and sum(len(k) for k, _ in model.grams.values()) <= 200 and set(model.grams) == {1, 2, 3, 4}
+    counts = {x: Counter(w for _, t, own in rows if own == x for w in t.split()) for x in model.langs}
+    types = len(counts["big"] | counts["small"])
+    known = lambda w: [math.log((counts[x][w] + 0.5) / (sum(counts[x].values()) + 0.5 * types)) for x in model.langs]
+    tests = [small[0], " ".join(small[3:9]), " ".join(big[:30]), "mnopk klm", big[5] + " nnpp " + small[7], small[0], None, "1 2"]
+    got = by_id(language_id.predict(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model))
+    for i, text in enumerate(tests[:6]):
+        words = text.split()
+        rows_of = [known(w) if counts["big"][w] + counts["small"][w] else model.scores_of([w])[0] for w in words]
+        odds = np.sum(rows_of, axis=0) / len(words) * min(len(words), language_id.EVIDENCE_WORDS)
+        odds = np.exp(odds - odds.max())
+        assert got[i].lang_pred == model.langs[int(odds.argmax())] and math.isclose(got[i].score, odds.max() / odds.sum(), rel_tol=1e-4), i
+    assert [got[i].lang_pred for i in (0, 1, 2, 6, 7)] == ["small", "small", "big", "und", "und"] and got[0].score == got[5].score
+
+
 def test_backoff_takes_the_longest_known_grams():
     rows = lambda *x: (np.array([0, 1]), np.array(x, dtype=float))
     alphabet = np.array([ord("a"), ord("b")], dtype=np.uint32)
