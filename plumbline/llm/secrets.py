@@ -6,7 +6,7 @@ around the fixed patterns' matches and on windows without any, from a bounded sa
 8,000, chosen by a hash of the id). Decoding is Viterbi: where "outside" leads by more than all transitions and the next word can make up, the path must pass it,
 so the words between two such places are decoded on their own, exactly.
 
-Found runs lose quotes and brackets at their ends; those that overlap no fixed match are added. Fixed matches always stay.
+Found runs lose quotes and brackets at their ends and what fixed matches cover of them; the parts left over are added. Fixed matches always stay.
 
 Defined results: null is the empty text, without spans. Matches of one kind never overlap; kinds may. Texts of any length
 are scanned whole. Without a match in the sample the field adds nothing. Repeated rows give equal results. A result column
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import map_column
+from plumbline.llm.common import SPACES, map_column
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The patterns, and the least length of the part that counts.
@@ -314,8 +314,7 @@ class Scanner:
             if len(unsure):
                 spots = [(m.start(), m.end()) for m in WORD.finditer(text)]
                 for start, end in self._runs(text, spots, scores, unsure):
-                    if not any(start < s[3] and end > s[0] for s in base):
-                        found.append((start, 3, "crf", end))
+                    found += [(a, 3, "crf", b) for a, b in _left_over(start, end, base) if not _marks_only(text[a:b])]
         return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
     def _runs(self, text: str, spots: list, scores: np.ndarray, unsure: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -343,6 +342,21 @@ class Scanner:
                     yield start, end
 
 
+def _left_over(start: int, end: int, base: list[tuple]) -> list[tuple[int, int]]:
+    """The parts of a run that no fixed match covers."""
+    parts, at = [], start
+    for s in sorted(base):
+        if s[3] > at and s[0] < end:
+            if s[0] > at:
+                parts.append((at, s[0]))
+            at = s[3]
+    return [*parts, *([(at, end)] if at < end else [])]
+
+
+def _marks_only(part: str) -> bool:
+    return not part.strip(EDGE + SPACES)
+
+
 def scan(docs: DataFrame, model: SecretField, text: str = "text", spans: str = "spans") -> DataFrame:
     """The input with ``spans array<struct<kind, start, end>>``; ends are exclusive, in code points. The field is small and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

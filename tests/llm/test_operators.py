@@ -152,6 +152,18 @@ def test_secret_field_adds_only_secrets(secret_field):
     assert secrets._without(mixed, scanner.spans(mixed), "[X]") == 'the of passcode = "[X]" and to.'
 
 
+def test_left_over_parts_of_runs(secret_field):
+    """A fixed match inside a run doesn't hide the rest of the run."""
+    base = secrets.base_spans('x password="abc123XY!k9zz99aa" y')
+    assert secrets._left_over(11, 28, base) == [(20, 28)] and secrets._left_over(0, 40, base) == [(0, 2), (20, 40)] and secrets._left_over(3, 20, base) == []
+    scanner = secrets.Scanner(secret_field)
+    scanner._runs = lambda *_: iter([(12, 28)])
+    scanner.unsure = lambda _: np.array([1])
+    text = 'x password="abc123XY!k9zz99aa" y'
+    assert scanner.spans(text) == [("assign", 2, 20), ("crf", 20, 28)]
+    assert secrets._without(text, scanner.spans(text), "[X]").count("k9zz") == 0
+
+
 def test_viterbi_is_exact_and_splits_do_not_change_it(secret_field):
     rng = np.random.default_rng(0)
     move = secret_field.move + secrets._BARRED
