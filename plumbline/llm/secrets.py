@@ -2,19 +2,21 @@
 
 The field tags the words of a text as begin, inside or outside of a secret. Features are a word's own form (shape, length, character
 kinds, or the word itself if it often stands before secrets), the same for the words around it, and facts of the whole text. It is trained here on windows
-around the fixed patterns' matches and on windows without any, from a bounded sample of documents (``max_documents``, default
-8,000, chosen by a hash of the id). Decoding is Viterbi: where "outside" leads by more than all transitions and the next word can make up, the path must pass it,
+around the fixed patterns' matches, on windows without any, and on windows that get a generated secret of a further format (prefixed keys, signed
+tokens, mixed pass words, key blocks of several words), from a bounded sample of documents (``max_documents``, default 8,000, chosen by a
+hash of the id). Words that look random but match no pattern are in no window, as they may be secrets. Decoding is Viterbi: where "outside" leads by more than all transitions and the next word can make up, the path must pass it,
 so the words between two such places are decoded on their own, exactly.
 
 Found runs lose quotes and brackets at their ends and what fixed matches cover of them; the parts left over are added. Fixed matches always stay.
 
 Defined results: null is the empty text, without spans. Matches of one kind never overlap; kinds may. Texts of any length
-are scanned whole. Without a match in the sample the field adds nothing. Repeated rows give equal results. A result column
+are scanned whole. Without a text in the sample the field adds nothing. Repeated rows give equal results. A result column
 replaces an input column of the same name.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -131,15 +133,63 @@ def training_windows(text: str, reach: int = REACH) -> Iterator[tuple[list[str],
     tags = tags_of(spots, base_spans(text)) if _SUSPECT.search(text) else np.zeros(len(words), dtype=np.int64)
     facts = text_facts(words).tolist()
     hits = np.flatnonzero(tags == 1).tolist()
-    mixed = [i for i, w in enumerate(words) if tags[i] == 0 and not w.strip(EDGE).isalpha()]
+    open_ = np.array([tag == 0 and looks_random(w) for w, tag in zip(words, tags.tolist())])
+    mixed = [i for i, w in enumerate(words) if tags[i] == 0 and not open_[i] and not w.strip(EDGE).isalpha()]
     for centre in [*hits, *mixed[:: max(1, len(mixed) // 2)][:3], len(words) // 3]:
         lo, hi = max(0, centre - reach), min(len(words), centre + reach + 1)
-        yield words[lo:hi], tags[lo:hi].tolist(), facts
+        # words that nobody knows to be secrets or not end the window
+        unknown = np.flatnonzero(open_[lo:hi]) + lo
+        lo = max([lo, *(unknown[unknown < centre] + 1).tolist()])
+        hi = min([hi, *unknown[unknown >= centre].tolist()])
+        if lo < hi:
+            yield words[lo:hi], tags[lo:hi].tolist(), facts
+
+
+def looks_random(word: str) -> bool:
+    """A long word of mixed kinds that may be a secret of a format no pattern knows."""
+    core = word.strip(EDGE)
+    kinds = sum(bool(re.search(p, core)) for p in (r"[0-9]", r"[a-z]", r"[A-Z]"))
+    return len(core) >= 16 and kinds >= 2 and len(re.findall(r"[0-9]+|[a-z]+|[A-Z]+", core)) >= 5
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_MIXED = _LETTERS + _LETTERS.upper() + "0123456789"
+_LEADS = [["passcode", "="], ["passcode:"], ["key", "="], ["credential:"], ["Authorization:", "Bearer"], ["auth"], []]
+
+
+def generated_secret(rng: random.Random) -> tuple[list[str], list[int]]:
+    """Words and tags of a secret in a format that the fixed patterns miss, with what may stand before it."""
+    draw = lambda n, signs=_MIXED: "".join(rng.choice(signs) for _ in range(n))
+    kind = rng.randrange(4)
+    if kind == 0:
+        value = [rng.choice(["ghp_", "gho_", "sk_live_", "sk-", "xoxb-", "glpat-", "npm_"]) + draw(rng.randint(20, 44))]
+    elif kind == 1:
+        value = ["eyJ" + ".".join(draw(rng.randint(16, 60), _MIXED + "-_") for _ in range(3))]
+    elif kind == 2:
+        value = [draw(rng.randint(16, 48))]
+    else:
+        name = rng.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY-----"
+        lines = [draw(64, _MIXED + "+/") for _ in range(rng.randint(1, 5))] + [draw(rng.randint(20, 60), _MIXED + "+/") + "=="]
+        value = f"-----BEGIN {name}".split() + lines + f"-----END {name}".split()
+    lead = [] if kind == 3 else rng.choice(_LEADS)
+    quote = rng.choice(["", "", '"']) if kind != 3 else ""
+    value = [quote + value[0], *value[1:]] if len(value) > 1 else [quote + value[0] + quote]
+    return [*lead, *value], [*[0] * len(lead), 1, *[2] * (len(value) - 1)]
+
+
+def with_generated(windows: list[tuple], most: int) -> list[tuple]:
+    """Windows without a secret, at most ``most`` and evenly over their order, with a generated one put into each."""
+    plain, rng, made = [w for w in windows if 1 not in w[1]], random.Random(3), []
+    for words, tags, facts in plain[:: max(1, -(-len(plain) // most))]:
+        at = rng.randint(0, len(words))
+        more, own = generated_secret(rng)
+        made.append(((*words[:at], *more, *words[at:]), (*tags[:at], *own, *tags[at:]), facts))
+    return made
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_documents: int = MAX_DOCUMENTS,
           max_windows: int = MAX_WINDOWS) -> SecretField:
-    """Fits on windows of about ``max_documents`` documents, at most ``max_windows`` with a secret and as many without."""
+    """Fits on windows of about ``max_documents`` documents, at most ``max_windows`` with a secret, as many without, and as many with a generated one."""
     n = docs.count()
     share = min(1.0, max_documents / n) if n else 1.0
     few = docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit("secrets")), F.lit(1_000_000)) < int(share * 1_000_000)).where(F.col(text).isNotNull())
@@ -151,7 +201,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docum
                 yield pd.DataFrame(rows, columns=["words", "tags", "facts"])
 
     rows = few.select(F.col(text).alias("text")).mapInPandas(cut, "words array<string>, tags array<int>, facts array<double>").collect()
-    return fit(_bounded(sorted((tuple(r["words"]), tuple(r["tags"]), tuple(r["facts"])) for r in rows), max_windows))
+    windows = sorted((tuple(r["words"]), tuple(r["tags"]), tuple(r["facts"])) for r in rows)
+    return fit(_bounded(windows, max_windows) + with_generated(windows, max_windows))
 
 
 def _bounded(windows: list[tuple], most: int) -> list[tuple]:

@@ -164,6 +164,25 @@ def test_left_over_parts_of_runs(secret_field):
     assert secrets._without(text, scanner.spans(text), "[X]").count("k9zz") == 0
 
 
+def test_secret_field_learns_further_formats():
+    """Secrets of several words are one run, and unknown random words are no negatives."""
+    rng = random.Random(12)
+    secret = "".join(rng.choice(secrets._MIXED) for _ in range(40))
+    windows = [w for i in range(300) for w in secrets.training_windows(" ".join(
+        [*(rng.choice(POOL) for _ in range(12)), *([f"ghp_{secret}"] if i % 3 else ["token", "=", SECRET]), *(rng.choice(POOL) for _ in range(12)), str(rng.randrange(10**6))]))]
+    assert not any("ghp_" in w for words, _, _ in windows for w in words)
+    windows = sorted((tuple(w), tuple(t), tuple(f)) for w, t, f in windows)
+    made = secrets.with_generated(windows, 300)
+    assert any(2 in tags for _, tags, _ in made) and all(len(w) == len(t) for w, t, _ in made)
+    scanner = secrets.Scanner(secrets.fit(secrets._bounded(windows, 300) + made))
+    lines = ["".join(rng.choice(secrets._MIXED + "+/") for _ in range(64)) for _ in range(3)]
+    block = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----"
+    for value in (block, f"ghp_{secret}"):
+        text = f"the of and to in {value} that is for it."
+        assert "".join(text[a:b] for k, a, b in scanner.spans(text) if k == "crf").strip("-") == value.strip("-"), scanner.spans(text)
+    assert scanner.spans("the of and 4532111122223333 to in 555-123-4567 that is.") == []
+
+
 def test_viterbi_is_exact_and_splits_do_not_change_it(secret_field):
     rng = np.random.default_rng(0)
     move = secret_field.move + secrets._BARRED
