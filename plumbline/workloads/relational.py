@@ -76,7 +76,7 @@ def ndjson_export(spark, sf):
 def file_inventory(spark, sf):
     path = work_path(spark, "lake")
     load(spark, sf, "supplier").repartitionByRange(3, "s_suppkey").write.option("header", True).csv(f"{path}/supplier")
-    load(spark, sf, "orders").coalesce(1).write.json(f"{path}/orders")
+    load(spark, sf, "orders").write.json(f"{path}/orders")
     found = files.file_inventory(spark, path)
     return found.groupBy("extension").agg(F.count(F.lit(1)).alias("n_files"), (F.sum("size_bytes") > 0).alias("has_bytes"))
 
@@ -113,7 +113,7 @@ def _workbook(folder: str | None):
 
 
 def excel_ingest(spark, sf):
-    """Parts packed into workbooks of 5,000 rows, then read back as one table.
+    """Parts packed into workbooks of 5,000 rows, then read back as one table and held against the parts, value by value.
 
     Tasks can write plain files only where the shared folder is mounted; under another file
     system the workbooks travel as a stored binary column.
@@ -124,9 +124,21 @@ def excel_ingest(spark, sf):
     packed = parts.groupBy("block").applyInPandas(_workbook(folder if mounted else None), "rows long, content binary")
     if mounted:
         packed.agg(F.sum("rows")).first()
-        return excel.read_excel(spark, folder, schema)
+        return _same_as(excel.read_excel(spark, folder, schema), parts.drop("block"), "p_partkey")
     packed.write.parquet(folder)
-    return excel.parse_workbooks(spark.read.parquet(folder).select("content"), schema)
+    return _same_as(excel.parse_workbooks(spark.read.parquet(folder).select("content"), schema), parts.drop("block"), "p_partkey")
+
+
+def _same_as(found, wanted, key: str):
+    """``found``, whose rows must be those of ``wanted``: a row that lacks, is too many or differs in a value ends the job."""
+    counted = [df.groupBy(*wanted.columns).agg(F.count(F.lit(1)).alias("n")) for df in (found, wanted)]
+    pairs = counted[0].alias("f").join(counted[1].alias("w"), F.col(f"f.{key}") == F.col(f"w.{key}"), "full_outer")
+    same = F.lit(True)
+    for c in [*wanted.columns, "n"]:
+        same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}"))
+    differs = F.raise_error(F.concat(F.lit(f"workbooks differ from their source at {key} "), F.coalesce(F.col(f"f.{key}"), F.col(f"w.{key}")).cast("string")))
+    checked = pairs.select(F.when(same, F.col(f"f.{key}")).otherwise(differs).alias(key), *[F.col(f"f.{c}").alias(c) for c in wanted.columns if c != key], F.col("f.n").alias("n"))
+    return checked.select(*wanted.columns, F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def guarded_query_limit(spark, sf):

@@ -86,3 +86,26 @@ def test_rolling_deviation_does_not_cancel(spark):
     mean = sum(v - 1e9 for v in values) / 4
     deviation = (sum((v - 1e9 - mean) ** 2 for v in values) / 3) ** 0.5
     assert got[4] == pytest.approx((0.1 - mean) / deviation, rel=1e-3)
+
+
+def test_inventory_writes_orders_with_their_own_partitions(spark, sf, tmp_path, monkeypatch):
+    from plumbline.workloads import relational
+
+    real = relational.load
+    monkeypatch.setattr(relational, "load", lambda *a: real(*a).repartition(4))
+    monkeypatch.setattr(relational, "work_path", lambda _, name: str(tmp_path / name))
+    relational.file_inventory(spark, sf).collect()
+    assert len(list((tmp_path / "lake/orders").glob("part-*.json"))) == 4
+
+
+def test_workbooks_are_held_against_their_source(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from plumbline.workloads import relational
+
+    assert relational.excel_ingest(spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count()
+    real = relational.excel.read_excel
+    for change in (lambda df: df.withColumn("p_name", F.when(F.col("p_partkey") == 7, F.lit("x")).otherwise(F.col("p_name"))), lambda df: df.where("p_partkey <> 7")):
+        monkeypatch.setattr(relational.excel, "read_excel", lambda *a, change=change: change(real(*a)))
+        with pytest.raises(Exception, match="differ from their source at p_partkey 7"):
+            relational.excel_ingest(spark, sf).collect()
