@@ -61,4 +61,38 @@ reach AS (SELECT doc_id AS start, doc_id AS id FROM d UNION SELECT r.start, l.y
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.start = d.doc_id GROUP BY d.doc_id, n.n"""
 
-ORACLES = {"op1_quality_rules": QUALITY, "op6_ngram_jaccard": JACCARD, "op9_decontamination": DECONTAMINATION}
+TRIE = rf"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 by its table of 256 remainders; lists of bytes are folded from the left
+remainders AS (SELECT list(r ORDER BY k) AS rs FROM (SELECT k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, x: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS r FROM range(256) b(k))),
+heads AS (SELECT c, c - c % 20 AS first, (xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(c AS VARCHAR), ''), lambda ch: cast(ord(ch) AS BIGINT))),
+            lambda v, x: xor(v >> 8, rs[(xor(v, x) & 255) + 1])), 4294967295)) % 4 AS h FROM (SELECT DISTINCT c FROM t), remainders),
+rebuilt AS (SELECT h.c, t.pos, t.role, t.text FROM heads h JOIN t ON t.c = h.first AND t.pos <= h.h UNION ALL SELECT h.c, t.pos, t.role, t.text FROM heads h JOIN t ON t.c = h.c AND t.pos > h.h),
+seqs AS (SELECT heads.c, coalesce(list({{'role': role, 'text': text}} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS s FROM heads LEFT JOIN rebuilt USING (c) GROUP BY 1),
+members AS (SELECT c, d, s[1:d] AS p, len(s) = d AS ends FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM seqs)),
+nodes AS (SELECT p, d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(cast(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ended,
+            (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '{_WORD}')) END AS own FROM members GROUP BY p, d),
+children AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+linked AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (p)),
+below AS (SELECT p[1:a] AS p, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS a FROM linked) GROUP BY 1)
+SELECT x.conv_id, cast(x.d AS BIGINT) AS depth, y.conv_id AS parent_conv_id, x.n AS n_convs, x.n_children, leaves AS n_leaves, cast(saved AS BIGINT) AS saved_tokens, sha256(x.ended) AS ends_sha256
+FROM linked x JOIN below USING (p) LEFT JOIN nodes y ON x.d > 0 AND y.p = x.p[1:x.d - 1]"""
+
+FILL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(cast(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, cast('0x' || h[1:8] AS BIGINT) AS h1, cast('0x' || h[9:16] AS BIGINT) AS h2, cast('0x' || h[17:24] AS BIGINT) AS h3, cast('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+s AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s"""
+
+COPIES = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)"""
+
+ORACLES = {"op11_conversation_trie": TRIE, "op12_fill_in_middle": FILL, "op13_exact_dedup": COPIES, "op1_quality_rules": QUALITY, "op6_ngram_jaccard": JACCARD, "op9_decontamination": DECONTAMINATION}

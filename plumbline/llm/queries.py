@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import brown_lm, decontaminate, language_id, licenses, ngram_jaccard, quality_model, quality_rules, secrets, sentencepiece_codec, toxicity
+from plumbline.llm import block_names, brown_lm, conversation_trie, decontaminate, fill_in_middle, language_id, licenses, ngram_jaccard, quality_model, quality_rules, secrets, sentencepiece_codec, toxicity
 from plumbline.llm.common import fold
 from plumbline.sources.tables import load
 
@@ -86,4 +86,20 @@ def op10_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return brown_lm.score(docs, counts, model).withColumn("held_out", fold("doc_id", 7) == 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_quality_classifier, op5_license_scan, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_decontamination, op10_language_model)}
+def op11_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, ends = conversation_trie.build(load(spark, sf, "conversations"))
+    hashed = nodes.join(conversation_trie.hash_ends(ends), "key", "left")
+    return hashed.withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(conversation_trie.NO_ENDS))).drop("key")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_in_middle.transform(load(spark, sf, "documents").select("doc_id", "text"), check=True)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("fim_text", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return block_names.find_copies(load(spark, sf, "documents"), carry=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_secret_scan, op4_quality_classifier, op5_license_scan, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_decontamination, op10_language_model,
+                                 op11_conversation_trie, op12_fill_in_middle, op13_exact_dedup)}
