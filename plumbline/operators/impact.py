@@ -1,19 +1,20 @@
 """Upstream and downstream reach over a lineage graph.
 
 All searches are breadth-first loops over DataFrames that serve every root at once: one join of
-the frontier with the edges per hop. Each hop is a table of its own in the shared folder, so the plan
-stays short and a lost executor costs at most one hop.
+the frontier with the edges per hop, each hop a stored table (``plans/graph.py``). Searches without a
+bound on their depth go over the condensation, and cycles are searched inside components only.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
-from plumbline.session import cut_lineage, work_path
+from plumbline.plans import graph
+from plumbline.session import cut_lineage
 
 
 def active_edges(edges_df: DataFrame) -> DataFrame:
@@ -23,67 +24,14 @@ def active_edges(edges_df: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Edges with a direction tag: ``down`` as they are, ``up`` reversed."""
-    down = edges.withColumn("dir", F.lit("down"))
-    up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n_edges", F.lit("up").alias("dir"))
-    return down.unionByName(up)
-
-
-def nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-
-
-def reach(edges: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
-    """(dir, root, node, hop) of every node within ``depth`` hops, roots at hop 0.
-
-    ``edges``: dir, src, dst. ``roots``: dir, root. Each round extends the newest hop by the edges and
-    keeps the pairs that no earlier hop has, which also ends the loop on cycles.
-    """
-    hops = _Hops(edges.select("dir", F.col("src").alias("node"), "dst").distinct())
-    hops.add(roots.select("dir", "root", F.col("root").alias("node"), F.lit(0).alias("hop")).distinct())
-    while depth is None or hops.newest < depth:
-        step = hops.last().join(hops.edges, ["dir", "node"]).select("dir", "root", F.col("dst").alias("node")).distinct()
-        fresh = step.join(hops.known().select("dir", "root", "node"), ["dir", "root", "node"], "left_anti")
-        if not hops.add(fresh.withColumn("hop", F.lit(hops.newest + 1))):
-            break
-    return hops.known()
-
-
-class _Hops:
-    """Edges and the hops of a search as tables in the shared folder; a round writes what is new and nothing else."""
-
-    def __init__(self, edges: DataFrame):
-        self._spark, self._root, self._paths = edges.sparkSession, work_path(edges.sparkSession, "hops"), []
-        self.edges = self._stored(edges, f"{self._root}/edges")
-
-    def _stored(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
-        self.schema = df.schema
-        return self._spark.read.schema(df.schema).parquet(path)
-
-    def add(self, df: DataFrame) -> bool:
-        """Stores one hop; False if it holds nothing new."""
-        path = f"{self._root}/{len(self._paths)}"
-        held = self._stored(df, path)
-        self._paths.append(path)
-        return not held.isEmpty()
-
-    @property
-    def newest(self) -> int:
-        return len(self._paths) - 1
-
-    def last(self) -> DataFrame:
-        return self._spark.read.schema(self.schema).parquet(self._paths[-1])
-
-    def known(self) -> DataFrame:
-        return self._spark.read.schema(self.schema).parquet(*self._paths)
+def _turned(edges: DataFrame, direction: str) -> DataFrame:
+    """(src, dst) along ``down``, against the edges for ``up``."""
+    return edges.select("src", "dst") if direction == "down" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def _from_root(edges_df: DataFrame, root: str, depth: int, direction: str) -> DataFrame:
-    edges = both_ways(active_edges(edges_df)).filter(F.col("dir") == direction)
-    roots = edges_df.sparkSession.createDataFrame([(direction, root)], "dir string, root string")
-    return reach(edges, roots, depth).filter("hop > 0").select("root", "node", "hop")
+    roots = edges_df.sparkSession.createDataFrame([(root,)], "root string")
+    return graph.spread(_turned(active_edges(edges_df), direction), roots, depth).filter("hop > 0")
 
 
 def downstream(edges_df: DataFrame, root: str, depth: int = 5) -> DataFrame:
@@ -96,11 +44,15 @@ def upstream(edges_df: DataFrame, root: str, depth: int = 5) -> DataFrame:
     return _from_root(edges_df, root, depth, "up")
 
 
-def level_counts(edges_df: DataFrame, reached: DataFrame) -> DataFrame:
-    """Per (dir, root, hop): nodes on that hop and edges that leave them."""
-    fan = both_ways(active_edges(edges_df)).groupBy("dir", F.col("src").alias("node")).agg(F.sum("n_edges").alias("n_out"))
-    return reached.join(fan, ["dir", "node"], "left").groupBy("dir", "root", "hop").agg(
-        F.count(F.lit(1)).alias("n_nodes"), F.coalesce(F.sum("n_out"), F.lit(0)).alias("n_edges"))
+def _ids(numbered: graph.Numbered, names: DataFrame) -> DataFrame:
+    """(root) as ids for a ``root`` column of names; names outside the graph have none."""
+    return names.select(F.col("root").alias("node")).distinct().join(numbered.nodes, "node").select(F.col("id").alias("root"))
+
+
+def _fan(numbered: graph.Numbered, edges: DataFrame, column: str) -> DataFrame:
+    """(id, k): parallel edges included, how many edges have a node in ``column``."""
+    named = edges.groupBy(F.col(column).alias("node")).agg(F.sum("n_edges").alias("k"))
+    return named.join(numbered.nodes, "node").select("id", "k")
 
 
 def risk_level(direct, indirect, depth):
@@ -121,45 +73,66 @@ def blast_radius(
 
     direct and indirect are distinct tables at one and at more hops. ``compat`` counts edges
     instead, those leaving hop-1 nodes as direct and those of deeper hops as indirect.
+    Pairs of tables are listed on the way; :func:`blast_radius_sketched` avoids that.
     """
-    edges = both_ways(active_edges(edges_df))
+    edges = cut_lineage(active_edges(edges_df))
+    numbered = graph.number(edges)
     if roots is None:
         # from everywhere, what is upstream of a table is what has it downstream
-        starts = nodes(edges).select(F.lit("down").alias("dir"), F.col("node").alias("root"))
-        below = reach(edges.filter("dir = 'down'"), starts, depth)
-        above = below.select(F.lit("up").alias("dir"), F.col("node").alias("root"), F.col("root").alias("node"), "hop")
-        reached = below.unionByName(above)
+        below = graph.spread(numbered.edges, numbered.nodes.select(F.col("id").alias("root")), depth)
+        above = below.select(F.col("node").alias("root"), F.col("root").alias("node"), "hop")
     else:
-        tagged = roots.select("root").distinct().withColumn("dir", F.explode(F.array(F.lit("down"), F.lit("up"))))
-        reached = reach(edges, tagged, depth)
-    levels = level_counts(edges_df, reached)
-    down, up = F.col("dir") == "down", F.col("dir") == "up"
+        starts = _ids(numbered, roots)
+        below, above = (graph.spread(_turned(numbered.edges, way), starts, depth) for way in ("down", "up"))
+    hop = F.col("hop")
     if compat:
-        direct = F.sum(F.when(down & (F.col("hop") == 1), F.col("n_edges")).otherwise(0))
-        indirect = F.sum(F.when(down & (F.col("hop") > 1), F.col("n_edges")).otherwise(0))
-        sources = F.sum(F.when(up, F.col("n_edges")).otherwise(0))
+        below = below.join(_fan(numbered, edges, "src").withColumnRenamed("id", "node"), "node", "left")
+        above = above.join(_fan(numbered, edges, "dst").withColumnRenamed("id", "node"), "node", "left")
+        weight, counted = F.coalesce("k", F.lit(0)), hop >= 0
     else:
-        direct = F.sum(F.when(down & (F.col("hop") == 1), F.col("n_nodes")).otherwise(0))
-        indirect = F.sum(F.when(down & (F.col("hop") > 1), F.col("n_nodes")).otherwise(0))
-        sources = F.sum(F.when(up & (F.col("hop") > 0), F.col("n_nodes")).otherwise(0))
-    summed = levels.groupBy("root").agg(
-        direct.alias("direct"), indirect.alias("indirect"),
-        F.max(F.when(down, F.col("hop"))).alias("max_depth"), sources.alias("data_sources"))
-    return summed.select(
-        "root", "direct", "indirect", (F.col("direct") + F.col("indirect")).alias("total"), "max_depth",
+        weight, counted = F.lit(1), hop > 0
+    down = below.groupBy("root").agg(
+        F.sum(F.when(hop == 1, weight).otherwise(0)).alias("direct"), F.sum(F.when(hop > 1, weight).otherwise(0)).alias("indirect"), F.max("hop").alias("max_depth"))
+    up = above.groupBy("root").agg(F.sum(F.when(counted, weight).otherwise(0)).alias("data_sources"))
+    return _verdicts(numbered, down.join(up, "root"))
+
+
+def _verdicts(numbered: graph.Numbered, counts: DataFrame) -> DataFrame:
+    named = counts.join(numbered.nodes.select(F.col("id").alias("root"), "node"), "root")
+    return named.select(
+        F.col("node").alias("root"), "direct", "indirect", (F.col("direct") + F.col("indirect")).alias("total"), "max_depth",
         (F.col("direct") * 5 + F.col("indirect") * 2).alias("affected_queries"), "data_sources",
         risk_level(F.col("direct"), F.col("indirect"), F.col("max_depth")).alias("risk_level"))
 
 
+def blast_radius_sketched(edges_df: DataFrame, depth: int = 10, lg_k: int = graph.LG_K) -> DataFrame:
+    """:func:`blast_radius` for every table without listing pairs: sets of reached tables are sketches.
+
+    The work is depth times (tables + edges). ``direct`` is exact; ``indirect``, ``total`` and ``data_sources`` are exact for small
+    sets and off by about 1.04 / sqrt(2 ** lg_k) for large ones (1.6 % by default). ``max_depth`` is the last hop that made
+    the estimate grow, so it can stay below the true depth where a hop adds few tables to very many.
+    """
+    numbered = graph.number(active_edges(edges_df))
+    below = graph.sketch_spread(numbered.edges, numbered.nodes, depth, lg_k)
+    above = graph.sketch_spread(_turned(numbered.edges, "up"), numbered.nodes, depth, lg_k).select(F.col("node").alias("root"), F.col("reached").alias("data_sources"))
+    direct = numbered.edges.where("src <> dst").groupBy(F.col("src").alias("root")).agg(F.count("*").alias("direct"))
+    down = below.select(F.col("node").alias("root"), "reached", F.col("last_hop").alias("max_depth")).join(direct, "root", "left")
+    n = F.coalesce("direct", F.lit(0))
+    return _verdicts(numbered, down.select("root", n.alias("direct"), F.greatest(F.col("reached") - n, F.lit(0)).alias("indirect"), "max_depth").join(above, "root"))
+
+
 def change_impact(edges_df: DataFrame, requests: DataFrame, depth: int = 5) -> DataFrame:
     """Estimated effect of changes (root, change_type); counts downstream edges within ``depth`` hops."""
-    edges = both_ways(active_edges(edges_df)).filter("dir = 'down'")
-    reached = reach(edges, requests.select("root").distinct().withColumn("dir", F.lit("down")), depth)
-    totals = level_counts(edges_df, reached).groupBy("root").agg(F.sum("n_edges").alias("affected_tables"))
+    edges = cut_lineage(active_edges(edges_df))
+    numbered = graph.number(edges)
+    reached = graph.spread(numbered.edges, _ids(numbered, requests), depth)
+    totals = reached.join(_fan(numbered, edges, "src").withColumnRenamed("id", "node"), "node").groupBy("root").agg(F.sum("k").alias("affected_tables")).join(
+        numbered.nodes.select(F.col("id").alias("root"), "node"), "root").select(F.col("node").alias("root"), "affected_tables")
     kinds = edges_df.sparkSession.createDataFrame(fixed.CHANGE_KINDS, "change_type string, severity string, description string, advice string")
     severity, description, advice = fixed.UNKNOWN_CHANGE
+    counted = requests.join(totals, "root", "left").withColumn("affected_tables", F.coalesce("affected_tables", F.lit(0)))
     n = F.col("affected_tables")
-    return requests.join(totals, "root", "left").join(kinds, "change_type", "left").select(
+    return counted.join(kinds, "change_type", "left").select(
         "root", "change_type",
         F.coalesce("severity", F.lit(severity)).alias("severity"),
         F.coalesce("description", F.lit(description)).alias("description"),
@@ -169,14 +142,31 @@ def change_impact(edges_df: DataFrame, requests: DataFrame, depth: int = 5) -> D
         F.replace(F.coalesce("advice", F.lit(advice)), F.lit("%d"), n.cast("string")).alias("recommendation"))
 
 
-def _extend(hops: _Hops, frontier: DataFrame) -> bool:
-    """Lengthens the paths of ``frontier`` by one edge and stores those to new (root, node) pairs.
+class _Paths:
+    """A search that carries paths: stored edges, and one stored table (root, node, path) for every hop."""
 
-    Rows: root, node, path. Of equally long paths to a node the smallest stays.
-    """
-    step = frontier.join(hops.edges, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(
-        F.min(F.concat("path", F.array("dst"))).alias("path"))
-    return hops.add(step.join(hops.known().select("root", "node"), ["root", "node"], "left_anti"))
+    def __init__(self, edges: DataFrame, starts: Callable[[DataFrame], DataFrame]):
+        self._rounds = graph.Rounds(edges.sparkSession, "paths")
+        self.edges = graph.Rounds(edges.sparkSession, "path-edges").add(edges.select("src", "dst").distinct())[0]
+        self.newest, self._seen = self._rounds.add(starts(self.edges))
+
+    @property
+    def found(self) -> int:
+        """New pairs of the newest hop."""
+        return self._seen["n"]
+
+    @property
+    def hops(self) -> int:
+        return len(self._rounds.paths)
+
+    def known(self) -> DataFrame:
+        return self._rounds.all(self.newest.schema)
+
+    def extend(self, frontier: DataFrame) -> None:
+        """Lengthens the paths of ``frontier`` by one edge and stores those to new (root, node) pairs, of equally long ones the smallest."""
+        step = frontier.join(self.edges, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(
+            F.min(F.concat("path", F.array("dst"))).alias("path"))
+        self.newest, self._seen = self._rounds.add(step.join(self.known().select("root", "node"), ["root", "node"], "left_anti"))
 
 
 def shortest_paths(edges_df: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -184,13 +174,12 @@ def shortest_paths(edges_df: DataFrame, pairs: DataFrame) -> DataFrame:
 
     One search serves all pairs; a source stops being extended once its targets are found.
     """
-    hops = _Hops(active_edges(edges_df).select("src", "dst"))
     wanted = cut_lineage(pairs.select(F.col("source").alias("root"), F.col("target").alias("node")).distinct())
-    found = hops.add(wanted.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")))
-    while found:
-        unsolved = wanted.join(hops.known(), ["root", "node"], "left_anti").select("root").distinct()
-        found = _extend(hops, hops.last().join(unsolved, "root", "left_semi"))
-    return wanted.join(hops.known(), ["root", "node"]).select(F.col("root").alias("source"), F.col("node").alias("target"), "path")
+    search = _Paths(active_edges(edges_df), lambda _: wanted.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")))
+    while search.found:
+        unsolved = wanted.join(search.known(), ["root", "node"], "left_anti").select("root").distinct()
+        search.extend(search.newest.join(unsolved, "root", "left_semi"))
+    return wanted.join(search.known(), ["root", "node"]).select(F.col("root").alias("source"), F.col("node").alias("target"), "path")
 
 
 def shortest_path(edges_df: DataFrame, a: str, b: str) -> DataFrame:
@@ -198,41 +187,32 @@ def shortest_path(edges_df: DataFrame, a: str, b: str) -> DataFrame:
     return shortest_paths(edges_df, pairs).select("path")
 
 
-def _peel(edges: DataFrame) -> DataFrame:
-    """Edges whose source has a predecessor and whose target has a successor."""
-    fed, feeding = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-    return edges.join(fed, "src", "left_semi").join(feeding, "dst", "left_semi").select("src", "dst")
-
-
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left after nodes without predecessor or successor are peeled off repeatedly.
-
-    What remains lies on cycles or between them; an acyclic graph vanishes.
-    """
-    core = cut_lineage(edges)
-    size = core.count()
-    while size:
-        core = cut_lineage(_peel(_peel(core)))
-        left = core.count()
-        if left == size:
-            break
-        size = left
-    return core
+def components(edges_df: DataFrame) -> DataFrame:
+    """(component, node, size) of the tables that feed each other in a circle; ``component`` is the smallest name among them."""
+    numbered = graph.number(active_edges(edges_df).select("src", "dst"))
+    found = graph.strong_components(numbered.edges)
+    named = found.join(numbered.nodes.select(F.col("id"), F.col("node").alias("name")), F.col("node") == F.col("id")).select("component", "name", "size")
+    first = named.groupBy("component").agg(F.min("name").alias("first"))
+    return named.join(first, "component").select(F.col("first").alias("component"), F.col("name").alias("node"), "size")
 
 
 def cycles(edges_df: DataFrame, max_length: int | None = None) -> DataFrame:
     """Distinct shortest cycles through the nodes that reach themselves.
 
-    A cycle is listed once, rotated to begin at its smallest node; ties go to the smallest path.
+    A cycle is listed once, rotated to begin at its smallest node; ties go to the smallest path. Only edges within a class of
+    colours are searched: a strongly connected component lies in one class whole, so no cycle is lost and few paths lead nowhere.
     """
-    core = cyclic_core(active_edges(edges_df).select("src", "dst"))
-    hops = _Hops(core.distinct())
-    found = hops.add(core.distinct().select(F.col("src").alias("root"), F.col("dst").alias("node"), F.array("src", "dst").alias("path")))
-    while found and (max_length is None or hops.newest + 1 < max_length):
-        closed = hops.known().filter("root = node").select("root")
-        found = _extend(hops, hops.last().join(closed, "root", "left_anti"))
+    numbered = graph.number(active_edges(edges_df).select("src", "dst"))
+    core = graph.trim(numbered.edges)
+    name = lambda column: numbered.nodes.select(F.col("id").alias(column), F.col("node").alias(f"{column}_name"))
+    inside = graph.within(core, graph.classes(core)[0], "class").join(name("src"), "src").join(name("dst"), "dst").select(
+        F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
+    search = _Paths(inside, lambda edges: edges.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.array("src", "dst").alias("path")))
+    while search.found and (max_length is None or search.hops < max_length):
+        closed = search.known().filter("root = node").select("root")
+        search.extend(search.newest.join(closed, "root", "left_anti"))
     ring = F.slice("path", F.lit(1), F.size("path") - 1)
-    loops = hops.known().filter("root = node").select(ring.alias("ring"))
+    loops = search.known().filter("root = node").select(ring.alias("ring"))
     at = F.array_position("ring", F.array_min("ring")).cast("int")
     turned = F.concat(F.slice("ring", at, F.size("ring")), F.slice("ring", F.lit(1), at - 1))
     return loops.select(turned.alias("cycle")).distinct().withColumn("length", F.size("cycle"))
@@ -243,9 +223,10 @@ def affected_metrics(dependencies_df: DataFrame, tables: DataFrame) -> DataFrame
 
     ``dependencies_df``: parent_id depends on child_id. ``tables``: table_name.
     """
-    edges = dependencies_df.select(F.lit("up").alias("dir"), F.col("child_id").alias("src"), F.col("parent_id").alias("dst"))
-    roots = tables.select(F.lit("up").alias("dir"), F.col("table_name").alias("root")).distinct()
-    return reach(edges, roots, None).filter("hop > 0").select(F.col("root").alias("table_name"), F.col("node").alias("metric"))
+    numbered = graph.number(dependencies_df.select(F.col("child_id").alias("src"), F.col("parent_id").alias("dst")))
+    pairs = graph.closure(numbered, _ids(numbered, tables.select(F.col("table_name").alias("root"))))
+    name = lambda column, to: numbered.nodes.select(F.col("id").alias(column), F.col("node").alias(to))
+    return pairs.join(name("root", "table_name"), "root").join(name("node", "metric"), "node").select("table_name", "metric")
 
 
 def metric_impact(pairs: DataFrame, tables: DataFrame) -> DataFrame:

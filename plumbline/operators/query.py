@@ -2,57 +2,51 @@
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import gate
 from plumbline.session import cut_lineage
 
-# Leading words and command nodes of the read-only gate, and its bounds.
+# Leading words of the read-only gate, and its bounds.
 READ_WORDS = ("select", "with", "show", "describe", "desc", "explain")
 MAX_ROWS = 100_000
 DEFAULT_ROWS = 1_000
 
-_COMMAND = re.compile(
-    r"\b(InsertInto\w*|Create\w*|Drop\w*|Delete\w*|Update\w*|Merge\w*|Alter\w*|Truncate\w*|Replace\w*|Append\w*|Overwrite\w*|"
-    r"SetCommand|LoadData\w*|CacheTable\w*|AddPartitions\w*|RefreshTable\w*)\b")
-# script transformations run shell commands, these functions run JVM methods
-_FOREIGN_CODE = re.compile(r"ScriptTransform|ScriptInputOutputSchema|\b(try_reflect|reflect|java_method)\b", re.I)
 
-
-def is_read_only(spark: SparkSession, sql: str) -> bool:
-    """Leading word of a read statement, and no writing node in the parsed plan.
-
-    A statement such as ``WITH x AS (...) INSERT INTO ...`` starts like a read; Spark's own parser
-    shows what it really is, without running it.
-    """
+def is_read_only(spark: SparkSession, sql: str, relations: Collection[str] = ()) -> bool:
+    """Leading word of a read statement, and a parsed tree that :mod:`plumbline.operators.gate` accepts whole."""
     if not sql.lstrip().lower().startswith(READ_WORDS):
         return False
-    if not sql.lstrip().lower().startswith(("with", "select")):
-        return True
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    if _FOREIGN_CODE.search(plan.toString()):
+    try:
+        gate.check_statement(spark, sql, relations=relations)
+    except gate.NotAllowed:
         return False
-    for node in plan.toString().splitlines():
-        if _COMMAND.match(node.lstrip(" :+-*'!")):
-            return False
     return True
 
 
-def guarded_query(spark: SparkSession, sql: str, params: Mapping | None = None, max_rows: int = DEFAULT_ROWS) -> DataFrame:
-    """Read-only SQL with a row cap of 1..100000, as a lazy DataFrame; a cap outside these bounds raises."""
+def guarded_query(
+    spark: SparkSession, sql: str, params: Mapping | None = None, max_rows: int = DEFAULT_ROWS, frames: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Read-only SQL with a row cap of 1..100000, as a lazy DataFrame; a cap outside these bounds raises.
+
+    ``{name}`` in the statement stands for a DataFrame of ``frames``. Relations must be known to the catalog or bound that way: files
+    are not read by their path.
+    """
     if not sql or not sql.strip():
         raise ValueError("Query is required")
-    if not is_read_only(spark, sql):
+    if not sql.lstrip().lower().startswith(READ_WORDS):
         raise ValueError("Only read-only queries are allowed")
+    frames = dict(frames or {})
+    gate.check_statement(spark, sql.format(**{name: f"`{name}`" for name in frames}) if frames else sql, relations=frames)
     if not 1 <= int(max_rows) <= MAX_ROWS:
         raise ValueError(f"max_rows must lie between 1 and {MAX_ROWS}")
-    return spark.sql(sql, args=dict(params) if params else None).limit(int(max_rows))
+    return spark.sql(sql, args=dict(params) if params else None, **frames).limit(int(max_rows))
 
 
 def guarded_rows(spark: SparkSession, sql: str, params: Mapping | None = None, max_rows: int = DEFAULT_ROWS, timeout_seconds: float = 30.0) -> list:
@@ -83,12 +77,22 @@ def is_truncated(spark: SparkSession, sql: str, params: Mapping | None = None, m
 
 
 def query_over_frames(spark: SparkSession, sql: str, frames: Mapping[str, DataFrame]) -> DataFrame:
-    """SQL over named DataFrames. ``{name}`` in the statement binds a frame for this call only; else they become session views."""
+    """SQL over named DataFrames, bound for this call only: by ``{name}`` in the statement, else by plain names.
+
+    Plain names are temporary views while Spark resolves the statement; views of these names that were there before come back.
+    """
     if any("{" + name + "}" in sql for name in frames):
         return spark.sql(sql, **frames)
+    before = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name in {n.lower() for n in frames}}
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        for name in frames:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
 
 
 def fingerprint(sql):

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.text import contains_any, entity_name, metric_name
+from plumbline.operators import gate
 
 
 def map_entities(columns_df: DataFrame, tables_df: DataFrame, rel_df: DataFrame) -> DataFrame:
@@ -121,14 +121,9 @@ class Link:
     parent_key: str
 
 
-_AGGREGATE = re.compile(r"\b(sum|avg|mean|min|max|count|approx_count_distinct|stddev|variance|median|percentile)\s*\(", re.I)
-_FORBIDDEN = re.compile(r"\b(select|from|insert|delete|update|drop|create|alter|reflect|java_method)\b|;", re.I)
-
-
-def check_formula(formula: str) -> str:
-    """Formulas are single aggregate expressions; anything else is refused."""
-    if not _AGGREGATE.search(formula) or _FORBIDDEN.search(formula):
-        raise ValueError(f"not an aggregate expression: {formula!r}")
+def check_formula(formula: str, spark: SparkSession | None = None) -> str:
+    """Formulas are expressions over aggregates of built-in functions; anything else is refused, by the tree that Spark parses."""
+    gate.check_aggregate(spark or SparkSession.active(), formula)
     return formula
 
 
@@ -179,13 +174,18 @@ def compile_metric(
     """Metric by dimensions over the tables it depends on, joined along foreign keys.
 
     Dimensions and filters may name columns of any table reachable from the metric's first
-    table. Filter keys must be plain identifiers, others are skipped; values are compared typed.
+    table; a name that several tables have raises. Filter keys must be plain identifiers, others are skipped; values are compared typed.
     """
     if metric not in metrics:
         raise ValueError(f"Metric {metric} not found in semantic layer.")
     spec = metrics[metric]
     usable = {k: v for k, v in (filters or {}).items() if k.replace("_", "").isalnum()}
-    owners = {c: t for t, df in tables.items() for c in df.columns}
+    asked = {*dims, *usable}
+    owners: dict[str, str] = {}
+    for table, df in tables.items():
+        for column in asked.intersection(df.columns):
+            if owners.setdefault(column, table) != table:
+                raise ValueError(f"column {column} is ambiguous: {owners[column]} and {table} have it")
     wanted = [*spec.tables[1:], *[owners[c] for c in [*dims, *usable] if c in owners]]
     missing = [c for c in [*dims, *usable] if c not in owners]
     if missing:
@@ -193,4 +193,4 @@ def compile_metric(
     base = _joined(tables, links, spec.tables[0], wanted)
     if usable:
         base = base.filter(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in usable.items()]))
-    return base.groupBy(*dims).agg(F.expr(check_formula(spec.formula)).alias(metric))
+    return base.groupBy(*dims).agg(F.expr(check_formula(spec.formula, base.sparkSession)).alias(metric))

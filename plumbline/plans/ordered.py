@@ -1,14 +1,13 @@
 """Order-dependent computations that do not need a whole group in one task.
 
-A plain window ``PARTITION BY key ORDER BY t`` sends every row of a key to one task. Here the
-order column is first cut into equi-depth segments, so a (key, segment) pair stays small even
-when one key owns a third of the data; a per-segment summary then carries the prefix across
-segments. The summary has at most ``segments`` rows per key.
+A plain window ``PARTITION BY key ORDER BY t`` sends every row of a key to one task. Here the rows are range-partitioned by key, order
+and ties, and stored with the number of their partition, so a part of one key is a stretch of its order however hot the key, or one
+single order value, may be. A window runs inside each (key, part); what the parts before it add is a summary with one row for each part
+that a key spans. Cut points stay inside Spark's range partitioner: the plan is as large for a million parts as for two.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,75 +15,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-SEGMENT = "__segment"
+from plumbline.session import work_path
 
-
-def order_key(df: DataFrame, column: str) -> Column:
-    """Monotone numeric image of a date, timestamp or numeric column."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(column)).cast("long")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp"))
-    if isinstance(kind, T.NumericType):
-        return F.col(column)
-    raise TypeError(f"cannot order segments by {column}: {kind.simpleString()}")
-
-
-ROWS_PER_SEGMENT = 1_000_000
-
-
-def default_segments(df: DataFrame) -> int:
-    """As many segments as keep each near :data:`ROWS_PER_SEGMENT` rows, and no fewer than the session's shuffle partitions."""
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / ROWS_PER_SEGMENT))
-
-
-def cut_points(df: DataFrame, column: str, segments: int) -> list:
-    """Equi-depth cut points of ``column``; reads that one column, returns < ``segments`` numbers."""
-    shares = [i / segments for i in range(1, segments)]
-    row = df.agg(F.percentile_approx(order_key(df, column), shares, max(10000, 4 * segments)).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
-
-
-def _below(values: Column, key: Column) -> Column:
-    """How many elements of a sorted array are smaller than ``key``.
-
-    Written without a lambda: the optimizer infers join filters from this expression, and with a
-    lambda inside it loses track of the columns it reads.
-    """
-    return F.array_position(F.sort_array(F.array_append(values, key)), key) - 1
+PART = "__part"
+KEY = "__key"
+ROW = "__row"
 
 
-def with_segments(df: DataFrame, column: str, cuts: Sequence) -> DataFrame:
-    """Adds the segment number; equal order values always share a segment, NULLs come first.
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """The rows with their keys as one struct ``KEY`` and ``PART``, their place in a range partitioning by keys and order.
 
-    The cut is found in two steps, block then place in the block, so a row looks at about
-    2 * sqrt(cuts) numbers.
+    The struct groups, windows and joins NULL keys like any other value. Equal rows are told apart by ``ROW``, the place in the input, so even a
+    single hot order value falls into several parts. The result is a stored table: parts keep their numbers however often
+    they are read, and the input is read once to sample and once to store. Without ``parts`` there are as many as the session's shuffle partitions,
+    or fewer where adaptive execution joins small ones.
     """
-    key = order_key(df, column)
-    if not cuts:
-        return df.withColumn(SEGMENT, F.lit(0).cast("long"))
-    size = math.ceil(math.sqrt(len(cuts)))
-    blocks = [list(cuts[i:i + size]) for i in range(0, len(cuts), size)]
-
-    def literal(values):
-        return F.array(*[F.lit(v) for v in values])
-
-    block = _below(literal([b[-1] for b in blocks[:-1]]), key) if len(blocks) > 1 else F.lit(0)
-    within = _below(F.element_at(F.array(*[literal(b) for b in blocks]), (block + 1).cast("int")), key)
-    return df.withColumn(SEGMENT, F.coalesce((block * size + within).cast("long"), F.lit(-1).cast("long")))
-
-
-KEY = "__key"
+    spark = df.sparkSession
+    keyed = df.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))).withColumn(ROW, F.monotonically_increasing_id())
+    by = [KEY, *order, ROW]
+    cut = keyed.repartitionByRange(parts, *by) if parts else keyed.repartitionByRange(*by)
+    path = work_path(spark, "ranged")
+    cut.withColumn(PART, F.spark_partition_id()).write.parquet(path)
+    return spark.read.schema(cut.withColumn(PART, F.spark_partition_id()).schema).parquet(path)
 
 
-def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds the keys as one struct: it groups, windows and joins NULL keys like any other value."""
-    return df.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+def _inside(*order: str | Column):
+    return Window.partitionBy(PART, KEY).orderBy(*order, ROW)
 
 
-def _earlier():
-    return Window.partitionBy(KEY).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+def _carried(cut: DataFrame, summary: Column, fold) -> DataFrame:
+    """(PART, KEY, __before): ``fold`` of the summaries of the key's earlier parts; keys within one part have no row."""
+    earlier = Window.partitionBy(KEY).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(PART, KEY).agg(summary.alias("__sum"))
+    return parts.withColumn("__before", fold("__sum").over(earlier)).filter("__before IS NOT NULL").drop("__sum")
 
 
 def row_numbers(
@@ -95,43 +58,22 @@ def row_numbers(
     out: str = "rn",
     segments: int | None = None,
 ) -> DataFrame:
-    """1-based row number of each row within ``keys`` by ``order`` then ``ties``."""
-    cuts = cut_points(df, order, segments or default_segments(df))
-    cut = _keyed(with_segments(df, order, cuts), keys)
-    local = cut.withColumn(out, F.row_number().over(Window.partitionBy(KEY, SEGMENT).orderBy(order, *ties)))
-    offsets = (
-        cut.groupBy(KEY, SEGMENT)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(_earlier()), F.lit(0)))
-        .drop("__n")
-    )
-    return (
-        local.join(offsets, [KEY, SEGMENT])
-        .withColumn(out, F.col(out) + F.col("__before"))
-        .drop(KEY, SEGMENT, "__before")
-    )
+    """1-based row number of each row within ``keys`` by ``order`` then ``ties``, NULLs first."""
+    cut = ranged(df, keys, [order, *ties], segments)
+    local = cut.withColumn(out, F.row_number().over(_inside(order, *ties)).cast("long"))
+    joined = local.join(_carried(cut, F.count(F.lit(1)), F.sum), [PART, KEY], "left")
+    return joined.withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0))).select(*[c for c in df.columns if c != out], out)
 
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: str, ties: Sequence[str] = (), out: str = "running",
     segments: int | None = None,
 ) -> DataFrame:
-    """Cumulative sum of ``value`` within ``keys`` by ``order`` then ``ties``."""
-    cuts = cut_points(df, order, segments or default_segments(df))
-    cut = _keyed(with_segments(df, order, cuts), keys)
-    window = Window.partitionBy(KEY, SEGMENT).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumn(out, F.sum(value).over(window))
-    carry = (
-        cut.groupBy(KEY, SEGMENT)
-        .agg(F.sum(value).alias("__s"))
-        .withColumn("__before", F.coalesce(F.sum("__s").over(_earlier()), F.lit(0)))
-        .drop("__s")
-    )
-    return (
-        local.join(carry, [KEY, SEGMENT])
-        .withColumn(out, F.coalesce(F.col(out), F.lit(0)) + F.col("__before"))
-        .drop(KEY, SEGMENT, "__before")
-    )
+    """Cumulative sum of ``value`` within ``keys`` by ``order`` then ``ties``, NULLs first; NULL values add nothing."""
+    cut = ranged(df, keys, [order, *ties], segments)
+    local = cut.withColumn(out, F.sum(value).over(_inside(order, *ties).rowsBetween(Window.unboundedPreceding, 0)))
+    joined = local.join(_carried(cut, F.sum(value), F.sum), [PART, KEY], "left")
+    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(0)) + F.coalesce("__before", F.lit(0))).select(*[c for c in df.columns if c != out], out)
 
 
 def asof_join(
@@ -145,30 +87,20 @@ def asof_join(
 ) -> DataFrame:
     """Adds to every left row the ``value`` of the latest right row at or before its time.
 
-    Both sides are stacked and scanned once per (key, segment); no pair of rows is ever formed.
+    Both sides are stacked and scanned once per (key, part); no pair of rows is ever formed.
     Right rows that share a time are resolved to the largest value; a latest row whose value is NULL gives NULL. A NULL key
-    matches nothing.
+    or a NULL time matches nothing.
     """
     payload = F.struct(*[F.col(c) for c in left.columns])
     lefts = left.select(*keys, F.col(left_time).alias("__t"), payload.alias("__left"),
                         F.lit(None).cast(T.StructType([T.StructField("v", right.schema[value].dataType)])).alias("__v"), F.lit(1).alias("__side"))
-    rights = right.dropna(subset=list(keys)).select(
+    rights = right.dropna(subset=[*keys, right_time]).select(
         *keys, F.col(right_time).alias("__t"), F.lit(None).cast(lefts.schema["__left"].dataType).alias("__left"),
         F.struct(F.col(value).alias("v")).alias("__v"), F.lit(0).alias("__side"))  # a struct, so that a NULL value is still the latest row
-    stacked = lefts.unionByName(rights)
-    cuts = cut_points(stacked, "__t", segments or default_segments(stacked))
-    cut = _keyed(with_segments(stacked, "__t", cuts), keys)
-    window = (Window.partitionBy(KEY, SEGMENT).orderBy("__t", "__side", "__v")
-              .rowsBetween(Window.unboundedPreceding, 0))
+    cut = ranged(lefts.unionByName(rights), keys, ["__t", "__side", "__v"], segments)
+    window = _inside("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumn("__seen", F.last("__v", ignorenulls=True).over(window)).filter("__side = 1")
-    # segments that hold left rows only still get a carry row
-    carry = (
-        cut.groupBy(KEY, SEGMENT)
-        .agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct("__t", "__v"))).alias("__last"))
-        .withColumn("__carry", F.last("__last", ignorenulls=True).over(_earlier()))
-        .drop("__last")
-    )
-    return (
-        local.join(carry, [KEY, SEGMENT])
-        .select("__left.*", F.coalesce("__seen", "__carry")["v"].alias(value))
-    )
+    # parts that hold left rows only still get a carry row
+    newest = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct("__t", "__v")))
+    joined = local.join(_carried(cut, newest, lambda c: F.last(c, ignorenulls=True)), [PART, KEY], "left")
+    return joined.select("__left.*", F.coalesce("__seen", "__before")["v"].alias(value))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +56,17 @@ def cut_lineage(df):
     """Reliable checkpoint: the plan restarts from files in the shared folder that outlive any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes files or folders with all they hold, on whatever file system their paths name; missing ones are passed over."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, without a failed read in the log."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -2,8 +2,8 @@
 
 Catalogs, query logs, lineage edges, policies, audit rows and change feeds are not among the
 given tables. Each is computed here from one of them, by SQL text that Spark and DuckDB both
-accept: the job and its oracle then start from the same rows. ``{explode}`` is the one spot where
-the dialects differ.
+accept: the job and its oracle then start from the same rows. ``{explode}`` and ``{rings}`` are the spots
+where the dialects differ.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ SELECT event_id AS query_id,
 FROM (SELECT *, {table_name('a')} AS src, {table_name('b')} AS alt, {table_name('c')} AS dst FROM
       (SELECT *, 1 + user_id % 97 AS a, 1 + (user_id * 3 + event_id) % 101 AS b, 1 + event_id % 89 AS c FROM events) k) n"""
 
-# a lineage forest with diamonds, two-node cycles, self loops and switched-off edges
+# a lineage forest with diamonds, rings of three to six tables, two-node cycles, self loops and switched-off edges
 LINEAGE_EDGES = f"""
 SELECT concat('T', {text('p_partkey')}) AS source_table_id,
        concat('T', {text(half('p_partkey'))}) AS target_table_id,
@@ -136,7 +136,16 @@ SELECT concat('T', {text(half('p_partkey'))}), concat('T', {text('p_partkey')}),
 FROM part WHERE p_partkey % 97 = 0 AND p_partkey > 1
 UNION ALL
 SELECT concat('T', {text('p_partkey')}), concat('T', {text('p_partkey')}), true
-FROM part WHERE p_partkey % 89 = 0 AND p_partkey > 1"""
+FROM part WHERE p_partkey % 89 = 0 AND p_partkey > 1
+UNION ALL
+SELECT concat('T', {text('a')}), concat('T', {text('b')}), true
+FROM {{rings}} WHERE a > 0 AND b > 0"""
+
+# every 211th table starts a ring over its neighbours, of three to six of them in turn
+_RING = "floor(p_partkey / 211) % 4 + 3"
+_RING_EDGES = f"(SELECT p_partkey - i AS a, p_partkey - cast((i + 1) % ({_RING}) as bigint) AS b FROM %s WHERE p_partkey % 211 = 0) r"
+SPARK_RINGS = _RING_EDGES.replace("%s", f"part LATERAL VIEW explode(sequence(0, cast({_RING} as int) - 1)) s AS i")
+DUCK_RINGS = _RING_EDGES.replace("%s", f"(SELECT *, unnest(range(0, cast({_RING} as int))) AS i FROM part)")
 
 POLICIES = """
 SELECT concat('P', cast(n_nationkey as string)) AS policy_id,
@@ -194,14 +203,24 @@ SELECT concat('metric_', {text('p_partkey')}) AS parent_id,
             ELSE concat('table_', {text('p_partkey % 40')}) END AS child_id
 FROM part"""
 
+# halfway through the topic is divided anew: keys move to other partitions, and offsets start again in a new epoch
 CDC_FEED = """
-SELECT event_id AS feed_offset,
+SELECT event_id - CASE WHEN event_id > half THEN half ELSE 0 END AS feed_offset,
+       CASE WHEN event_id > half THEN 1 ELSE 0 END AS epoch,
        CASE WHEN event_id % 11 = 0 THEN 'd' WHEN event_id < 50 THEN 'i' ELSE 'u' END AS op,
        user_id,
        event_type,
        value,
        ts
-FROM events"""
+FROM (SELECT *, (SELECT cast(floor(max(event_id) / 2) as bigint) FROM events) AS half FROM events) e"""
+
+# messages of the same topic that are no changes: cut off, of an unknown operation, without a row, without a key
+CDC_FAULTS = """
+SELECT CASE kind WHEN 0 THEN concat('{"op": "u", "feed_offset": ', id) WHEN 1 THEN concat('{"op": "x", "feed_offset": ', id, ', "after": {"user_id": 1}}')
+                 WHEN 2 THEN concat('{"op": "u", "feed_offset": ', id, ', "before": null}') WHEN 3 THEN concat('{"feed_offset": ', id, ', "after": {"user_id": 1}}')
+                 ELSE concat('{"op": "u", "feed_offset": ', id, ', "after": {"event_type": "view"}}') END AS value,
+       CASE kind WHEN 0 THEN 'not valid JSON of the declared row' WHEN 1 THEN 'unknown operation' WHEN 2 THEN 'no row' WHEN 3 THEN 'no operation' ELSE 'no key user_id' END AS reason
+FROM (SELECT cast(event_id as string) AS id, floor(event_id / 37) % 5 AS kind FROM events k WHERE event_id % 37 = 0) f"""
 
 JSON_TEXTS = """
 SELECT event_id AS id,
@@ -261,12 +280,12 @@ _SOURCES = ("part", "events", "nation", "customer", "orders", "supplier")
 
 def duck(sql: str) -> str:
     """The derivation as a parenthesised DuckDB subquery."""
-    return "(" + sql.replace("{explode}", DUCK_POSITIONS).strip() + ")"
+    return "(" + sql.replace("{explode}", DUCK_POSITIONS).replace("{rings}", DUCK_RINGS).strip() + ")"
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The derivation as a Spark DataFrame over the given tables."""
-    query = sql.replace("{explode}", SPARK_POSITIONS).replace("{", "{{").replace("}", "}}")
+    query = sql.replace("{explode}", SPARK_POSITIONS).replace("{rings}", SPARK_RINGS).replace("{", "{{").replace("}", "}}")
     for name in _SOURCES:
         query = _bind(query, name)
     frames = {n: load(spark, sf_dir, n) for n in _SOURCES if "{" + n + "}" in query}

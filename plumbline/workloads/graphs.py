@@ -74,6 +74,21 @@ def blast_radius_compat(spark, sf):
     return impact.blast_radius(_edges(spark, sf), compat=True)
 
 
+def blast_radius_sketched(spark, sf):
+    """Sketches held against exact counts for every table: exact where sets are small, within 8 % (five standard errors) elsewhere."""
+    exact = impact.blast_radius(_edges(spark, sf)).select("root", F.col("direct").alias("d"), F.col("total").alias("t"), F.col("data_sources").alias("s"), F.col("max_depth").alias("m"))
+    both = impact.blast_radius_sketched(_edges(spark, sf)).join(exact, "root")
+
+    def close(found: str, true: str):
+        return (F.abs(F.col(found) - F.col(true)) <= F.when(F.col(true) <= 64, 0).otherwise(0.08 * F.col(true)))
+
+    return both.select("root", "direct", close("total", "t").alias("total_holds"), close("data_sources", "s").alias("sources_hold"), (F.col("max_depth") <= F.col("m")).alias("depth_holds"))
+
+
+def lineage_components(spark, sf):
+    return impact.components(_edges(spark, sf)).withColumn("size", F.col("size").cast("long"))
+
+
 def _pairs(spark, sf):
     """Every table with its third successor by halving, and with its neighbour, mostly out of reach."""
     tables = _tables(spark, sf).select(F.substring("table_id", 2, 20).cast("long").alias("p"))
@@ -190,6 +205,8 @@ QUERIES = {
     "lineage_upstream": lineage_upstream,
     "blast_radius_all": blast_radius_all,
     "blast_radius_compat": blast_radius_compat,
+    "blast_radius_sketched": blast_radius_sketched,
+    "lineage_components": lineage_components,
     "lineage_path": lineage_path,
     "lineage_cycles": lineage_cycles,
     "change_impact": change_impact,
@@ -238,6 +255,13 @@ UNION ALL SELECT DISTINCT 'node', t, 'table', t FROM e UNION ALL SELECT 'edge',
     "blast_radius_compat": _BLAST.format(
         down="CAST(coalesce(sum(k) FILTER (WHERE hop = 1), 0) AS BIGINT) AS direct, CAST(coalesce(sum(k) FILTER (WHERE hop > 1), 0) AS BIGINT) AS indirect",
         up="CAST(coalesce(sum(k), 0) AS BIGINT)"),
+    "blast_radius_sketched": f"""
+WITH RECURSIVE {_ACTIVE}, n AS (SELECT s AS root FROM e UNION SELECT t FROM e)
+SELECT root, count(e.t) FILTER (e.t <> root) AS direct, true AS total_holds, true AS sources_hold, true AS depth_holds FROM n LEFT JOIN e ON e.s = root GROUP BY 1""",
+    "lineage_components": f"""
+WITH RECURSIVE {_ACTIVE}, w AS (SELECT s AS a, t AS b FROM e UNION SELECT w.a, e.t FROM w JOIN e ON e.s = w.b),
+c AS (SELECT x.a AS node, least(min(x.b), x.a) AS component, count(DISTINCT x.b) AS size FROM w x JOIN w y ON y.a = x.b AND y.b = x.a GROUP BY 1)
+SELECT component, node, size FROM c""",
     "lineage_path": f"""
 WITH RECURSIVE {_ACTIVE}, p AS (SELECT p_partkey AS p FROM part),
 want AS (SELECT 'T' || p AS source, 'T' || (p // 8) AS target FROM p UNION SELECT 'T' || p, 'T' || (p + 1) FROM p),

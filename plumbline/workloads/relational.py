@@ -142,10 +142,9 @@ def _same_as(found, wanted, key: str):
 
 
 def guarded_query_limit(spark, sf):
-    query.query_over_frames(spark, "SELECT 1", {"guard_orders": load(spark, sf, "orders")})
     return query.guarded_query(
-        spark, "SELECT o_orderkey, o_totalprice FROM guard_orders WHERE o_orderstatus = :s ORDER BY o_totalprice DESC, o_orderkey",
-        {"s": "F"}, max_rows=250)
+        spark, "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus = :s ORDER BY o_totalprice DESC, o_orderkey",
+        {"s": "F"}, max_rows=250, frames={"orders": load(spark, sf, "orders")})
 
 
 def sql_asof(spark, sf):

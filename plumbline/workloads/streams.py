@@ -19,30 +19,39 @@ def _events_stream(spark, sf):
 
 
 def _feed_folder(spark, sf):
-    """The change feed as JSON lines in several files, as a topic would deliver it."""
+    """The change feed as JSON lines in several files, as a topic would deliver it, with faulty messages among them."""
     feed = V.frame(spark, sf, V.CDC_FEED)
     row = F.struct("user_id", "event_type", "value")
     nothing = F.when(F.lit(False), row)
-    texts = feed.repartitionByRange(6, "feed_offset").select(F.to_json(F.struct(
+    texts = feed.repartitionByRange(6, "epoch", "feed_offset").select(F.to_json(F.struct(
         F.when(F.col("op") != "i", row).otherwise(nothing).alias("before"),
         F.when(F.col("op") != "d", row).otherwise(nothing).alias("after"),
-        "op", "feed_offset")).alias("value"))
+        "op", "feed_offset", "epoch")).alias("value"))
     path = work_path(spark, "feed")
     texts.write.text(path)
+    V.frame(spark, sf, V.CDC_FAULTS).select("value").write.mode("append").text(path)
     return path
 
 
 def cdc_changes(spark, sf):
     out = work_path(spark, "changes")
-    changes = cdc.cdc_changes(file_stream(spark, _feed_folder(spark, sf), 2), ROW)
+    changes = cdc.cdc_changes(file_stream(spark, _feed_folder(spark, sf), 2), ROW, keys=["user_id"], with_epoch=True)
     sinks.run_available_now(changes, sinks.batch_folder(out), work_path(spark, "checkpoint"))
     return spark.read.parquet(out).drop("batch_id")
 
 
+def cdc_rejects(spark, sf):
+    out = work_path(spark, "rejects")
+    rejects = cdc.cdc_rejects(file_stream(spark, _feed_folder(spark, sf), 4), ROW, keys=["user_id"])
+    sinks.run_available_now(rejects, sinks.batch_folder(out), work_path(spark, "checkpoint"))
+    return spark.read.parquet(out).select("value", "reason")
+
+
 def cdc_current_state(spark, sf):
-    """Three micro-batches, compaction after the second, then the merged state."""
-    changes = cdc.cdc_changes(file_stream(spark, _feed_folder(spark, sf), 2), ROW)
-    table = cdc.apply_cdc(changes, ["user_id"], work_path(spark, "state"), work_path(spark, "checkpoint"), compact_every=2)
+    """Several micro-batches with compaction of the buckets that reach two deltas, unused files removed, then the merged state."""
+    table = cdc.apply_cdc(file_stream(spark, _feed_folder(spark, sf), 4), ["user_id"], work_path(spark, "state"), work_path(spark, "checkpoint"),
+                          compact_every=2, row_schema=ROW, rejects_dir=work_path(spark, "rejects"), buckets=4)
+    table.vacuum()
     return table.current()
 
 
@@ -92,6 +101,7 @@ SELECT event_id, round(z, 4) AS z_score, coalesce(abs(z) > {threshold}, false) A
 
 QUERIES = {
     "cdc_changes": cdc_changes,
+    "cdc_rejects": cdc_rejects,
     "cdc_current_state": cdc_current_state,
     "stream_kpi_hourly": stream_kpi_hourly,
     "stream_anomalies": stream_anomalies,
@@ -102,9 +112,10 @@ QUERIES = {
 
 _FEED = V.duck(V.CDC_FEED)
 ORACLES = {
-    "cdc_changes": f"SELECT op, feed_offset, user_id, event_type, value FROM {_FEED}",
+    "cdc_changes": f"SELECT op, feed_offset, user_id, event_type, value, cast(epoch AS BIGINT) AS epoch FROM {_FEED}",
+    "cdc_rejects": f"SELECT value, reason FROM {V.duck(V.CDC_FAULTS)}",
     "cdc_current_state": f"""
-WITH last AS (SELECT * FROM {_FEED} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY feed_offset DESC) = 1)
+WITH last AS (SELECT * FROM {_FEED} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch DESC, feed_offset DESC) = 1)
 SELECT user_id, feed_offset, event_type, value FROM last WHERE op <> 'd'""",
     "stream_kpi_hourly": """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS metric, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 7) AS mean FROM events GROUP BY 1, 2""",

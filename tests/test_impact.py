@@ -1,6 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import impact as I
+from plumbline.plans import graph as G
 from tests.conftest import rows
 
 
@@ -77,3 +81,78 @@ def test_metric_impact_is_transitive(spark):
     pairs = I.affected_metrics(deps, tables)
     assert rows(pairs.filter("table_name = 't'"), "metric") == [("m1",), ("m2",), ("m3",)]
     assert rows(I.metric_impact(pairs, tables)) == [("t", 3, "medium"), ("u", 6, "high"), ("v", 0, "medium")]
+
+
+def brute_reach(edges):
+    """node -> {other: hops} by plain searches."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+    out = {}
+    for start in after:
+        hops, front = {start: 0}, [start]
+        while front:
+            front = [x for n in front for x in after[n] if x not in hops and not hops.update({x: hops[n] + 1})]
+        out[start] = hops
+    return out
+
+
+def random_edges(seed, n, m):
+    rng = random.Random(seed)
+    rings = [(f"r{k}_{i}", f"r{k}_{(i + 1) % k}") for k in range(1, 7) for i in range(k)]
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(30)] + [("c29", "c05"), ("r3_1", "c00"), ("c30", "r6_0")]
+    return sorted({(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)} | set(rings) | set(chain))
+
+
+@pytest.mark.parametrize("seed, n, m", [(1, 40, 45), (2, 40, 80), (3, 60, 40)])
+def test_components_and_cycles_against_brute_force(spark, seed, n, m):
+    edges = random_edges(seed, n, m)
+    reach = brute_reach(edges)
+    df = graph(spark, *edges)
+    want = {}
+    for a in reach:
+        own = sorted(b for b in reach[a] if a in reach[b])
+        if len(own) > 1 or (a, a) in edges:
+            want[a] = (own[0], len(own))
+    got = {r.node: (r.component, r.size) for r in I.components(df).collect()}
+    assert got == want
+    found = {tuple(r.cycle) for r in I.cycles(df).collect()}
+    on_cycles = {x for c in found for x in c}
+    assert on_cycles == set(want)
+    for c in found:
+        assert all((a, b) in edges for a, b in zip(c, c[1:] + c[:1])) and c[0] == min(c) and len(set(c)) == len(c)
+    shortest = {a: min(reach[b][a] + 1 for x, b in edges if x == a and a in reach[b]) for a in want}
+    assert all(min(len(c) for c in found if a in c) == shortest[a] for a in want)
+
+
+def test_closure_over_the_condensation(spark):
+    edges = random_edges(4, 50, 70)
+    reach = brute_reach(edges)
+    numbered = G.number(spark.createDataFrame(edges, "src string, dst string"))
+    names = {r.id: r.node for r in numbered.nodes.collect()}
+    small = G.condense(numbered)
+    assert I.cycles(graph(spark, *[(str(r.src), str(r.dst)) for r in small.edges.collect()])).count() == 0
+    pairs = G.closure(numbered, numbered.nodes.select(F.col("id").alias("root")))
+    assert {(names[r.root], names[r.node]) for r in pairs.collect()} == {(a, b) for a in reach for b in reach[a] if a != b}
+
+
+def test_sketches_against_exact_counts(spark):
+    """Small sets are exact; a set of thousands is within three standard errors; loops and rings end."""
+    edges = random_edges(5, 60, 90)
+    exact = {r.root: r for r in I.blast_radius(graph(spark, *edges)).collect()}
+    got = {r.root: r for r in I.blast_radius_sketched(graph(spark, *edges)).collect()}
+    assert {k: tuple(r) for k, r in got.items()} == {k: tuple(r) for k, r in exact.items()}
+    wide = spark.range(20_000).select(F.lit("hub").alias("source_table_id"), F.concat(F.lit("x"), F.col("id")).alias("target_table_id"), F.lit(True).alias("is_active"))
+    wide = wide.unionByName(wide.select(F.col("target_table_id").alias("source_table_id"), F.concat(F.lit("y"), F.col("target_table_id")).alias("target_table_id"), "is_active"))
+    hub = I.blast_radius_sketched(wide).where("root = 'hub'").first()
+    assert hub.direct == 20_000 and abs(hub.total - 40_000) < 3 * 0.0163 * 40_000 and hub.max_depth == 2
+    coarse = I.blast_radius_sketched(wide, lg_k=6).where("root = 'hub'").first()
+    assert abs(coarse.total - 40_000) < 4 * 0.13 * 40_000
+
+
+def test_no_edges(spark):
+    none = graph(spark, ("a", "b", False))
+    assert I.components(none).count() == I.cycles(none).count() == I.blast_radius(none).count() == I.blast_radius_sketched(none).count() == 0
+    deps = spark.createDataFrame([], "parent_id string, child_id string")
+    assert I.affected_metrics(deps, spark.createDataFrame([("t",)], "table_name string")).count() == 0

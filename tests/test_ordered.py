@@ -71,11 +71,32 @@ def test_range_join(spark):
     assert rows(ranges.range_join(points, "x", spans, "lo", "hi", 10), "n", "x") == expected
 
 
-def test_segments_stay_small_for_a_hot_key(spark):
+def test_parts_stay_small_for_a_hot_key(spark):
     df = spark.range(4000).selectExpr("'hot' AS k", "id AS t")
-    cuts = ordered.cut_points(df, "t", 8)
-    sizes = [r["count"] for r in ordered.with_segments(df, "t", cuts).groupBy(ordered.SEGMENT).count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 700
+    sizes = [r["count"] for r in ordered.ranged(df, ["k"], ["t"], 8).groupBy(ordered.PART).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 900
+
+
+def test_one_hot_order_value_is_split(spark):
+    """All rows share key and order value, and no tie tells them apart; the parts stay even, the numbers and sums whole."""
+    df = spark.range(4000).selectExpr("'hot' AS k", "7 AS t", "id AS v")
+    sizes = [r["count"] for r in ordered.ranged(df, ["k"], ["t"], 8).groupBy(ordered.PART).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 900
+    assert sorted(r.rn for r in ordered.row_numbers(df, ["k"], "t", segments=8).collect()) == list(range(1, 4001))
+    assert max(r.running for r in ordered.running_sum(df, ["k"], "t", "v", segments=8).collect()) == 4000 * 3999 // 2
+
+
+def test_plan_does_not_grow_with_the_parts(spark):
+    df = spark.range(3000).selectExpr("id % 3 AS k", "id AS t", "id AS v")
+    plans = [ordered.running_sum(df, ["k"], "t", "v", segments=n)._jdf.queryExecution().analyzed().toString().count("\n") for n in (2, 300)]
+    assert plans[0] == plans[1]
+
+
+def test_nulls_in_order_and_value(spark):
+    df = spark.createDataFrame([("a", None, 5), ("a", 1, None), ("a", 2, 3), ("b", None, None), (None, 1, 4)], "k string, t int, v int")
+    assert rows(ordered.running_sum(df, ["k"], "t", "v", segments=3), "k", "t", "running") == [("a", 1, 5), ("a", 2, 8), ("a", None, 5), ("b", None, 0), (None, 1, 4)]
+    left = spark.createDataFrame([("a", None), ("a", 3), (None, 3)], "k string, t int")
+    assert rows(ordered.asof_join(left, df, ["k"], "t", "t", "v", segments=3)) == sorted([("a", None, None), ("a", 3, 3), (None, 3, None)], key=str)
 
 
 def test_timestamps_as_order(spark):

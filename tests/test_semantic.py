@@ -87,3 +87,22 @@ def test_drivers_add_up(spark):
 def test_last_months(spark):
     df = spark.createDataFrame([(dt.datetime(2023, 1, 31),), (dt.datetime(2023, 2, 1),), (dt.datetime(2024, 1, 31),), (dt.datetime(2024, 2, 1),)], "t timestamp")
     assert kpis.last_n_months(df, "t", dt.datetime(2024, 2, 1)).count() == 2
+
+
+@pytest.mark.parametrize("formula, ok", [
+    ("sum(a * (1 - b))", True), ("sum(a) / count(DISTINCT b)", True), ("round(coalesce(max(a), 0), 2)", True), ("sum(a) FILTER (WHERE b > 1)", True), ("count(*)", True),
+    ("sum(1) + assert_true(false)", False), ("sum(a) + b", False), ("a", False), ("upper('x')", False), ("reflect('a', 'b')", False), ("sum(reflect('a', 'b'))", False),
+    ("sum((SELECT max(x) FROM t))", False), ("sum(a); DROP TABLE t", False), ("sum(a) OVER (PARTITION BY b)", False), ("sum(", False), ("raise_error(max(a))", False)])
+def test_formulas(spark, formula, ok):
+    if ok:
+        assert S.check_formula(formula, spark) == formula
+    else:
+        with pytest.raises(ValueError):
+            S.check_formula(formula, spark)
+
+
+def test_ambiguous_columns_raise(spark):
+    tables = {"a": spark.createDataFrame([(1, 2)], "id int, region int"), "b": spark.createDataFrame([(2, 3)], "a_id int, region int")}
+    metrics = {"m": S.Metric("m", "sum(id)", ("a",))}
+    with pytest.raises(ValueError, match="ambiguous"):
+        S.compile_metric("m", metrics, tables, [], dims=["region"])

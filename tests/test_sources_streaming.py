@@ -136,6 +136,71 @@ def test_cdc_state_is_idempotent_and_ignores_late_changes(spark, tmp_path, compa
     assert once == rows(table.current()) == [(1, 5, "c"), (3, 8, "y")]
 
 
+def test_rejects_say_why(spark):
+    lines = [change("i", 1, 1, "a"), "not json", '{"op": "u"', '{"op": "z", "after": {"id": 1}}', '{"op": "u"}', '{"after": {"id": 1}}', change("u", 2, None, "b"), None]
+    got = cdc.cdc_rejects(feed(spark, lines), "id int, v string", keys=["id"]).collect()
+    assert sorted(r.reason for r in got) == sorted(
+        ["not valid JSON of the declared row"] * 3 + ["unknown operation", "no row", "no operation", "no key id"]) and {r.value for r in got} == set(lines[1:])
+    assert cdc.cdc_changes(feed(spark, lines), "id int, v string", keys=["id"]).count() == 1
+
+
+def epoch_change(op, epoch, offset, key, value):
+    return json.dumps(json.loads(change(op, offset, key, value)) | {"epoch": epoch})
+
+
+def test_partitions_that_disagree_on_offsets(spark, tmp_path):
+    """A key moves to a partition with smaller offsets: the later epoch wins, in one batch or over several, also after compaction."""
+    batches = [[epoch_change("i", 0, 900, 1, "old"), epoch_change("i", 0, 901, 2, "old"), epoch_change("u", 1, 3, 1, "new")], [epoch_change("d", 1, 4, 2, "old"), epoch_change("u", 0, 950, 1, "late")]]
+    for compact_every in (1, 2, 9):
+        table = cdc.CdcTable(spark, str(tmp_path / f"state{compact_every}"), ["id"], compact_every, buckets=3)
+        for i, lines in enumerate(batches):
+            table.write_batch(cdc.cdc_changes(feed(spark, lines), "id int, v string", with_epoch=True), i)
+        assert rows(table.current(), "id", "v") == [(1, "new")]
+
+
+def test_only_touched_buckets_are_merged(spark, tmp_path):
+    table = cdc.CdcTable(spark, str(tmp_path / "state"), ["id"], compact_every=2, buckets=8)
+    decode = lambda lines: cdc.cdc_changes(feed(spark, lines), "id int, v string")
+    for i in range(2):
+        table.write_batch(decode([change("u", i * 100 + k, k, f"v{i}") for k in range(40)]), i)
+    live = lambda: {r["bucket"]: r["folder"] for r in table.manifest() if r["kind"] != "merged"}
+    first = live()
+    assert set(first.values()) == {"bases/v1"} and len(first) == 8
+    for i in (2, 3):
+        table.write_batch(decode([change("u", i * 100, 7, f"w{i}")]), i)
+    after = live()
+    assert sorted(after.values()) == ["bases/v1"] * 7 + ["bases/v3"]
+    want = [(k, "w3" if k == 7 else "v1") for k in range(40)]
+    assert rows(table.current(), "id", "v") == sorted(want, key=str)
+    table.write_batch(decode([change("u", 300, 7, "w3")]), 3)  # a retried batch
+    assert rows(table.current(), "id", "v") == sorted(want, key=str)
+    # what no version names any more goes, and nothing else
+    gone = table.vacuum()
+    assert any(g.endswith("deltas/v0") for g in gone) and not (tmp_path / "state/deltas/v0").exists() and not (tmp_path / "state/deltas/v3").exists()
+    moved = next(b for b, f in after.items() if f == "bases/v3")
+    assert not (tmp_path / f"state/bases/v1/{cdc.BUCKET}={moved}").exists() and (tmp_path / "state/bases/v1").exists()
+    assert rows(table.current(), "id", "v") == sorted(want, key=str)
+    table.write_batch(decode([]), 4)
+    assert rows(table.current(), "id", "v") == sorted(want, key=str) and {r["version"] for r in table.manifest()} == {4}
+    table.write_batch(decode([change("d", 900, 7, "w3"), change("u", 100, 8, "late")]), 5)
+    assert rows(table.current(), "id", "v") == sorted([w for w in want if w[0] != 7], key=str)
+
+
+def test_state_of_nothing(spark, tmp_path):
+    table = cdc.CdcTable(spark, str(tmp_path / "state"), ["id"])
+    assert table.manifest() == [] and table.vacuum() == []
+    with pytest.raises(ValueError):
+        table.current()
+
+
+def test_faulty_messages_are_kept_apart(spark, tmp_path):
+    source = tmp_path / "in"
+    feed(spark, [change("i", 1, 1, "a"), "oops", change("i", 2, 2, "b")]).coalesce(1).write.text(str(source))
+    table = cdc.apply_cdc(kafka.file_stream(spark, str(source)), ["id"], str(tmp_path / "s"), str(tmp_path / "cp"), row_schema="id int, v string", rejects_dir=str(tmp_path / "bad"))
+    assert rows(table.current(), "id", "v") == [(1, "a"), (2, "b")]
+    assert [r.value for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["oops"]
+
+
 def test_stream_matches_batch_with_several_files(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()

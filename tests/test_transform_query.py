@@ -1,6 +1,7 @@
 import pandas as pd
 import pytest
 
+from plumbline.operators import gate
 from plumbline.operators import query as Q
 from plumbline.operators import transform as X
 from tests.conftest import rows
@@ -52,7 +53,7 @@ def test_gate(spark, sql, ok):
 
 
 def test_guarded_query(spark, cities):
-    Q.query_over_frames(spark, "SELECT 1", {"cities": cities})
+    cities.createOrReplaceTempView("cities")
     assert [r.city for r in Q.guarded_query(spark, "SELECT city FROM cities ORDER BY population DESC", max_rows=2).collect()] == ["Tokyo", "London"]
     assert Q.guarded_query(spark, "SELECT city FROM cities WHERE id = :i", {"i": 2}).first()[0] == "London"
     assert Q.is_truncated(spark, "SELECT * FROM cities", max_rows=3) and not Q.is_truncated(spark, "SELECT * FROM cities", max_rows=4)
@@ -63,6 +64,51 @@ def test_guarded_query(spark, cities):
         Q.guarded_query(spark, "SELECT 1; DROP TABLE cities")
 
 
+WIDE = ", ".join(f"{i} AS c{i}" for i in range(60))
+CALL = "reflect('java.lang.System', 'getProperty', 'user.dir')"
+
+
+@pytest.mark.parametrize("sql", [
+    f"SELECT {WIDE}, {CALL}", f"SELECT {WIDE}, java_method('java.lang.System', 'nanoTime')", "SELECT value FROM text.`/etc/hostname`", "SELECT * FROM csv.`/etc/hostname` t",
+    f"SELECT (SELECT max(a) FROM (SELECT {CALL} AS a))", "SELECT 1 WHERE 1 IN (SELECT max(value) FROM text.`/etc/hostname`)", "SELECT * FROM range(3) WHERE EXISTS (SELECT assert_true(false))",
+    f"SELECT transform(array(1), x -> {CALL})", f"SELECT id FROM range(3) ORDER BY {CALL}", f"SELECT count(*) FROM range(3) GROUP BY id HAVING max({CALL}) > ''",
+    f"WITH a AS (WITH b AS (SELECT {CALL} AS x) SELECT * FROM b) SELECT * FROM a", f"SELECT * FROM range(2) r JOIN LATERAL (SELECT {CALL}) l", "SELECT raise_error('no')", "SELECT input_file_name()",
+    "SELECT system.builtin.reflect('a', 'b')", "SELECT * FROM IDENTIFIER('cities')", "SELECT nobody_knows(1)", f"EXPLAIN SELECT {CALL}", "EXPLAIN DROP TABLE cities", "EXPLAIN INSERT INTO cities SELECT 1",
+    "DESCRIBE TABLE text.`/etc/hostname`", "SELECT * FROM not_there", "SELECT * FROM a.b.c.d", "WITH cities AS (SELECT 1) DELETE FROM cities"])
+def test_gate_refuses(spark, cities, sql):
+    cities.createOrReplaceTempView("cities")
+    with pytest.raises(ValueError, match="read-only"):
+        Q.guarded_query(spark, sql)
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT 'please reflect on this; drop table x' AS c, `id` AS `java_method` FROM range(1)", f"SELECT {WIDE}", "SELECT current_date() IS NOT NULL, typeof(1), x'00', date '2024-01-01'",
+    "WITH RECURSIVE n AS (SELECT 1 AS i UNION ALL SELECT i + 1 FROM n WHERE i < 3) SELECT * FROM n", "SELECT id, rank() OVER (PARTITION BY id % 2 ORDER BY id) FROM range(3)",
+    "SELECT e FROM cities LATERAL VIEW explode(array(1, 2)) t AS e", "SELECT * FROM cities c WHERE population = (SELECT max(population) FROM cities d WHERE d.id = c.id)",
+    "SELECT id FROM range(3) UNION (SELECT 1 EXCEPT SELECT 2)", "SELECT transform(array(1), x -> x + 1)", "DESCRIBE cities", "SHOW TABLES", "EXPLAIN SELECT * FROM cities"])
+def test_gate_lets_reads_through(spark, cities, sql):
+    cities.createOrReplaceTempView("cities")
+    assert Q.guarded_query(spark, sql).columns
+
+
+def test_gate_knows_functions_by_class(spark):
+    """A user function under the name of a built-in one is not the built-in one; allowed names are."""
+    other = spark.newSession()
+    assert Q.is_read_only(other, "SELECT upper('a')")
+    other.udf.register("upper", lambda s: s)
+    assert not Q.is_read_only(other, "SELECT upper('a')")
+    gate.check_statement(other, "SELECT upper('a')", functions=["upper"])
+
+
+def test_frames_are_bound_for_one_call(spark, cities):
+    spark.range(1).createOrReplaceTempView("towns")
+    assert Q.query_over_frames(spark, "SELECT count(*) AS n FROM towns", {"towns": cities}).first().n == cities.count()
+    assert spark.table("towns").columns == ["id"]
+    spark.catalog.dropTempView("towns")
+    got = Q.guarded_query(spark, "SELECT city FROM {towns} WHERE id = :i", {"i": 2}, frames={"towns": cities})
+    assert got.first().city == "London" and not spark.catalog.tableExists("towns")
+
+
 def test_fingerprints(spark):
     df = spark.createDataFrame([("SELECT  1", 10), ("select\n1 ", 20), ("select 2", 5)], "query_executed string, execution_time_ms int")
     assert sorted((r.n_queries, r.avg_ms) for r in Q.query_fingerprints(df).collect()) == [(1, 5.0), (2, 15.0)]
