@@ -177,19 +177,19 @@ def apply_policies(
 
 
 def audit_record(
-    spark, user_id: str, table_id: str, query: str, counts: dict, at: dt.datetime, policies: Sequence[str] = ()
+    spark, user_id: str, table_id: str, query: str, counts: dict, at: dt.datetime, policies: Sequence[str] = (), execution_time_ms: int | None = None
 ) -> DataFrame:
-    """One audit row for a governed query."""
+    """One audit row for a governed query; ``execution_time_ms`` is what the caller measured around it."""
     level = counts["access_level"]
     row = (
         uuid.uuid4().hex, user_id, "access_denied" if level == "denied" else "query_executed", "table", table_id, query,
         0 if level == "denied" else counts["original_rows"], 0 if level == "denied" else counts["masked_rows"],
-        list(counts["columns_masked"]), level, fixed.DENIAL_REASON if level == "denied" else None, at,
+        list(counts["columns_masked"]), level, fixed.DENIAL_REASON if level == "denied" else None, at, execution_time_ms,
     )
     return spark.createDataFrame([row], (
         "audit_id string, user_id string, action string, resource_type string, resource_id string, "
         "query_executed string, rows_returned long, rows_masked long, columns_masked array<string>, "
-        "access_level string, denial_reason string, timestamp timestamp"))
+        "access_level string, denial_reason string, timestamp timestamp, execution_time_ms long"))
 
 
 def append_audit(record: DataFrame, path: str) -> None:

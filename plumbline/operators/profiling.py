@@ -140,6 +140,12 @@ def sample_fraction(total_rows: int, sample_size: int = 10000) -> float:
     return 1.0 if total_rows <= sample_size else sample_size / total_rows
 
 
+def hash_sample(df: DataFrame, keys: Sequence[str], fraction: float) -> DataFrame:
+    """The rows whose keys hash below ``fraction``: the same ones on every run, in every engine, and in every table that has these keys."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 8), 16, 10).cast("long")
+    return df.where(place < int(fraction * (1 << 32)))
+
+
 def _sketched(df: DataFrame, names: Sequence[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("total")]
     for i, name in enumerate(names):

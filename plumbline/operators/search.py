@@ -118,17 +118,21 @@ def match_score(name: Column, query: str) -> Column:
 
 
 def metadata_search(tables_df: DataFrame, columns_df: DataFrame, query: str, connection_id: str | None = None) -> DataFrame:
-    """(kind, id, name, table_name, score) of every table and column whose name or description holds the query."""
+    """Every table and column whose name or description holds the query, best matches first.
+
+    (kind, id, name, table_name, schema_name, data_type, pii_tag, score), tables before columns; equal scores in the order of names and ids.
+    """
     mine = tables_df if connection_id is None else tables_df.filter(F.col("connection_id") == connection_id)
-    wanted = query.lower()
+    wanted, none = query.lower(), F.lit(None).cast("string")
     tables = mine.filter(_has(F.col("table_name"), wanted) | _has(F.col("description"), wanted)).select(
-        F.lit("table").alias("kind"), F.col("table_id").alias("id"), F.col("table_name").alias("name"), "table_name",
-        match_score(F.col("table_name"), query).alias("score"))
+        F.lit("table").alias("kind"), F.col("table_id").alias("id"), F.col("table_name").alias("name"), "table_name", "schema_name",
+        none.alias("data_type"), none.alias("pii_tag"), match_score(F.col("table_name"), query).alias("score"))
     hits = columns_df.filter(_has(F.col("name"), wanted) | _has(F.col("description"), wanted))
-    columns = hits.join(mine.select("table_id", "table_name"), "table_id").select(
-        F.lit("column").alias("kind"), F.col("column_id").alias("id"), "name", "table_name",
+    tag = F.col("pii_tag") if "pii_tag" in columns_df.columns else none
+    columns = hits.select("column_id", "table_id", "name", "data_type", tag.alias("pii_tag")).join(mine.select("table_id", "table_name", "schema_name"), "table_id").select(
+        F.lit("column").alias("kind"), F.col("column_id").alias("id"), "name", "table_name", "schema_name", "data_type", "pii_tag",
         match_score(F.col("name"), query).alias("score"))
-    return tables.unionByName(columns)
+    return tables.unionByName(columns).orderBy(F.desc("kind"), F.desc("score"), "name", "id")
 
 
 def catalog_search(tables_df: DataFrame, columns_df: DataFrame, query: str, schema: str | None = None) -> DataFrame:
@@ -141,13 +145,21 @@ def catalog_search(tables_df: DataFrame, columns_df: DataFrame, query: str, sche
         "table_id", "schema_name", "table_name", "n_columns")
 
 
-def table_details(tables_df: DataFrame, columns_df: DataFrame, tags_df: DataFrame, table_id: str) -> DataFrame:
-    """One table with its columns and tags as arrays (each as wide as one table)."""
-    columns = columns_df.filter(F.col("table_id") == table_id).groupBy("table_id").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal_position", "name", "data_type"))).alias("columns"))
-    tags = tags_df.filter(F.col("table_id") == table_id).groupBy("table_id").agg(
-        F.array_sort(F.collect_set(F.struct("tag_type", "tag_value"))).alias("tags"))
-    return tables_df.filter(F.col("table_id") == table_id).join(columns, "table_id", "left").join(tags, "table_id", "left")
+def table_details(tables_df: DataFrame, columns_df: DataFrame, tags_df: DataFrame, table_id: str | None = None) -> DataFrame:
+    """One table, or each, with its columns and tags as arrays (each as wide as one table)."""
+    own = [df if table_id is None else df.filter(F.col("table_id") == table_id) for df in (tables_df, columns_df, tags_df)]
+    columns = own[1].groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("ordinal_position", "name", "data_type"))).alias("columns"))
+    tags = own[2].groupBy("table_id").agg(F.array_sort(F.collect_set(F.struct("tag_type", "tag_value"))).alias("tags"))
+    return own[0].join(columns, "table_id", "left").join(tags, "table_id", "left")
+
+
+def classify(current: DataFrame, requests: DataFrame) -> DataFrame:
+    """Manual classifications put over the stored ones: a request replaces what it classifies; switches and roles it leaves open become off and empty."""
+    manual = requests.select(
+        "table_id", "sensitivity_level", "contains_pii", F.coalesce("masking_enabled", F.lit(False)).alias("masking_enabled"),
+        F.coalesce("access_restricted", F.lit(False)).alias("access_restricted"), F.coalesce("allowed_roles", F.array().cast("array<string>")).alias("allowed_roles"),
+        F.lit("api_manual").alias("classified_by"), F.lit(False).alias("auto_detected"))
+    return current.join(requests.select("table_id"), "table_id", "left_anti").select(manual.columns).unionByName(manual)
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

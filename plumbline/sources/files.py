@@ -18,13 +18,16 @@ def view_name(path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, view: str | None = None, schema: T.StructType | str | None = None,
-             sampling_ratio: float = 1.0, delimiter: str = ",", multi_line: bool = True) -> DataFrame:
+             sampling_ratio: float = 1.0, delimiter: str = ",", multi_line: bool | None = None) -> DataFrame:
     """CSV with a header as a named view; doubled quotes and line breaks inside quotes belong to the value.
 
-    A file with quoted line breaks can't be split. For large files without any, ``multi_line=False`` reads them in parallel.
+    Files whose lines hold quotes in pairs only are split and read in parallel. A line with an odd number of quotes may go on in the next one;
+    such files can't be split. A first pass over the lines tells, which ends at the first such line; ``multi_line`` says it instead.
     Without ``schema`` the types are inferred, which reads the files once more; ``sampling_ratio``
     shortens that pass.
     """
+    if multi_line is None:
+        multi_line = has_open_quotes(spark, path)
     reader = spark.read.options(header=True, sep=delimiter, quote='"', escape='"', multiLine=multi_line)
     if schema is not None:
         df = reader.schema(schema).csv(path)
@@ -34,6 +37,12 @@ def read_csv(spark: SparkSession, path: str, view: str | None = None, schema: T.
     return df
 
 
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line of text files holds an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def file_inventory(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """(path, view_name, extension, size_bytes, modified_at) of the readable table files below a folder.
 

@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.masks import redact_stream
+from plumbline.session import exists, remove
 from plumbline.streaming.sinks import run_available_now
 
 
+def once(stream: DataFrame, ts: str, unique: str, watermark: str) -> DataFrame:
+    """Each row of a stream once, however often it is delivered; rows behind the watermark are dropped, and so are the keys kept to tell."""
+    return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([unique])
+
+
 def live_kpis(
-    stream: DataFrame, ts: str, metric: str, value: str, window: str = "1 hour", watermark: str = "2 hours"
+    stream: DataFrame, ts: str, metric: str, value: str, window: str = "1 hour", watermark: str = "2 hours", unique: str | None = None
 ) -> DataFrame:
-    """Count, sum and mean per metric and tumbling window; rows behind the watermark are dropped."""
+    """Count, sum and mean per metric and tumbling window; rows behind the watermark are dropped, and repeats of a ``unique`` id."""
     return (
-        stream.withWatermark(ts, watermark)
+        (once(stream, ts, unique, watermark) if unique else stream.withWatermark(ts, watermark))
         .groupBy(F.window(ts, window), F.col(metric).alias("metric"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "metric", "n", "total", "mean")
@@ -83,26 +89,37 @@ def rolling_anomalies(df: DataFrame, key: str, ts: str, value: str, hours: int =
 
 def stream_anomalies(
     stream: DataFrame, key: str, ts: str, value: str, state_dir: str, out_dir: str, checkpoint: str,
-    hours: int = 24, threshold: float = 3.0,
+    hours: int = 24, threshold: float = 3.0, unique: str | None = None, lateness: int | None = None,
 ) -> None:
-    """Rolling check over micro-batches: hourly moments of each batch are kept by day and batch id.
+    """Rolling check over micro-batches against one table of hourly moments.
 
-    A batch reads back only the days its own rows look at, and overwrites its own folders when
-    it is retried.
+    A batch is folded to moments (map-side, so a hot key costs a task no more than others), merged into the state of the batch before, and
+    scored by a join on key and hour. The state of a batch is a folder by its id: a retried batch starts from the one before and overwrites
+    its own; older ones are removed. With ``lateness`` (hours) the state of a batch holds its own hours and those before that its rows can look at,
+    keys times ``hours + lateness``. ``unique`` names an id by which repeats in that span are dropped, and rows further behind the newest one seen.
     """
     spark = stream.sparkSession
+    if unique is not None:
+        if lateness is None:
+            raise ValueError("repeats are told apart within a lateness")
+        stream = once(stream, ts, unique, f"{lateness} hours")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        sums = hourly_moments(batch, key, ts, value).withColumn("day", F.to_date("hour"))
-        sums.write.mode("overwrite").partitionBy("day").parquet(f"{state_dir}/batch_id={batch_id}")
-        first = batch.agg(F.min(ts)).first()[0]
-        if first is None:
-            return
-        known = spark.read.option("basePath", state_dir).parquet(state_dir).filter(F.col("batch_id") <= batch_id)
-        known = known.filter(F.col("day") >= F.date_sub(F.to_date(F.lit(first)), -(-hours // 24)))
-        folded = merge_moments(known, "key", "hour")
-        scored = score_rolling(batch, folded, key, ts, value, hours, threshold)
-        scored.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        batch.persist()
+        try:
+            moments, before = hourly_moments(batch, key, ts, value), f"{state_dir}/v{batch_id - 1}"
+            if exists(spark, before):
+                held = spark.read.parquet(before)
+                newest = held.agg(F.max("hour")).first()[0] if lateness is not None else None
+                if newest is not None:  # rows of this batch are at most so late, and look back so far
+                    held = held.filter(F.col("hour") >= F.lit(newest) - F.make_interval(hours=F.lit(hours + lateness + 1)))
+                moments = merge_moments(moments.unionByName(held), "key", "hour")
+            state = f"{state_dir}/v{batch_id}"
+            moments.write.mode("overwrite").parquet(state)
+            score_rolling(batch, spark.read.parquet(state), key, ts, value, hours, threshold).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+            remove(spark, [f"{state_dir}/v{batch_id - 2}"])
+        finally:
+            batch.unpersist()
 
     run_available_now(stream, handle, checkpoint)
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import fixed_values as fixed
-from plumbline.operators import kpis, recommend, refresh, relations, search, semantic
+from plumbline.operators import inclusion, kpis, recommend, refresh, relations, search, semantic
 from plumbline.operators.profiling import profile_history
-from plumbline.operators.quality import ScoredTable, fk_containment
+from plumbline.operators.quality import ScoredTable
 from plumbline.session import cut_lineage, work_path
 from plumbline.sources.catalog import list_columns, table_sizes
 from plumbline.sources.tables import load
@@ -92,18 +93,24 @@ def fk_inferred(spark, sf):
 
 
 def fk_inferred_tpch(spark, sf):
-    """Key columns of the star schema by name, each verified against the rows."""
+    """Key columns of the star schema by name, all verified by one pass over each table."""
     star = _star(spark, sf)
     columns = list_columns(spark, star)
     names = columns.select("table_id", "table_name").distinct()
     found = relations.infer_relationships(columns.drop("table_name"), names, suffixes=("_id", "id", "key"),
                                           strip_prefix=True, target_key="same").select(*REL)
-    parts = [
-        fk_containment(star[r["source_table"]], r["source_column"], star[r["target_table"]], r["target_column"])
-        .select(F.lit(r["source_column"]).alias("source_column"), "containment_pct")
-        for r in found.select("source_table", "source_column", "target_table", "target_column").collect()
-    ]
-    return found.join(reduce(DataFrame.unionByName, parts), "source_column")
+    held = inclusion.inclusions(star, _whole_columns(star))
+    return found.join(held, REL[:4], "left").select(*REL, F.coalesce("containment_pct", F.lit(0.0)).alias("containment_pct"))
+
+
+def _whole_columns(star):
+    return {t: [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)] for t, df in star.items()}
+
+
+def inclusion_dependencies(spark, sf):
+    """Every pair of whole-number columns of the star schema, the rows of one matched by the other."""
+    star = _star(spark, sf)
+    return inclusion.inclusions(star, _whole_columns(star)).drop("n_rows")
 
 
 def relationship_text(spark, sf):
@@ -233,6 +240,29 @@ def catalog_search(spark, sf):
     return search.catalog_search(_tables(spark, sf), _columns(spark, sf), "card", "public")
 
 
+def table_details(spark, sf):
+    """Every table with its columns and tags."""
+    tags = load(spark, sf, "lineitem").select(F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("table_id"), F.lit("status").alias("tag_type"),
+                                              F.col("l_returnflag").alias("tag_value")).distinct()
+    found = search.table_details(_tables(spark, sf), _columns(spark, sf), tags)
+    return found.select(
+        "table_id", "table_name", "owner_id", F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["data_type"])), ", ").alias("columns"),
+        F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["tag_type"], t["tag_value"])), ", ").alias("tags"))
+
+
+def classification_upsert(spark, sf):
+    """Manual classifications of every third customer's table, put over the detected ones."""
+    detected = V.frame(spark, sf, V.CLASSIFICATIONS).select(
+        "table_id", "sensitivity_level", "contains_pii", "masking_enabled", "access_restricted", F.split("allowed_roles", ",").alias("allowed_roles"),
+        F.lit("detector").alias("classified_by"), F.lit(True).alias("auto_detected"))
+    key = F.col("c_custkey")
+    asked = load(spark, sf, "customer").where(key % 3 == 0).select(
+        F.concat(F.lit("C"), key.cast("string")).alias("table_id"), F.when(key % 2 == 0, "restricted").otherwise("internal").alias("sensitivity_level"), (key % 5 == 0).alias("contains_pii"),
+        F.when(key % 4 == 0, F.lit(True)).alias("masking_enabled"), F.lit(None).cast("boolean").alias("access_restricted"),
+        F.when(key % 9 == 0, F.array(F.lit("auditor"))).alias("allowed_roles"))
+    return search.classify(detected, asked).withColumn("allowed_roles", F.array_join("allowed_roles", ","))
+
+
 def tags_by_table(spark, sf):
     """Tags per table; repeated tags are folded before the join."""
     tags = load(spark, sf, "lineitem").select(F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("table_id"),
@@ -251,11 +281,13 @@ def asset_upsert(spark, sf):
 
 
 def _profile_history(spark, sf):
-    """Snapshots of catalog tables: part key p is profiled in the months its items shipped."""
+    """Last snapshots of catalog tables: part key p is profiled in the quarters its items shipped; older quarters are no longer read."""
     items = load(spark, sf, "lineitem").select(
         F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("t"), F.col("l_shipdate").alias("at"),
         F.when(F.col("l_quantity") > 40, F.col("l_quantity")).alias("quantity"), F.col("l_returnflag").alias("flag"))
-    return cut_lineage(profile_history(items, "t", "at", "quarter"))
+    newest = items.groupBy("t").agg(F.max(F.date_trunc("quarter", "at")).alias("last"))
+    last = items.join(newest, "t").where(F.col("at") >= F.col("last")).drop("last")
+    return cut_lineage(profile_history(last, "t", "at", "quarter"))
 
 
 FOUND_AS_OF = dt.datetime(2001, 11, 1)
@@ -282,13 +314,13 @@ explicit AS (SELECT DISTINCT st.table_id AS sid, sc.column_id AS scid, st.table_
    tt.table_id AS tid, tc.column_id AS tcid, tt.table_name AS target_table, tc.name AS target_column,
    'Many-to-One' AS relationship_type, 0.95::DOUBLE AS confidence_score, 'explicit_fk_constraint' AS discovery_method
  FROM {V.duck(CONSTRAINTS)} k JOIN {_T} st ON lower(st.table_name) = lower(k.source_table) JOIN {_C} sc ON sc.table_id = st.table_id AND lower(sc.name) = lower(k.source_column)
- JOIN {_T} tt ON lower(tt.table_name) = lower(k.target_table) JOIN {_C} tc ON tc.table_id = tt.table_id AND lower(tc.name) = lower(k.target_column))"""
+ JOIN {_T} tt ON lower(tt.table_name) = lower(k.target_table) AND tt.connection_id = st.connection_id JOIN {_C} tc ON tc.table_id = tt.table_id AND lower(tc.name) = lower(k.target_column))"""
 _BASE = "rtrim(rtrim(replace(replace(lower({}), '_id', ''), 'id', ''), '_'), 's')"
 _INFERRED = f"""
 inferred AS (SELECT c.table_id AS sid, c.column_id AS scid, s.table_name AS source_table, c.name AS source_column,
    t.table_id AS tid, ic.column_id AS tcid, t.table_name AS target_table, ic.name AS target_column,
    'Many-to-One' AS relationship_type, 0.75::DOUBLE AS confidence_score, 'heuristic_name_match' AS discovery_method
- FROM {_C} c JOIN {_T} s USING (table_id) JOIN {_T} t ON rtrim(lower(t.table_name), 's') = {_BASE.format('c.name')} AND t.table_id <> s.table_id
+ FROM {_C} c JOIN {_T} s USING (table_id) JOIN {_T} t ON rtrim(lower(t.table_name), 's') = {_BASE.format('c.name')} AND t.table_id <> s.table_id AND t.connection_id = s.connection_id
  JOIN {_C} ic ON ic.table_id = t.table_id AND lower(ic.name) = 'id'
  WHERE lower(c.name) LIKE '%id' AND NOT EXISTS (SELECT 1 FROM explicit e WHERE e.scid = c.column_id AND (e.tid = t.table_id OR e.tcid = ic.column_id)))"""
 _RELS = f"WITH {_EXPLICIT}, {_INFERRED}, rel AS (SELECT * FROM explicit UNION ALL SELECT * FROM inferred)"
@@ -327,6 +359,12 @@ def _relevance(name: str, description: str, terms) -> str:
     return "greatest(" + ", ".join(one(t) for t in terms) + ")"
 
 
+def _told(kind: str, *values: str) -> str:
+    """The text of a finding as a DuckDB expression."""
+    pieces = re.split("%[sd]", fixed.FINDING_TEXTS[kind].replace("%%", "%").replace("'", "''"))
+    return " || ".join(f"'{p}'" + (f" || {v}" if v else "") for p, v in zip(pieces, [*values, ""]))
+
+
 _TERMS = search.expand_query("customer order date")
 _SALES_SQL = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 _FOUND = f"""
@@ -336,13 +374,13 @@ snap AS (SELECT 'T' || l_partkey AS table_id, date_trunc('quarter', l_shipdate)
 latest AS (SELECT table_id, max(created_at) AS seen, arg_max(quantity, created_at) AS q FROM snap GROUP BY 1),
 found AS (
  SELECT 'assign_owner' AS recommendation_type, 'table' AS resource_type, table_id AS resource_id, table_name AS resource_name, 'warning' AS severity,
-   'Assign owner to ' || table_name AS title FROM t WHERE coalesce(owner_id, '') = ''
- UNION ALL SELECT 'mask_pii', 'table', t.table_id, table_name, 'critical', 'Apply masking to ' || n || ' PII columns in ' || table_name
-   FROM t JOIN (SELECT table_id, count(*) AS n FROM c WHERE is_pii AND NOT is_masked GROUP BY 1) x ON x.table_id = t.table_id
- UNION ALL SELECT 'fix_description', 'table', table_id, table_name, 'info', 'Add description to ' || table_name FROM t WHERE description IS NULL OR length(trim(description)) <= 20
- UNION ALL SELECT 'flag_unused', 'table', t.table_id, table_name, 'info', 'Review ' || table_name || ' for deprecation'
+   'Assign owner to ' || table_name AS title, {_told('assign_owner', 'table_name')} AS description FROM t WHERE coalesce(owner_id, '') = ''
+ UNION ALL SELECT 'mask_pii', 'table', t.table_id, table_name, 'critical', 'Apply masking to ' || n || ' PII columns in ' || table_name, {_told('mask_pii', 'names')}
+   FROM t JOIN (SELECT table_id, count(*) AS n, string_agg(name, ', ' ORDER BY ordinal_position, name) AS names FROM c WHERE is_pii AND NOT is_masked GROUP BY 1) x ON x.table_id = t.table_id
+ UNION ALL SELECT 'fix_description', 'table', table_id, table_name, 'info', 'Add description to ' || table_name, {_told('fix_description', 'table_name')} FROM t WHERE description IS NULL OR length(trim(description)) <= 20
+ UNION ALL SELECT 'flag_unused', 'table', t.table_id, table_name, 'info', 'Review ' || table_name || ' for deprecation', {_told('flag_unused', 'table_name', "date_diff('day', seen, TIMESTAMP '2001-11-01')")}
    FROM t JOIN latest USING (table_id) WHERE date_diff('day', seen, TIMESTAMP '2001-11-01') > 90
- UNION ALL SELECT 'improve_quality', 'column', t.table_id, table_name || '.quantity', 'high', 'High null percentage in quantity'
+ UNION ALL SELECT 'improve_quality', 'column', t.table_id, table_name || '.quantity', 'high', 'High null percentage in quantity', {_told('improve_quality', "'quantity'", 'table_name', 'CAST(round_even(q, 0) AS BIGINT)')}
    FROM t JOIN latest USING (table_id) WHERE q > 50),
 acts AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{a}')" for k, (_, a) in fixed.FINDINGS.items())}) v(recommendation_type, suggested_action))"""
 
@@ -352,6 +390,7 @@ QUERIES = {
     "fk_explicit": fk_explicit,
     "fk_inferred": fk_inferred,
     "fk_inferred_tpch": fk_inferred_tpch,
+    "inclusion_dependencies": inclusion_dependencies,
     "relationship_text": relationship_text,
     "join_path_text": join_path_text,
     "many_to_many_text": many_to_many_text,
@@ -372,6 +411,8 @@ QUERIES = {
     "search_suggestions": search_suggestions,
     "metadata_search": metadata_search,
     "catalog_search": catalog_search,
+    "table_details": table_details,
+    "classification_upsert": classification_upsert,
     "tags_by_table": tags_by_table,
     "asset_upsert": asset_upsert,
     "recommendations": recommendations,
@@ -379,6 +420,15 @@ QUERIES = {
     "exposed_columns": exposed_columns,
 }
 
+_WHOLE = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"],
+          "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
+_INCLUSIONS = "WITH v AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, CAST({c} AS BIGINT) AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for t, cs in _WHOLE.items() for c in cs) + """),
+total AS (SELECT t, c, count(*) AS n_values, sum(n) AS n_rows FROM v GROUP BY 1, 2)
+SELECT a.t AS source_table, a.c AS source_column, b.t AS target_table, b.c AS target_column, n_values, count(*) AS n_shared, CAST(sum(a.n) AS BIGINT) AS n_matched,
+  round(100.0 * sum(a.n) / any_value(n_rows), 4) AS containment_pct
+FROM v a JOIN v b ON a.v = b.v AND (a.t, a.c) <> (b.t, b.c) JOIN total ON total.t = a.t AND total.c = a.c GROUP BY 1, 2, 3, 4, 5"""
+
 ORACLES = {
     "catalog_columns": "SELECT c.table_name, c.column_name AS name, CAST(c.ordinal AS INTEGER) AS ordinal_position, n.row_count FROM ("
         + " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, row_number() OVER () AS ordinal FROM (DESCRIBE SELECT * FROM {t})" for t in STAR)
@@ -398,6 +448,7 @@ SELECT step, table_name, CASE WHEN table_name = 'broken' THEN 'failed' ELSE 'com
             for a, ac, b, bc in [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
                                  ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
                                  ("nation", "n_regionkey", "region", "r_regionkey")]) + ")",
+    "inclusion_dependencies": _INCLUSIONS,
     "relationship_text": f"""{_RELS},
 typed AS (SELECT *, ['n:1', '1:n', 'n:n', '1:1', 'unknown'][1 + length(source_table) % 5] AS k FROM rel)
 SELECT source_table, source_column, target_table,
@@ -467,9 +518,19 @@ SELECT DISTINCT suggestion FROM ((SELECT DISTINCT table_name AS suggestion FROM
 UNION ALL (SELECT DISTINCT name FROM {_C} WHERE lower(name) LIKE 'cu%' ORDER BY 1 LIMIT 5))""",
     "metadata_search": f"""
 WITH t AS (SELECT * FROM {_T}), c AS (SELECT * FROM {_C}),
-h AS (SELECT 'table' AS kind, table_id AS id, table_name AS name, table_name FROM t WHERE contains(lower(table_name), 'order') OR contains(lower(description), 'order')
- UNION ALL SELECT 'column', column_id, name, table_name FROM c JOIN t USING (table_id) WHERE contains(lower(name), 'order') OR contains(lower(c.description), 'order'))
+h AS (SELECT 'table' AS kind, table_id AS id, table_name AS name, table_name, schema_name, NULL::VARCHAR AS data_type, NULL::VARCHAR AS pii_tag
+   FROM t WHERE contains(lower(table_name), 'order') OR contains(lower(description), 'order')
+ UNION ALL SELECT 'column', column_id, name, table_name, schema_name, data_type, pii_tag FROM c JOIN t USING (table_id) WHERE contains(lower(name), 'order') OR contains(lower(c.description), 'order'))
 SELECT *, CAST(CASE WHEN lower(name) = 'order' THEN 100 WHEN lower(name) LIKE 'order%' THEN 80 WHEN contains(lower(name), 'order') THEN 50 ELSE 10 END AS INTEGER) AS score FROM h""",
+    "table_details": f"""
+SELECT t.table_id, table_name, owner_id, columns, tags FROM {_T} t
+LEFT JOIN (SELECT table_id, string_agg(name || ' ' || data_type, ', ' ORDER BY ordinal_position, name) AS columns FROM {_C} GROUP BY 1) c ON c.table_id = t.table_id
+LEFT JOIN (SELECT 'T' || l_partkey AS table_id, string_agg(DISTINCT 'status:' || l_returnflag, ', ' ORDER BY 'status:' || l_returnflag) AS tags FROM lineitem GROUP BY 1) g ON g.table_id = t.table_id""",
+    "classification_upsert": f"""
+SELECT 'C' || c_custkey AS table_id, CASE WHEN c_custkey % 2 = 0 THEN 'restricted' ELSE 'internal' END AS sensitivity_level, c_custkey % 5 = 0 AS contains_pii, c_custkey % 4 = 0 AS masking_enabled,
+  false AS access_restricted, CASE WHEN c_custkey % 9 = 0 THEN 'auditor' ELSE '' END AS allowed_roles, 'api_manual' AS classified_by, false AS auto_detected FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT table_id, sensitivity_level, contains_pii, masking_enabled, access_restricted, allowed_roles, 'detector', true FROM {V.duck(V.CLASSIFICATIONS)}
+  WHERE substr(table_id, 2)::BIGINT % 3 <> 0""",
     "catalog_search": f"""
 WITH k AS (SELECT table_id, count(*) AS n FROM {_C} WHERE contains(lower(name), 'card') GROUP BY 1)
 SELECT t.table_id, schema_name, table_name, coalesce(n, 0) AS n_columns FROM {_T} t LEFT JOIN k USING (table_id)

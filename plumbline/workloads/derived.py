@@ -65,7 +65,7 @@ def table_name(key: str) -> str:
 
 CATALOG_TABLES = f"""
 SELECT concat('T', {text('p_partkey')}) AS table_id,
-       'conn' AS connection_id,
+       CASE WHEN floor(p_partkey / 64) % 5 = 0 THEN 'conn_b' ELSE 'conn_a' END AS connection_id,
        CASE WHEN p_partkey % 10 = 0 THEN 'ws2' ELSE 'ws1' END AS workspace_id,
        CASE WHEN p_size % 2 = 0 THEN 'public' ELSE 'sales' END AS schema_name,
        {table_name('p_partkey')} AS table_name,
@@ -92,6 +92,7 @@ SELECT concat('T', {text('p_partkey')}, '.', {text('i')}) AS column_id,
        i = 1 AS is_primary_key,
        (i = 2 AND p_partkey > 1) OR (i = 3 AND p_partkey > 2 AND p_partkey % 3 > 0) AS is_foreign_key,
        {pick(POOL_NAMES, 'p_partkey * 7 + i * 3')} IN ('{PII_NAMES}') AND i > 3 AS is_pii,
+       CASE WHEN {pick(POOL_NAMES, 'p_partkey * 7 + i * 3')} IN ('{PII_NAMES}') AND i > 3 THEN upper({pick(POOL_NAMES, 'p_partkey * 7 + i * 3')}) END AS pii_tag,
        (p_partkey + i) % 4 = 0 AS is_masked,
        CASE WHEN i % 5 = 0 THEN concat('Order detail ', {text('i')}) END AS description,
        cast(i as int) AS ordinal_position

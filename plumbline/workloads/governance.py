@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def value_entropy(spark, sf):
 
 
 def pii_combined(spark, sf):
-    return pii.scan_pii(_contacts(spark, sf).select(*CONTACT_COLUMNS), "contacts", top_k=10).withColumn(
+    return pii.scan_pii(_contacts(spark, sf).select(*CONTACT_COLUMNS), "contacts").withColumn(
         "methods", F.array_join("methods", ","))
 
 
@@ -151,13 +152,15 @@ def policy_apply_denied(spark, sf):
 def audit_append(spark, sf):
     """Governed read followed by its audit row, written and read back."""
     result = _governed(spark, sf, [], True)
+    began = time.monotonic()
     result.df.write.mode("overwrite").parquet(work_path(spark, "governed"))
+    took = int(1000 * (time.monotonic() - began))
     path = work_path(spark, "audit")
     policies.append_audit(policies.audit_record(spark, "u1", "C0", "SELECT * FROM contacts", result.counts(),
-                                                dt.datetime(2024, 2, 1)), path)
+                                                dt.datetime(2024, 2, 1), execution_time_ms=took), path)
     return spark.read.parquet(path).select("user_id", "action", "resource_id", "rows_returned", "rows_masked",
                                            F.array_join(F.array_sort("columns_masked"), ",").alias("columns_masked"),
-                                           "access_level")
+                                           "access_level", (F.col("execution_time_ms") > 0).alias("is_timed"))
 
 
 def runtime_metrics(spark, sf):
@@ -220,8 +223,7 @@ def _entropy(values: str) -> str:
             f"(SELECT *, row_number() OVER () AS rid FROM {values})) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1")
 
 
-_TOP = (f"(SELECT column_name, value FROM (SELECT column_name, value, count(*) AS n FROM ({_cells(CONTACT_COLUMNS)}) GROUP BY 1, 2) "
-        "QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) <= 10)")
+_ALL = f"({_cells(CONTACT_COLUMNS)})"
 
 
 def _email_mask(c: str) -> str:
@@ -307,8 +309,8 @@ ORACLES = {
 WITH cols AS (SELECT unnest({CONTACT_COLUMNS!r}) AS column_name),
 found AS (
   SELECT column_name, 1 AS o, 'column_name' AS method, {_hint_case('column_name')} AS t, 0.85::DOUBLE AS c FROM cols
-  UNION ALL SELECT column_name, 2, 'data_pattern', pii_type, confidence FROM ({_pattern_counts(_TOP)})
-  UNION ALL SELECT column_name, 3, 'entropy', 'password', 0.7 FROM ({_entropy(_TOP)}) WHERE avg_entropy > 4.5
+  UNION ALL SELECT column_name, 2, 'data_pattern', pii_type, confidence FROM ({_pattern_counts(_ALL)})
+  UNION ALL SELECT column_name, 3, 'entropy', 'password', 0.7 FROM ({_entropy(_ALL)}) WHERE avg_entropy > 4.5
   UNION ALL SELECT column_name, 4, 'semantic', {_semantic_case('column_name', "'string'", 'type')}, {_semantic_case('column_name', "'string'", 'conf')} FROM cols),
 hits AS (SELECT *, first_value(t) OVER (PARTITION BY column_name ORDER BY c DESC, o) AS bt, first_value(c) OVER (PARTITION BY column_name ORDER BY c DESC, o) AS bc FROM found WHERE t IS NOT NULL)
 SELECT 'contacts' AS table_name, column_name, bt AS pii_type, round(least(1.0::DOUBLE, bc + 0.05 * (count(*) FILTER (WHERE t = bt) - 1)), 6) AS confidence,
@@ -352,7 +354,7 @@ SELECT table_id, violations = '' AS compliant, violations, n AS policies_applied
 SELECT 'u1' AS user_id, 'query_executed' AS action, 'C0' AS resource_id, count(*) AS rows_returned, CAST(sum(na + nb + nc + nd + ne) AS BIGINT) AS rows_masked,
   concat_ws(',', CASE WHEN sum(na) > 0 THEN 'c_custkey' END, CASE WHEN sum(nd) > 0 THEN 'code1' END, CASE WHEN sum(ne) > 0 THEN 'company' END,
     CASE WHEN sum(nb) > 0 THEN 'contact' END, CASE WHEN sum(nc) > 0 THEN 'phone' END) AS columns_masked,
-  CASE WHEN sum(na + nb + nc + nd + ne) > 0 THEN 'masked' ELSE 'full' END AS access_level FROM w WHERE o = (SELECT count(*) FROM p)""",
+  CASE WHEN sum(na + nb + nc + nd + ne) > 0 THEN 'masked' ELSE 'full' END AS access_level, true AS is_timed FROM w WHERE o = (SELECT count(*) FROM p)""",
     "policy_apply_denied": "SELECT 'denied' AS access_level, count(*) AS original_rows, count(*) AS masked_rows, CAST(0 AS BIGINT) AS returned_rows FROM customer",
     "runtime_metrics": """
 WITH last AS (SELECT value / 1000 AS d FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from plumbline.operators import profiling, quality
+from plumbline.operators.profile_store import ProfileStore
+from plumbline.session import work_path
 from plumbline.sources.tables import load
 
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
@@ -47,10 +49,56 @@ def profile_sampled(spark, sf):
     return profiling.profile_columns(lineitem, sample=profiling.sample_fraction(total))
 
 
+def profile_hash_sample(spark, sf):
+    """The profile of about 10,000 line items, picked by a hash of their keys."""
+    lineitem = load(spark, sf, "lineitem")
+    share = profiling.sample_fraction(profiling.row_count(lineitem).first()[0])
+    return profiling.profile_columns(profiling.hash_sample(lineitem, ["l_orderkey", "l_linenumber"], share))
+
+
+def profile_approx_holds(spark, sf):
+    """Approximate distinct counts held against exact ones: within 15 %, three standard errors of the default sketch."""
+    lineitem = load(spark, sf, "lineitem")
+    exact = profiling.profile_columns(lineitem).select("column_name", F.col("distinct_count").alias("d"))
+    found = profiling.profile_columns(lineitem, approx=True).join(exact, "column_name")
+    return found.select("column_name", "total", "non_null", "null_count", (F.abs(F.col("distinct_count") - F.col("d")) <= 0.15 * F.col("d")).alias("distinct_holds"))
+
+
 def profile_approx(spark, sf):
     return profiling.profile_columns(load(spark, sf, "lineitem"), approx=True)
 
 
+def _orders_by_year(spark, sf):
+    return load(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+
+
+def profile_refresh(spark, sf):
+    """A stored profile of orders by year; the last year comes later and is all that the second refresh reads. Sketches are held against exact counts."""
+    path, orders = work_path(spark, "orders-by-year"), _orders_by_year(spark, sf)
+    last = orders.agg(F.max("year")).first()[0]
+    store = ProfileStore(spark, work_path(spark, "profile"), ["year"])
+    orders.where(F.col("year") < last).write.partitionBy("year").parquet(path)
+    store.refresh(spark.read.parquet(path))
+    orders.where(F.col("year") == last).write.mode("append").partitionBy("year").parquet(path)
+    read = store.refresh(spark.read.parquet(path))
+    store.vacuum()
+    exact = profiling.profile_columns(orders.drop("year")).select("column_name", F.col("distinct_count").alias("d"))
+    close = F.abs(F.col("distinct_count") - F.col("d")) <= 0.08 * F.col("d")
+    return store.profile().join(exact, "column_name").select(
+        "column_name", "total", "non_null", "null_count", F.when(F.col("avg_value").isNotNull(), F.round("min_value", 2)).alias("min_value"),
+        F.when(F.col("avg_value").isNotNull(), F.round("max_value", 2)).alias("max_value"), F.round("avg_value", 4).alias("avg_value"), "min_text", "max_text", close.alias("distinct_holds"),
+        F.lit(read).cast("long").alias("rows_read_last"))
+
+
+def profile_refresh_top(spark, sf):
+    """Most frequent values of the narrow columns, from counters merged over years."""
+    path = work_path(spark, "orders-by-year")
+    _orders_by_year(spark, sf).select("year", "o_orderstatus", "o_orderpriority").write.partitionBy("year").parquet(path)
+    store = ProfileStore(spark, work_path(spark, "profile"), ["year"])
+    store.refresh(spark.read.parquet(path))
+    return store.top_values(10)
+
+
 def top_values_orders(spark, sf):
     return profiling.top_values(load(spark, sf, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"])
 
@@ -172,7 +220,11 @@ QUERIES = {
     "profile_orders": profile_orders,
     "profile_rowcount": profile_rowcount,
     "profile_sampled": profile_sampled,
+    "profile_hash_sample": profile_hash_sample,
     "profile_approx": profile_approx,
+    "profile_approx_holds": profile_approx_holds,
+    "profile_refresh": profile_refresh,
+    "profile_refresh_top": profile_refresh_top,
     "top_values_orders": top_values_orders,
     "profile_minmaxavg": profile_minmaxavg,
     "profile_histogram": profile_histogram,
@@ -193,6 +245,18 @@ ORACLES = {
     "profile_orders": _profile_sql("orders", ORDERS, {
         "o_orderstatus": "nullif(o_orderstatus, 'P')",
         "o_custkey": "CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END"}),
+    "profile_hash_sample": "WITH h AS (SELECT * FROM lineitem WHERE cast('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber)), 1, 8) AS BIGINT) < "
+        "(SELECT floor(least(1.0::DOUBLE, 10000 / count(*)) * 4294967296) FROM lineitem))\n" + _profile_sql("h", LINEITEM),
+    "profile_approx_holds": "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, count(*) AS total, count({c}) AS non_null, count(*) - count({c}) AS null_count, true AS distinct_holds FROM lineitem" for c in LINEITEM),
+    "profile_refresh": "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, count(*) AS total, count({c}) AS non_null, count(*) - count({c}) AS null_count, "
+        + (f"round(min({c})::DOUBLE, 2) AS min_value, round(max({c})::DOUBLE, 2) AS max_value, round(avg({c}), 4) AS avg_value" if kind == "n" else "NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, NULL::DOUBLE AS avg_value")
+        + (f", min({c}) AS min_text, max({c}) AS max_text" if kind == "s" else ", NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text")
+        + ", true AS distinct_holds, count(*) FILTER (year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)) AS rows_read_last FROM orders"
+        for c, kind in zip(ORDERS, "nnsnds")),
+    "profile_refresh_top": """
+SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value, count(*) AS count FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2""",
     "profile_rowcount": "SELECT count(*) AS row_count FROM lineitem",
     "top_values_orders": """
 WITH cells AS (SELECT 'o_custkey' AS column_name, CAST(o_custkey AS VARCHAR) AS value FROM orders

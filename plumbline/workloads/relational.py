@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
-import os
 import zipfile
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -84,48 +85,54 @@ def file_inventory(spark, sf):
 WORKBOOK_ROWS = 5000
 
 
-def _workbook(folder: str | None):
-    """One workbook per block of rows: a file below ``folder`` (replaced when a task is retried), else its bytes."""
-    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = [c for c in pdf.columns if c != "block"]
+# Parts of a small workbook. The sheet of the data comes first, but its part is named second; style 1 shows dates.
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_PARTS = {
+    "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
+        '<sheet name="parts" sheetId="1" r:id="rId2"/><sheet name="notes" sheetId="2" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>',
+    "xl/styles.xml": f'<styleSheet xmlns="{_MAIN}"><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+    "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_MAIN}"><sheetData><row><c t="inlineStr"><is><t>p_partkey</t></is></c></row><row><c><v>-1</v></c></row></sheetData></worksheet>',
+}
+
 
-        def cell(value):
-            if isinstance(value, str):
-                return f'<c t="inlineStr"><is><t>{escape(value)}</t></is></c>'
-            return f"<c><v>{value}</v></c>"
+def _workbook(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One workbook as bytes for a block of rows: texts, numbers, booleans, dates and, for NaN, error cells."""
+    columns = [c for c in pdf.columns if c != "block"]
 
-        rows = ["".join(cell(c) for c in columns)] + ["".join(cell(v) for v in r) for r in pdf[columns].itertuples(index=False)]
-        sheet = ('<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
-                 + "".join(f"<row>{r}</row>" for r in rows) + "</sheetData></worksheet>")
-        packed = io.BytesIO()
-        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as book:
-            book.writestr("xl/worksheets/sheet1.xml", sheet)
-        if folder is None:
-            return pd.DataFrame({"rows": [len(pdf)], "content": [packed.getvalue()]})
-        os.makedirs(folder, exist_ok=True)
-        target = f"{folder}/part-{key[0]}.xlsx"
-        with open(target + ".tmp", "wb") as out:
-            out.write(packed.getvalue())
-        os.replace(target + ".tmp", target)
-        return pd.DataFrame({"rows": [len(pdf)], "content": [None]})
+    def cell(value):
+        if isinstance(value, str):
+            return f'<c t="inlineStr"><is><t>{escape(value)}</t></is></c>'
+        if isinstance(value, (bool, np.bool_)):
+            return f'<c t="b"><v>{int(value)}</v></c>'
+        if isinstance(value, dt.date):
+            return f'<c s="1"><v>{(value - dt.date(1899, 12, 30)).days}</v></c>'
+        if isinstance(value, float) and value != value:
+            return '<c t="e"><v>#DIV/0!</v></c>'
+        return f"<c><v>{value}</v></c>"
 
-    return write
+    rows = ["".join(cell(c) for c in columns)] + ["".join(cell(v) for v in r) for r in pdf[columns].itertuples(index=False)]
+    sheet = f'<worksheet xmlns="{_MAIN}"><sheetData>' + "".join(f"<row>{r}</row>" for r in rows) + "</sheetData></worksheet>"
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, part in (_PARTS | {"xl/worksheets/sheet2.xml": sheet}).items():
+            book.writestr(name, part)
+    return pd.DataFrame({"rows": [len(pdf)], "content": [packed.getvalue()]})
 
 
 def excel_ingest(spark, sf):
     """Parts packed into workbooks of 5,000 rows, then read back as one table and held against the parts, value by value.
 
-    Tasks can write plain files only where the shared folder is mounted; under another file
-    system the workbooks travel as a stored binary column.
+    The first sheet holds keys beyond what a double tells apart, dates, booleans and error cells; workbooks travel as a stored binary column.
     """
-    folder, schema = work_path(spark, "workbooks"), "p_partkey bigint, p_name string, p_retailprice double"
-    mounted = folder.startswith("/")
-    parts = load(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice", F.floor(F.col("p_partkey") / WORKBOOK_ROWS).alias("block"))
-    packed = parts.groupBy("block").applyInPandas(_workbook(folder if mounted else None), "rows long, content binary")
-    if mounted:
-        packed.agg(F.sum("rows")).first()
-        return _same_as(excel.read_excel(spark, folder, schema), parts.drop("block"), "p_partkey")
-    packed.write.parquet(folder)
+    folder = work_path(spark, "workbooks")
+    schema = "p_partkey bigint, p_name string, p_retailprice double, big_key bigint, listed_on date, is_large boolean, ratio double"
+    key = F.col("p_partkey")
+    parts = load(spark, sf, "part").select(
+        "p_partkey", "p_name", "p_retailprice", (key + 9007199254740993).alias("big_key"), F.date_add(F.lit("2020-01-01").cast("date"), (key % 2000).cast("int")).alias("listed_on"),
+        (F.col("p_size") > 25).alias("is_large"), F.when(key % 6 != 0, F.round(F.col("p_retailprice") / (key % 6), 4)).alias("ratio"), F.floor(key / WORKBOOK_ROWS).alias("block"))
+    parts.groupBy("block").applyInPandas(_workbook, "rows long, content binary").write.parquet(folder)
     return _same_as(excel.parse_workbooks(spark.read.parquet(folder).select("content"), schema), parts.drop("block"), "p_partkey")
 
 
@@ -283,7 +290,8 @@ SELECT status, round(coalesce(sum(price), 0), 2) AS price_sum, count(price) AS p
     "csv_roundtrip": "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 1000",
     "ndjson_export": "SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders",
     "file_inventory": "SELECT 'csv' AS extension, CAST(3 AS BIGINT) AS n_files, sum(length(s_name)) > 0 AS has_bytes FROM supplier",
-    "excel_ingest": "SELECT p_partkey, p_name, p_retailprice FROM part",
+    "excel_ingest": "SELECT p_partkey, p_name, p_retailprice, p_partkey + 9007199254740993 AS big_key, DATE '2020-01-01' + CAST(p_partkey % 2000 AS INTEGER) AS listed_on, p_size > 25 AS is_large, "
+        "round(p_retailprice / nullif(p_partkey % 6, 0), 4) AS ratio FROM part",
     "guarded_query_limit": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 250",
     "sql_asof": """
 SELECT c.event_id, c.user_id, p.value AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'click') c

@@ -6,16 +6,32 @@ from pyspark.sql import functions as F
 
 from plumbline.session import work_path
 from plumbline.sources.kafka import file_stream
-from plumbline.sources.tables import instants, load
+from plumbline.sources.tables import load
 from plumbline.streaming import cdc, live, sinks
 from plumbline.workloads import derived as V
 
 ROW = "user_id bigint, event_type string, value double"
 
 
-def _events_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return instants(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+BATCHES, FILES = 5, 4
+
+
+def _events_stream(spark, sf, disturbed: bool = False):
+    """The events as a stream of five micro-batches in the order of time.
+
+    ``disturbed``: every tenth event of the second batch comes again with the third, and every 211th of the first two comes with the last.
+    """
+    events = load(spark, sf, "events")
+    lo, hi = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    placed = events.withColumn("slot", F.floor(BATCHES * (F.unix_micros("ts") - lo) / (hi - lo + 1)).cast("int"))  # fifth of the time span
+    if disturbed:
+        late = (F.col("slot") <= 1) & (F.col("event_id") % 211 == 0)
+        again = placed.where((F.col("slot") == 1) & (F.col("event_id") % 10 == 0) & ~late).withColumn("slot", F.lit(2))
+        placed = placed.withColumn("slot", F.when(late, BATCHES - 1).otherwise(F.col("slot"))).unionByName(again)
+    folder = work_path(spark, "events")
+    for slot in range(BATCHES):
+        placed.where(F.col("slot") == slot).drop("slot").repartition(FILES).write.parquet(f"{folder}/{slot}")
+    return spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 def _feed_folder(spark, sf):
@@ -57,7 +73,7 @@ def cdc_current_state(spark, sf):
 
 def stream_kpi_hourly(spark, sf):
     out = work_path(spark, "kpis")
-    kpis = live.live_kpis(_events_stream(spark, sf), "ts", "event_type", "value")
+    kpis = live.live_kpis(_events_stream(spark, sf, disturbed=True), "ts", "event_type", "value", unique="event_id")
     sinks.run_available_now(kpis, sinks.batch_folder(out), work_path(spark, "checkpoint"), mode="update")
     latest = sinks.latest_rows(spark.read.parquet(out), ["window_start", "window_end", "metric"])
     return latest.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "metric", "n",
@@ -66,8 +82,8 @@ def stream_kpi_hourly(spark, sf):
 
 def stream_anomalies(spark, sf):
     out = work_path(spark, "scored")
-    live.stream_anomalies(_events_stream(spark, sf), "event_type", "ts", "value", work_path(spark, "sums"), out,
-                          work_path(spark, "checkpoint"))
+    live.stream_anomalies(_events_stream(spark, sf, disturbed=True), "event_type", "ts", "value", work_path(spark, "sums"), out,
+                          work_path(spark, "checkpoint"), unique="event_id", lateness=2)
     return spark.read.parquet(out).select("event_id", F.round("z_score", 4).alias("z_score"), "is_anomaly")
 
 
@@ -111,15 +127,23 @@ QUERIES = {
 }
 
 _FEED = V.duck(V.CDC_FEED)
+# what is left once repeats and rows behind the watermark are gone
+_DELIVERED = f"""
+e AS (SELECT events.* FROM events, (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events)
+  WHERE NOT ({BATCHES} * (epoch_us(ts) - lo) // (hi - lo + 1) <= 1 AND event_id % 211 = 0))"""
 ORACLES = {
     "cdc_changes": f"SELECT op, feed_offset, user_id, event_type, value, cast(epoch AS BIGINT) AS epoch FROM {_FEED}",
     "cdc_rejects": f"SELECT value, reason FROM {V.duck(V.CDC_FAULTS)}",
     "cdc_current_state": f"""
 WITH last AS (SELECT * FROM {_FEED} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch DESC, feed_offset DESC) = 1)
 SELECT user_id, feed_offset, event_type, value FROM last WHERE op <> 'd'""",
-    "stream_kpi_hourly": """
-SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS metric, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 7) AS mean FROM events GROUP BY 1, 2""",
-    "stream_anomalies": _rolling_sql(24, 3.0),
+    "stream_kpi_hourly": f"""
+WITH {_DELIVERED} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS metric, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 7) AS mean FROM e GROUP BY 1, 2""",
+    "stream_anomalies": f"""
+WITH {_DELIVERED},
+st AS (SELECT a.event_id, avg(b.value) AS mean, stddev_samp(b.value) AS std FROM e a JOIN e b ON b.event_type = a.event_type
+  AND b.ts < date_trunc('hour', a.ts) AND b.ts >= date_trunc('hour', a.ts) - INTERVAL 24 HOUR GROUP BY 1)
+SELECT e.event_id, round((value - mean) / nullif(std, 0), 4) AS z_score, coalesce(abs((value - mean) / nullif(std, 0)) > 3.0, false) AS is_anomaly FROM e LEFT JOIN st USING (event_id)""",
     "rolling_anomalies": _rolling_sql(6, 2.5),
     "stream_threshold": "SELECT event_id, value FROM events WHERE value < 1.0 OR value > 150.0",
     "stream_masked": "SELECT event_id, '****' AS token, '****' AS full_name, value FROM events",

@@ -71,6 +71,30 @@ def test_range_join(spark):
     assert rows(ranges.range_join(points, "x", spans, "lo", "hi", 10), "n", "x") == expected
 
 
+@pytest.mark.parametrize("width, salts", [(1, 16), (0.5, 16), (7, 0), (1, 3)])
+def test_range_join_of_any_length(spark, width, salts):
+    """Short, empty, inverted, negative and very long ranges, fractional bounds, nulls, repeats and a hot point."""
+    rng = random.Random(8)
+    xs = [None, 5.0, -3.25, 0.0, 1e9 - 1, 1e9] + [rng.choice([2.5, rng.uniform(-50, 50), rng.uniform(0, 1e9)]) for _ in range(300)]
+    spans = [("long", -7.0, 1e9), ("none", 3.0, 3.0), ("back", 9.0, 1.0), ("null", None, 4.0), ("bits", -0.5, 0.25), ("one", 5.0, 6.0)] + [
+        (f"r{i}", float(a), float(a) + rng.choice([0.1, 1, 33, 12345.5])) for i, a in enumerate(rng.sample(range(-60, 60), 30))]
+    points = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    spread = spark.createDataFrame(spans, "n string, lo double, hi double")
+    want = sorted(((i, n) for i, x in enumerate(xs) for n, a, b in spans if x is not None and a is not None and a <= x < b), key=str)
+    assert rows(ranges.range_join(points, "x", spread, "lo", "hi", width, salts), "i", "n") == want
+    assert ranges.range_join(points, "x", spread.limit(0), "lo", "hi", width, salts).count() == 0
+
+
+def test_dyadic_blocks_are_few_and_exact(spark):
+    pairs = [(0, 0), (0, 7), (1, 6), (-5, 9), (3, 1_000_000_002), (-(2**40), 2**40 + 1), (2**50 + 1, 2**50 + 1)]
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", ranges.dyadic_blocks(F.col("a"), F.col("b")).alias("blocks"))
+    for r in df.collect():
+        cells = sorted((x.at << x.level, (x.at + 1) << x.level) for x in r.blocks)
+        assert cells[0][0] == r.a and cells[-1][1] == r.b + 1 and all(p[1] == q[0] for p, q in zip(cells, cells[1:]))
+        assert len(cells) <= max(1, 2 * (r.b - r.a + 1).bit_length())
+    assert len(df.where("b = 1000000002").first().blocks) <= 60
+
+
 def test_parts_stay_small_for_a_hot_key(spark):
     df = spark.range(4000).selectExpr("'hot' AS k", "id AS t")
     sizes = [r["count"] for r in ordered.ranged(df, ["k"], ["t"], 8).groupBy(ordered.PART).count().collect()]

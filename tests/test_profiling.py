@@ -1,8 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import profiling as P
+from plumbline.operators.profile_store import ProfileStore
 from tests.conftest import rows
 
 
@@ -66,3 +68,49 @@ def test_histogram_covers_every_row(spark):
 def test_sample_fraction():
     assert P.sample_fraction(500) == 1.0
     assert P.sample_fraction(100_000) == 0.1
+
+
+def test_stored_profile_reads_new_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = lambda lo, hi: spark.range(lo, hi).selectExpr("id", "id % 7 AS small", "cast(id / 4 AS double) AS x", "IF(id % 5 = 0, NULL, concat('v', id % 3)) AS s", "date '2024-01-01' + cast(id % 9 AS int) AS d", "id div 1000 AS day")
+    table(0, 3000).write.partitionBy("day").parquet(path)
+    store = ProfileStore(spark, str(tmp_path / "p"), ["day"])
+    assert store.refresh(spark.read.parquet(path)) == 3000
+    assert store.refresh(spark.read.parquet(path)) == 0
+    table(3000, 4000).write.mode("append").partitionBy("day").parquet(path)
+    assert store.refresh(spark.read.parquet(path)) == 1000
+    table(2000, 2500).write.mode("append").partitionBy("day").parquet(path)  # a partition that grows is read whole
+    assert store.refresh(spark.read.parquet(path)) == 1500
+    got = {r.column_name: r for r in store.profile().collect()}
+    assert set(got) == {"id", "small", "x", "s", "d"} and got["id"].total == 4500
+    assert (got["s"].null_count, got["s"].distinct_count, got["s"].min_text, got["s"].max_text, got["s"].avg_value) == (900, 3, "v0", "v2", None)
+    assert (got["id"].min_value, got["id"].max_value) == (0, 3999) and got["small"].distinct_count == 7 and got["d"].distinct_count == 9
+    assert abs(got["x"].avg_value - sum([*range(4000), *range(2000, 2500)]) / 4 / 4500) < 1e-9
+    assert abs(got["id"].distinct_count - 4000) < 4000 * 0.05 and abs(got["id"].quantiles[1] - 2062) < 4500 * 0.03
+    top = {(r.column_name, r.value): r["count"] for r in store.top_values(3).collect() if r.column_name == "s"}
+    assert sum(top.values()) == 3600 and {v for _, v in top} == {"v0", "v1", "v2"}
+    # a partition that is gone is forgotten without reading another
+    rest = spark.read.option("basePath", path).parquet(*[f"{path}/day={i}" for i in (0, 1, 3)])
+    assert store.refresh(rest) == 0
+    assert {r.total for r in store.profile().collect()} == {3000}
+    store.vacuum()
+    assert {r.total for r in store.profile().collect()} == {3000} and not (tmp_path / "p/parts/v3").exists() and (tmp_path / "p/parts/v0").exists()
+
+
+def test_stored_profile_of_odd_tables(spark, tmp_path):
+    df = spark.createDataFrame([(None, 1, None), ("a", 2, None), ("b", None, None)], "p string, v int, n string")
+    df.write.partitionBy("p", "v").parquet(str(tmp_path / "t"))
+    store = ProfileStore(spark, str(tmp_path / "p"), ["p", "v"])
+    assert store.refresh(spark.read.schema("n string, p string, v int").parquet(str(tmp_path / "t"))) == 3
+    spark.createDataFrame([("a", 2, "x")], "p string, v int, n string").write.mode("append").partitionBy("p", "v").parquet(str(tmp_path / "t"))
+    assert store.refresh(spark.read.schema("n string, p string, v int").parquet(str(tmp_path / "t"))) == 2
+    row = store.profile().first()
+    assert (row.total, row.non_null, row.min_text) == (4, 1, "x")
+    with pytest.raises(ValueError):
+        ProfileStore(spark, str(tmp_path / "none")).profile()
+
+
+def test_hash_sample_is_stable(spark):
+    df = spark.range(20_000).selectExpr("id", "id % 3 AS k")
+    once, again = (set(map(tuple, P.hash_sample(d, ["id"], 0.25).collect())) for d in (df, df.repartition(7)))
+    assert once == again and abs(len(once) - 5000) < 400

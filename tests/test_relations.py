@@ -1,5 +1,8 @@
+import decimal
+
 import pytest
 
+from plumbline.operators import inclusion
 from plumbline.operators import relations as R
 from tests.conftest import rows
 
@@ -63,3 +66,24 @@ def test_keys_stay_in_their_connection(spark, catalog):
     declared = spark.createDataFrame([("orders", "customer_id", "customers", "id"), ("orders", "address_id", "address", "id")],
                                      "source_table string, source_column string, target_table string, target_column string")
     assert rows(R.explicit_relationships(columns, apart, declared), *COLS) == [("orders", "Address_ID", "address", "id")]
+
+
+def test_inclusions_against_plain_sets(spark):
+    """Nulls, repeats, types that don't compare, an empty table, and one value that most rows hold."""
+    a = spark.createDataFrame([(i % 5 if i % 7 else None, f"x{i % 3}", decimal.Decimal(i % 4)) for i in range(50)], "k int, s string, d decimal(6,2)")
+    b = spark.createDataFrame([(0, "x0", decimal.Decimal(i)) for i in range(4)] * 20 + [(9, None, None)], "k long, s string, d decimal(9,3)")
+    tables = {"a": a, "b": b, "empty": a.limit(0), "odd": spark.createDataFrame([(1.5, [1])], "f double, l array<int>")}
+    cells = {(t, c): [str(r[c] if c != "d" else float(r[c])) for r in df.collect() if r[c] is not None] for t, df in tables.items() if t in "ab" for c in ("k", "s", "d")}
+    want = {}
+    for (t, c), mine in cells.items():
+        for (u, e), other in cells.items():
+            shared = set(mine) & set(other)
+            if (t, c) != (u, e) and c == e and shared:
+                matched = sum(v in shared for v in mine)
+                want[t, c, u, e] = (len(set(mine)), len(shared), len(mine), matched, round(100 * matched / len(mine), 4))
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in inclusion.inclusions(tables).collect()}
+    assert got == want
+    assert {tuple(r)[:4] for r in inclusion.dependencies(tables, {"a": ["k"], "b": ["k"]}).collect()} == set()
+    assert {tuple(r)[:4] for r in inclusion.dependencies(tables, least_values=4).collect()} == {("a", "d", "b", "d"), ("b", "d", "a", "d")}
+    with pytest.raises(ValueError):
+        inclusion.inclusions({"odd": tables["odd"]})

@@ -1,6 +1,7 @@
 import datetime as dt
 import decimal
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,17 +19,76 @@ def test_csv_view(spark, tmp_path):
     assert rows(spark.sql("SELECT city FROM my_city_list WHERE population > 8500000")) == [("London",), ("Tokyo",)]
 
 
+def test_csv_is_split_unless_quotes_stay_open(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("id,t\n" + "".join(f'{i},"a ""b"" {i}"\n' for i in range(5000)))
+    (tmp_path / "broken.csv").write_text('id,t\n1,"first\nsecond"\n2,x\n')
+    assert not files.has_open_quotes(spark, str(tmp_path / "plain.csv")) and files.has_open_quotes(spark, str(tmp_path / "broken.csv"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        plain = files.read_csv(spark, str(tmp_path / "plain.csv"))
+        assert plain.rdd.getNumPartitions() > 3 and plain.count() == 5000 and plain.where("id = 7").first().t == 'a "b" 7'
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows(files.read_csv(spark, str(tmp_path / "broken.csv"))) == [(1, "first\nsecond"), (2, "x")]
+
+
+def write_book(path, sheet, **parts):
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
+        for name, text in parts.items():
+            book.writestr(f"xl/{name}.xml", text.replace("MAIN", main))
+
+
 def test_excel(spark, tmp_path):
-    folder = str(tmp_path / "books")
     df = spark.createDataFrame([(1, "Widget & co", 19.99), (2, "Gadget", 29.99)], "id long, product string, price double").withColumn("block", F.lit(0))
-    df.groupBy("block").applyInPandas(_workbook(folder), "rows long, content binary").collect()
-    packed = df.groupBy("block").applyInPandas(_workbook(None), "rows long, content binary")
+    packed = df.groupBy("block").applyInPandas(_workbook, "rows long, content binary")
     assert rows(excel.parse_workbooks(packed.select("content"), "id int, price double")) == [(1, 19.99), (2, 29.99)]
-    back = excel.read_excel(spark, folder, "price double, id int, product string, absent string", "books")
+    assert rows(excel.parse_workbooks(packed.select("content"), "p_partkey int", sheet="notes")) == [(-1,)]
+    (tmp_path / "books").mkdir()
+    (tmp_path / "books/a.xlsx").write_bytes(packed.first().content)
+    back = excel.read_excel(spark, str(tmp_path / "books"), "price double, id int, product string, absent string", "books")
     assert rows(back) == [(19.99, 1, "Widget & co", None), (29.99, 2, "Gadget", None)]
     assert spark.sql("SELECT product FROM books ORDER BY price DESC LIMIT 1").first()[0] == "Gadget"
 
 
+def test_excel_cells(spark, tmp_path):
+    """Shared texts, gaps, formulas, errors, booleans, both day counts, built-in and own date formats, exact longs."""
+    styles = ('<styleSheet xmlns="MAIN"><numFmts><numFmt numFmtId="165" formatCode="[Red]0.00&quot;days&quot;"/><numFmt numFmtId="166" formatCode="dd/mm/yy hh:mm"/></numFmts>'
+              '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="166"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+    head = "".join(f'<c t="s"><v>{i}</v></c>' for i in range(6))
+    strings = '<sst xmlns="MAIN">' + "".join(f"<si><r><t>{w[0]}</t></r><r><t>{w[1:]}</t></r></si>" for w in ("day", "time", "plain", "flag", "key", "text")) + "</sst>"
+    body = ('<row><c s="1"><v>45292</v></c><c s="2"><v>45292.75</v></c><c s="3"><v>45292.5</v></c><c t="b"><v>1</v></c><c><v>9007199254740993</v></c><c t="str"><f>A1</f><v>made</v></c></row>'
+            '<row><c r="A3" s="1"><v>59</v></c><c r="C3" t="e"><v>#N/A</v></c><c r="D3" t="b"><v>0</v></c><c r="E3"><v>1.5E3</v></c></row>')
+    write_book(tmp_path / "a.xlsx", f"<row>{head}</row>{body}", styles=styles, sharedStrings=strings)
+    schema = "day date, time timestamp, plain double, flag boolean, key long, text string"
+    day = dt.date
+    assert excel.read_excel(spark, str(tmp_path), schema).orderBy("key").collect() == [
+        (day(1900, 2, 28), None, None, False, 1500, None), (day(2024, 1, 1), dt.datetime(2024, 1, 1, 18), 45292.5, True, 9007199254740993, "made")]
+    workbook = ('<workbook xmlns="MAIN" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><workbookPr date1904="1"/><sheets><sheet name="s" r:id="x"/></sheets></workbook>')
+    (tmp_path / "old").mkdir()
+    write_book(tmp_path / "old/b.xlsx", f"<row>{head}</row>{body}", styles=styles, sharedStrings=strings, workbook=workbook,
+               **{"_rels/workbook.xml.rels": ""})
+    with zipfile.ZipFile(tmp_path / "old/c.xlsx", "w") as out, zipfile.ZipFile(tmp_path / "old/b.xlsx") as given:
+        for name in given.namelist():
+            if "rels" not in name:
+                out.writestr(name, given.read(name))
+        out.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="x" Target="/xl/worksheets/sheet1.xml"/></Relationships>')
+    (tmp_path / "old/b.xlsx").unlink()
+    assert {r.day for r in excel.read_excel(spark, str(tmp_path / "old"), schema).collect()} == {day(2028, 1, 2), day(1904, 2, 29)}
+
+
+def test_excel_faults(spark, tmp_path):
+    write_book(tmp_path / "a.xlsx", '<row><c t="inlineStr"><is><t>n</t></is></c></row><row><c><v>7</v></c></row><row><c t="inlineStr"><is><t>seven</t></is></c></row><row><c><v>1.5</v></c></row>')
+    read = lambda how: excel.read_excel(spark, str(tmp_path), "n int", on_fault=how)
+    assert rows(read("null")) == [(7,), (None,), (None,)]
+    assert sorted((r.n or 0, r.faults) for r in read("list").collect()) == [(0, ["n"]), (0, ["n"]), (7, [])]
+    with pytest.raises(Exception, match="can't hold"):
+        read("raise").collect()
+    with pytest.raises(ValueError):
+        read("guess")
+
+
 def test_file_check_and_inventory(spark, tmp_path):
     (tmp_path / "a b.csv").write_text("x\n1\n")
     (tmp_path / "n.txt").write_text("no")
@@ -222,6 +282,28 @@ def test_stream_matches_batch_with_several_files(spark, tmp_path):
     assert rows(merged, "window_start", "metric", "n", "total") == rows(direct)
 
 
+def test_rolling_state_is_bounded_and_repeats_count_once(spark, tmp_path):
+    """Five micro-batches with repeats and a row far behind: scores are those of the batch form over the rows that count, the state stays small."""
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), tmp_path / "state"
+    base = dt.datetime(2024, 1, 1)
+    data = [(i, base + dt.timedelta(minutes=17 * i), "k" if i % 3 else "j", float(i * 7919 % 101)) for i in range(600)]
+    schema = "id int, ts timestamp, k string, v double"
+    for i in range(5):
+        part = data[i * 120 : i * 120 + 120] + (data[i * 120 - 30 : i * 120] if i else []) + ([(9999, base, "k", 5000.0)] if i == 4 else [])
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(source / f"f{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
+    live.stream_anomalies(stream, "k", "ts", "v", str(state), out, str(tmp_path / "cp"), hours=5, threshold=1.2, unique="id", lateness=10)
+    scored = spark.read.parquet(out)
+    assert scored.select("batch_id").distinct().count() == 5
+    batch = live.rolling_anomalies(spark.createDataFrame(data, schema), "k", "ts", "v", hours=5, threshold=1.2)
+    assert rows(scored, "id", F.round("z_score", 6), "is_anomaly") == rows(batch, "id", F.round("z_score", 6), "is_anomaly")
+    assert len([f for f in state.iterdir() if not f.name.startswith(".")]) <= 3
+    newest = max(state.iterdir(), key=lambda f: int(f.name[1:]) if f.name.startswith("v") else -1)
+    assert spark.read.parquet(str(newest)).count() <= 2 * (34 + 9 + 5 + 10 + 2) < live.hourly_moments(spark.createDataFrame(data, schema), "k", "ts", "v").count()
+    with pytest.raises(ValueError):
+        live.stream_anomalies(stream, "k", "ts", "v", str(state), out, str(tmp_path / "cp2"), unique="id")
+
+
 def test_late_rows_are_dropped_behind_the_watermark(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
