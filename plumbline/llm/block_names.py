@@ -127,12 +127,12 @@ def _name_pairs(symbols: DataFrame, base: str, level: int) -> None:
     look_up(pairs, spark.read.parquet(f"{base}/names{level}"), ["a", "b"]).select("__row", "at", "left", "name").write.parquet(f"{base}/symbols{level}")
 
 
-def look_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row with its entry of ``table``, which has one entry for each key in use and the key's number of rows in ``n``.
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Each row that has an entry in ``table`` with that entry; ``table`` has one entry for each key, and the key's number of rows in ``count``.
 
     Entries with more than one row in ``HOT_SHARE`` are fewer than ``HOT_SHARE``; they are broadcast, so a hot key meets no shuffle.
     """
-    total = table.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT_SHARE > total
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_SHARE > total
     many = F.broadcast(table.where(hot))
     return rows.join(many, keys).unionByName(rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti").join(table.where(~hot), keys))

@@ -241,9 +241,9 @@ def test_licenses(spark, docs, none):
 
 
 # 6
-def shingles(text):
+def shingles(text, size=3):
     words = tuple((text or "").encode().lower().decode().split(None)) if not text else tuple(WORDS.findall(text.encode().lower().decode()))
-    return frozenset(zip(words, words[1:], words[2:])) if len(words) > 2 else frozenset([words] if words else [])
+    return frozenset(zip(*(words[i:] for i in range(size)))) if len(words) >= size else frozenset([words] if words else [])
 
 
 def components(sets, percent=90):
@@ -290,6 +290,28 @@ def test_ngram_jaccard_over_many_near_copies(spark):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+@pytest.mark.parametrize("percent, size, common, least", [(90, 3, 50, 4), (80, 5, 3, 99), (50, 1, 20, 10), (99, 2, 3, 99)])
+def test_ngram_jaccard_around_one_text(spark, monkeypatch, percent, size, common, least):
+    """Copies of one text at all distances, some with the same edits, copies of copies, and a second text near the first; few or
+    many tokens count as common or are known from the sample, so that sets are read again."""
+    monkeypatch.setattr(ngram_jaccard, "COMMON", common)
+    monkeypatch.setattr(ngram_jaccard, "LEAST_COUNT", least)
+    rng = random.Random(percent)
+    base = [f"b{i}" for i in range(150)]
+    rows = [base, base[:75] + [f"c{i}" for i in range(75)]]
+    for k in range(160):
+        copy = list(base if k % 5 else rows[rng.randrange(len(rows))])
+        for _ in range(rng.randrange(0, 14)):
+            at = rng.randrange(len(copy))
+            copy[at] = f"e{rng.randrange(3)}a{at // 4}" if k % 3 else f"u{k}a{at}"
+        rows.append(copy)
+    rows += [[f"t{i % 7}" for i in range(n)] for n in (1, 1, 2, 3, 8, 9)]
+    want = components({i: shingles(" ".join(r), size) for i, r in enumerate(rows)}, percent)
+    given = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = by_id(ngram_jaccard.connect(given, percent=percent, size=size))
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
 def test_near_copy_stage_takes_five_words_at_80_percent(spark):
     """Copies with text added, cut or edited: near copies at 5 words and 0.8 that 3 words and 0.9 let stay."""
     import corpus_pipeline
@@ -481,7 +503,7 @@ def test_pipeline(spark, sf):
         steps[name] = {r.doc_id: r.text for r in held.collect()}
     first, second, third, fourth = steps.values()
     assert set(first) == {i for i, r in docs.items() if r.text and any(map(str.isalpha, r.text))}
-    group = components({i: shingles(t) for i, t in first.items()})
+    group = components({i: shingles(t, 5) for i, t in first.items()}, 80)
     assert set(second) == {i for i in first if group[i] == i}
     bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower().decode())
