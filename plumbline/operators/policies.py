@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -100,11 +101,12 @@ class GovernedResult:
         self.df, self.policies, self.denied = df, policies, withheld is not None
         self._withheld, self._observation, self._columns = withheld, observation, columns
 
-    def counts(self) -> dict:
+    def counts(self, wait_seconds: float = 60.0) -> dict:
+        """Rows and masked values of the action that has run on ``df``; raises ``TimeoutError`` where none has."""
         if self.denied:
             rows = self._withheld.count()
             return {"original_rows": rows, "masked_rows": rows, "access_level": "denied", "columns_masked": []}
-        seen = self._observation.get
+        seen = _within(wait_seconds, lambda: self._observation.get)
         masked = sum(seen.get(f"m{i}") or 0 for i in range(len(self._columns)))
         return {
             "original_rows": seen["rows"],
@@ -114,6 +116,17 @@ class GovernedResult:
         }
 
 
+def _within(seconds: float, read: Callable[[], dict]) -> dict:
+    """The value of a call that may never return."""
+    got: list = []
+    reader = threading.Thread(target=lambda: got.append(read()), daemon=True)
+    reader.start()
+    reader.join(seconds)
+    if not got:
+        raise TimeoutError("no action has run on the governed rows yet: write or collect them first")
+    return got[0]
+
+
 DEFAULT_MASK = "generic"
 
 

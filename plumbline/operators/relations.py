@@ -137,12 +137,14 @@ def relationship_text(rel_df: DataFrame) -> DataFrame:
     return rel_df.withColumn("explanation", F.concat(sentence, join_on, note))
 
 
-def many_to_many_text(rel_df: DataFrame) -> DataFrame:
+def many_to_many_text(rel_df: DataFrame, junctions: DataFrame | None = None) -> DataFrame:
     """Sentence for every two tables that a junction table points to.
 
-    A junction's targets are as many as its foreign keys, so they travel as one short sorted array
+    ``junctions`` (table_name) says which tables are junctions; without it each table with two foreign keys is taken for one. A junction's targets are as many as its foreign keys, so they travel as one short sorted array
     per junction and each is paired with those after it.
     """
+    if junctions is not None:
+        rel_df = rel_df.join(junctions.select(F.col("table_name").alias("source_table")).distinct(), "source_table", "left_semi")
     ends = rel_df.groupBy("source_table").agg(F.array_sort(F.collect_set("target_table")).alias("ends")).filter(
         F.size("ends") >= 2)
     lefts = ends.select("source_table", "ends", F.posexplode("ends").alias("at", "left_table"))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fixed
 
+if TYPE_CHECKING:
+    from plumbline.operators.catalog_index import CatalogIndex
+
 
 def expand_query(query: str) -> list[str]:
     """Lowercase terms of the query and their synonyms, sorted."""
@@ -48,18 +52,36 @@ def _rank(df: DataFrame, as_of: dt.datetime) -> DataFrame:
     return scored.withColumn("combined_score", combined)
 
 
+def _relevant(tables_df: DataFrame, columns_df: DataFrame, terms: Sequence[str], workspace_id: str | None) -> DataFrame:
+    """(resource_type, id, name, relevance_score, updated) of what some term fits, by a scan of the catalog."""
+    mine = tables_df if workspace_id is None else tables_df.filter(F.col("workspace_id") == workspace_id)
+    tables = mine.select(
+        F.lit("table").alias("resource_type"), F.col("table_id").alias("id"), F.col("table_name").alias("name"),
+        relevance(terms, F.col("table_name"), F.col("description")).alias("relevance_score"),
+        F.col("created_at").alias("updated"))
+    matched = columns_df.select("column_id", "table_id", "name", relevance(terms, F.col("name"), F.col("name")).alias("relevance_score")).filter(
+        "relevance_score > 0")
+    columns = matched.join(tables_df.select("table_id", "table_name", "created_at"), "table_id").select(
+        F.lit("column").alias("resource_type"), F.col("column_id").alias("id"), F.concat_ws(".", "table_name", "name").alias("name"),
+        "relevance_score", F.col("created_at").alias("updated"))
+    return tables.filter("relevance_score > 0").unionByName(columns)
+
+
 def semantic_search(
-    tables_df: DataFrame,
-    columns_df: DataFrame,
+    tables_df: DataFrame | None,
+    columns_df: DataFrame | None,
     query: str,
     as_of: dt.datetime,
     limit: int = 50,
     types: Sequence[str] | None = None,
     workspace_id: str | None = None,
     usage_df: DataFrame | None = None,
+    index: CatalogIndex | None = None,
 ) -> DataFrame:
     """Tables and columns ranked by relevance, popularity and recency; the best ``limit`` of them.
 
+    With an ``index`` (:class:`plumbline.operators.catalog_index.CatalogIndex`) the catalog itself isn't scanned and may be None.
+
     ``usage_df`` (id, n_queries) supplies popularity; without it every resource counts 0.5.
     """
     terms = expand_query(query)
@@ -67,17 +89,7 @@ def semantic_search(
         raise ValueError("empty query")
     if not 1 <= limit <= 500:
         raise ValueError("limit must be within 1..500")
-    mine = tables_df if workspace_id is None else tables_df.filter(F.col("workspace_id") == workspace_id)
-    tables = mine.select(
-        F.lit("table").alias("resource_type"), F.col("table_id").alias("id"), F.col("table_name").alias("name"),
-        relevance(terms, F.col("table_name"), F.col("description")).alias("relevance_score"),
-        F.col("created_at").alias("updated"))
-    matched = columns_df.select("column_id", "table_id", "name", relevance(terms, F.col("name"), F.col("name")).alias("relevance_score")).filter(
-        "relevance_score > 0")
-    columns = matched.join(tables_df.select("table_id", "table_name", "created_at"), "table_id").select(
-        F.lit("column").alias("resource_type"), F.col("column_id").alias("id"), F.concat_ws(".", "table_name", "name").alias("name"),
-        "relevance_score", F.col("created_at").alias("updated"))
-    found = tables.filter("relevance_score > 0").unionByName(columns)
+    found = index.relevant(terms, workspace_id) if index is not None else _relevant(tables_df, columns_df, terms, workspace_id)
     if types:
         found = found.filter(F.col("resource_type").isin(list(types)))
     if usage_df is None:

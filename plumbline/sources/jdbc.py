@@ -18,12 +18,13 @@ FETCH_SIZE = 100
 
 # declared foreign keys, as the database's own catalog lists them
 CONSTRAINT_QUERIES = {
+    # key columns are matched by their place in the key, so a key of n columns gives n rows
     "postgres": (
-        "SELECT kcu.table_name AS source_table, kcu.column_name AS source_column, ccu.table_name AS target_table, "
-        "ccu.column_name AS target_column FROM information_schema.table_constraints tc "
-        "JOIN information_schema.key_column_usage kcu USING (constraint_schema, constraint_name) "
-        "JOIN information_schema.constraint_column_usage ccu USING (constraint_schema, constraint_name) "
-        "WHERE tc.constraint_type = 'FOREIGN KEY'"),
+        "SELECT own.table_schema AS source_schema, own.table_name AS source_table, own.column_name AS source_column, "
+        "far.table_schema AS target_schema, far.table_name AS target_table, far.column_name AS target_column FROM information_schema.referential_constraints rc "
+        "JOIN information_schema.key_column_usage own ON own.constraint_schema = rc.constraint_schema AND own.constraint_name = rc.constraint_name "
+        "JOIN information_schema.key_column_usage far ON far.constraint_schema = rc.unique_constraint_schema AND far.constraint_name = rc.unique_constraint_name "
+        "AND far.ordinal_position = own.position_in_unique_constraint"),
     "mysql": (
         "SELECT table_name AS source_table, column_name AS source_column, referenced_table_name AS target_table, "
         "referenced_column_name AS target_column FROM information_schema.key_column_usage WHERE referenced_table_name IS NOT NULL"),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import fixed_values as fixed
 from plumbline.operators import inclusion, kpis, recommend, refresh, relations, search, semantic
+from plumbline.operators.catalog_index import CatalogIndex
 from plumbline.operators.profiling import profile_history
 from plumbline.operators.quality import ScoredTable
 from plumbline.session import cut_lineage, work_path
@@ -222,8 +223,7 @@ def change_drivers(spark, sf):
 
 def semantic_search(spark, sf):
     usage = V.frame(spark, sf, V.AUDIT_LOG).groupBy(F.col("resource_id").alias("id")).agg(F.count(F.lit(1)).alias("n_queries"))
-    ranked = search.semantic_search(_tables(spark, sf), _columns(spark, sf), "customer order date", AS_OF, limit=100,
-                                    workspace_id="ws1", usage_df=usage)
+    ranked = search.semantic_search(None, None, "customer order date", AS_OF, limit=100, workspace_id="ws1", usage_df=usage, index=catalog_index(spark, sf))
     return ranked.select("resource_type", "id", "name", "relevance_score", *[
         F.round(c, 6).alias(c) for c in ("popularity_score", "recency_score", "combined_score")])
 
@@ -232,7 +232,23 @@ def search_suggestions(spark, sf):
     return search.suggest(_tables(spark, sf), _columns(spark, sf), "Cu")
 
 
+_INDEXES: dict[tuple[str, str], CatalogIndex] = {}
+
+
+def catalog_index(spark, sf):
+    """The index of the derived catalog, built once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = CatalogIndex.build(_tables(spark, sf), _columns(spark, sf))
+    return _INDEXES[key]
+
+
 def metadata_search(spark, sf):
+    return catalog_index(spark, sf).search("order")
+
+
+def metadata_search_scan(spark, sf):
+    """The same search without an index."""
     return search.metadata_search(_tables(spark, sf), _columns(spark, sf), "order")
 
 
@@ -410,6 +426,7 @@ QUERIES = {
     "semantic_search": semantic_search,
     "search_suggestions": search_suggestions,
     "metadata_search": metadata_search,
+    "metadata_search_scan": metadata_search_scan,
     "catalog_search": catalog_search,
     "table_details": table_details,
     "classification_upsert": classification_upsert,
@@ -545,3 +562,4 @@ SELECT table_id, CASE WHEN row_count_estimate >= 20000 AND schema_name = 'sales'
     "recommendations_by_type": f"{_FOUND} SELECT recommendation_type, count(*) AS count FROM found GROUP BY 1",
     "exposed_columns": f"SELECT table_id, string_agg(name, ', ' ORDER BY ordinal_position, name) AS columns FROM {_C} WHERE is_pii AND NOT is_masked GROUP BY 1",
 }
+ORACLES["metadata_search_scan"] = ORACLES["metadata_search"]

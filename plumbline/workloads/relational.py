@@ -40,7 +40,7 @@ def agg_multi(spark, sf):
         "first_key": "first", "last_key": "last"}, order_by="o_orderkey")
     return done.select("o_orderpriority", "o_orderstatus", *[F.round(f"o_totalprice_{f}", 4).alias(f"o_totalprice_{f}") for f in
                                                             ("sum", "mean", "min", "max", "std", "median")],
-                       "o_custkey", "o_orderdate", "first_key", "last_key")
+                       F.round(F.col("o_totalprice_var") / 1e6, 4).alias("o_totalprice_var"), "o_custkey", "o_orderdate", "first_key", "last_key")
 
 
 def agg_null_keys(spark, sf):
@@ -280,7 +280,7 @@ ORACLES = {
         "AND o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus <> 'F'",
     "agg_multi": """
 SELECT o_orderpriority, o_orderstatus, round(sum(o_totalprice), 4) AS o_totalprice_sum, round(avg(o_totalprice), 4) AS o_totalprice_mean,
-  round(min(o_totalprice), 4) AS o_totalprice_min, round(max(o_totalprice), 4) AS o_totalprice_max, round(stddev_samp(o_totalprice), 4) AS o_totalprice_std,
+  round(min(o_totalprice), 4) AS o_totalprice_min, round(max(o_totalprice), 4) AS o_totalprice_max, round(stddev_samp(o_totalprice), 4) AS o_totalprice_std, round(var_samp(o_totalprice) / 1e6, 4) AS o_totalprice_var,
   round(median(o_totalprice), 4) AS o_totalprice_median, count(DISTINCT o_custkey) AS o_custkey, count(o_orderdate) AS o_orderdate,
   min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1, 2""",
     "agg_null_keys": """

@@ -104,8 +104,8 @@ def test_workbooks_are_held_against_their_source(spark, sf, monkeypatch):
     from plumbline.workloads import relational
 
     assert relational.excel_ingest(spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count()
-    real = relational.excel.read_excel
+    real = relational.excel.parse_workbooks
     for change in (lambda df: df.withColumn("p_name", F.when(F.col("p_partkey") == 7, F.lit("x")).otherwise(F.col("p_name"))), lambda df: df.where("p_partkey <> 7")):
-        monkeypatch.setattr(relational.excel, "read_excel", lambda *a, change=change: change(real(*a)))
+        monkeypatch.setattr(relational.excel, "parse_workbooks", lambda *a, change=change: change(real(*a)))
         with pytest.raises(Exception, match="differ from their source at p_partkey 7"):
             relational.excel_ingest(spark, sf).collect()

@@ -72,3 +72,14 @@ def test_audit_rows_append(spark, tmp_path):
     P.append_audit(P.audit_record(spark, "u", "t", "SELECT 1", {**masked, "access_level": "denied"}, at), path)
     assert rows(spark.read.parquet(path), "action", "rows_returned", "denial_reason") == [
         ("access_denied", 0, "Restricted access policy enforced"), ("query_executed", 3, None)]
+
+
+def test_counts_do_not_wait_for_ever(spark):
+    """Without an action there is nothing to count, and the call says so."""
+    df = spark.range(3).selectExpr("id", "'x' AS name")
+    classes = spark.createDataFrame([("t", None, False, False, False, None)], CLASS)
+    result = P.apply_policies(df, "t", classes, spark.createDataFrame([], POLICY))
+    with pytest.raises(TimeoutError):
+        result.counts(wait_seconds=0.5)
+    result.df.collect()
+    assert result.counts()["original_rows"] == 3

@@ -87,3 +87,10 @@ def test_inclusions_against_plain_sets(spark):
     assert {tuple(r)[:4] for r in inclusion.dependencies(tables, least_values=4).collect()} == {("a", "d", "b", "d"), ("b", "d", "a", "d")}
     with pytest.raises(ValueError):
         inclusion.inclusions({"odd": tables["odd"]})
+
+
+def test_given_junctions(spark):
+    rel = spark.createDataFrame([("enrolments", "students"), ("enrolments", "courses"), ("orders", "customers"), ("orders", "shops")], "source_table string, target_table string")
+    assert R.many_to_many_text(rel).count() == 2
+    told = R.many_to_many_text(rel, spark.createDataFrame([("enrolments",), ("enrolments",)], "table_name string"))
+    assert rows(told, "left_table", "right_table", "junction_table") == [("courses", "students", "enrolments")]

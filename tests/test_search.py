@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import recommend, search
+from plumbline.operators import catalog_index, recommend, search
 from tests.conftest import rows
 
 AS_OF = dt.datetime(2024, 2, 1)
@@ -72,3 +73,29 @@ def test_findings(spark, catalog):
     assert recommend.recommendations(tables, columns, history, AS_OF, resource_id="2").count() == 2
     assert dict(map(tuple, recommend.by_type(found).collect()))["fix_description"] == 3
     assert rows(recommend.exposed_columns(columns)) == [("1", "customer_name")]
+
+
+def test_index_finds_what_a_scan_finds(spark, tmp_path):
+    """Names and descriptions of all kinds, with lists that fall into several chunks; short, long, odd and absent terms."""
+    rng = random.Random(2)
+    words = ["order", "Orders", "customer", "ord", "card", "CARD_no", "or", "é", "étage", "a", "line item", "der"]
+    say = lambda: rng.choice([None, "", "_".join(rng.choice(words) for _ in range(rng.randint(1, 4)))])
+    tables = spark.createDataFrame([(f"t{i}", f"c{i % 2}", "w" if i % 3 else "x", say() or f"n{i}", say(), AS_OF, "s") for i in range(60)],
+                                   "table_id string, connection_id string, workspace_id string, table_name string, description string, created_at timestamp, schema_name string")
+    columns = spark.createDataFrame([(f"t{i % 60}.{i}", f"t{i % 60}", say() or "k", "int", None, say()) for i in range(300)],
+                                    "column_id string, table_id string, name string, data_type string, pii_tag string, description string")
+    catalog_index.CHUNK, chunk = 50, catalog_index.CHUNK
+    try:
+        index = catalog_index.CatalogIndex.build(tables, columns, str(tmp_path / "index"))
+    finally:
+        catalog_index.CHUNK = chunk
+    again = catalog_index.CatalogIndex(spark, str(tmp_path / "index"))
+    for query in ["order", "ORD", "or", "étage", "line item", "absent", "rder_", "customer_order", "é"]:
+        for conn in (None, "c1"):
+            want = [tuple(r) for r in search.metadata_search(tables, columns, query, conn).collect()]
+            assert [tuple(r) for r in again.search(query, conn).collect()] == want, query
+    for query in ("customer order", "or card", "absent"):
+        scan = search.semantic_search(tables, columns, query, AS_OF, limit=500, workspace_id="w")
+        assert sorted(map(str, search.semantic_search(None, None, query, AS_OF, limit=500, workspace_id="w", index=index).collect())) == sorted(map(str, scan.collect()))
+    assert index.candidates(["order"]).count() < index.entries().count()
+    assert catalog_index.CatalogIndex.build(tables.limit(0), columns.limit(0)).search("order").count() == 0
