@@ -171,7 +171,7 @@ def as_rows(df):
     return {(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block, bits", [(16, 128), (1, 128), (1024, 128), (16, 14)])
+@pytest.mark.parametrize("block, bits", [(16, 128), (1, 128), (1024, 128), (16, 20)])
 def test_copies_against_brute_force(spark, block, bits):
     """Blocks of one byte to more than most texts; keys so short that seeds are drawn again."""
     texts = block_texts() if block > 1 else [t for t in block_texts() if t is None or len(t) < 200]
