@@ -40,7 +40,7 @@ class Rounds:
 
 @dataclass(frozen=True)
 class Numbered:
-    """``nodes``: node, id, n (1 a row). ``edges``: src, dst as ids, without repeats."""
+    """``nodes``: node, id. ``edges``: src, dst as ids, without repeats."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -57,7 +57,7 @@ def number(edges: DataFrame) -> Numbered:
 
 
 def spread(edges: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
-    """(root, node, hop) from every ``root``, itself at hop 0, to the nodes within ``depth`` hops. All ids."""
+    """(root, node, hop) from every ``root``, itself at hop 0, to the nodes within ``depth`` hops; nodes as they are named in ``edges``."""
     rounds = Rounds(edges.sparkSession, "reach")
     newest, seen = rounds.add(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hop")).distinct())
     steps = edges.withColumnRenamed("src", "node")
