@@ -39,7 +39,7 @@ from plumbline.session import work_path
 SIZE = 3
 PERCENT = 90
 SAMPLE = 5
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000
 #: Prefix tokens that a linked pair has in common at least; prefixes are longer by as many less one.
 HITS = 2
 #: Sets whose tokens are counted to order tokens, and the least count that matters; their quotient times the mean set size bounds the table.
@@ -166,11 +166,14 @@ def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, store: _
     lists = at.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "rep")).alias("first")).where("c > 1")
     prefix = store.keep(look_up(at, store.keep(lists.select("token", "c", F.col("first.rep").alias("named"))), ["token"], "c"))
     centre = _centres(prefix, store)
-    sets = store.keep(read(centre.select("rep")))
+    grouped = centre.where("rep <> grp")
+    sets = store.keep(read(store.keep(grouped.select("rep").unionAll(grouped.select(F.col("grp").alias("rep"))).distinct())))
     placed = store.keep(_differences(centre, sets, store, percent))
     to_centre = placed.where("linked AND rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b"))
     inside = store.keep(_within(placed, store, percent))
-    between = store.keep(_between(prefix, placed, sets, store, percent))
+    met = store.keep(_between(prefix, placed, store, percent))
+    compared = store.keep(read(store.keep(met.select(F.col("a").alias("rep")).unionAll(met.select(F.col("b").alias("rep"))).distinct())))
+    between = store.keep(_compare(met, compared).where(_similar(percent)).select("a", "b"))
     return to_centre.unionAll(inside).unionAll(between)
 
 
@@ -222,7 +225,7 @@ def _centres(prefix: DataFrame, store: _Store) -> DataFrame:
 
 def _differences(centre: DataFrame, sets: DataFrame, store: _Store, percent: int) -> DataFrame:
     """``rep, n, grp, nc, d, phi, linked``: each set as its difference from the centre; sets that have little of theirs are their own."""
-    copies = store.keep(centre.groupBy(F.col("grp").alias("id")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies")))
+    copies = store.keep(centre.where("rep <> grp").groupBy(F.col("grp").alias("id")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies")))
     away = look_up(centre.where("rep <> grp").withColumnRenamed("grp", "id"), copies.withColumn("c", F.col("copies").cast("long")), ["id"], "c").drop("c")
     away = away.withColumn("copy", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int")).drop("copies")
     centres = sets.join(copies, sets["rep"] == copies["id"]).select("id", F.col("n").alias("nc"), F.col("tokens").alias("tc"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
@@ -258,8 +261,8 @@ def _within(placed: DataFrame, store: _Store, percent: int) -> DataFrame:
     return checked.where(twice * F.size(F.array_intersect("da", "db")) >= F.col("phi")).select("a", "b")
 
 
-def _between(prefix: DataFrame, placed: DataFrame, sets: DataFrame, store: _Store, percent: int) -> DataFrame:
-    """Linked pairs of different groups, over the token-group matrix."""
+def _between(prefix: DataFrame, placed: DataFrame, store: _Store, percent: int) -> DataFrame:
+    """Pairs of different groups that can link, over the token-group matrix."""
     rows = store.keep(prefix.select("token", "rep").join(placed.select("rep", "n", "grp"), "rep"))
     matrix = store.keep(rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")))
     fits = (100 * F.col("m.most") >= percent * F.col("q.n")) & (100 * F.col("q.n") >= percent * F.col("m.least"))
@@ -269,8 +272,8 @@ def _between(prefix: DataFrame, placed: DataFrame, sets: DataFrame, store: _Stor
     opened = opened.where(F.size("tokens") >= enough).select("a", "na", "grp", F.explode("tokens").alias("token"))
     met = opened.join(rows.select("token", "grp", F.col("rep").alias("b"), F.col("n").alias("nb")), ["token", "grp"]).where(
         (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("na").alias("x"), F.first("nb").alias("y")).where(F.col("hits") >= _enough("x", "y", percent)).select("a", "b")
-    return _compare(store.keep(pairs), sets).where(_similar(percent)).select("a", "b")
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("na").alias("x"), F.first("nb").alias("y"))
+    return counted.where(F.col("hits") >= _enough("x", "y", percent)).select("a", "b")
 
 
 def _enough(n: str, m: str, percent: int):
