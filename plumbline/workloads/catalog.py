@@ -75,10 +75,11 @@ def _inferred(spark, sf):
     return relations.infer_relationships(_columns(spark, sf), _tables(spark, sf), _explicit(spark, sf))
 
 
-def _all_relations(spark, sf):
-    """Declared and inferred keys; the declared ones are cut off first, as they are read three times."""
-    declared = cut_lineage(_explicit(spark, sf))
-    return declared.unionByName(relations.infer_relationships(_columns(spark, sf), _tables(spark, sf), declared))
+def _all_relations(spark, sf, scoped=True):
+    """Declared and inferred keys, inside connections or over the whole catalog; the declared ones are cut off first, as they are read three times."""
+    tables = _tables(spark, sf) if scoped else _tables(spark, sf).drop("connection_id")
+    declared = cut_lineage(relations.explicit_relationships(_columns(spark, sf), tables, _constraints(spark, sf)))
+    return declared.unionByName(relations.infer_relationships(_columns(spark, sf), tables, declared))
 
 
 REL = ["source_table", "source_column", "target_table", "target_column", "relationship_type", "confidence_score",
@@ -134,7 +135,8 @@ def join_path_text(spark, sf):
 
 
 def many_to_many_text(spark, sf):
-    rel = _all_relations(spark, sf)
+    """Junctions of the whole catalog, also those whose keys lead to another connection."""
+    rel = _all_relations(spark, sf, scoped=False)
     return relations.many_to_many_text(rel)
 
 
@@ -340,6 +342,8 @@ inferred AS (SELECT c.table_id AS sid, c.column_id AS scid, s.table_name AS sour
  JOIN {_C} ic ON ic.table_id = t.table_id AND lower(ic.name) = 'id'
  WHERE lower(c.name) LIKE '%id' AND NOT EXISTS (SELECT 1 FROM explicit e WHERE e.scid = c.column_id AND (e.tid = t.table_id OR e.tcid = ic.column_id)))"""
 _RELS = f"WITH {_EXPLICIT}, {_INFERRED}, rel AS (SELECT * FROM explicit UNION ALL SELECT * FROM inferred)"
+# the same over the whole catalog, whatever the connections of both ends
+_RELS_ALL = _RELS.replace(" AND tt.connection_id = st.connection_id", "").replace(" AND t.connection_id = s.connection_id", "")
 _REL_COLS = ", ".join(REL)
 
 
@@ -481,7 +485,7 @@ a AS (SELECT source_table AS a, target_table AS b FROM rel)
 SELECT x.a || '>' || x.b || '>' || y.b AS path, 'To join ' || {_label('x.a')} || ' to ' || {_label('y.b')} || ', traverse: ' || {_label('x.a')} || ' → ' || {_label('x.b')} || ' → ' || {_label('y.b')} AS explanation
 FROM a x JOIN a y ON x.b = y.a
 UNION ALL SELECT a || '>' || b, 'To join ' || {_label('a')} || ' to ' || {_label('b')} || ', use: ' || {_label('a')} || ' → ' || {_label('b')} FROM a""",
-    "many_to_many_text": f"""{_RELS},
+    "many_to_many_text": f"""{_RELS_ALL},
 e AS (SELECT DISTINCT a.source_table AS junction_table, a.target_table AS left_table, b.target_table AS right_table FROM rel a JOIN rel b ON a.source_table = b.source_table AND a.target_table < b.target_table)
 SELECT *, 'Each ' || {_label('left_table')} || ' can be associated with many ' || {_label('right_table')} || 's, and vice versa, through the ' || {_label('junction_table')} || ' table.' AS explanation FROM e""",
     "entity_types": f"""{_RELS},

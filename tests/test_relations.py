@@ -1,10 +1,13 @@
 import decimal
 
+import duckdb
 import pytest
 
+import __spark_entry__ as entry
 from plumbline.operators import inclusion
 from plumbline.operators import relations as R
 from tests.conftest import rows
+from tests.oracle import compare
 
 COLS = ["source_table", "source_column", "target_table", "target_column"]
 
@@ -94,3 +97,16 @@ def test_given_junctions(spark):
     assert R.many_to_many_text(rel).count() == 2
     told = R.many_to_many_text(rel, spark.createDataFrame([("enrolments",), ("enrolments",)], "table_name string"))
     assert rows(told, "left_table", "right_table", "junction_table") == [("courses", "students", "enrolments")]
+
+
+def test_many_to_many_over_all_connections(spark, tmp_path):
+    """The query tells junctions of the whole catalog: the two ends may lie in different connections."""
+    parts = [(p, f"n{p}", "b", "t", 5 + p % 7, 1.0) for p in range(1, 500)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    told = entry.queries()["many_to_many_text"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert compare(told, duck, entry.oracle_sql()["many_to_many_text"]) is None
+    number = lambda name: int(name.split("_")[1].rstrip("s"))
+    connection = lambda name: number(name) // 64 % 5 == 0
+    assert any(len({connection(r[c]) for c in ("junction_table", "left_table", "right_table")}) == 2 for r in told.collect())
