@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import fixed_values as fixed
 from plumbline.functions.text import contains_any
@@ -38,29 +41,34 @@ def is_testable(value: Column) -> Column:
     return F.coalesce(~F.trim(value).isin("", "None"), F.lit(False))
 
 
-def entropy(value: Column) -> Column:
+@F.arrow_udf(T.DoubleType())
+def entropy(values: pa.Array) -> pa.Array:
     """Shannon bits per character; 0 for the empty string, NULL for NULL.
 
-    The characters are sorted so equal ones are adjacent, then the run lengths are folded in one
-    pass: linear after the sort, whatever the text's length.
+    The characters of a batch are sorted together, text by text, so that equal ones of a text are adjacent; then the run lengths are
+    summed by text: linear after the sort, whatever the texts' length.
     """
-    chars = F.array_sort(F.filter(F.split(value, ""), lambda c: c != ""))
-    size = F.size(chars)
-    start = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"), F.lit(0.0).alias("acc"))
-
-    def weight(run):
-        return F.when(run > 0, run * F.log2(run)).otherwise(F.lit(0.0))
-
-    def step(state, c):
-        same = state["prev"] == c
-        return F.struct(
-            c.alias("prev"),
-            F.when(same, state["run"] + 1).otherwise(F.lit(1)).alias("run"),
-            F.when(same, state["acc"]).otherwise(state["acc"] + weight(state["run"])).alias("acc"),
-        )
-
-    summed = F.aggregate(chars, start, step, lambda s: s["acc"] + weight(s["run"]))
-    return F.when(size == 0, F.lit(0.0)).when(size > 0, F.greatest(F.log2(size) - summed / size, F.lit(0.0)))
+    values = values.cast(pa.large_binary())
+    data = np.frombuffer(values.buffers()[2] or b"", dtype=np.uint8)
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.append(data[ends[0] : ends[-1]], np.zeros(3, dtype=np.uint8)).astype(np.int64)
+    n_bytes, owner = len(data) - 3, np.repeat(np.arange(len(values)), np.diff(ends))
+    # a character's code is its bytes, put together; a text's first byte starts one in any case
+    first = (data[:n_bytes] & 0xC0) != 0x80
+    first[1:] |= owner[1:] != owner[:-1]
+    first[:1] = True
+    starts = np.flatnonzero(first)
+    width = np.diff(np.append(starts, n_bytes))
+    codes = data[starts]
+    for k in range(1, min(4, int(width.max(initial=1)))):
+        codes |= np.where(width > k, data[starts + k], 0) << (8 * k)
+    owner = owner[starts]
+    marks = np.sort(owner << 32 | codes)
+    edges = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])) if len(marks) else np.zeros(0, dtype=np.int64)
+    run = np.diff(np.append(edges, len(marks)))
+    summed = np.bincount(marks[edges] >> 32, run * np.log2(run), minlength=len(values))
+    size = np.maximum(np.bincount(owner, minlength=len(values)), 1)
+    return pa.array(np.maximum(np.log2(size) - summed / size, 0.0), mask=values.is_null().to_numpy(zero_copy_only=False))
 
 
 def sensitivity(kind: Column) -> Column:

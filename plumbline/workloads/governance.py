@@ -12,7 +12,7 @@ from plumbline.functions import fixed_values as fixed
 from plumbline.functions import masks
 from plumbline.operators import pii, policies, telemetry
 from plumbline.operators.profiling import as_text
-from plumbline.session import work_path
+from plumbline.session import dealt, work_path
 from plumbline.sources.tables import load
 from plumbline.workloads import derived as V
 
@@ -43,7 +43,7 @@ def _all_values(spark, sf):
     contacts = _contacts(spark, sf).select(*CONTACT_COLUMNS)
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), as_text(contacts.schema[c]).alias("value"))
                       for c in CONTACT_COLUMNS])
-    return contacts.select(F.inline(cells)).filter(F.col("value").isNotNull())
+    return dealt(contacts).select(F.inline(cells)).filter(F.col("value").isNotNull())
 
 
 def pii_value_patterns(spark, sf):
