@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import detectors as D
 from plumbline.functions import fixed_values as fixed
 from plumbline.operators.profiling import top_values
+from plumbline.session import dealt
 
 METHODS = ["column_name", "data_pattern", "entropy", "semantic"]
 
@@ -127,7 +128,7 @@ def scan_pii(
         from plumbline.operators.profiling import as_text
 
         cells = F.array(*[F.struct(F.lit(c).alias("column_name"), as_text(df.schema[c]).alias("value")) for c in df.columns])
-        values = df.select(F.inline(cells)).filter(F.col("value").isNotNull())
+        values = dealt(df).select(F.inline(cells)).filter(F.col("value").isNotNull())
     else:
         values = top_values(df, k=top_k).select("column_name", "value")
     return detect_columns(columns, values, ["column_name"]).select(

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import detectors as D
 from plumbline.functions import fixed_values as fixed
 from plumbline.operators import pii
+from plumbline.session import dealt
 from tests.conftest import rows
 
 
@@ -81,3 +83,21 @@ def test_free_text_prefilter_loses_nothing(spark):
     every = df.select("id", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), D.text_hits(F.col("text"), k).cast("long").alias("n")) for k in fixed.VALUE_PATTERNS])))
     assert fast == rows(every.filter("n > 0"))
     assert {r[0] for r in fast} == {0, 1, 2, 3, 4, 5}
+
+
+def test_entropy_counts_whole_characters(spark):
+    """Against plain counts: characters of one to four bytes, texts without any next to others, nulls, an empty table."""
+    texts = ["", "a", None, "abcabc", "h\u00e9llo w\u00f6rld", "\u65e5\u672c\u65e5\u672c\u8a9e", "\U0001f600\U0001f600x", "zyxwv", "", "ab" * 5000]
+    plain = lambda t: t and -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values())
+    for given in (texts, texts * 300, []):
+        got = [r[0] for r in column(spark, given).coalesce(1).select(D.entropy(F.col("v"))).collect()]
+        assert got == [pytest.approx(plain(t) or 0.0) if t is not None else None for t in given]
+
+
+def test_scan_deals_rows_to_tasks(spark):
+    """Rows of one task, as a small file gives them, are tested in many: values are counted by several tasks."""
+    one = column(spark, [f"user{i}@example.com" for i in range(4000)]).coalesce(1)
+    assert dealt(one).rdd.getNumPartitions() > one.rdd.getNumPartitions() == 1
+    found = pii.scan_pii(one, "t").collect()
+    assert [(r["column_name"], r["pii_type"]) for r in found] == [("v", "email")]
+    assert "RoundRobinPartitioning" in pii.scan_pii(one, "t")._jdf.queryExecution().toString()
