@@ -71,8 +71,19 @@ def spread(edges: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
 
 
 def trim(edges: DataFrame) -> DataFrame:
-    """Stored edges without those from nodes that nothing leads to, or to nodes that lead nowhere; twice, as the first time bares others."""
-    return Rounds(edges.sparkSession, "trim").add(_peel(_peel(edges)))[0]
+    """Stored edges without those from nodes that nothing leads to, or to nodes that lead nowhere; such edges lie on no cycle.
+
+    Taking them bares others, so it goes on, two peels a round, while a round takes at least a tenth of the edges: all rounds together then
+    read ten times the edges at most, and a long chain that loses little in each is left to the colours.
+    """
+    rounds = Rounds(edges.sparkSession, "trim")
+    left, seen = rounds.add(_peel(_peel(edges)))
+    while seen["n"]:
+        before = seen["n"]
+        left, seen = rounds.add(_peel(_peel(left)))
+        if seen["n"] > 0.9 * before:
+            break
+    return left
 
 
 def _peel(edges: DataFrame) -> DataFrame:

@@ -156,3 +156,14 @@ def test_no_edges(spark):
     assert I.components(none).count() == I.cycles(none).count() == I.blast_radius(none).count() == I.blast_radius_sketched(none).count() == 0
     deps = spark.createDataFrame([], "parent_id string, child_id string")
     assert I.affected_metrics(deps, spark.createDataFrame([("t",)], "table_name string")).count() == 0
+
+
+def test_trim_goes_on_to_the_circle(spark):
+    """A tree of eight levels above a circle and one below it go layer by layer; edges on circles and between them stay."""
+    above = [(f"u{i}", f"u{i // 2}") for i in range(2, 256)] + [("u1", "r0")]
+    below = [(f"d{i // 2}", f"d{i}") for i in range(2, 256)] + [("r1", "d1")]
+    kept = [("r0", "r1"), ("r1", "r0"), ("r1", "m"), ("m", "s"), ("s", "s")]
+    edges = spark.createDataFrame(above + below + kept, "src string, dst string")
+    assert rows(G.trim(edges)) == sorted(kept)
+    assert G.trim(edges.limit(0)).count() == 0
+    assert rows(I.components(graph(spark, *above, *below, *kept)), "component", "node", "size") == [("r0", "r0", 2), ("r0", "r1", 2), ("s", "s", 1)]
