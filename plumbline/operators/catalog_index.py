@@ -7,8 +7,10 @@ entries that are left. Shorter terms say too little for that; they look at every
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,55 @@ from plumbline.session import work_path
 GRAM = 3
 #: Entries whose numbers share this quotient lie in one list, so a list has a bound however common its trigram.
 CHUNK = 65_536
-
-
-def trigrams(text: Column) -> Column:
-    """Distinct stretches of three characters of the lowered text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_distinct(F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.length(low) - GRAM + 1, F.lit(1))), lambda i: F.length(low) >= GRAM), lambda i: F.substring(low, i, GRAM)))
+#: Characters whose trigrams are sorted together; a list of very long texts comes in parts.
+PART_CHARS = 4_000_000
+
+
+def _grams(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and owner of each stretch of three characters; a number is the three code points, put together."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    place = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+    whole = np.flatnonzero(place[2:] == place[:-2])
+    return codes[whole] << 42 | codes[whole + 1] << 21 | codes[whole + 2], owner[place[whole]]
+
+
+def _listed(size: int):
+    """Turns (entry, name, description), lowered, into the lists of their trigrams; ``size`` bounds a list."""
+
+    def lists(held: list[tuple[np.ndarray, list[str], list[str]]], chunk: int) -> pa.RecordBatch:
+        entries = np.concatenate([e for e, _, _ in held])
+        owner = np.arange(len(entries))
+        names, abouts = ([t for part in held for t in part[i]] for i in (1, 2))
+        gram, row = map(np.concatenate, zip(_grams(names, owner), _grams(abouts, owner)))
+        order = np.lexsort((row, gram))
+        gram, row = gram[order], row[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])) if len(gram) else np.zeros(0, dtype=bool)
+        gram, row = gram[new], row[new]
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, dtype=np.int64)
+        found = gram[starts]
+        text = np.stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le")
+        offsets = pa.array(np.append(starts, len(gram)), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([text[i : i + GRAM] for i in range(0, len(text), GRAM)], pa.string()), pa.array(np.full(len(found), chunk), pa.int64()),
+             pa.ListArray.from_arrays(offsets, pa.array(entries[row], pa.int64()))], names=["gram", "chunk", "entries"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars, at = [], 0, -1
+        for batch in filter(len, batches):
+            numbers, names, abouts = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            lengths = np.fromiter((len(n) + len(d) for n, d in zip(names, abouts)), dtype=np.int64, count=len(names))
+            chunks, parts = numbers // size, np.cumsum(lengths) // PART_CHARS
+            cuts = [0, *(np.flatnonzero((chunks[1:] != chunks[:-1]) | (parts[1:] != parts[:-1])) + 1).tolist(), len(names)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and (chars > PART_CHARS or chunks[lo] != at):
+                    yield lists(held, at)
+                    held, chars = [], 0
+                held.append((numbers[lo:hi], names[lo:hi], abouts[lo:hi]))
+                chars, at = chars + int(lengths[lo:hi].sum()), int(chunks[lo])
+        if held:
+            yield lists(held, at)
+
+    return read
 
 
 class CatalogIndex:
@@ -54,9 +98,10 @@ class CatalogIndex:
         # numbers follow the order of the stored files, so the entries of a list are near each other
         tables.unionByName(columns).withColumn("entry", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{index.path}/entries")
         entries = spark.read.parquet(f"{index.path}/entries")
-        grams = entries.select("entry", F.explode(F.array_union(trigrams(F.col("name")), trigrams(F.col("description")))).alias("gram"))
-        lists = grams.groupBy("gram", F.floor(F.col("entry") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
-        lists.repartitionByRange("gram", "chunk").sortWithinPartitions("gram", "chunk").write.mode("overwrite").parquet(f"{index.path}/lists")
+        lowered = entries.select("entry", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "description")])
+        # the entries of a list come from one task, which makes the list without a shuffle; each task writes files sorted by trigram
+        lists = lowered.mapInArrow(_listed(CHUNK), "gram string, chunk long, entries array<long>")
+        lists.sortWithinPartitions("gram", "chunk").write.mode("overwrite").parquet(f"{index.path}/lists")
         return index
 
     def entries(self) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import catalog_index, recommend, search
+from plumbline.workloads import derived as V
 from tests.conftest import rows
 
 AS_OF = dt.datetime(2024, 2, 1)
@@ -99,3 +100,27 @@ def test_index_finds_what_a_scan_finds(spark, tmp_path):
         assert sorted(map(str, search.semantic_search(None, None, query, AS_OF, limit=500, workspace_id="w", index=index).collect())) == sorted(map(str, scan.collect()))
     assert index.candidates(["order"]).count() < index.entries().count()
     assert catalog_index.CatalogIndex.build(tables.limit(0), columns.limit(0)).search("order").count() == 0
+
+
+def test_lists_against_plain_sets(spark, tmp_path, monkeypatch):
+    """Each entry is listed once for each trigram of its name or description, whatever the texts; long lists come in parts."""
+    monkeypatch.setattr(catalog_index, "PART_CHARS", 40)
+    names = ["abc", "ABCabc", "\u00e9tage", "\U0001f600ab", "ab", "", None, "x" * 50, "a b c"] * 5
+    tables = spark.createDataFrame([(f"t{i}", n, names[-i], AS_OF) for i, n in enumerate(names)], "table_id string, table_name string, description string, created_at timestamp")
+    columns = spark.createDataFrame([], "column_id string, table_id string, name string")
+    index = catalog_index.CatalogIndex.build(tables, columns, str(tmp_path / "index"))
+    cut = lambda t: {t.lower()[i : i + 3] for i in range(len(t) - 2)} if t else set()
+    want = sorted((g, r.entry) for r in index.entries().collect() for g in cut(r.name) | cut(r.description))
+    lists = spark.read.parquet(f"{index.path}/lists")
+    assert sorted((r.gram, e) for r in lists.collect() for e in r.entries) == want
+    assert lists.groupBy("gram", "chunk").count().where("count > 1").count() > 0
+
+
+def test_stored_derivations_are_made_by_many_tasks(spark, tmp_path):
+    """A small file is one task's to read; the rows made from it are written by several."""
+    parts = [(p, f"n{p}", "b", "t", 5, 1.0) for p in range(1, 300)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(parts, schema).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = V.stored(spark, str(tmp_path), V.CATALOG_COLUMNS)
+    assert len(made.inputFiles()) > 1
+    assert rows(made) == rows(V.frame(spark, str(tmp_path), V.CATALOG_COLUMNS))
