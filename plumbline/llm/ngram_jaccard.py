@@ -25,7 +25,7 @@ An empty table gives an empty result. Columns other than id and text are not loo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.block_names import look_up
-from plumbline.session import work_path
+from plumbline.session import remove, work_path
 
 SIZE = 3
 PERCENT = 90
@@ -106,16 +106,31 @@ def _sets(docs: DataFrame, doc_id: str, text: str, whole: bool, size: int, cut:
 
 
 class _Store:
-    """Tables in the shared folder that steps write once and read again."""
+    """Tables in the shared folder that steps write once and read again, until no later step needs them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, work_path(spark, "jaccard"), 0
+        self.spark, self.root, self.n, self.held = spark, work_path(spark, "jaccard"), 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.held[path] = table
+        return table
+
+    def free(self, *tables: DataFrame) -> None:
+        """Deletes these tables; all that was made from them has to be stored."""
+        self._delete([path for path, held in self.held.items() if any(held is t for t in tables)])
+
+    def free_but(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these."""
+        self._delete([path for path, held in self.held.items() if not any(held is t for t in tables)])
+
+    def _delete(self, paths: list[str]) -> None:
+        remove(self.spark, paths)
+        for path in paths:
+            del self.held[path]
 
 
 def connect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
@@ -123,10 +138,13 @@ def connect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     store = _Store(docs.sparkSession)
     sets = store.keep(_sets(docs, doc_id, text, whole=False, size=size))
     # one row an id; equal ids are rare, so only the narrow columns move
-    narrow = sets.groupBy("doc_id").agg(F.max(F.struct("n", "sig1", "sig2")).alias("s")).select("doc_id", "s.*")
-    classes = sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
-    classes = store.keep(classes.select("rep", "sig1", "sig2", "n", "tokens"))
-    links = store.keep(_links(docs, doc_id, text, classes, store, percent, size))
+    narrow = store.keep(sets.groupBy("doc_id").agg(F.max(F.struct("n", "sig1", "sig2")).alias("s")).select("doc_id", "s.*"))
+    sampled = sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+    sampled = store.keep(sampled.select("rep", "sig1", "sig2", "n", "tokens"))
+    classes = store.keep(sampled.drop("tokens"))
+    store.free(sets)
+    links = store.keep(_links(docs, doc_id, text, classes, sampled, store, percent, size))
+    store.free_but(narrow, classes, links)
     component = _components(links, store)
     grouped = narrow.join(classes.select("sig1", "sig2", F.col("n").alias("n"), "rep"), ["sig1", "sig2", "n"], "left")
     named = grouped.join(component.withColumnRenamed("id", "rep"), "rep", "left")
@@ -134,22 +152,26 @@ def connect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, store: _Store, percent: int, size: int) -> DataFrame:
-    """Linked pairs ``a, b`` of class representatives, enough of them to connect all that any link connects."""
+def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, sampled: DataFrame, store: _Store, percent: int, size: int) -> DataFrame:
+    """Linked pairs ``a, b`` of class representatives, enough of them to connect all that any link connects. ``sampled`` holds the classes with
+    their token samples; it is freed."""
     slack = F.floor(F.col("n") * (100 - percent) / 100)  # tokens of a set that a linked set may lack
-    tokens = classes.select("rep", F.explode("tokens").alias("token"))
+    tokens = sampled.select("rep", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     common = tokens.join(shared, "token").groupBy("rep").agg(F.count("*").alias("common"))
-    sized = classes.select("rep", "n", F.size("tokens").alias("s"))
+    sized = sampled.select("rep", "n", F.size("tokens").alias("s"))
     able = store.keep(sized.join(common, "rep", "left").where(F.col("s") - F.coalesce("common", F.lit(0)) <= slack).select("rep"))
+    store.free(sampled)
     n_able = able.count()
     own = classes.select(F.col("rep").alias("doc_id"), "sig1", "sig2")
     repeats = _repeats(docs, doc_id)
 
+    def few(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if n_able <= MAX_BROADCAST_IDS else ids
+
     def read(ids: DataFrame, cut: tuple | None = None) -> DataFrame:
         """``rep, n, tokens`` of some representatives, from their texts; with ``cut`` the prefixes only."""
-        few = F.broadcast(ids) if n_able <= MAX_BROADCAST_IDS else ids
-        picked = docs.where(F.col(doc_id).isNotNull()).join(few, docs[doc_id].cast("long") == ids["rep"], "left_semi")
+        picked = docs.where(F.col(doc_id).isNotNull()).join(few(ids), docs[doc_id].cast("long") == ids["rep"], "left_semi")
         sets = _sets(picked, doc_id, text, whole=True, size=size, cut=cut)
         if repeats:  # of rows with one id, the one that the class stands for
             sets = sets.dropDuplicates(["doc_id", "sig1", "sig2"]).join(own, ["doc_id", "sig1", "sig2"], "left_semi")
@@ -164,11 +186,11 @@ def _links(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, store: _
     again = store.keep(_reordered(read(short, (percent, None, *known)), common, percent))
     at = first.where("NOT short").unionByName(again).select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
     lists = at.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "rep")).alias("first")).where("c > 1")
-    prefix = store.keep(look_up(at, store.keep(lists.select("token", "c", F.col("first.rep").alias("named"))), ["token"], "c"))
+    lists = store.keep(lists.select("token", "c", F.col("first.rep").alias("named")))
+    prefix = store.keep(look_up(at, lists, ["token"], "c"))
+    store.free(able, cuts, common, first, short, again, lists)
     centre = _centres(prefix, store)
-    grouped = centre.where("rep <> grp")
-    sets = store.keep(read(store.keep(grouped.select("rep").unionAll(grouped.select(F.col("grp").alias("rep"))).distinct())))
-    placed = store.keep(_differences(centre, sets, store, percent))
+    placed = store.keep(_differences(centre, read, few, store, percent))
     to_centre = placed.where("linked AND rep <> grp").select(F.col("rep").alias("a"), F.col("grp").alias("b"))
     inside = store.keep(_within(placed, store, percent))
     met = store.keep(_between(prefix, placed, store, percent))
@@ -223,13 +245,17 @@ def _centres(prefix: DataFrame, store: _Store) -> DataFrame:
     return store.keep(to.join(centres, "rep", "left").join(sizes, "rep").select("rep", "n", F.when(F.col("is_centre"), F.col("rep")).otherwise(F.col("grp")).alias("grp")))
 
 
-def _differences(centre: DataFrame, sets: DataFrame, store: _Store, percent: int) -> DataFrame:
-    """``rep, n, grp, nc, d, phi, linked``: each set as its difference from the centre; sets that have little of theirs are their own."""
+def _differences(centre: DataFrame, read: Callable[[DataFrame], DataFrame], few: Callable[[DataFrame], DataFrame], store: _Store, percent: int) -> DataFrame:
+    """``rep, n, grp, nc, d, phi, linked``: each set as its difference from the centre; sets that have little of theirs are their own.
+
+    Whole sets go from their texts right to their centre: they are neither stored nor moved twice.
+    """
     copies = store.keep(centre.where("rep <> grp").groupBy(F.col("grp").alias("id")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies")))
     away = look_up(centre.where("rep <> grp").withColumnRenamed("grp", "id"), copies.withColumn("c", F.col("copies").cast("long")), ["id"], "c").drop("c")
-    away = away.withColumn("copy", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int")).drop("copies")
-    centres = sets.join(copies, sets["rep"] == copies["id"]).select("id", F.col("n").alias("nc"), F.col("tokens").alias("tc"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    both = away.join(sets.select("rep", F.col("tokens").alias("ta")), "rep").join(centres, ["id", "copy"])
+    away = store.keep(away.select("rep", "id", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("copy")))
+    middle = read(copies.select(F.col("id").alias("rep"))).join(few(copies.withColumnRenamed("id", "rep")), "rep")
+    centres = middle.select(F.col("rep").alias("id"), F.col("n").alias("nc"), F.col("tokens").alias("tc"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    both = read(away.select("rep")).withColumnRenamed("tokens", "ta").join(few(away), "rep").join(centres, ["id", "copy"])
     apart = both.select("rep", "n", F.col("id").alias("grp"), "nc", F.concat(F.array_except("ta", "tc"), F.array_except("tc", "ta")).alias("d"))
     close = 2 * F.size("d") <= F.col("n") + F.col("nc")
     none = F.array().cast("array<bigint>")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -312,6 +313,37 @@ def test_ngram_jaccard_around_one_text(spark, monkeypatch, percent, size, common
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_ngram_jaccard_frees_its_tables(spark, monkeypatch):
+    """Tables with tokens are deleted once no later step reads them, and whole sets are not stored to be compared with their centre."""
+    stores, wide, standing = [], [], []
+
+    class Told(ngram_jaccard._Store):
+        def __init__(self, spark):
+            super().__init__(spark)
+            stores.append(self)
+
+        def keep(self, df):
+            kept = super().keep(df)
+            if any(k.startswith("array") for _, k in df.dtypes):
+                wide.append(f"{self.root}/{self.n}")
+            standing.append(sum(map(os.path.exists, wide)))
+            return kept
+
+    monkeypatch.setattr(ngram_jaccard, "_Store", Told)
+    rng = random.Random(8)
+    rows = []
+    for b in range(4):
+        base = [f"b{b}w{i}" for i in range(200)]
+        rows += [base, base, *([f"e{rng.random()}" if i == k else w for i, w in enumerate(base)] for k in range(0, 200, 40))]
+    want = components({i: shingles(" ".join(r)) for i, r in enumerate(rows)})
+    given = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = by_id(ngram_jaccard.connect(given))
+    assert {i: r.component_id for i, r in got.items()} == want
+    # cuts, first and second prefixes stand together
+    assert max(standing) <= 4 and standing[-1] == 0
+    assert stores[0].n > len(stores[0].held) and all(map(os.path.exists, stores[0].held))
+
+
 def test_near_copy_stage_takes_five_words_at_80_percent(spark):
     """Copies with text added, cut or edited: near copies at 5 words and 0.8 that 3 words and 0.9 let stay."""
     import corpus_pipeline
