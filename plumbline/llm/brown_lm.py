@@ -1,12 +1,14 @@
 """Operator 10: language-model scores from Brown classes.
 
-The corpus passes three times. First, tasks count their words and Spark sums the counts into one table of the whole vocabulary. Second, tasks
-count neighbouring items over all training texts: the ``max_items`` most frequent words are items of their own, every other word stands
-for an item by its shape, and the text end is one too. Exchange clustering moves items between classes while the likelihood of the
-class bigrams grows. Third, texts are scored: class transition times the item's share of its class, times the word's share of its item.
+Tasks count their words and Spark sums the counts into one table of the whole vocabulary. Texts become stored lists of word numbers, which the
+further passes read. Exchange clustering makes the classes: the ``max_items`` most frequent words and the text end are items of their own, and
+the other words start together by their shape; items move between classes while the likelihood of the class bigrams grows. Then every
+other word of the vocabulary gets a class of its own: Spark brings the classes to the left and right of all its places together, and it joins
+the class that makes them likeliest. Class bigrams are counted anew under the classes of all words. Texts are scored by class transition
+times the share of the class that the word has; only words never seen in training go by their shape.
 
-Counts of frequent words travel as a broadcast of fixed size (``max_broadcast`` words); the other words of a text meet the
-vocabulary table in a join, and only those move. A unigram baseline with one count added comes along.
+Counts and classes of frequent words travel as a broadcast of fixed size (``max_broadcast`` words); the other words of a text meet the
+stored tables of counts and classes in a join, and only those move. A unigram baseline with one count added comes along.
 
 Defined results: null is the empty text, which scores its end alone. Without training rows every count is 0. Words never seen count 0.
 Every input row gives one result row, repeated rows included; a null id belongs to fold 0. Texts of any length are read whole. The input's
@@ -19,21 +21,24 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import in_parts
-from plumbline.session import work_path
+from plumbline.session import remove, work_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Stands for the text end; no word holds a space.
 END = " "
 FLUSH_WORDS = 200_000
 PART_CHARS = 2_000_000
+PART_IDS = 1_000_000
 MAX_ITEMS = 1_000
 MAX_BROADCAST = 150_000
 CLASSES = 48
@@ -45,23 +50,32 @@ def tokens(text: str | None) -> list[str]:
 
 
 def shape(word: str) -> int:
-    """Number of the item that a word outside the frequent ones stands for: its last letter's code and its length, folded to 64."""
+    """What a word looks like: its last letter's code and its length, folded to 64. Words start by it, and those never seen in training stay there."""
     core = word.rstrip(".,;:!?\"')")
     tail = 0 if core == word else 1
     return (ord(core[-1]) % 8 if core else 0) * 8 + tail * 4 + min(3, len(core) // 5)
 
 
 SHAPES = 64
-ROW = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                 ("logs", pa.float64()), ("class_logs", pa.float64())])
+TEXT = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.string()))])
+SUMS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("class_logs", pa.float64())])
+RARE = pa.schema([("rid", pa.int64()), ("pos", pa.int64()), ("word", pa.string()), ("before", pa.int32()), ("after", pa.int32()), ("unseen", pa.int32())])
 
 
 @dataclass
 class BrownModel:
-    """``item`` maps frequent words to items below ``len(item)``; shapes follow, then the end. Logs are to base ten."""
+    """Classes of all words. Logs are to base ten.
+
+    ``count`` maps frequent words to their counts; a word's number is its place there. Shapes follow, then the end. ``of`` gives the class of
+    each of these numbers. ``placed`` is the stored table (word, class) of the words that are not in ``count``. Emission is that of items: the
+    first ``n_items`` words, the other words of each class as one, the end; ``classes`` are their classes. ``within`` is what
+    the other words of a class share.
+    """
 
-    item: dict[str, int]
     count: dict[str, int]
+    n_items: int
+    of: np.ndarray
+    placed: DataFrame
     classes: np.ndarray
     transition: np.ndarray
     emission: np.ndarray
@@ -93,70 +107,222 @@ def count_words(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame
 def train(docs: DataFrame, counts: DataFrame, learn: Column, text: str = "text", max_items: int = MAX_ITEMS, max_broadcast: int = MAX_BROADCAST,
           classes: int = CLASSES) -> BrownModel:
     """``counts`` is the stored result of :func:`count_words` over the same rows."""
+    spark = docs.sparkSession
     words = counts.where(F.col("word") != END)
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("types"), F.max(F.when(F.col("word") == END, F.col("n"))).alias("end")).first()
     top = words.orderBy(F.col("n").desc(), "word").limit(max_broadcast).toArrow()
     count = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
-    item = {word: i for i, word in enumerate(top["word"].to_pylist()[:max_items])}
-    n_items = len(item) + SHAPES + 1
-    pairs = np.zeros((n_items, n_items))
-    found = _count_pairs(docs.where(learn).select(F.col(text).alias("text")), item).toArrow()  # at most n_items squared
-    pairs[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
-    own = exchange(pairs, min(classes, n_items))
+    n_known, n_items = len(count), min(max_items, len(count))
+    texts, stored = encode(docs.where(learn), count, None, text)
+    # the frequent words one by one, the others by their shape
+    item = np.concatenate([np.arange(n_items), [n_items + shape(w) for w in list(count)[n_items:]], n_items + np.arange(SHAPES + 1)]).astype(np.int64)
+    pairs = _count_pairs(texts, item)
+    own = exchange(pairs, min(classes, len(pairs)))
     k = int(own.max()) + 1
     between = _by_class(pairs, own, k)
-    mass = pairs.sum(axis=0)
-    transition = np.log10((between + 0.5) / (between.sum(axis=1, keepdims=True) + 0.5 * k))
-    in_class = np.bincount(own, mass, minlength=k)
-    sizes = np.bincount(own, minlength=k)
-    emission = np.log10((mass + 0.5) / (in_class[own] + 0.5 * sizes[own]))
-    # what each shape item holds: tokens and types of the words that are no items
-    held = np.zeros((SHAPES, 2))
-    for row in _shape_sums(words, item).collect():
-        held[row["shape"]] = row["n"], row["types"]
-    within = np.log10(held[:, 0] + held[:, 1] + 1)
-    return BrownModel(item, count, own, transition, emission, within, int(totals["n"] or 0), int(totals["types"] or 0), int(totals["end"] or 0))
+    # every other word joins the class under which its neighbours' classes are likeliest
+    before, after = _shares(between.T), _shares(between)
+    of = own[item]
+    found = _place(_contexts(texts, of, n_items, n_known, k), "int", before, after).toArrow()
+    of[found["key"].to_numpy()] = found["class"].to_numpy()
+    path = work_path(spark, "classes")
+    _place(_rare_contexts(texts, own[item], n_known), "string", before, after).withColumnRenamed("key", "word").write.parquet(path)
+    placed = spark.read.schema("word string, class int, n long").parquet(path)
+    # class bigrams, and what the other words of each class hold, under the classes of all words
+    known = np.where(_is_rare(np.arange(len(of)), n_known), -1, of)
+    between = _count_pairs(texts, known, k)
+    rare, joined = _classed(texts, of, n_known, placed.select("word", "class"))
+    for row in _edges(rare).groupBy("a", "b").count().collect():  # at most k squared
+        between[row["a"], row["b"]] += row["count"]
+    remove(spark, [stored, joined])
+    transition = _shares(between)
+    held = np.zeros((k, 2))
+    for row in placed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        held[row["class"]] = row["n"], row["types"]
+    amounts = np.array(list(count.values()), dtype=np.float64)
+    rest = of[n_items:n_known]
+    held += np.stack([np.bincount(rest, amounts[n_items:], minlength=k), np.bincount(rest, minlength=k)], axis=1)
+    own = np.concatenate([of[:n_items], np.arange(k), of[-1:]])
+    mass = np.concatenate([amounts[:n_items], held[:, 0], [float(totals["end"] or 0)]])
+    emission = np.log10((mass + 0.5) / np.bincount(own, mass + 0.5, minlength=k)[own])
+    return BrownModel(count, n_items, of, placed.select("word", "class"), own, transition, emission, np.log10(held.sum(axis=1) + 1), int(totals["n"] or 0), int(totals["types"] or 0),
+                      int(totals["end"] or 0))
+
+
+def _shares(between: np.ndarray) -> np.ndarray:
+    """Logs of each row's shares, half a count added to every cell."""
+    return np.log10((between + 0.5) / (between.sum(axis=1, keepdims=True) + 0.5 * len(between)))
+
+
+def encode(docs: DataFrame, count: dict[str, int], doc_id: str | None, text: str) -> tuple[DataFrame, str]:
+    """(rid, doc_id, ids, rare), stored, and its path: words by their place in ``count``, other words by their shape after those, and listed in ``rare``."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(count)})
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shared.value
+        for batch in batches:
+            at = 0
+            for part in in_parts(batch.column("text").to_pylist(), PART_CHARS):
+                own = [tokens(value) for value in part]
+                words = list(chain.from_iterable(own))
+                ids = np.fromiter((number.get(w, -1) for w in words), dtype=np.int32, count=len(words))
+                missing = np.flatnonzero(ids < 0)
+                rare = [words[i] for i in missing.tolist()]
+                ids[missing] = len(number) + np.fromiter((shape(w) for w in rare), dtype=np.int32, count=len(rare))
+                ends = np.cumsum([0, *map(len, own)])
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(c).slice(at, len(part)) for c in ("rid", "doc_id")], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, ends), pa.int32()), pa.array(rare, pa.string()))], schema=TEXT)
+                at += len(part)
 
-def _items(words: list[str], item: dict[str, int]) -> list[int]:
-    first = len(item)
-    return [i if (i := item.get(w)) is not None else first + shape(w) for w in words]
+    own_id = F.col(doc_id).cast("long") if doc_id else F.lit(None).cast("long")
+    given = docs.select(F.monotonically_increasing_id().alias("rid"), own_id.alias("doc_id"), F.col(text).alias("text"))
+    path = work_path(spark, "encoded")
+    given.mapInArrow(read, "rid long, doc_id long, ids array<int>, rare array<string>").write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def _is_rare(ids: np.ndarray, n_known: int) -> np.ndarray:
+    return (ids >= n_known) & (ids < n_known + SHAPES)
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A few texts at a time: their rows, their ids with an end before the first and after each, and where in these the texts' ends are."""
+    for batch in batches:
+        sizes = batch.column("ids").value_lengths().to_numpy()
+        done = np.cumsum(sizes)
+        start = 0
+        while start < len(sizes):
+            stop = max(start + 1, int(np.searchsorted(done, done[start] + PART_IDS)))
+            part, own = batch.slice(start, stop - start), sizes[start:stop]
+            ids = np.full(own.sum() + len(own) + 1, end, dtype=np.int64)
+            ids[np.arange(own.sum()) + np.repeat(np.arange(1, len(own) + 1), own)] = part.column("ids").flatten().to_numpy()
+            yield part, ids, np.cumsum(own + 1)
+            start = stop
+
+
+def _count_pairs(texts: DataFrame, of: np.ndarray, size: int | None = None) -> np.ndarray:
+    """How often two neighbours stand in two groups, an end before the first word and after the last; ``of`` is the group of each id, -1 for none."""
+    size = size or int(of.max()) + 1
+    shared = texts.sparkSession.sparkContext.broadcast(of)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        sums = np.zeros(size * size, dtype=np.int64)
+        for _, ids, _ in _sequences(batches, len(of) - 1):
+            own = of[ids]
+            a, b = own[:-1], own[1:]
+            both = (a >= 0) & (b >= 0)
+            sums += np.bincount(a[both] * size + b[both], minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at // size, at % size, sums[at])], ["a", "b", "n"])
 
+    found = texts.select("ids").mapInArrow(counted, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # at most size squared
+    pairs = np.zeros((size, size))
+    pairs[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
+    return pairs
 
-def _count_pairs(docs: DataFrame, item: dict[str, int]) -> DataFrame:
-    """Neighbouring items over all texts, a text end before the first word and after the last."""
-    shared = docs.sparkSession.sparkContext.broadcast(item)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        item = shared.value
-        end = len(item) + SHAPES
-        sums = np.zeros((end + 1) * (end + 1), dtype=np.int64)
-        for batch in batches:
-            for part in in_parts(batch["text"].tolist(), PART_CHARS):
-                ids = [end]
-                for value in part:
-                    ids += _items(tokens(value), item)
-                    ids.append(end)
-                at = np.array(ids, dtype=np.int64)
-                sums += np.bincount(at[:-1] * (end + 1) + at[1:], minlength=len(sums))
-        at = np.flatnonzero(sums)
-        yield pd.DataFrame({"a": at // (end + 1), "b": at % (end + 1), "n": sums[at]})
+def _contexts(texts: DataFrame, of: np.ndarray, n_items: int, n_known: int, k: int) -> DataFrame:
+    """(key, before, after, n): neighbours' classes of the words ``n_items`` to ``n_known``."""
+    shared = texts.sparkSession.sparkContext.broadcast(of)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for _, ids, _ in _sequences(batches, len(of) - 1):
+            at = np.flatnonzero((ids >= n_items) & (ids < n_known))
+            cells, n = np.unique((ids[at] * k + of[ids[at - 1]]) * k + of[ids[at + 1]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((cells // (k * k), pa.int32()), (cells // k % k, pa.int32()), (cells % k, pa.int32()), (n, pa.int64()))],
+                                             ["key", "before", "after", "n"])
+
+    return texts.select("ids").mapInArrow(read, "key int, before int, after int, n long")
+
+
+def _rare_contexts(texts: DataFrame, of: np.ndarray, n_known: int) -> DataFrame:
+    """(key, before, after, n) like :func:`_contexts` for the words that have no number, themselves as keys."""
+    shared = texts.sparkSession.sparkContext.broadcast(of)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for part, ids, _ in _sequences(batches, len(of) - 1):
+            at = np.flatnonzero(_is_rare(ids, n_known))
+            yield pa.RecordBatch.from_arrays([part.column("rare").flatten(), *[pa.array(of[ids[at + d]], pa.int32()) for d in (-1, 1)], pa.array(np.ones(len(at), dtype=np.int64))],
+                                             ["key", "before", "after", "n"])
+
+    return texts.select("ids", "rare").mapInArrow(read, "key string, before int, after int, n long")
+
 
-    return docs.mapInPandas(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def _place(contexts: DataFrame, kind: str, before: np.ndarray, after: np.ndarray) -> DataFrame:
+    """(key, class, n): the class under which the neighbours of all the key's places are likeliest, and the number of places.
 
+    ``before`` and ``after`` are logs of the shares of neighbours' classes, a row for each class. To first order this is the class
+    whose choice makes the class bigrams likeliest. Rows of one key come one after another, so a task holds a batch.
+    """
+    shared = contexts.sparkSession.sparkContext.broadcast((np.ascontiguousarray(before.T), np.ascontiguousarray(after.T)))
+    names = ["key", "class", "n"]
 
-def _shape_sums(words: DataFrame, item: dict[str, int]) -> DataFrame:
-    shared = words.sparkSession.sparkContext.broadcast(item)
+    def chosen(keys: pa.Array, gains: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, pa.array(gains.round(9).argmax(axis=1), pa.int32()), pa.array(n, pa.int64())], names)
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((SHAPES, 2), dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, after = shared.value
+        held: tuple | None = None  # key, gains and places of the last key so far
         for batch in batches:
-            for word, n in zip(batch["word"], batch["n"]):
-                if word not in shared.value:
-                    sums[shape(word)] += n, 1
-        yield pd.DataFrame({"shape": np.arange(SHAPES), "n": sums[:, 0], "types": sums[:, 1]})
+            if not batch.num_rows:
+                continue
+            keys, n = batch.column("key"), batch.column("n").to_numpy()
+            gains = (before[batch.column("before").to_numpy()] + after[batch.column("after").to_numpy()]) * n[:, None]
+            new = np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)) + 1
+            starts = np.concatenate([[0], new])
+            keys, gains, n = keys.take(pa.array(starts)), np.add.reduceat(gains, starts, axis=0), np.add.reduceat(n, starts)
+            if held and held[0].equals(keys.slice(0, 1)):
+                gains[0] += held[1]
+                n[0] += held[2]
+            elif held:
+                yield chosen(held[0], held[1][None, :], [held[2]])
+            if len(keys) > 1:
+                yield chosen(keys.slice(0, len(keys) - 1), gains[:-1], n[:-1])
+            held = keys.slice(len(keys) - 1), gains[-1], int(n[-1])
+        if held:
+            yield chosen(held[0], held[1][None, :], [held[2]])
+
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"key {kind}, class int, n long")
+
+
+def _classed(texts: DataFrame, of: np.ndarray, n_known: int, table: DataFrame) -> tuple[DataFrame, str]:
+    """The places of words without a number, stored, and the path.
+
+    Each has its text's ``rid``, its ``pos``, the classes ``before`` and ``after`` it (-1 where the neighbour has no number either), and the columns of ``table`` for
+    its word, ``class`` among them; words that ``table`` lacks have their shape's.
+    """
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(of)
 
-    return words.mapInPandas(summed, "shape int, n long, types long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("types").alias("types"))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for part, ids, ends in _sequences(batches, len(of) - 1):
+            is_rare = _is_rare(ids, n_known)
+            own = of[ids]
+            near = np.where(is_rare, -1, own)
+            at = np.flatnonzero(is_rare)
+            rids = part.column("rid").take(pa.array(np.searchsorted(ends, at)))
+            yield pa.RecordBatch.from_arrays([rids, pa.array(at), part.column("rare").flatten(), *[pa.array(x, pa.int32()) for x in (near[at - 1], near[at + 1], own[at])]], schema=RARE)
+
+    rows = texts.select("rid", "ids", "rare").mapInArrow(read, "rid long, pos long, word string, before int, after int, unseen int")
+    path = work_path(spark, "rare")
+    rows.join(table, "word", "left").withColumn("class", F.coalesce("class", "unseen")).drop("word", "unseen").write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def _edges(rare: DataFrame) -> DataFrame:
+    """(rid, a, b): classes of the neighbours of which one at least has no number."""
+    left = rare.where("before >= 0").select("rid", F.col("before").alias("a"), F.col("class").alias("b"))
+    right = rare.where("after >= 0").select("rid", F.col("class").alias("a"), F.col("after").alias("b"))
+    none = F.lit(None).cast("int")
+    ends = rare.where("after < 0").select("rid", "pos", F.col("class").alias("a"), none.alias("b")).unionByName(
+        rare.where("before < 0").select("rid", (F.col("pos") - 1).alias("pos"), none.alias("a"), F.col("class").alias("b")))
+    return left.unionByName(right).unionByName(ends.groupBy("rid", "pos").agg(F.max("a").alias("a"), F.max("b").alias("b")).drop("pos"))
 
 
 def _by_class(pairs: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
@@ -214,48 +380,40 @@ def exchange(pairs: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
     return own
 
 
+def _listed(values: np.ndarray) -> Column:
+    return F.expr(f"array({','.join(f'{float(x)!r}D' for x in values.ravel())})")
+
+
 def score(docs: DataFrame, counts: DataFrame, model: BrownModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document row: ``doc_id, n_tokens, n_known, base_score, score, perplexity``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "rid long, doc_id long, word string, times long, n_tokens long, n_known long, logs double, class_logs double"
+    n_known, n_items, k = len(model.count), model.n_items, len(model.transition)
+    texts, _ = encode(docs, model.count, doc_id, text)
+    once = np.log10(np.array([*model.count.values(), *[0] * SHAPES, model.end_count], dtype=np.float64) + 1)  # rare words add theirs after the join
+    rest = model.emission[n_items : n_items + k] - model.within
+    share = np.concatenate([model.emission[:n_items], rest[model.of[n_items:n_known]] + once[n_items:n_known], np.zeros(SHAPES), model.emission[-1:]])
+    shared = docs.sparkSession.sparkContext.broadcast((model.of, model.transition, once, share, model.end_count > 0))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        first, end = len(model.item), len(model.item) + SHAPES
-        end_log = np.log10(model.end_count + 1)
-        for batch in batches:
-            rids, docs_of = batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist()
-            at = 0
-            for part in in_parts(batch.column("text").to_pylist(), PART_CHARS):
-                rare: list[tuple] = []
-                whole: list[tuple] = []
-                for rid, doc, value in zip(rids[at : at + len(part)], docs_of[at : at + len(part)], part):
-                    words = tokens(value)
-                    held = [model.count.get(w, 0) for w in words]
-                    ids = np.array([end, *_items(words, model.item), end], dtype=np.int64)
-                    n = np.array(held, dtype=np.float64)
-                    frequent = n > 0
-                    logs = np.log10(n + 1)
-                    inner = ids[1:-1]
-                    by_shape = inner >= first
-                    own = model.classes[ids]
-                    total = model.transition[own[:-1], own[1:]].sum() + model.emission[ids[1:]].sum()
-                    total += logs[by_shape].sum() - model.within[inner[by_shape] - first].sum()
-                    whole.append((rid, doc, END + str(rid), 0, len(words) + 1, int(frequent.sum()) + (model.end_count > 0), logs.sum() + end_log, total))
-                    if not frequent.all():
-                        rare += [(rid, None, w, k, 0, 0, 0.0, 0.0) for w, k in Counter([w for w, c in zip(words, held) if not c]).items()]
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*whole, *rare), ROW.types)], schema=ROW)
-
-    given = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = given.mapInArrow(read, schema)
-    joined = rows.join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = F.col("times") * F.log10(c + 1)
-    whole = joined.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("logs") + rare).alias("logs"), F.sum(F.col("class_logs") + rare).alias("score"))
+        of, transition, once, share, end_known = shared.value
+        for part, ids, ends in _sequences(batches, len(of) - 1):
+            rare, own, inner = _is_rare(ids, n_known), of[ids], ids[1:]
+            step = np.where(rare[:-1] | rare[1:], 0.0, transition[own[:-1], own[1:]])
+            starts = np.concatenate([[0], ends[:-1]])  # of each text's tokens in inner
+            n_tokens = np.diff(ends, prepend=0)
+            seen = np.add.reduceat((inner < n_known).astype(np.int64), starts) + int(end_known)
+            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), *[pa.array(x) for x in (
+                n_tokens, seen, np.add.reduceat(once[inner], starts), np.add.reduceat(share[inner] + step, starts))]], schema=SUMS)
+
+    sums = texts.select("rid", "doc_id", "ids").mapInArrow(read, "rid long, doc_id long, n_tokens long, n_known long, logs double, class_logs double")
+    rare, _ = _classed(texts, model.of, n_known, counts.select("word", F.col("n").alias("c")).join(model.placed, "word", "left"))
+    c = F.coalesce("c", F.lit(0))
+    logs, no_id, zero = F.log10(c + 1), F.lit(None).cast("long"), F.lit(0).cast("long")
+    places = rare.select("rid", no_id.alias("doc_id"), zero.alias("n_tokens"), (c > 0).cast("long").alias("n_known"), logs.alias("logs"),
+                         (logs + F.get(_listed(rest), F.col("class"))).alias("class_logs"))
+    steps = _edges(rare).select("rid", no_id.alias("doc_id"), zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("logs"),
+                                F.get(_listed(model.transition), F.col("a") * k + F.col("b")).alias("class_logs"))
+    whole = sums.unionByName(places).unionByName(steps).groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "logs")], F.sum("class_logs").alias("score"))
     base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(model.train_tokens + model.train_types + 1)))
     return whole.select("doc_id", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
                         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -504,6 +504,70 @@ def test_language_model(docs, none):
     assert brown_lm.score(none, empty, brown_lm.train(none, empty, learn)).count() == 0
 
 
+def test_every_word_is_classed_by_its_neighbours(spark):
+    """Words of two kinds take turns and are all spelled alike; those after the most frequent, with and without a number, join their kind. Scores against plain rules."""
+    rng = random.Random(10)
+    kinds = [[f"{k}{i:02d}a" for i in range(40)] for k in "xy"]
+    pick = lambda k: kinds[k][min(39, int(rng.expovariate(0.12)))]
+    rows = [" ".join(pick((i + j) % 2) for j in range(rng.randint(4, 30))) for i in range(150)] + [""]
+    train = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    counts = brown_lm.stored_counts(train, F.lit(True))
+    model = brown_lm.train(train, counts, F.lit(True), max_items=14, max_broadcast=40, classes=4)
+    placed = {r.word: r["class"] for r in model.placed.collect()}
+    of = dict(zip(model.count, model.of.tolist())) | placed
+    held = Counter(w for t in rows for w in t.split())
+    assert set(of) == set(held) and len(model.count) == 40 and len(placed) > 20
+    common = [Counter(of[w] for w in kind if held[w] > 4) for kind in kinds]
+    assert not set(common[0]) & set(common[1])
+    assert sum(of[w] in common[k] for k in (0, 1) for w in kinds[k] if held[w]) >= 0.95 * len(of)
+
+    k, end = len(model.transition), int(model.of[-1])
+    between, inside = np.zeros((k, k)), [Counter({brown_lm.END: len(rows)} if c == end else {}) for c in range(k)]
+    for t in rows:
+        path = [end, *(of[w] for w in t.split()), end]
+        np.add.at(between, (path[:-1], path[1:]), 1)
+    for w, n in held.items():
+        inside[of[w]][w if w in list(model.count)[:14] else None] += n
+    transition = np.log10((between + 0.5) / (between.sum(axis=1, keepdims=True) + 0.5 * k))
+    assert np.allclose(model.transition, transition)
+    core = set(list(model.count)[:14])
+
+    def share(w):
+        c = end if w == brown_lm.END else of.get(w, int(model.of[40 + brown_lm.shape(w)]))
+        own = inside[c] | {None: inside[c][None]}
+        first = (own[w if w in core or w == brown_lm.END else None] + 0.5) / (sum(own.values()) + 0.5 * len(own))
+        types = sum(of[x] == c and x not in core for x in of)
+        return c, math.log10(first if w in core or w == brown_lm.END else first * (held[w] + 1) / (own[None] + types + 1))
+
+    rare = sorted(placed)
+    tests = [*rows[:40], " ".join(rare[:6]), f"{rare[0]} never {rare[1]} seen", "never", rare[2], "", None]
+    got = by_id(brown_lm.score(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), counts, model))
+    for i, t in enumerate(tests):
+        words = [*(t or "").split(), brown_lm.END]
+        found = [share(w) for w in words]
+        want = sum(transition[a, c] + x for a, (c, x) in zip([end, *(c for c, _ in found)], found))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9), t
+        assert (got[i].n_tokens, got[i].n_known) == (len(words), sum(w in held or w == brown_lm.END for w in words))
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_a_words_places_add_up_over_batches(spark, rows):
+    rng = random.Random(rows)
+    places = [(f"w{min(30, int(rng.expovariate(0.2)))}", rng.randrange(3), rng.randrange(3), rng.randint(1, 4)) for _ in range(300)]
+    before, after = np.log10(np.random.default_rng(1).dirichlet([1] * 3, 3)), np.log10(np.random.default_rng(2).dirichlet([1] * 3, 3))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = {r.key: (r["class"], r.n) for r in brown_lm._place(spark.createDataFrame(places, "key string, before int, after int, n long"), "string", before, after).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    for key in {p[0] for p in places}:
+        own = [p for p in places if p[0] == key]
+        gains = [sum(n * (before[c, a] + after[c, b]) for _, a, b, n in own) for c in range(3)]
+        assert got.pop(key) == (int(np.argmax(gains)), sum(p[3] for p in own))
+    assert not got
+
+
 def test_exchange_finds_classes():
     """Words of two kinds that take turns: the kinds come apart."""
     pairs = np.zeros((10, 10))
