@@ -57,9 +57,9 @@ def shape(word: str) -> int:
 
 
 SHAPES = 64
-TEXT = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.string()))])
+TEXT = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("ids", pa.list_(pa.int32())), ("rare", pa.list_(pa.string()))])
 SUMS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("class_logs", pa.float64())])
-RARE = pa.schema([("rid", pa.int64()), ("pos", pa.int64()), ("word", pa.string()), ("before", pa.int32()), ("after", pa.int32()), ("unseen", pa.int32())])
+RARE = pa.schema([("rid", pa.int64()), ("learn", pa.bool_()), ("pos", pa.int64()), ("word", pa.string()), ("before", pa.int32()), ("after", pa.int32()), ("unseen", pa.int32())])
 
 
 @dataclass
@@ -67,7 +67,7 @@ class BrownModel:
     """Classes of all words. Logs are to base ten.
 
     ``count`` maps frequent words to their counts; a word's number is its place there. Shapes follow, then the end. ``of`` gives the class of
-    each of these numbers. ``placed`` is the stored table (word, class) of the words that are not in ``count``. Emission is that of items: the
+    each of these numbers. ``placed`` is the stored table (word, class, n) of the words that are not in ``count``. Emission is that of items: the
     first ``n_items`` words, the other words of each class as one, the end; ``classes`` are their classes. ``within`` is what
     the other words of a class share.
     """
@@ -83,6 +83,9 @@ class BrownModel:
     train_tokens: int
     train_types: int
     end_count: int
+    #: What training was given as ``encoded``, and the places of words without a number in these texts.
+    encoded: Encoded | None = None
+    rare: DataFrame | None = None
 
 
 def count_words(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
@@ -105,15 +108,13 @@ def count_words(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame
 
 
 def train(docs: DataFrame, counts: DataFrame, learn: Column, text: str = "text", max_items: int = MAX_ITEMS, max_broadcast: int = MAX_BROADCAST,
-          classes: int = CLASSES) -> BrownModel:
-    """``counts`` is the stored result of :func:`count_words` over the same rows."""
+          classes: int = CLASSES, encoded: Encoded | None = None) -> BrownModel:
+    """``counts`` is the stored result of :func:`count_words` over the same rows; ``encoded`` that of :func:`encode` over all ``docs``, if it is there already."""
     spark = docs.sparkSession
-    words = counts.where(F.col("word") != END)
+    source = encoded or encode(docs.where(learn), frequent(counts, max_broadcast), text=text)
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("types"), F.max(F.when(F.col("word") == END, F.col("n"))).alias("end")).first()
-    top = words.orderBy(F.col("n").desc(), "word").limit(max_broadcast).toArrow()
-    count = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
+    count, texts = source.count, source.texts.where("learn")
     n_known, n_items = len(count), min(max_items, len(count))
-    texts, stored = encode(docs.where(learn), count, None, text)
     # the frequent words one by one, the others by their shape
     item = np.concatenate([np.arange(n_items), [n_items + shape(w) for w in list(count)[n_items:]], n_items + np.arange(SHAPES + 1)]).astype(np.int64)
     pairs = _count_pairs(texts, item)
@@ -131,10 +132,17 @@ def train(docs: DataFrame, counts: DataFrame, learn: Column, text: str = "text",
     # class bigrams, and what the other words of each class hold, under the classes of all words
     known = np.where(_is_rare(np.arange(len(of)), n_known), -1, of)
     between = _count_pairs(texts, known, k)
-    rare, joined = _classed(texts, of, n_known, placed.select("word", "class"))
-    for row in _edges(rare).groupBy("a", "b").count().collect():  # at most k squared
+    path = work_path(spark, "rare")
+    every = _classed(source.texts, of, placed, path)
+    rare = every.where("learn")
+    for row in rare.groupBy("before", "class", "after").count().collect():  # at most k cubed, and few of them
+        for a, b in ((row["before"], row["class"]), (row["class"], row["after"])):
+            if a >= 0 and b >= 0:
+                between[a, b] += row["count"]
+    for row in _between_rare(rare).groupBy("a", "b").count().collect():
         between[row["a"], row["b"]] += row["count"]
-    remove(spark, [stored, joined])
+    if not encoded:
+        remove(spark, [source.path, path])
     transition = _shares(between)
     held = np.zeros((k, 2))
     for row in placed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
@@ -145,8 +153,8 @@ def train(docs: DataFrame, counts: DataFrame, learn: Column, text: str = "text",
     own = np.concatenate([of[:n_items], np.arange(k), of[-1:]])
     mass = np.concatenate([amounts[:n_items], held[:, 0], [float(totals["end"] or 0)]])
     emission = np.log10((mass + 0.5) / np.bincount(own, mass + 0.5, minlength=k)[own])
-    return BrownModel(count, n_items, of, placed.select("word", "class"), own, transition, emission, np.log10(held.sum(axis=1) + 1), int(totals["n"] or 0), int(totals["types"] or 0),
-                      int(totals["end"] or 0))
+    return BrownModel(count, n_items, of, placed, own, transition, emission, np.log10(held.sum(axis=1) + 1), int(totals["n"] or 0), int(totals["types"] or 0), int(totals["end"] or 0),
+                      encoded, every if encoded else None)
 
 
 def _shares(between: np.ndarray) -> np.ndarray:
@@ -154,8 +162,23 @@ def _shares(between: np.ndarray) -> np.ndarray:
     return np.log10((between + 0.5) / (between.sum(axis=1, keepdims=True) + 0.5 * len(between)))
 
 
-def encode(docs: DataFrame, count: dict[str, int], doc_id: str | None, text: str) -> tuple[DataFrame, str]:
-    """(rid, doc_id, ids, rare), stored, and its path: words by their place in ``count``, other words by their shape after those, and listed in ``rare``."""
+@dataclass(frozen=True)
+class Encoded:
+    """``texts``: rid, doc_id, learn, ids, rare, stored below ``path``; ids are places in ``count``, shapes after those, and ``rare`` lists the words with a shape's id."""
+
+    count: dict[str, int]
+    texts: DataFrame
+    path: str
+
+
+def frequent(counts: DataFrame, max_broadcast: int = MAX_BROADCAST) -> dict[str, int]:
+    """Counts of the most frequent words, in this order."""
+    top = counts.where(F.col("word") != END).orderBy(F.col("n").desc(), "word").limit(max_broadcast).toArrow()
+    return dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
+
+
+def encode(docs: DataFrame, count: dict[str, int], learn: Column | None = None, doc_id: str | None = None, text: str = "text") -> Encoded:
+    """Texts as lists of word numbers; without ``learn``, training may read all of them."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(count)})
 
@@ -172,15 +195,16 @@ def encode(docs: DataFrame, count: dict[str, int], doc_id: str | None, text: str
                 ids[missing] = len(number) + np.fromiter((shape(w) for w in rare), dtype=np.int32, count=len(rare))
                 ends = np.cumsum([0, *map(len, own)])
                 yield pa.RecordBatch.from_arrays([
-                    *[batch.column(c).slice(at, len(part)) for c in ("rid", "doc_id")], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
+                    *[batch.column(c).slice(at, len(part)) for c in ("rid", "doc_id", "learn")], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, ends), pa.int32()), pa.array(rare, pa.string()))], schema=TEXT)
                 at += len(part)
 
     own_id = F.col(doc_id).cast("long") if doc_id else F.lit(None).cast("long")
-    given = docs.select(F.monotonically_increasing_id().alias("rid"), own_id.alias("doc_id"), F.col(text).alias("text"))
+    chosen = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    given = docs.select(F.monotonically_increasing_id().alias("rid"), own_id.alias("doc_id"), chosen.alias("learn"), F.col(text).alias("text"))
     path = work_path(spark, "encoded")
-    given.mapInArrow(read, "rid long, doc_id long, ids array<int>, rare array<string>").write.parquet(path)
-    return spark.read.parquet(path), path
+    given.mapInArrow(read, "rid long, doc_id long, learn boolean, ids array<int>, rare array<string>").write.parquet(path)
+    return Encoded(count, spark.read.parquet(path), path)
 
 
 def _is_rare(ids: np.ndarray, n_known: int) -> np.ndarray:
@@ -290,13 +314,13 @@ def _place(contexts: DataFrame, kind: str, before: np.ndarray, after: np.ndarray
     return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"key {kind}, class int, n long")
 
 
-def _classed(texts: DataFrame, of: np.ndarray, n_known: int, table: DataFrame) -> tuple[DataFrame, str]:
-    """The places of words without a number, stored, and the path.
+def _classed(texts: DataFrame, of: np.ndarray, placed: DataFrame, path: str) -> DataFrame:
+    """(rid, learn, pos, before, after, class, n), stored below ``path``: the places of words without a number.
 
-    Each has its text's ``rid``, its ``pos``, the classes ``before`` and ``after`` it (-1 where the neighbour has no number either), and the columns of ``table`` for
-    its word, ``class`` among them; words that ``table`` lacks have their shape's.
+    ``before`` and ``after`` are the neighbours' classes, -1 where the neighbour has no number either. Words that ``placed`` lacks have their shape's class.
     """
     spark = texts.sparkSession
+    n_known = len(of) - SHAPES - 1
     shared = spark.sparkContext.broadcast(of)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,23 +330,21 @@ def _classed(texts: DataFrame, of: np.ndarray, n_known: int, table: DataFrame) -
             own = of[ids]
             near = np.where(is_rare, -1, own)
             at = np.flatnonzero(is_rare)
-            rids = part.column("rid").take(pa.array(np.searchsorted(ends, at)))
-            yield pa.RecordBatch.from_arrays([rids, pa.array(at), part.column("rare").flatten(), *[pa.array(x, pa.int32()) for x in (near[at - 1], near[at + 1], own[at])]], schema=RARE)
+            own_text = pa.array(np.searchsorted(ends, at))
+            yield pa.RecordBatch.from_arrays([*[part.column(c).take(own_text) for c in ("rid", "learn")], pa.array(at), part.column("rare").flatten(), *[pa.array(x, pa.int32()) for x in (near[at - 1], near[at + 1], own[at])]], schema=RARE)
 
-    rows = texts.select("rid", "ids", "rare").mapInArrow(read, "rid long, pos long, word string, before int, after int, unseen int")
-    path = work_path(spark, "rare")
-    rows.join(table, "word", "left").withColumn("class", F.coalesce("class", "unseen")).drop("word", "unseen").write.parquet(path)
-    return spark.read.parquet(path), path
+    rows = texts.select("rid", "learn", "ids", "rare").mapInArrow(read, "rid long, learn boolean, pos long, word string, before int, after int, unseen int")
+    joined = rows.join(placed, "word", "left").select("rid", "learn", "pos", "before", "after", F.coalesce("class", "unseen").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    joined.write.parquet(path)
+    return spark.read.schema(joined.schema).parquet(path)
 
 
-def _edges(rare: DataFrame) -> DataFrame:
-    """(rid, a, b): classes of the neighbours of which one at least has no number."""
-    left = rare.where("before >= 0").select("rid", F.col("before").alias("a"), F.col("class").alias("b"))
-    right = rare.where("after >= 0").select("rid", F.col("class").alias("a"), F.col("after").alias("b"))
+def _between_rare(rare: DataFrame) -> DataFrame:
+    """(rid, a, b): classes of neighbours that both have no number."""
     none = F.lit(None).cast("int")
     ends = rare.where("after < 0").select("rid", "pos", F.col("class").alias("a"), none.alias("b")).unionByName(
         rare.where("before < 0").select("rid", (F.col("pos") - 1).alias("pos"), none.alias("a"), F.col("class").alias("b")))
-    return left.unionByName(right).unionByName(ends.groupBy("rid", "pos").agg(F.max("a").alias("a"), F.max("b").alias("b")).drop("pos"))
+    return ends.groupBy("rid", "pos").agg(F.max("a").alias("a"), F.max("b").alias("b")).drop("pos")
 
 
 def _by_class(pairs: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
@@ -384,10 +406,13 @@ def _listed(values: np.ndarray) -> Column:
     return F.expr(f"array({','.join(f'{float(x)!r}D' for x in values.ravel())})")
 
 
-def score(docs: DataFrame, counts: DataFrame, model: BrownModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document row: ``doc_id, n_tokens, n_known, base_score, score, perplexity``."""
+def score(docs: DataFrame, counts: DataFrame, model: BrownModel, doc_id: str = "doc_id", text: str = "text", encoded: Encoded | None = None) -> DataFrame:
+    """One row for each document row: ``doc_id, n_tokens, n_known, base_score, score, perplexity``.
+
+    ``encoded`` is the stored result of :func:`encode` over ``docs``, if it is there already. The model's own tables hold all that is read of ``counts``.
+    """
     n_known, n_items, k = len(model.count), model.n_items, len(model.transition)
-    texts, _ = encode(docs, model.count, doc_id, text)
+    texts = (encoded or encode(docs, model.count, None, doc_id, text)).texts
     once = np.log10(np.array([*model.count.values(), *[0] * SHAPES, model.end_count], dtype=np.float64) + 1)  # rare words add theirs after the join
     rest = model.emission[n_items : n_items + k] - model.within
     share = np.concatenate([model.emission[:n_items], rest[model.of[n_items:n_known]] + once[n_items:n_known], np.zeros(SHAPES), model.emission[-1:]])
@@ -405,13 +430,14 @@ def score(docs: DataFrame, counts: DataFrame, model: BrownModel, doc_id: str = "
                 n_tokens, seen, np.add.reduceat(once[inner], starts), np.add.reduceat(share[inner] + step, starts))]], schema=SUMS)
 
     sums = texts.select("rid", "doc_id", "ids").mapInArrow(read, "rid long, doc_id long, n_tokens long, n_known long, logs double, class_logs double")
-    rare, _ = _classed(texts, model.of, n_known, counts.select("word", F.col("n").alias("c")).join(model.placed, "word", "left"))
-    c = F.coalesce("c", F.lit(0))
-    logs, no_id, zero = F.log10(c + 1), F.lit(None).cast("long"), F.lit(0).cast("long")
-    places = rare.select("rid", no_id.alias("doc_id"), zero.alias("n_tokens"), (c > 0).cast("long").alias("n_known"), logs.alias("logs"),
-                         (logs + F.get(_listed(rest), F.col("class"))).alias("class_logs"))
-    steps = _edges(rare).select("rid", no_id.alias("doc_id"), zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("logs"),
-                                F.get(_listed(model.transition), F.col("a") * k + F.col("b")).alias("class_logs"))
+    rare = model.rare if encoded and encoded is model.encoded else _classed(texts, model.of, model.placed, work_path(docs.sparkSession, "rare"))
+    n, own = F.col("n"), F.col("class")
+    logs, no_id, zero = F.log10(n + 1), F.lit(None).cast("long"), F.lit(0).cast("long")
+    step = lambda a, b: F.when((a >= 0) & (b >= 0), F.get(_listed(model.transition), a * k + b)).otherwise(0.0)
+    places = rare.select("rid", no_id.alias("doc_id"), zero.alias("n_tokens"), (n > 0).cast("long").alias("n_known"), logs.alias("logs"),
+                         (logs + F.get(_listed(rest), own) + step(F.col("before"), own) + step(own, F.col("after"))).alias("class_logs"))
+    steps = _between_rare(rare).select("rid", no_id.alias("doc_id"), zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("logs"),
+                                       step(F.col("a"), F.col("b")).alias("class_logs"))
     whole = sums.unionByName(places).unionByName(steps).groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "logs")], F.sum("class_logs").alias("score"))
     base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(model.train_tokens + model.train_types + 1)))

@@ -82,8 +82,9 @@ def op10_language_model(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "text")
     learn = fold("doc_id", 7) != 2
     counts = brown_lm.stored_counts(docs, learn)
-    model = brown_lm.train(docs, counts, learn)
-    return brown_lm.score(docs, counts, model).withColumn("held_out", fold("doc_id", 7) == 2)
+    encoded = brown_lm.encode(docs, brown_lm.frequent(counts), learn, "doc_id")
+    model = brown_lm.train(docs, counts, learn, encoded=encoded)
+    return brown_lm.score(docs, counts, model, encoded=encoded).withColumn("held_out", fold("doc_id", 7) == 2)
 
 
 def op11_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:

@@ -549,6 +549,15 @@ def test_every_word_is_classed_by_its_neighbours(spark):
         assert math.isclose(got[i].score, want, rel_tol=1e-9), t
         assert (got[i].n_tokens, got[i].n_known) == (len(words), sum(w in held or w == brown_lm.END for w in words))
 
+    # one encoding for training and scoring, held-out rows in it too
+    learn = fold("doc_id", 7) != 2
+    counts = brown_lm.stored_counts(train, learn)
+    apart = by_id(brown_lm.score(train, counts, brown_lm.train(train, counts, learn, max_items=14, max_broadcast=40, classes=4)))
+    encoded = brown_lm.encode(train, brown_lm.frequent(counts, 40), learn, "doc_id")
+    model = brown_lm.train(train, counts, learn, max_items=14, classes=4, encoded=encoded)
+    for i, r in by_id(brown_lm.score(train, counts, model, encoded=encoded)).items():
+        assert np.allclose(r, apart[i], rtol=1e-9), i
+
 
 @pytest.mark.parametrize("rows", [1, 3, 10_000])
 def test_a_words_places_add_up_over_batches(spark, rows):
