@@ -113,8 +113,8 @@ def blast_radius_sketched(edges_df: DataFrame, depth: int = 10, lg_k: int = grap
     the estimate grow, so it can stay below the true depth where a hop adds few tables to very many.
     """
     numbered = graph.number(active_edges(edges_df))
-    below = graph.sketch_spread(numbered.edges, numbered.nodes, depth, lg_k)
-    above = graph.sketch_spread(_turned(numbered.edges, "up"), numbered.nodes, depth, lg_k).select(F.col("node").alias("root"), F.col("reached").alias("data_sources"))
+    both = graph.sketch_spread(numbered.edges, numbered.nodes, depth, lg_k)
+    below, above = both.where("way = 'down'"), both.where("way = 'up'").select(F.col("node").alias("root"), F.col("reached").alias("data_sources"))
     direct = numbered.edges.where("src <> dst").groupBy(F.col("src").alias("root")).agg(F.count("*").alias("direct"))
     down = below.select(F.col("node").alias("root"), "reached", F.col("last_hop").alias("max_depth")).join(direct, "root", "left")
     n = F.coalesce("direct", F.lit(0))

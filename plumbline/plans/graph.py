@@ -199,25 +199,32 @@ def closure(graph: Numbered, roots: DataFrame) -> DataFrame:
 
 
 def sketch_spread(edges: DataFrame, nodes: DataFrame, depth: int, lg_k: int = LG_K) -> DataFrame:
-    """(node, reached, last_hop): about how many other nodes each node reaches within ``depth`` hops, and the last hop with news.
+    """(way, node, reached, last_hop): about how many other nodes each node reaches within ``depth`` hops, and the last hop with news.
 
-    Each round passes the sketches of successors to a node and merges them with its own, so a round costs one sketch a node and one
-    message an edge whatever the sets hold: depth times (nodes + edges) instead of nodes squared. Counts are exact while a set is small
-    and off by about 1.04 / sqrt(2 ** lg_k) beyond. A hop counts as news if the estimate grew, so a hop that adds little to a large
-    set can be missed.
+    Both ways are searched at once: ``down`` along the edges, ``up`` against them. Each round passes the sketches of successors to a node and
+    merges them with its own; a sketch that the round before left as it was has been passed already and stays, and a node that nothing
+    comes to merges nothing. So a round costs one row a node and one message for each edge from a changed node, whatever the sets hold: at
+    most depth times (nodes + edges) instead of nodes squared. Counts are exact while a set is small and off by about 1.04 / sqrt(2 ** lg_k) beyond. A hop counts as news if the
+    estimate grew, so a hop that adds little to a large set can be missed.
     """
     rounds = Rounds(edges.sparkSession, "sketches")
-    held, seen = rounds.add(nodes.select(F.col("id").alias("node"), F.col("id").alias("member")).groupBy("node").agg(
-        F.hll_sketch_agg("member", lg_k).alias("sketch")).select("node", "sketch", F.lit(1).cast("long").alias("size"), F.lit(0).alias("last_hop")))
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("to"))
+    ways = F.explode(F.array(F.lit("down"), F.lit("up"))).alias("way")
+    held, seen = rounds.add(nodes.select(ways, F.col("id").alias("node"), F.col("id").alias("member")).groupBy("way", "node").agg(
+        F.hll_sketch_agg("member", lg_k).alias("sketch")).select("way", "node", "sketch", F.lit(1).cast("long").alias("size"), F.lit(0).alias("last_hop"), F.lit(True).alias("fresh")))
+    back = edges.select(F.lit("down").alias("way"), F.col("dst").alias("node"), F.col("src").alias("to")).unionByName(
+        edges.select(F.lit("up").alias("way"), F.col("src").alias("node"), F.col("dst").alias("to"))).where("node <> to")
+    back, _ = Rounds(edges.sparkSession, "ways").add(back)
+    key = ["way", "node"]
     for hop in range(1, depth + 1):
-        sent = held.join(back, "node").select(F.col("to").alias("node"), "sketch", F.lit(None).cast("long").alias("size"), F.lit(None).cast("int").alias("last_hop"))
-        merged = held.unionByName(sent).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch"), F.max("size").alias("old"), F.max("last_hop").alias("last_hop"))
-        grown = F.col("size") > F.col("old")
-        held, seen = rounds.add(merged.withColumn("size", F.hll_sketch_estimate("sketch")).select(
-            "node", "sketch", F.greatest("size", "old").alias("size"), F.when(grown, F.lit(hop)).otherwise(F.col("last_hop")).alias("last_hop"),
-            grown.alias("grown")), F.sum(F.col("grown").cast("long")).alias("news"))
-        held = held.drop("grown")
+        came = held.where("fresh").join(back, key).groupBy("way", F.col("to").alias("node")).agg(F.hll_union_agg("sketch").alias("came"))
+        merged = held.join(came, key, "left").withColumn("union", F.when(F.col("came").isNotNull(), F.hll_union("sketch", "came")))
+        changed = F.coalesce(F.col("union") != F.col("sketch"), F.lit(False))
+        grown = merged.withColumn("fresh", changed).withColumn("found", F.when(F.col("fresh"), F.hll_sketch_estimate("union")))
+        news = F.coalesce(F.col("found") > F.col("size"), F.lit(False))
+        held, seen = rounds.add(grown.select(
+            "way", "node", F.coalesce("union", "sketch").alias("sketch"), F.greatest("size", "found").alias("size"), F.when(news, F.lit(hop)).otherwise(F.col("last_hop")).alias("last_hop"),
+            "fresh", news.alias("news")), F.sum(F.col("news").cast("long")).alias("news"))
+        held = held.drop("news")
         if not seen["news"]:
             break
-    return held.select("node", (F.col("size") - 1).alias("reached"), "last_hop")
+    return held.select("way", "node", (F.col("size") - 1).alias("reached"), "last_hop")

@@ -151,6 +151,21 @@ def test_sketches_against_exact_counts(spark):
     assert abs(coarse.total - 40_000) < 4 * 0.13 * 40_000
 
 
+def test_sketches_go_both_ways_in_one_search(spark, monkeypatch):
+    """A chain with a fan at its end, two loops and a pair of rings: one stored table a hop serves both ways, each way with its own last hop."""
+    stored = []
+    add = G.Rounds.add
+    monkeypatch.setattr(G.Rounds, "add", lambda self, df, *counters: stored.append(self.root.rsplit("/", 1)[-1]) or add(self, df, *counters))
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(5)] + [("c5", f"x{i}") for i in range(9)] + [("c0", "c0"), ("x3", "x3"), ("r", "s"), ("s", "r")]
+    numbered = G.number(spark.createDataFrame(edges, "src string, dst string"))
+    names = {r.id: r.node for r in numbered.nodes.collect()}
+    got = {(r.way, names[r.node]): (r.reached, r.last_hop) for r in G.sketch_spread(numbered.edges, numbered.nodes, 10).collect()}
+    want = {("down", f"c{i}"): (5 - i + 9, 6 - i) for i in range(6)} | {("up", f"c{i}"): (i, i) for i in range(6)}
+    want |= {("down", f"x{i}"): (0, 0) for i in range(9)} | {("up", f"x{i}"): (6, 6) for i in range(9)} | {(w, x): (1, 1) for w in ("down", "up") for x in "rs"}
+    assert got == want
+    assert stored.count("sketches") == 8  # the start, six hops with news, one without
+
+
 def test_no_edges(spark):
     none = graph(spark, ("a", "b", False))
     assert I.components(none).count() == I.cycles(none).count() == I.blast_radius(none).count() == I.blast_radius_sketched(none).count() == 0
