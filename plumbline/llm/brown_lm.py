@@ -17,14 +17,12 @@ other columns are not looked at.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -33,7 +31,6 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import in_parts
 from plumbline.session import remove, work_path
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Stands for the text end; no word holds a space.
 END = " "
 FLUSH_WORDS = 200_000
@@ -42,11 +39,17 @@ PART_IDS = 1_000_000
 MAX_ITEMS = 1_000
 MAX_BROADCAST = 150_000
 CLASSES = 48
+#: Groups of numbered words whose contexts travel as one row.
+BUCKETS = 1_000
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words with A-Z lowered, without the end."""
-    return WORD.findall(text.encode().lower().decode()) if text else []
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8 with A-Z lowered, without the end. Only space, tab and the line breaks up to 0x0D separate bytes."""
+    return text.lower().split() if text else []
+
+
+def _bytes(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.binary()).to_pylist()
 
 
 def shape(word: str) -> int:
@@ -91,20 +94,24 @@ class BrownModel:
 def count_words(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
     """``word, n`` over rows where ``learn`` holds; the end counts once a text."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for value in batch["text"]:
+            for value in _bytes(batch.column("text")):
                 counts.update(tokens(value))
-            counts[END] += len(batch)
+            if batch.num_rows:
+                counts[END.encode()] += batch.num_rows
             if len(counts) > FLUSH_WORDS:
-                yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                yield held(counts)
                 counts.clear()
         if counts:
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+            yield held(counts)
 
     given = docs.where(learn).select(F.col(text).alias("text"))
-    return given.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return given.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, counts: DataFrame, learn: Column, text: str = "text", max_items: int = MAX_ITEMS, max_broadcast: int = MAX_BROADCAST,
@@ -124,7 +131,7 @@ def train(docs: DataFrame, counts: DataFrame, learn: Column, text: str = "text",
     # every other word joins the class under which its neighbours' classes are likeliest
     before, after = _shares(between.T), _shares(between)
     of = own[item]
-    found = _place(_contexts(texts, of, n_items, n_known, k), "int", before, after).toArrow()
+    found = _place_numbered(_contexts(texts, of, n_items, n_known, k), n_known, before, after).toArrow()
     of[found["key"].to_numpy()] = found["class"].to_numpy()
     path = work_path(spark, "classes")
     _place(_rare_contexts(texts, own[item], n_known), "string", before, after).withColumnRenamed("key", "word").write.parquet(path)
@@ -180,18 +187,18 @@ def frequent(counts: DataFrame, max_broadcast: int = MAX_BROADCAST) -> dict[str,
 def encode(docs: DataFrame, count: dict[str, int], learn: Column | None = None, doc_id: str | None = None, text: str = "text") -> Encoded:
     """Texts as lists of word numbers; without ``learn``, training may read all of them."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(count)})
+    shared = spark.sparkContext.broadcast({w.encode(): i for i, w in enumerate(count)})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value
         for batch in batches:
             at = 0
-            for part in in_parts(batch.column("text").to_pylist(), PART_CHARS):
+            for part in in_parts(_bytes(batch.column("text")), PART_CHARS):
                 own = [tokens(value) for value in part]
                 words = list(chain.from_iterable(own))
-                ids = np.fromiter((number.get(w, -1) for w in words), dtype=np.int32, count=len(words))
+                ids = np.fromiter(map(number.get, words, repeat(-1)), dtype=np.int32, count=len(words))
                 missing = np.flatnonzero(ids < 0)
-                rare = [words[i] for i in missing.tolist()]
+                rare = [words[i].decode() for i in missing.tolist()]
                 ids[missing] = len(number) + np.fromiter((shape(w) for w in rare), dtype=np.int32, count=len(rare))
                 ends = np.cumsum([0, *map(len, own)])
                 yield pa.RecordBatch.from_arrays([
@@ -249,22 +256,65 @@ def _count_pairs(texts: DataFrame, of: np.ndarray, size: int | None = None) -> n
 
 
 def _contexts(texts: DataFrame, of: np.ndarray, n_items: int, n_known: int, k: int) -> DataFrame:
-    """(key, before, after, n): neighbours' classes of the words ``n_items`` to ``n_known``."""
+    """(bucket, cells, n): neighbours' classes of the words ``n_items`` to ``n_known``, a bucket of words as one row for each run of texts.
+
+    A cell is ``(word // BUCKETS * k + before) * k + after`` and ``word % BUCKETS`` the bucket; ``n`` tells how often each cell occurs.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(of)
+    size = _width(n_known) * k * k
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for _, ids, _ in _sequences(batches, len(of) - 1):
             at = np.flatnonzero((ids >= n_items) & (ids < n_known))
-            cells, n = np.unique((ids[at] * k + of[ids[at - 1]]) * k + of[ids[at + 1]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((cells // (k * k), pa.int32()), (cells // k % k, pa.int32()), (cells % k, pa.int32()), (n, pa.int64()))],
-                                             ["key", "before", "after", "n"])
+            own = (ids[at] // BUCKETS * k + of[ids[at - 1]]) * k + of[ids[at + 1]]
+            cells, n = np.unique(ids[at] % BUCKETS * size + own, return_counts=True)
+            buckets, starts = np.unique(cells // size, return_index=True)
+            ends = pa.array([*starts.tolist(), len(cells)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *[pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((cells % size, pa.int64()), (n, pa.int32()))]], ["bucket", "cells", "n"])
+
+    return texts.select("ids").mapInArrow(read, "bucket int, cells array<long>, n array<int>")
+
 
-    return texts.select("ids").mapInArrow(read, "key int, before int, after int, n long")
+def _width(n_known: int) -> int:
+    return -(-n_known // BUCKETS)
+
+
+def _place_numbered(contexts: DataFrame, n_known: int, before: np.ndarray, after: np.ndarray) -> DataFrame:
+    """(key, class, n) like :func:`_place` for the words of :func:`_contexts`; a task holds the counts of one bucket's words."""
+    shared = contexts.sparkSession.sparkContext.broadcast((before, after))
+    width, k = _width(n_known), len(before)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, after = shared.value
+        bucket, left, right = -1, np.zeros((width, k)), np.zeros((width, k))
+
+        def chosen() -> pa.RecordBatch:
+            n = left.sum(axis=1).astype(np.int64)
+            at = np.flatnonzero(n)
+            gains = left[at] @ before.T + right[at] @ after.T
+            return pa.RecordBatch.from_arrays([pa.array(at * BUCKETS + bucket, pa.int32()), pa.array(gains.round(9).argmax(axis=1), pa.int32()), pa.array(n[at])], ["key", "class", "n"])
+
+        for batch in batches:
+            buckets, cells, counts = batch.column("bucket").to_numpy(), batch.column("cells"), batch.column("n")
+            starts = np.flatnonzero(np.diff(buckets, prepend=-1)).tolist()
+            for start, stop in zip(starts, [*starts[1:], len(buckets)]):
+                if buckets[start] != bucket:
+                    if bucket >= 0:
+                        yield chosen()
+                    bucket, left, right = int(buckets[start]), np.zeros((width, k)), np.zeros((width, k))
+                cell, n = (x.slice(start, stop - start).flatten().to_numpy() for x in (cells, counts))
+                word = cell // (k * k) * k
+                left += np.bincount(word + cell // k % k, n, minlength=width * k).reshape(width, k)
+                right += np.bincount(word + cell % k, n, minlength=width * k).reshape(width, k)
+        if bucket >= 0:
+            yield chosen()
+
+    return contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key int, class int, n long")
 
 
 def _rare_contexts(texts: DataFrame, of: np.ndarray, n_known: int) -> DataFrame:
-    """(key, before, after, n) like :func:`_contexts` for the words that have no number, themselves as keys."""
+    """(key, before, after, n): neighbours' classes of the words that have no number, themselves as keys."""
     shared = texts.sparkSession.sparkContext.broadcast(of)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

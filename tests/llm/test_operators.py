@@ -577,6 +577,33 @@ def test_a_words_places_add_up_over_batches(spark, rows):
     assert not got
 
 
+def test_contexts_of_numbered_words_travel_by_bucket(spark, monkeypatch):
+    """A row for each bucket of words and run of texts instead of one for each context, and the same classes as the plain sums give."""
+    monkeypatch.setattr(brown_lm, "BUCKETS", 4)
+    rng = random.Random(3)
+    n_items, n_known, k = 5, 43, 3
+    of = np.array([rng.randrange(k) for _ in range(n_known + brown_lm.SHAPES + 1)])
+    rows = [[min(n_known + 9, int(rng.expovariate(0.06))) for _ in range(rng.randint(0, 30))] for _ in range(200)]
+    texts = spark.createDataFrame([(r,) for r in rows], "ids array<int>").repartition(2)
+    before, after = np.log10(np.random.default_rng(1).dirichlet([1] * k, k)), np.log10(np.random.default_rng(2).dirichlet([1] * k, k))
+    contexts = brown_lm._contexts(texts, of, n_items, n_known, k)
+    assert contexts.count() <= 2 * 4
+    got = {r.key: (r["class"], r.n) for r in brown_lm._place_numbered(contexts, n_known, before, after).collect()}
+    gains = {}
+    for r in rows:
+        path = [len(of) - 1, *r, len(of) - 1]
+        for a, w, b in zip(path, path[1:], path[2:]):
+            if n_items <= w < n_known:
+                gains.setdefault(w, []).append(before[:, of[a]] + after[:, of[b]])
+    assert got == {w: (int(sum(g).argmax()), len(g)) for w, g in gains.items()}
+
+
+def test_words_are_split_at_ascii_white_space_alone(spark):
+    rows = [("Ab\u00a0c \x1cD\x0be\u2003F\tAb\u00a0C\r\n",), (None,), ("",), ("\u0130\u0410 \u0085",)]
+    got = {r.word: r.n for r in brown_lm.count_words(spark.createDataFrame(rows, "text string"), F.lit(True)).collect()}
+    assert got == {"ab\u00a0c": 2, "\x1cd": 1, "e\u2003f": 1, "\u0130\u0410": 1, "\u0085": 1, brown_lm.END: 4}
+
+
 def test_exchange_finds_classes():
     """Words of two kinds that take turns: the kinds come apart."""
     pairs = np.zeros((10, 10))
