@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +87,22 @@ def map_column(df: DataFrame, column: str, returns: dict[str, T.DataType], fn: C
     return kept.mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send Python at most ``rows`` rows at a time: a task holds a batch several times over outside of its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key, None)
+    if was is None or not 0 < int(was) <= rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 def in_parts(values: list, chars: int) -> Iterator[list]:
     """Consecutive runs of texts with about ``chars`` characters each, at least one text; keeps memory even."""
     part, held = [], 0

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.block_names import look_up
+from plumbline.llm.common import small_batches
 from plumbline.session import remove, work_path
 
 SIZE = 3
@@ -50,6 +51,8 @@ LONGER, COMMON = 1.5, 8
 MEMBERS = 2_000
 #: Ids up to this number are broadcast to pick their documents' texts; more of them take a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
+#: Texts that go to Python at a time.
+BATCH_ROWS = 256
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -87,8 +90,8 @@ def _sets(docs: DataFrame, doc_id: str, text: str, whole: bool, size: int, cut:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
                 sets = [shingle_hashes(t, known, size) for t in part.column(1).to_pylist()]
                 sums = np.array([(s.sum(dtype=np.uint64), np.bitwise_xor.reduce(_finish(s + _MIX[0])) if len(s) else 0) for s in sets], dtype=np.uint64).view(np.int64)
                 cuts = [_cut(s, *cut) for s in sets] if cut else []
@@ -135,6 +138,11 @@ class _Store:
 
 def connect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """One row for each document: ``doc_id, n_shingles, component_id`` (the smallest id reachable by links)."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):  # all texts are read inside; the result reads stored tables
+        return _connect(docs, doc_id, text, percent, size)
+
+
+def _connect(docs: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame:
     store = _Store(docs.sparkSession)
     sets = store.keep(_sets(docs, doc_id, text, whole=False, size=size))
     # one row an id; equal ids are rare, so only the narrow columns move

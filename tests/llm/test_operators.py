@@ -613,6 +613,29 @@ def test_exchange_finds_classes():
     assert len(set(own[:5])) == len(set(own[5:])) == 1 and own[0] != own[5]
 
 
+@pytest.mark.parametrize("was", [None, "100", "5000"])
+def test_near_copies_read_texts_in_small_batches(spark, monkeypatch, was):
+    """Every stored step of the join runs with small batches, and the session has its own setting back."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    class Told(ngram_jaccard._Store):
+        def keep(self, df):
+            seen.append(int(spark.conf.get(key)))
+            return super().keep(df)
+
+    monkeypatch.setattr(ngram_jaccard, "_Store", Told)
+    own = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+        before = spark.conf.get(key, None)
+        words = [f"w{i}" for i in range(60)]
+        got = by_id(ngram_jaccard.connect(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[1:])), (3, "else")], "doc_id long, text string")))
+        assert [got[i].component_id for i in (1, 2, 3)] == [1, 1, 3]
+        assert set(seen) == {100 if was == "100" else 256} and spark.conf.get(key, None) == before
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
 # registered queries
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op6_ngram_jaccard", "op9_decontamination"])
 def test_against_oracle(spark, sf, name):
