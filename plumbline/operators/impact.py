@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,17 +170,110 @@ class _Paths:
         self.newest, self._seen = self._rounds.add(step.join(self.known().select("root", "node"), ["root", "node"], "left_anti"))
 
 
+class _Meetings:
+    """A search from both ends of wanted pairs: from sources along the edges, from targets against them, until the two sides meet.
+
+    An end is (down, root): the search along the edges from a source, or against them from a target, shared by all pairs of that
+    end. A round extends ends by one edge and is stored as (down, root, node, path, fan, age), ``fan`` being the number of edges that lead on.
+    Pairs are stored with it: (root, goal, down_pairs, up_pairs, down_walk, up_walk, path), ``path`` once they have met. A pair is left when
+    one of its sides has no edge to go on, so one that is not connected costs what the cheaper of both sides costs, not all that its source reaches.
+    """
+
+    FRESH, WAITING, LEFT = 0, 1, 2
+
+    def __init__(self, edges: DataFrame, wanted: DataFrame):
+        spark = edges.sparkSession
+        one_way, _ = graph.Rounds(spark, "meeting-edges").add(edges.where("src <> dst").select("src", "dst").distinct())
+        both = one_way.select(F.lit(True).alias("down"), F.col("src").alias("node"), F.col("dst").alias("to")).unionByName(
+            one_way.select(F.lit(False).alias("down"), F.col("dst").alias("node"), F.col("src").alias("to")))
+        fans = both.groupBy("node", "down").agg(F.count(F.lit(1)).alias("fan"))
+        steps, _ = graph.Rounds(spark, "meeting-steps").add(both.join(fans.withColumnRenamed("node", "to"), ["to", "down"], "left").select(
+            "down", "node", "to", F.coalesce("fan", F.lit(0)).alias("next_fan")))
+        # every round joins them: they are dealt out by node and sorted once, on the disks of the executors, and made again from the stored table where these are lost
+        self.edges = steps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "down").sortWithinPartitions("node", "down").persist(StorageLevel.DISK_ONLY)
+        self._rounds, self._pairs, self._known = graph.Rounds(spark, "meetings"), graph.Rounds(spark, "meeting-pairs"), graph.Rounds(spark, "meeting-known")
+        # a pair without an edge from its source or to its target is not connected
+        ends = {}
+        for way, root, down in (("down", "root", True), ("up", "goal", False)):
+            shared = wanted.groupBy(F.col(root).alias("node")).agg(F.count(F.lit(1)).alias(f"{way}_pairs"))
+            ends[root] = shared.join(fans.where(F.col("down") == down), "node", "left").select(F.col("node").alias(root), f"{way}_pairs", F.coalesce("fan", F.lit(0)).alias(f"{way}_walk"))
+        self._keep(wanted.join(ends["root"], "root").join(ends["goal"], "goal").withColumn("path", F.when(F.col("root") == F.col("goal"), F.array("root"))).where(
+            "path IS NOT NULL OR down_walk > 0 AND up_walk > 0"))
+        starts = self.live.select(F.lit(True).alias("down"), "root", F.col("down_walk").alias("fan")).unionByName(
+            self.live.select(F.lit(False).alias("down"), F.col("goal").alias("root"), F.col("up_walk").alias("fan"))).distinct()
+        self.newest, _ = self._rounds.add(starts.select("down", "root", F.col("root").alias("node"), F.array("root").alias("path"), "fan", F.lit(self.FRESH).alias("age")))
+        self._base, self._since, self._asked = None, 0, self.asked
+
+    def _keep(self, pairs: DataFrame) -> None:
+        """Stores pairs; those without a path are searched on."""
+        stored, seen = self._pairs.add(pairs.select("root", "goal", "down_pairs", "up_pairs", "down_walk", "up_walk", "path"), F.count_if(F.col("path").isNull()).alias("asked"))
+        self.live, self.asked = stored.where("path IS NULL").drop("path"), seen.get("asked") or 0
+        self._schema = stored.schema
+
+    def met(self) -> DataFrame:
+        self.edges.unpersist()
+        return self._pairs.all(self._schema).where("path IS NOT NULL")
+
+    def _ends(self) -> DataFrame:
+        """(down, root, go) of the live ends. A pair wants a side to go on that has walked at most twice what the other has, each divided by the pairs
+        that share it: so one side at least goes on, and of a source with many targets hardly anything but the source."""
+        down, up = F.col("down_walk") / F.col("down_pairs"), F.col("up_walk") / F.col("up_pairs")
+        return self.live.select(F.lit(True).alias("down"), "root", (down <= 2 * up).alias("go")).unionByName(
+            self.live.select(F.lit(False).alias("down"), F.col("goal").alias("root"), (up <= 2 * down).alias("go"))).groupBy("root", "down").agg(F.max("go").alias("go"))
+
+    def _seen(self) -> DataFrame:
+        """(down, root, node) of all rounds; kept for live ends only once half of the pairs are settled, so that late rounds don't read the early ones."""
+        key = ["down", "root", "node"]
+        late = self.newest.sparkSession.read.schema(self.newest.schema).parquet(*self._rounds.paths[self._since:]).where(F.col("age") == self.FRESH).select(*key)
+        seen = late if self._base is None else self._base.unionByName(late)
+        if self.asked <= self._asked / 2:
+            seen, _ = self._known.add(seen.join(self._ends(), ["root", "down"], "left_semi").select(*key))
+            self._base, self._since, self._asked = seen, len(self._rounds.paths), self.asked
+        return seen
+
+    def extend(self) -> None:
+        """One round: the ends that are to go on do so by one edge, of equally long paths to a node the smallest stays; then the pairs are looked through."""
+        columns = ["down", "root", "node", "path", "fan", "age"]
+        frontier = self.newest.where(F.col("age") != self.LEFT).join(self._ends(), ["root", "down"])
+        longer = F.when(F.col("down"), F.concat("path", F.array("to"))).otherwise(F.concat(F.array("to"), "path"))
+        step = frontier.where("go").join(self.edges, ["node", "down"]).groupBy("root", F.col("to").alias("node"), "down").agg(F.min(longer).alias("path"), F.min("next_fan").alias("fan"))
+        fresh = step.join(self._seen(), ["root", "node", "down"], "left_anti").withColumn("age", F.lit(self.FRESH))
+        # what a target's side leaves behind is met by a source's side that goes on in the same round
+        rest = frontier.where("NOT (go AND down)").withColumn("age", F.when(F.col("go"), self.LEFT).otherwise(self.WAITING))
+        self.newest, _ = self._rounds.add(fresh.select(*columns).unionByName(rest.select(*columns)))
+        self._look()
+
+    def _look(self) -> None:
+        """Pairs whose sides have met get their shortest path, of equally long ones the smallest; of the others those stay whose sides both go on."""
+        fore = self.newest.where((F.col("age") != self.LEFT) & F.col("down")).select("root", "node", F.col("path").alias("head"))
+        back = self.newest.where(~F.col("down")).select(F.col("root").alias("goal"), "node", F.col("path").alias("tail"))
+        # the side with fewer nodes is listed for each pair and looked up in the other
+        few = F.col("down_walk") <= F.col("up_walk")
+        asked = self.live.select("root", "goal", few.alias("few"))
+        both = asked.where("few").join(fore, "root").join(back, ["goal", "node"]).select("root", "goal", "head", "tail").unionByName(
+            asked.where("NOT few").join(back, "goal").join(fore, ["root", "node"]).select("root", "goal", "head", "tail"))
+        path = F.concat("head", F.slice("tail", F.lit(2), F.size("tail")))
+        found = both.groupBy("root", "goal").agg(F.min(F.struct(F.size(path).alias("n"), path.alias("path"))).path.alias("path"))
+        sides = self.newest.groupBy("root", "down").agg(
+            F.sum(F.when(F.col("age") == self.FRESH, F.col("fan")).otherwise(0)).alias("walk"), F.max(F.col("age") == self.WAITING).alias("waits")).where("waits OR walk > 0")
+        down = sides.where("down").select("root", F.col("walk").alias("down_more"))
+        up = sides.where("NOT down").select(F.col("root").alias("goal"), F.col("walk").alias("up_more"))
+        looked = self.live.join(down, "root", "left").join(up, "goal", "left").join(found, ["root", "goal"], "left").where(
+            "path IS NOT NULL OR down_more IS NOT NULL AND up_more IS NOT NULL")
+        self._keep(looked.withColumn("down_walk", F.col("down_walk") + F.col("down_more")).withColumn("up_walk", F.col("up_walk") + F.col("up_more")))
+
+
 def shortest_paths(edges_df: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source, target, path) for every wanted pair that is connected, ties to the smallest path.
 
-    One search serves all pairs; a source stops being extended once its targets are found.
+    One search serves all pairs, from their sources and from their targets at once; it ends for a pair when both sides meet, or when one
+    of them has been wherever it leads.
     """
-    wanted = cut_lineage(pairs.select(F.col("source").alias("root"), F.col("target").alias("node")).distinct())
-    search = _Paths(active_edges(edges_df), lambda _: wanted.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")))
-    while search.found:
-        unsolved = wanted.join(search.known(), ["root", "node"], "left_anti").select("root").distinct()
-        search.extend(search.newest.join(unsolved, "root", "left_semi"))
-    return wanted.join(search.known(), ["root", "node"]).select(F.col("root").alias("source"), F.col("node").alias("target"), "path")
+    wanted = pairs.select(F.col("source").alias("root"), F.col("target").alias("goal")).where("root IS NOT NULL AND goal IS NOT NULL").distinct()
+    search = _Meetings(active_edges(edges_df), cut_lineage(wanted))
+    while search.asked:
+        search.extend()
+    return search.met().select(F.col("root").alias("source"), F.col("goal").alias("target"), "path")
 
 
 def shortest_path(edges_df: DataFrame, a: str, b: str) -> DataFrame:

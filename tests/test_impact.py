@@ -59,6 +59,54 @@ def test_paths(spark, diamond):
     assert I.shortest_path(diamond, "e", "a").count() == 0
 
 
+def _smallest_shortest(edges, source):
+    """Breadth-first from one source: node -> shortest path, the smallest of equally long ones."""
+    found = level = {source: [source]}
+    while level:
+        step = {}
+        for a, b in edges:
+            if a in level and b not in found:
+                step[b] = min(step.get(b, level[a] + [b]), level[a] + [b])
+        found, level = found | step, step
+    return found
+
+
+@pytest.mark.parametrize("seed, n, m", [(1, 14, 22), (2, 9, 30)])
+def test_paths_from_both_ends_against_brute_force(spark, seed, n, m):
+    rng = random.Random(seed)
+    links = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)]
+    off = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", False) for _ in range(4)]
+    edges = graph(spark, *links, *links[:3], *off, ("n0", None), (None, "n1"))
+    asked = [(f"n{a}", f"n{b}") for a in range(n) for b in range(n)] * 2 + [("q", "q"), ("q", "n1"), ("n1", "q"), (None, "n1"), ("n1", None), (None, None)]
+    got = rows(I.shortest_paths(edges, spark.createDataFrame(asked, "source string, target string")))
+    paths = {s: _smallest_shortest(links, s) for s, _ in asked if s}
+    assert got == sorted([(s, t, paths[s][t]) for s, t in set(asked) if s and t in paths[s]], key=str)
+
+
+def test_many_targets_of_one_source_and_the_other_way_round(spark):
+    fan = graph(spark, *[("a", f"m{i % 3}") for i in range(3)], *[(f"m{i % 3}", f"t{i}") for i in range(30)], *[(f"t{i}", "z") for i in range(30)])
+    one = spark.createDataFrame([("a", f"t{i}") for i in range(30)] + [("t0", "a")], "source string, target string")
+    assert rows(I.shortest_paths(fan, one)) == sorted([("a", f"t{i}", ["a", f"m{i % 3}", f"t{i}"]) for i in range(30)], key=str)
+    other = spark.createDataFrame([(f"m{i}", "z") for i in range(3)] + [("z", "a")], "source string, target string")
+    assert rows(I.shortest_paths(fan, other)) == sorted([(f"m{i}", "z", [f"m{i}", min(f"t{k}" for k in range(i, 30, 3)), "z"]) for i in range(3)], key=str)
+
+
+def test_a_target_that_little_leads_to_ends_its_search(spark, monkeypatch):
+    stored, add = [], G.Rounds.add
+
+    def counted(self, df, *counters):
+        table, seen = add(self, df, *counters)
+        stored.append(seen["n"])
+        return table, seen
+
+    monkeypatch.setattr(G.Rounds, "add", counted)
+    n = 60
+    edges = graph(spark, *[(f"c{i:02d}", f"c{i + 1:02d}") for i in range(n - 1)], *[(f"y{i}", f"x{i}") for i in range(n)])
+    assert I.shortest_paths(edges, spark.createDataFrame([(f"c{i:02d}", f"x{i}") for i in range(n)], "source string, target string")).count() == 0
+    # everything that the sources reach would be n * (n + 1) / 2 = 1830 rows
+    assert sum(stored) < 1000
+
+
 def test_cycles(spark, diamond):
     loops = graph(spark, ("b", "a"), ("a", "b"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "w"), ("w", "q"), ("s", "s"))
     assert sorted((r.cycle for r in I.cycles(loops).collect()), key=str) == [["a", "b"], ["s"], ["x", "y", "z"]]
